@@ -75,27 +75,39 @@ def is_empty(df: DataFrame, out: str = "is_empty") -> DataFrame:
     return df.limit(1).agg((F.count(F.lit(1)) == 0).alias(out))
 
 
-def sort_values(df: DataFrame, column: str, out: str = "value") -> DataFrame:
-    """Scalars as float64, ascending."""
-    return sort_by_key(df.select(col(column).cast("double").alias(out)), [out])
+def _sorted(x: DataFrame, keys: list[str], ascending: bool, index_col: str | None,
+            num_partitions: int | None = None) -> DataFrame:
+    if index_col:
+        return ranked(x, keys, ascending, index_col, num_partitions)
+    return sort_by_key(x, keys, ascending, num_partitions)
+
+
+def sort_values(df: DataFrame, column: str, out: str = "value", index_col: str | None = None) -> DataFrame:
+    """Scalars as float64, ascending (``index_col`` adds the global position)."""
+    return _sorted(df.select(col(column).cast("double").alias(out)), [out], True, index_col)
 
 
-def sort_int32_by_key(df: DataFrame, k: str = "k", v: str = "v", descending: bool = False) -> DataFrame:
-    """(k, v) truncated to int32 (toward zero), sorted by k."""
+def sort_int32_by_key(df: DataFrame, k: str = "k", v: str = "v", descending: bool = False,
+                      index_col: str | None = None, then_by_value: bool = False) -> DataFrame:
+    """(k, v) truncated to int32 (toward zero), sorted by k (then v if asked)."""
     x = df.select(col(k).cast("int").alias("k"), col(v).cast("int").alias("v"))
-    return sort_by_key(x, ["k"], not descending)
+    return _sorted(x, ["k", "v"] if then_by_value else ["k"], not descending, index_col)
 
 
-def sort_float32_by_key(df: DataFrame, k: str = "k", v: str = "v", descending: bool = False) -> DataFrame:
+def sort_float32_by_key(df: DataFrame, k: str = "k", v: str = "v", descending: bool = False,
+                        index_col: str | None = None, then_by_value: bool = False) -> DataFrame:
     """(k, v) rounded to float32 (both, as the device sort did), sorted by k."""
     x = df.select(float32(k).alias("k"), float32(v).alias("v"))
-    return sort_by_key(x, ["k"], not descending)
+    return _sorted(x, ["k", "v"] if then_by_value else ["k"], not descending, index_col)
 
 
 def sort_range_partitioned(df: DataFrame, num_partitions: int, k: str = "k", v: str = "v",
-                           ascending: bool = True, precision: str = "float32") -> DataFrame:
+                           ascending: bool = True, precision: str = "float32",
+                           index_col: str | None = None, then_by_value: bool = False) -> DataFrame:
     """Range-partition into ``num_partitions`` and sort each partition: the
-    concatenation of partitions is globally ordered in the asked direction."""
+    concatenation of partitions is globally ordered in the asked direction.
+    With ``index_col`` the position is read off that layout (partition
+    offsets + position inside the partition)."""
     cast = float32 if precision == "float32" else (lambda c: col(c).cast("double"))
     x = df.select(cast(k).alias("k"), cast(v).alias("v"))
-    return sort_by_key(x, ["k"], ascending, num_partitions)
+    return _sorted(x, ["k", "v"] if then_by_value else ["k"], ascending, index_col, num_partitions)
