@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import col, unit_hash
-from tessera.operators.position import zip_with_index
+from tessera.operators.position import row_index, zip_with_index
 
 # Two-sided normal quantiles for the usual confidence levels.
 Z_FOR_CONFIDENCE = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054,
@@ -76,11 +76,14 @@ def take_sample(df: DataFrame, n: int, key: Sequence[str | Column], seed: int =
     return df.withColumn("__h", h).orderBy("__h", *[col(k) for k in key]).limit(int(n)).drop("__h")
 
 
-def take_sample_with_replacement(df: DataFrame, n: int, seed: int = 0, draw_col: str = "draw") -> DataFrame:
+def take_sample_with_replacement(df: DataFrame, n: int, seed: int = 0, draw_col: str = "draw",
+                                 order: Sequence[str | Column] | None = None) -> DataFrame:
     """Exactly n rows drawn with replacement.
 
     n draws of a uniform position 0..size-1 are joined to the dense index of
-    the frame (a shuffle on a unique key); one extra count.
+    the frame (a shuffle on a unique key); one extra count. Positions are in
+    ``order`` when given (reproducible across partitionings), else in
+    partition order.
     """
     if n < 0:
         raise ValueError("sample size cannot be negative")
@@ -91,7 +94,7 @@ def take_sample_with_replacement(df: DataFrame, n: int, seed: int = 0, draw_col:
     draws = spark.range(int(n)).select(
         F.col("id").alias(draw_col),
         F.least(F.floor(unit_hash("id", seed=seed) * F.lit(size)), F.lit(size - 1)).cast("long").alias("__pick"))
-    indexed = zip_with_index(df, "__pick")
+    indexed = row_index(df, list(order), index_col="__pick") if order else zip_with_index(df, "__pick")
     return draws.join(indexed, "__pick").drop("__pick")
 
 

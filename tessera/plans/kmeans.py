@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.exprs import unit_hash
 
@@ -34,21 +35,24 @@ def as_points(df: DataFrame, vector_col: str, id_col: str | None = None) -> Data
     return df.select(*cols)
 
 
-def _dist_expr(p: Column, center: list[float]) -> Column:
-    """Σ_d (p[d] - c[d])² summed left to right, as plain arithmetic."""
-    acc = None
-    for d, c in enumerate(center):
-        diff = p.getItem(d) - F.lit(float(c))
-        t = diff * diff
-        acc = t if acc is None else acc + t
-    return acc
+def centers_literal(centers: list[list[float]]) -> Column:
+    """The k x d centres as one array<array<double>> literal (folded to a
+    single constant by the optimizer)."""
+    return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
 
 
 def nearest_center(p: Column, centers: list[list[float]]) -> Column:
-    """Index of the closest centre (ties → lowest index; NaN point → 0)."""
-    cand = [F.struct(_dist_expr(p, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)]
-    best = cand[0] if len(cand) == 1 else F.least(*cand)
-    return best["i"]
+    """Index of the closest centre (ties → lowest index; NaN point → 0).
+
+    Σ_d (p[d] - c[d])² is folded left to right; the minimum of the
+    (distance, index) structs takes the lowest index on a tie and ranks NaN
+    last, so an all-NaN point lands on centre 0.
+    """
+    def dist(c, i):
+        sq = F.zip_with(p, c, lambda a, b: (a - b) * (a - b))
+        return F.struct(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x).alias("d"), i.alias("i"))
+
+    return F.array_min(F.transform(centers_literal(centers), dist))["i"]
 
 
 def assign_sql(points: DataFrame, centers: list[list[float]], out: str = "cluster") -> DataFrame:
@@ -95,7 +99,7 @@ def _cluster_sums_arrow(points: DataFrame, centers: list[list[float]], dim: int)
 def assign_arrow(points: DataFrame, centers: list[list[float]], out: str = "cluster") -> DataFrame:
     """Arrow/numpy assignment keeping all input columns."""
     C = np.asarray(centers, dtype=np.float64)
-    schema = points.schema.add(out, "int")
+    schema = StructType(list(points.schema.fields) + [StructField(out, IntegerType())])
 
     def part(batches):
         for b in batches:
@@ -164,3 +168,17 @@ def kmeans(points: DataFrame, k: int, converge_dist: float, key: str | None = No
         return KMeansResult(centers, rounds, dist <= converge_dist, moves, sizes)
     finally:
         pts.unpersist()
+
+
+def step_frame(points: DataFrame, centers: list[list[float]]) -> DataFrame:
+    """One update as a frame: (cluster, dim, value) for all k centres; a
+    cluster without points keeps its centre. Lazy — no driver round trip."""
+    dim = len(centers[0])
+    sums = _cluster_sums_sql(points, centers, dim)
+    means = sums.select("cluster", F.posexplode(F.array(*[F.col(f"s{d}") / F.col("n") for d in range(dim)]))
+                        .alias("dim", "value"))
+    spark = points.sparkSession
+    old = spark.createDataFrame([(i, d, float(x)) for i, c in enumerate(centers) for d, x in enumerate(c)],
+                                "cluster int, dim int, value double")
+    kept = old.join(sums.select("cluster"), "cluster", "left_anti")
+    return means.unionByName(kept)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import wordcount
-from tessera.plans.oracle_sql import DOC_LINES
+from pyspark.sql import functions as F
+
+from tessera.plans import kmeans, sorting, wordcount
+from tessera.plans.oracle_sql import DOC_LINES, unit_hash_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load
 
@@ -32,3 +34,96 @@ GROUP BY word
 """)
 def wc_frequencies(spark, sf_dir):
     return wordcount.word_frequencies(load(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- sorting
+
+@register("sort_pairs_app", oracle="""
+SELECT row_number() OVER (ORDER BY l_extendedprice, l_quantity) - 1 AS idx,
+       l_extendedprice AS k, l_quantity AS v
+FROM lineitem
+""")
+def sort_pairs_app(spark, sf_dir):
+    return sorting.sort_pairs(sorting.pair_lines(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity"))
+
+
+# ---------------------------------------------------------------- k-means
+
+K = 10
+
+
+def _points(spark, sf_dir):
+    return kmeans.as_points(load(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
+def _first_centers(points):
+    # fixed start: the k points with the smallest ids (k x d numbers)
+    return [list(r["p"]) for r in points.orderBy("vec_id").limit(K).select("p").collect()]
+
+
+_P = "p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS p FROM embeddings)"
+_DIST = ("list_reduce(list_transform(range(1, len(p.p) + 1), "
+         "lambda j: (p.p[j] - c.c[j]) * (p.p[j] - c.c[j])), lambda a, b: a + b)")
+
+
+def _assign_sql(cent: str, name: str) -> str:
+    return (f"{name} AS (SELECT vec_id, i AS cluster FROM ("
+            f"SELECT p.vec_id, c.i, row_number() OVER (PARTITION BY p.vec_id ORDER BY {_DIST}, c.i) AS rn "
+            f"FROM p CROSS JOIN {cent} c) WHERE rn = 1)")
+
+
+def _update_sql(cent: str, asg: str, name: str) -> str:
+    return (f"{name}_x AS (SELECT a.cluster AS i, unnest(range(1, len(p.p) + 1)) AS j, unnest(p.p) AS x "
+            f"FROM {asg} a JOIN p USING (vec_id)), "
+            f"{name}_m AS (SELECT i, j, sum(x) / count(*) AS m FROM {name}_x GROUP BY i, j), "
+            f"{name} AS (SELECT i, list(m ORDER BY j) AS c FROM {name}_m GROUP BY i "
+            f"UNION ALL SELECT i, c FROM {cent} WHERE i NOT IN (SELECT cluster FROM {asg}))")
+
+
+_C0_FIRST = f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, p AS c FROM p ORDER BY vec_id LIMIT {K})"
+_C0_HASH = (f"c0 AS (SELECT row_number() OVER (ORDER BY {unit_hash_sql('vec_id', seed=1)}, vec_id) - 1 AS i, "
+            f"p AS c FROM p ORDER BY {unit_hash_sql('vec_id', seed=1)}, vec_id LIMIT {K})")
+
+
+@register("kmeans_assign", oracle=f"""
+WITH {_P}, {_C0_FIRST}, {_assign_sql('c0', 'a0')}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM a0
+""")
+def kmeans_assign(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    return kmeans.assign_sql(pts, _first_centers(pts)).select("vec_id", "cluster")
+
+
+@register("kmeans_assign_arrow", oracle=f"""
+WITH {_P}, {_C0_FIRST}, {_assign_sql('c0', 'a0')}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM a0
+""")
+def kmeans_assign_arrow(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    return kmeans.assign_arrow(pts, _first_centers(pts)).select("vec_id", "cluster")
+
+
+@register("kmeans_step", oracle=f"""
+WITH {_P}, {_C0_FIRST}, {_assign_sql('c0', 'a0')}, {_update_sql('c0', 'a0', 'c1')}
+SELECT CAST(i AS INTEGER) AS cluster, CAST(unnest(range(0, len(c))) AS INTEGER) AS dim,
+       round(unnest(c), 6) AS value
+FROM c1
+""")
+def kmeans_step(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    return kmeans.step_frame(pts, _first_centers(pts)).select(
+        "cluster", "dim", F.round("value", 6).alias("value"))
+
+
+@register("kmeans_fit", oracle=f"""
+WITH {_P}, {_C0_HASH},
+{_assign_sql('c0', 'a0')}, {_update_sql('c0', 'a0', 'c1')},
+{_assign_sql('c1', 'a1')}, {_update_sql('c1', 'a1', 'c2')},
+{_assign_sql('c2', 'a2')}, {_update_sql('c2', 'a2', 'c3')},
+{_assign_sql('c3', 'a3')}
+SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS size FROM a3 GROUP BY cluster
+""")
+def kmeans_fit(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    res = kmeans.kmeans(pts, K, converge_dist=0.0, key="vec_id", seed=1, max_iter=3)
+    return kmeans.assign_sql(pts, res.centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
