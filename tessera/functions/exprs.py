@@ -27,9 +27,19 @@ def col(c: str | Column) -> Column:
 # text
 # --------------------------------------------------------------------------
 
-def strip_final_break(text: str | Column) -> Column:
-    """A final line terminator does not open another (empty) line."""
-    return F.regexp_replace(col(text), r"(\r\n|\r|\n)\z", "")
+def ends_with_break(text: str | Column) -> Column:
+    t = col(text)
+    return F.endswith(t, F.lit("\n")) | F.endswith(t, F.lit("\r"))
+
+
+def normalize_breaks(text: str | Column) -> Column:
+    """Every line terminator (\r\n, \r, \n) as a single \n; literal
+    replacements only (no regular expression)."""
+    return F.translate(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+
+
+def _count_char(text: Column, ch: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
 def line_count(text: str | Column) -> Column:
@@ -39,13 +49,12 @@ def line_count(text: str | Column) -> Column:
     terminator that ends the text.
     """
     t = col(text)
-    body = strip_final_break(t)
-    return F.when(t == "", F.lit(0)).otherwise(F.regexp_count(body, F.lit(LINE_BREAK)) + 1)
+    breaks = _count_char(normalize_breaks(t), "\n")
+    return F.when(t == "", F.lit(0)).otherwise(breaks + 1 - ends_with_break(t).cast("int"))
 
 
 def space_count(text: str | Column) -> Column:
-    t = col(text)
-    return F.length(t) - F.length(F.replace(t, F.lit(WORD_SEP), F.lit("")))
+    return _count_char(col(text), WORD_SEP)
 
 
 def split_token_count(text: str | Column) -> Column:
@@ -63,20 +72,28 @@ def space_run_count(text: str | Column) -> Column:
     return F.regexp_count(col(text), F.lit(r"[^ \r\n]+")).cast("long")
 
 
+def _drop_final_empty(arr: Column, text: Column) -> Column:
+    """A final terminator leaves one trailing empty piece: drop it."""
+    return F.when(ends_with_break(text), F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
+
+
 def lines_of(text: str | Column) -> Column:
     """Array of the lines of ``text`` (text-file semantics)."""
     t = col(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(
-        F.split(strip_final_break(t), LINE_BREAK, -1)
-    )
+    parts = F.split(normalize_breaks(t), "\n", -1)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(_drop_final_empty(parts, t))
 
 
 def tokens_of(text: str | Column) -> Column:
-    """All ``split(' ')`` tokens of all lines of ``text``, empty ones kept."""
+    """All ``split(' ')`` tokens of all lines of ``text``, empty ones kept.
+
+    Terminators become spaces, so the split is on one literal character
+    (Java's single-character fast path, no regular expression).
+    """
     t = col(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(
-        F.split(strip_final_break(t), r" |\r\n|\r|\n", -1)
-    )
+    flat = F.translate(normalize_breaks(t), "\n", " ")
+    parts = F.split(flat, WORD_SEP, -1)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(_drop_final_empty(parts, t))
 
 
 # --------------------------------------------------------------------------

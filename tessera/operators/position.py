@@ -36,12 +36,16 @@ def _sort_col(c: str | Column, ascending: bool = True) -> Column:
     return F.asc_nulls_first(c) if ascending else F.desc_nulls_last(c)
 
 
-def _with_offsets(x: DataFrame, index_col: str) -> DataFrame:
+def _offsets(counted: DataFrame) -> DataFrame:
+    """Rows per partition → (partition, rows before it): #partitions rows."""
+    counts = counted.groupBy(F.spark_partition_id().alias(_PID)).agg(F.count(F.lit(1)).alias(_N))
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(_PID, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
+
+
+def _with_offsets(x: DataFrame, offsets: DataFrame, index_col: str) -> DataFrame:
     """``x`` has ``_POS``; add the dense index and drop helpers."""
     pid = F.shiftright(F.col(_POS), 33).cast("int")
-    counts = x.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias(_N))
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
     # one row per partition: broadcast is bounded by the partition count
     joined = x.join(F.broadcast(offsets), pid == F.col(_PID), "inner")
     idx = (F.col(_OFF) + F.col(_POS).bitwiseAND(F.lit(_LOCAL_MASK))).cast("long")
@@ -55,12 +59,11 @@ def zip_with_index(df: DataFrame, index_col: str = "idx") -> DataFrame:
     No shuffle: one extra counting pass over the input, as the RDD version.
     """
     x = df.withColumn(_POS, F.monotonically_increasing_id())
-    return _with_offsets(x, index_col)
+    return _with_offsets(x, _offsets(df), index_col)
 
 
-def sorted_partitions(df: DataFrame, order_by: Sequence[str | Column], ascending: bool = True,
-                      num_partitions: int | None = None) -> DataFrame:
-    """Range-partition by the order (plus input position) and sort inside."""
+def _range_exchange(df: DataFrame, order_by: Sequence[str | Column], ascending: bool,
+                    num_partitions: int | None) -> tuple[DataFrame, list[Column]]:
     order = [_sort_col(c, ascending) for c in order_by]
     x = df.withColumn(_IN, F.monotonically_increasing_id())
     keys = order + [F.col(_IN).asc()]
@@ -68,6 +71,13 @@ def sorted_partitions(df: DataFrame, order_by: Sequence[str | Column], ascending
         x = x.repartitionByRange(int(num_partitions), *keys)
     else:
         x = x.repartitionByRange(*keys)
+    return x, keys
+
+
+def sorted_partitions(df: DataFrame, order_by: Sequence[str | Column], ascending: bool = True,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Range-partition by the order (plus input position) and sort inside."""
+    x, keys = _range_exchange(df, order_by, ascending, num_partitions)
     return x.sortWithinPartitions(*keys)
 
 
@@ -76,10 +86,12 @@ def row_index(df: DataFrame, order_by: Sequence[str | Column], ascending: bool =
     """Dense rank 0..N-1 of every row in the given order (ties: input order).
 
     Equals ``row_number() over (order by ...) - 1`` but runs on all tasks.
+    The counting branch reads the same range exchange (reused, not
+    recomputed) without sorting it.
     """
-    x = sorted_partitions(df, order_by, ascending, num_partitions)
-    x = x.withColumn(_POS, F.monotonically_increasing_id())
-    return _with_offsets(x, index_col)
+    ex, keys = _range_exchange(df, order_by, ascending, num_partitions)
+    x = ex.sortWithinPartitions(*keys).withColumn(_POS, F.monotonically_increasing_id())
+    return _with_offsets(x, _offsets(ex), index_col)
 
 
 def zip_with_unique_id(df: DataFrame, id_col: str = "uid") -> DataFrame:

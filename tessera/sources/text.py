@@ -41,14 +41,18 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return vectors_of(read_lines(spark, path))
 
 
-_PAIR_SCHEMA = "k double, v double"
-
-
 def pairs_of(df: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``"(a, b)"`` → (k double, v double); a malformed line fails the query."""
-    body = F.regexp_replace(col(column), r"[()\s]", "")
-    s = F.from_csv(body, _PAIR_SCHEMA, {"mode": "FAILFAST"})
-    return df.select(*keep, s["k"].alias("k"), s["v"].alias("v"))
+    """``"(a, b)"`` → (k double, v double); a malformed line fails the query.
+
+    Parentheses and blanks are dropped by character translation, the two
+    numbers are the text around the single comma, and the (ANSI) cast to
+    double raises on anything that is not a number.
+    """
+    body = F.translate(col(column), "() \t", "")
+    commas = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit("")))
+    checked = F.when(commas == 1, body).otherwise(F.raise_error(F.concat(F.lit("bad pair: "), col(column))))
+    return df.select(*keep, F.substring_index(checked, ",", 1).cast("double").alias("k"),
+                     F.substring_index(checked, ",", -1).cast("double").alias("v"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +61,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def format_pairs(df: DataFrame, k: str = "k", v: str = "v", out: str = "value") -> DataFrame:
     """(k, v) → ``"(k, v)"`` text lines, the pair file format."""
-    return df.select(F.format_string("(%s, %s)", col(k).cast("string"), col(v).cast("string")).alias(out))
+    return df.select(F.concat(F.lit("("), col(k).cast("string"), F.lit(", "), col(v).cast("string"), F.lit(")")).alias(out))
 
 
 def format_vectors(df: DataFrame, column: str = "p", out: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
