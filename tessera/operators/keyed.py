@@ -152,7 +152,7 @@ def group_by(df: DataFrame, key_expr: Column | str, value: str | Column | None =
 
 def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge_combiners: Callable,
                    k: str = "k", v: str = "v", finish: Callable | None = None,
-                   out_type: str = "string") -> DataFrame:
+                   out_type: str = "string", max_keys_in_memory: int = 100_000) -> DataFrame:
     """(k, result) for arbitrary Python combiner functions.
 
     Step 1 (map side, ``mapInArrow``): each partition folds its rows into one
@@ -160,10 +160,20 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
     Step 2 (``groupBy(k).applyInPandas``): the per-partition combiners of a
     key (at most one per partition, so bounded by the partition count, also
     for a hot key) are merged.
-    Combiners travel pickled in a binary column.
+    Combiners travel pickled in a binary column. The map-side table is
+    flushed whenever it holds ``max_keys_in_memory`` keys, so memory per task
+    stays bounded for any key cardinality (the merge step accepts several
+    partial combiners per key and partition).
     """
     ktype = df.schema[k].dataType.simpleString()
 
+    def emit(acc):
+        items = list(acc.items())
+        return pa.RecordBatch.from_pydict({
+            "k": [i[0] for i in items],
+            "c": [pickle.dumps(i[1]) for i in items],
+        })
+
     def partial(batches):
         acc: dict = {}
         for b in batches:
@@ -173,13 +183,12 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
                 if kk in acc:
                     acc[kk] = merge_value(acc[kk], vv)
                 else:
+                    if len(acc) >= max_keys_in_memory:
+                        yield emit(acc)
+                        acc = {}
                     acc[kk] = create(vv)
         if acc:
-            items = list(acc.items())
-            yield pa.RecordBatch.from_pydict({
-                "k": [i[0] for i in items],
-                "c": [pickle.dumps(i[1]) for i in items],
-            })
+            yield emit(acc)
 
     parts = df.select(F.col(k), F.col(v)).mapInArrow(partial, f"k {ktype}, c binary")
 

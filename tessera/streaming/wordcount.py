@@ -1,0 +1,51 @@
+"""Word count over a stream of text files (Structured Streaming).
+
+The same two totals and per-word table as ``tessera.plans.wordcount``, kept
+incrementally: each micro-batch adds its partial counts to the state store
+(one row per word / one row for the totals), so a growing corpus is never
+re-read. Files are picked up as they land in the source folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessera.functions.exprs import space_run_count, split_token_count, tokens_of
+from tessera.session import shared_dir
+
+
+def text_stream(spark: SparkSession, path: str, fmt: str = "text", text_col: str = "value",
+                schema: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming frame with one ``text`` column from text or parquet files."""
+    r = spark.readStream.format(fmt)
+    if schema:
+        r = r.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return r.load(path).select(F.col(text_col).alias("text"))
+
+
+def stream_totals(texts: DataFrame) -> DataFrame:
+    """Running (split_tokens, space_runs) over everything seen so far."""
+    return texts.agg(F.sum(split_token_count("text")).cast("long").alias("split_tokens"),
+                     F.sum(space_run_count("text")).cast("long").alias("space_runs"))
+
+
+def stream_frequencies(texts: DataFrame) -> DataFrame:
+    """Running (word, n) table."""
+    return texts.select(F.explode(tokens_of("text")).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def start(result: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None,
+          available_now: bool = True, sink: str = "memory") -> StreamingQuery:
+    """Run the streaming query; state and progress live in the shared
+    checkpoint folder so a restarted query resumes where it stopped."""
+    spark = result.sparkSession
+    w = (result.writeStream.outputMode(mode).format(sink).queryName(name)
+         .option("checkpointLocation", checkpoint or shared_dir(spark, f"stream-{name}")))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -1,0 +1,29 @@
+"""Streaming word count equals the batch word count on the same files."""
+
+import os
+
+from tessera.plans import wordcount
+from tessera.session import shared_dir
+from tessera.sources.tables import load
+from tessera.streaming import wordcount as swc
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stream_matches_batch(spark):
+    docs = load(spark, SF, "documents").select("text")
+    src = shared_dir(spark, "stream-src")
+    # the corpus arrives as several files
+    docs.repartition(4).write.parquet(src)
+    assert len([f for f in os.listdir(src.replace("file:", "")) if f.endswith(".parquet")]) >= 1
+    texts = swc.text_stream(spark, src, fmt="parquet", text_col="text", schema="text string", max_files_per_trigger=1)
+    q1 = swc.start(swc.stream_totals(texts), "wc_totals_test")
+    q2 = swc.start(swc.stream_frequencies(texts), "wc_freq_test")
+    q1.awaitTermination()
+    q2.awaitTermination()
+    totals = spark.sql("SELECT * FROM wc_totals_test").collect()[-1]
+    assert totals["split_tokens"] == wordcount.word_count_tokens(docs).first()[0]
+    assert totals["space_runs"] == wordcount.word_count_runs(docs).first()[0]
+    got = sorted(tuple(r) for r in spark.sql("SELECT word, n FROM wc_freq_test").collect())
+    want = sorted(tuple(r) for r in wordcount.word_frequencies(docs).collect())
+    assert got == want
