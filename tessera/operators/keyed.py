@@ -22,14 +22,15 @@ DEFAULT_CHUNK_ROWS = 100_000
 MAX_HOT_KEYS = 1_000_000
 
 
-def _ns_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe join on same-named keys, ``small`` broadcast (caller checked its size)."""
+def _ns_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, bcast: bool = True) -> DataFrame:
+    """Null-safe join on same-named keys; ``small`` is broadcast only when the
+    caller checked its size (``bcast``), otherwise both sides shuffle."""
     s = small.select(*[F.col(k).alias("__h_" + k) for k in keys], *[c for c in small.columns if c not in keys])
     cond = None
     for k in keys:
         c = big[k].eqNullSafe(s["__h_" + k])
         cond = c if cond is None else cond & c
-    j = big.join(F.broadcast(s), cond, how)
+    j = big.join(F.broadcast(s) if bcast else s, cond, how)
     return j.drop(*["__h_" + k for k in keys]) if how not in ("left_anti", "left_semi") else j
 
 
@@ -58,13 +59,14 @@ def chunked_groups(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     if n_hot == 0:
         g = df.groupBy(*keys).agg(*aggs)
         return g.select(*keys, F.lit(0).alias(chunk_col), *[c for c in g.columns if c not in keys])
-    if n_hot > MAX_HOT_KEYS:
-        raise ValueError(f"{n_hot} keys above {chunk_rows} values: raise chunk_rows")
-    cold = _ns_join(df, hot, keys, "left_anti")
-    hot_rows = _ns_join(df, hot, keys, "left_semi")
+    # the hot-key table is broadcast only below a checked size; beyond it the
+    # same joins run as ordinary shuffles (exact either way)
+    small = n_hot <= MAX_HOT_KEYS
+    cold = _ns_join(df, hot, keys, "left_anti", small)
+    hot_rows = _ns_join(df, hot, keys, "left_semi", small)
     ranked = row_index(hot_rows, [*count_keys, *order_cols], index_col="__rank")
     starts = ranked.groupBy(*count_keys).agg(F.min("__rank").alias("__start"))
-    ranked = _ns_join(ranked, starts, count_keys, "inner")
+    ranked = _ns_join(ranked, starts, count_keys, "inner", small)
     chunk = F.floor((F.col("__rank") - F.col("__start")) / F.lit(int(chunk_rows))).cast("int")
     hot_out = ranked.groupBy(*keys, chunk.alias(chunk_col)).agg(*aggs)
     cold_out = cold.groupBy(*keys).agg(*aggs)
