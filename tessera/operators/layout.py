@@ -78,3 +78,15 @@ def repartition(df: DataFrame, n: int) -> DataFrame:
 def coalesce(df: DataFrame, n: int) -> DataFrame:
     """Fewer partitions without a shuffle."""
     return df.coalesce(int(n))
+
+
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a frame over the cluster when it has fewer partitions than
+    there are task slots (a small file read by one task); otherwise return it
+    unchanged. On large inputs — thousands of splits — this is a no-op, so no
+    shuffle is added where the scan is already parallel."""
+    spark = df.sparkSession
+    target = int(min_partitions or spark.sparkContext.defaultParallelism)
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

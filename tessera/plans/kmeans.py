@@ -17,6 +17,7 @@ whose distances are all NaN goes to centre 0.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.exprs import unit_hash
+from tessera.operators.layout import balance
 
 
 def as_points(df: DataFrame, vector_col: str, id_col: str | None = None) -> DataFrame:
@@ -36,9 +38,14 @@ def as_points(df: DataFrame, vector_col: str, id_col: str | None = None) -> Data
 
 
 def centers_literal(centers: list[list[float]]) -> Column:
-    """The k x d centres as one array<array<double>> literal (folded to a
-    single constant by the optimizer)."""
-    return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+    """The k x d centres as one array<array<double>> constant.
+
+    Sent as a single JSON text (Python's float repr and the JVM's double
+    parser round-trip exactly) and folded to a literal by the optimizer, so
+    the plan does not grow by k x d expression nodes.
+    """
+    text = json.dumps([[float(x) for x in c] for c in centers])
+    return F.from_json(F.lit(text), "array<array<double>>")
 
 
 def nearest_center(p: Column, centers: list[list[float]]) -> Column:
@@ -60,9 +67,14 @@ def assign_sql(points: DataFrame, centers: list[list[float]], out: str = "cluste
 
 
 def _cluster_sums_sql(points: DataFrame, centers: list[list[float]], dim: int) -> DataFrame:
+    """(cluster, dim, s, n): per-cluster coordinate sums in long form.
+
+    posexplode + partial aggregation: each task sends at most k x d rows,
+    and the plan has the same size for any dimension.
+    """
     a = assign_sql(points, centers)
-    return a.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col("p").getItem(d)).alias(f"s{d}") for d in range(dim)])
+    e = a.select("cluster", F.posexplode("p").alias("dim", "x"))
+    return e.groupBy("cluster", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
 def _cluster_sums_arrow(points: DataFrame, centers: list[list[float]], dim: int) -> DataFrame:
@@ -86,14 +98,14 @@ def _cluster_sums_arrow(points: DataFrame, centers: list[list[float]], dim: int)
         nz = np.nonzero(n)[0]
         if len(nz):
             yield pa.RecordBatch.from_pydict({
-                "cluster": pa.array(nz.astype(np.int32)),
-                "n": pa.array(n[nz]),
-                "s": pa.array([s[i].tolist() for i in nz], type=pa.list_(pa.float64())),
+                "cluster": pa.array(np.repeat(nz, dim).astype(np.int32)),
+                "dim": pa.array(np.tile(np.arange(dim, dtype=np.int32), len(nz))),
+                "s": pa.array(s[nz].reshape(-1)),
+                "n": pa.array(np.repeat(n[nz], dim)),
             })
 
-    partial = points.select("p").mapInArrow(part, "cluster int, n long, s array<double>")
-    return partial.groupBy("cluster").agg(
-        F.sum("n").alias("n"), *[F.sum(F.col("s").getItem(d)).alias(f"s{d}") for d in range(dim)])
+    partial = points.select("p").mapInArrow(part, "cluster int, dim int, s double, n long")
+    return partial.groupBy("cluster", "dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def assign_arrow(points: DataFrame, centers: list[list[float]], out: str = "cluster") -> DataFrame:
@@ -137,16 +149,18 @@ def kmeans_step(points: DataFrame, centers: list[list[float]], path: str = "sql"
     """One round: new centres (empty cluster keeps its centre), squared move, sizes."""
     dim = len(centers[0])
     sums = (_cluster_sums_sql if path == "sql" else _cluster_sums_arrow)(points, centers, dim)
-    rows = sums.collect()  # at most k rows of d numbers
-    new = [list(c) for c in centers]
+    rows = sums.collect()  # at most k x d rows
+    acc: dict[int, list[float]] = {}
     sizes = [0] * len(centers)
-    move = 0.0
     for r in rows:
-        i, n = r["cluster"], r["n"]
-        c = [r[f"s{d}"] / n for d in range(dim)]
+        c = acc.setdefault(r["cluster"], [0.0] * dim)
+        c[r["dim"]] = r["s"] / r["n"]
+        sizes[r["cluster"]] = r["n"]
+    new = [list(c) for c in centers]
+    move = 0.0
+    for i, c in acc.items():
         move += float(np.sum((np.asarray(centers[i]) - np.asarray(c)) ** 2))
         new[i] = c
-        sizes[i] = n
     return new, move, sizes
 
 
@@ -154,7 +168,7 @@ def kmeans(points: DataFrame, k: int, converge_dist: float, key: str | None = No
            max_iter: int = 100, path: str = "sql", init: list[list[float]] | None = None) -> KMeansResult:
     """Lloyd iterations until the total squared centre move ≤ converge_dist
     (at least one round, at most ``max_iter``)."""
-    pts = points.persist(StorageLevel.MEMORY_AND_DISK)
+    pts = balance(points).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centers = init or initial_centers(pts, k, key or "p", seed)
         if len(centers) < k:
@@ -175,10 +189,9 @@ def step_frame(points: DataFrame, centers: list[list[float]]) -> DataFrame:
     cluster without points keeps its centre. Lazy — no driver round trip."""
     dim = len(centers[0])
     sums = _cluster_sums_sql(points, centers, dim)
-    means = sums.select("cluster", F.posexplode(F.array(*[F.col(f"s{d}") / F.col("n") for d in range(dim)]))
-                        .alias("dim", "value"))
+    means = sums.select("cluster", "dim", (F.col("s") / F.col("n")).alias("value"))
     spark = points.sparkSession
     old = spark.createDataFrame([(i, d, float(x)) for i, c in enumerate(centers) for d, x in enumerate(c)],
                                 "cluster int, dim int, value double")
-    kept = old.join(sums.select("cluster"), "cluster", "left_anti")
+    kept = old.join(sums.select("cluster").distinct(), "cluster", "left_anti")
     return means.unionByName(kept)

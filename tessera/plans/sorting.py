@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tessera.operators.layout import balance
 from tessera.operators.order import ranked
 from tessera.sources.text import format_pairs, pairs_of
 
@@ -19,4 +20,4 @@ def pair_lines(df: DataFrame, k: str, v: str) -> DataFrame:
 
 def sort_pairs(lines: DataFrame, column: str = "value", num_partitions: int | None = None) -> DataFrame:
     """(idx, k, v): pairs parsed from text, globally sorted by key (then value)."""
-    return ranked(pairs_of(lines, column), ["k", "v"], True, "idx", num_partitions)
+    return ranked(pairs_of(balance(lines), column), ["k", "v"], True, "idx", num_partitions)
