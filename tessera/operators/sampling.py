@@ -34,10 +34,52 @@ def sample(df: DataFrame, fraction: float, seed: int = 0, with_replacement: bool
     return df.sample(withReplacement=with_replacement, fraction=fraction, seed=seed)
 
 
-def sample_hash(df: DataFrame, fraction: float, key: Sequence[str | Column], seed: int = 0) -> DataFrame:
-    """Reproducible Bernoulli sample: keep rows with unit_hash(key, seed) < fraction."""
+MAX_POISSON_MEAN = 100.0
+
+
+def poisson_thresholds(mean: float) -> list[float]:
+    """Cumulative Poisson probabilities P(K <= j), j = 0, 1, … until the
+    remaining tail is below 1e-15 (the inverse-CDF table of one draw)."""
+    if mean < 0 or mean > MAX_POISSON_MEAN:
+        raise ValueError(f"mean per row must be in [0, {MAX_POISSON_MEAN}]")
+    p = math.exp(-mean)
+    c, j, out = p, 0, [p]
+    while c < 1.0 - 1e-15 and j < 10_000:
+        j += 1
+        p *= mean / j
+        c += p
+        out.append(c)
+    return out
+
+
+def poisson_draw(u: Column, mean: float) -> Column:
+    """Number of copies K ~ Poisson(mean) from a uniform u (inverse CDF as a
+    CASE chain that stays in codegen)."""
+    t = poisson_thresholds(mean)
+    k = F.lit(len(t))
+    for j in range(len(t) - 1, -1, -1):
+        k = F.when(u < F.lit(t[j]), F.lit(j)).otherwise(k)
+    return k
+
+
+def _with_copies(df: DataFrame, k: Column, copy_col: str) -> DataFrame:
+    x = df.withColumn("__k", k).where(F.col("__k") > 0)
+    return x.withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")
+
+
+def sample_hash(df: DataFrame, fraction: float, key: Sequence[str | Column], seed: int = 0,
+                with_replacement: bool = False, copy_col: str = "copy") -> DataFrame:
+    """Reproducible sample by unit_hash(key, seed).
+
+    Without replacement: keep a row when the uniform is below ``fraction``.
+    With replacement: each row appears K ~ Poisson(fraction) times (column
+    ``copy`` = 1..K), the draw also derived from the uniform.
+    """
     _check_fraction(fraction)
-    return df.where(unit_hash(*key, seed=seed) < F.lit(float(fraction)))
+    u = unit_hash(*key, seed=seed)
+    if with_replacement:
+        return _with_copies(df, poisson_draw(u, float(fraction)), copy_col)
+    return df.where(u < F.lit(float(fraction)))
 
 
 def split_hash(df: DataFrame, weights: Sequence[float], key: Sequence[str | Column], seed: int = 0,
@@ -99,11 +141,13 @@ def take_sample_with_replacement(df: DataFrame, n: int, seed: int = 0, draw_col:
 
 
 def sample_by_key_hash(df: DataFrame, key_col: str, fractions: dict, key: Sequence[str | Column],
-                       seed: int = 0, strict: bool = False) -> DataFrame:
+                       seed: int = 0, strict: bool = False, with_replacement: bool = False,
+                       copy_col: str = "copy") -> DataFrame:
     """Stratified reproducible sample: per-stratum fraction from ``fractions``.
 
     A stratum missing from ``fractions`` keeps no row (``strict`` raises
-    instead, checked by one aggregate over the distinct strata).
+    instead, checked by one aggregate over the distinct strata). With
+    replacement a row of stratum s appears Poisson(fractions[s]) times.
     """
     for f in fractions.values():
         _check_fraction(f)
@@ -111,9 +155,15 @@ def sample_by_key_hash(df: DataFrame, key_col: str, fractions: dict, key: Sequen
         missing = df.select(key_col).distinct().where(~F.col(key_col).isin(list(fractions))).limit(1).collect()
         if missing:
             raise KeyError(missing[0][0])
+    u = unit_hash(*key, seed=seed)
+    if with_replacement:
+        k = F.lit(0)
+        for stratum, f in fractions.items():
+            k = F.when(F.col(key_col) == F.lit(stratum), poisson_draw(u, float(f))).otherwise(k)
+        return _with_copies(df, k, copy_col)
     m = F.create_map(*[x for kv in fractions.items() for x in (F.lit(kv[0]), F.lit(float(kv[1])))])
     frac = F.coalesce(F.element_at(m, F.col(key_col)), F.lit(0.0))
-    return df.where(unit_hash(*key, seed=seed) < frac)
+    return df.where(u < frac)
 
 
 def sample_by_key(df: DataFrame, key_col: str, fractions: dict, seed: int = 0) -> DataFrame:
@@ -141,19 +191,22 @@ def _z(confidence: float) -> float:
 
 
 def approx_stats(df: DataFrame, column: str | Column | None, key: Sequence[str | Column],
-                 fraction: float = 0.1, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+                 fraction: float = 0.1, confidence: float = 0.95, seed: int = 0,
+                 extra_aggs: Sequence[Column] = ()) -> DataFrame:
     """Estimates of count, sum and mean with normal-approximation bounds.
 
     One row: for each of count/sum/mean the estimate (``*_mean``), ``low``,
-    ``high``, plus ``confidence``. Only a ``fraction`` of the rows is read
-    into the aggregate (one pass, partial aggregation).
+    ``high``, plus ``confidence``. The sample is a hash sample of ``fraction``
+    of the rows, aggregated with conditional sums in one pass; ``extra_aggs``
+    (e.g. exact values to compare with) are computed in the same pass.
     """
     z = _z(confidence)
     p = float(fraction)
     x = col(column).cast("double") if column is not None else F.lit(1.0)
-    s = df.where(unit_hash(*key, seed=seed) < F.lit(p)).select(x.alias("x"))
-    a = s.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-              F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
+    inside = unit_hash(*key, seed=seed) < F.lit(p)
+    xs = F.when(inside, x)
+    a = df.agg(F.count(xs).alias("n"), F.sum(xs).alias("sx"), F.sum(xs * xs).alias("sxx"),
+               F.avg(xs).alias("m"), F.stddev_samp(xs).alias("sd"), *extra_aggs)
     n, sx, sxx = F.col("n").cast("double"), F.coalesce(F.col("sx"), F.lit(0.0)), F.coalesce(F.col("sxx"), F.lit(0.0))
     # Horvitz–Thompson estimates under Bernoulli(p) sampling
     cnt = n / F.lit(p)
@@ -162,12 +215,13 @@ def approx_stats(df: DataFrame, column: str | Column | None, key: Sequence[str |
     tot_sd = F.sqrt(sxx * F.lit((1 - p) / (p * p)))
     mean_sd = F.coalesce(F.col("sd") / F.sqrt(n), F.lit(0.0))
     zz = F.lit(z)
+    extra = [c for c in a.columns if c not in ("n", "sx", "sxx", "m", "sd")]
     return a.select(
         F.lit(confidence).alias("confidence"),
         cnt.alias("count_mean"), (cnt - zz * cnt_sd).alias("count_low"), (cnt + zz * cnt_sd).alias("count_high"),
         tot.alias("sum_mean"), (tot - zz * tot_sd).alias("sum_low"), (tot + zz * tot_sd).alias("sum_high"),
         F.col("m").alias("mean_mean"), (F.col("m") - zz * mean_sd).alias("mean_low"),
-        (F.col("m") + zz * mean_sd).alias("mean_high"),
+        (F.col("m") + zz * mean_sd).alias("mean_high"), *extra,
     )
 
 
@@ -178,8 +232,13 @@ def approx_count_distinct(df: DataFrame, column: str | Column, relative_sd: floa
                           out: str = "count_distinct") -> DataFrame:
     """HyperLogLog++ estimate; below 1% relative error the exact count is used
     (very small rsd needs more memory than exact counting)."""
+    return df.agg(approx_count_distinct_col(column, relative_sd).alias(out))
+
+
+def approx_count_distinct_col(column: str | Column, relative_sd: float = 0.05) -> Column:
+    """The aggregate expression behind ``approx_count_distinct``."""
     if relative_sd > MAX_RSD:
         raise ValueError(f"relative_sd must be <= {MAX_RSD}")
     if relative_sd < MIN_RSD:
-        return df.agg(F.count_distinct(col(column)).alias(out))
-    return df.agg(F.approx_count_distinct(col(column), rsd=relative_sd).alias(out))
+        return F.count_distinct(col(column))
+    return F.approx_count_distinct(col(column), rsd=relative_sd)

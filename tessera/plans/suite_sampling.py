@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import sampling
+from tessera.operators.sampling import poisson_thresholds
 from tessera.plans.oracle_sql import unit_hash_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load
@@ -21,12 +22,11 @@ def sample_hash(spark, sf_dir):
 @register("sample_bernoulli", oracle="SELECT true AS count_in_bounds")
 def sample_bernoulli(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id")
-    n = F.count(F.lit(1))
-    s = sampling.sample(e, 0.1, seed=81).agg(n.alias("s"))
-    t = e.agg(n.alias("t"))
+    both = sampling.sample(e, 0.1, seed=81).select(F.lit(1).alias("s")).unionByName(e.select(F.lit(0).alias("s")))
+    c = both.agg(F.sum("s").alias("s"), F.sum(1 - F.col("s")).alias("t"))
     # 6 standard deviations of a Bernoulli(0.1) count
-    return s.crossJoin(t).select(
-        (F.abs(F.col("s") - F.col("t") * 0.1) <= 6 * F.sqrt(F.col("t") * 0.09) + 1).alias("count_in_bounds"))
+    return c.select((F.abs(F.col("s") - F.col("t") * 0.1) <= 6 * F.sqrt(F.col("t") * 0.09) + 1)
+                    .alias("count_in_bounds"))
 
 
 @register("split_hash", oracle=f"""
@@ -72,11 +72,10 @@ def sample_by_key_hash(spark, sf_dir):
 
 def _estimate_check(spark, sf_dir, which: str):
     li = load(spark, sf_dir, "lineitem")
-    est = sampling.approx_stats(li, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"],
-                                fraction=0.2, confidence=0.99, seed=5)
-    exact = li.agg(F.count(F.lit(1)).cast("double").alias("count"), F.sum("l_quantity").alias("sum"),
-                   F.avg("l_quantity").alias("mean"))
-    j = est.crossJoin(exact)
+    exact = [F.count(F.lit(1)).cast("double").alias("count"), F.sum("l_quantity").alias("sum"),
+             F.avg("l_quantity").alias("mean")]
+    j = sampling.approx_stats(li, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"],
+                              fraction=0.2, confidence=0.99, seed=5, extra_aggs=exact)
     return j.select("confidence", ((F.col(f"{which}_low") <= F.col(which))
                                    & (F.col(which) <= F.col(f"{which}_high"))).alias("exact_within_bounds"))
 
@@ -99,7 +98,37 @@ def approx_mean(spark, sf_dir):
 @register("approx_count_distinct", oracle="SELECT true AS within_3_rsd")
 def approx_count_distinct(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
-    est = sampling.approx_count_distinct(o, "o_custkey", 0.05, out="est")
-    exact = o.agg(F.count_distinct("o_custkey").alias("exact"))
-    return est.crossJoin(exact).select(
+    both = o.agg(sampling.approx_count_distinct_col("o_custkey", 0.05).alias("est"),
+                 F.count_distinct("o_custkey").alias("exact"))
+    return both.select(
         (F.abs(F.col("est") - F.col("exact")) <= 3 * 0.05 * F.col("exact")).alias("within_3_rsd"))
+
+
+def _poisson_sql(u: str, mean: float) -> str:
+    t = poisson_thresholds(mean)
+    whens = " ".join(f"WHEN {u} < {x!r} THEN {j}" for j, x in enumerate(t))
+    return f"CASE {whens} ELSE {len(t)} END"
+
+
+@register("sample_hash_repl", oracle=f"""
+WITH k AS (SELECT event_id, {_poisson_sql(unit_hash_sql('event_id', seed=13), 0.5)} AS k FROM events)
+SELECT event_id, CAST(unnest(generate_series(1, k)) AS INTEGER) AS copy FROM k WHERE k > 0
+""")
+def sample_hash_repl(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id")
+    return sampling.sample_hash(e, 0.5, ["event_id"], seed=13, with_replacement=True)
+
+
+@register("sample_by_key_hash_repl", oracle=f"""
+WITH k AS (
+  SELECT event_id, event_type,
+         CASE WHEN event_type = 'view' THEN {_poisson_sql(unit_hash_sql('event_id', seed=19), 0.5)}
+              WHEN event_type = 'click' THEN {_poisson_sql(unit_hash_sql('event_id', seed=19), 1.5)}
+              ELSE 0 END AS k
+  FROM events)
+SELECT event_id, event_type, CAST(unnest(generate_series(1, k)) AS INTEGER) AS copy FROM k WHERE k > 0
+""")
+def sample_by_key_hash_repl(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "event_type")
+    return sampling.sample_by_key_hash(e, "event_type", {"click": 1.5, "view": 0.5}, ["event_id"], seed=19,
+                                       with_replacement=True)
