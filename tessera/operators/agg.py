@@ -26,8 +26,17 @@ _OPS = {
 }
 
 
-def reduce(df: DataFrame, column: str | Column, op: str = "sum", out: str = "value") -> DataFrame:
-    """One row: ``op`` over the column. Empty input gives NULL (sum: 0)."""
+def _require_rows(df: DataFrame) -> None:
+    if df.limit(1).count() == 0:
+        raise ValueError("can not reduce() empty data")
+
+
+def reduce(df: DataFrame, column: str | Column, op: str = "sum", out: str = "value",
+           strict: bool = False) -> DataFrame:
+    """One row: ``op`` over the column. Empty input gives NULL (sum: 0);
+    ``strict`` raises instead, as the RDD reduce does (reads one row)."""
+    if strict:
+        _require_rows(df)
     agg = _OPS[op](col(column))
     if op == "sum":
         agg = F.coalesce(agg, F.lit(0))
@@ -69,11 +78,15 @@ def tree_aggregate_sum_count(df: DataFrame, column: str | Column, fan_in: int |
                     F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("count"))
 
 
-def max_value(df: DataFrame, column: str | Column, out: str = "max") -> DataFrame:
+def max_value(df: DataFrame, column: str | Column, out: str = "max", strict: bool = False) -> DataFrame:
+    if strict:
+        _require_rows(df)
     return df.agg(F.max(col(column)).alias(out))
 
 
-def min_value(df: DataFrame, column: str | Column, out: str = "min") -> DataFrame:
+def min_value(df: DataFrame, column: str | Column, out: str = "min", strict: bool = False) -> DataFrame:
+    if strict:
+        _require_rows(df)
     return df.agg(F.min(col(column)).alias(out))
 
 

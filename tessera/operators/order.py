@@ -66,8 +66,12 @@ def take(df: DataFrame, n: int) -> DataFrame:
     return df.limit(int(n))
 
 
-def first(df: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
-    return (df.orderBy(*_order(order, True)) if order else df).limit(1)
+def first(df: DataFrame, order: Sequence[str | Column] | None = None, strict: bool = False) -> DataFrame:
+    """First row (in ``order`` if given); ``strict`` raises on empty input."""
+    out = (df.orderBy(*_order(order, True)) if order else df).limit(1)
+    if strict and out.count() == 0:
+        raise ValueError("RDD is empty")
+    return out
 
 
 def is_empty(df: DataFrame, out: str = "is_empty") -> DataFrame:

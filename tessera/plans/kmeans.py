@@ -77,11 +77,25 @@ def _cluster_sums_sql(points: DataFrame, centers: list[list[float]], dim: int) -
     return e.groupBy("cluster", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
-def _cluster_sums_arrow(points: DataFrame, centers: list[list[float]], dim: int) -> DataFrame:
-    C = np.asarray(centers, dtype=np.float64)
-    k = C.shape[0]
+BROADCAST_CENTERS_ABOVE = 50_000  # numbers; smaller tables ride in the task closure
+
+
+def _centers_handle(points: DataFrame, C: np.ndarray):
+    """Small centre tables travel in the closure; large ones as one broadcast
+    variable per round (k x d numbers, a parameter-sized bound)."""
+    if C.size > BROADCAST_CENTERS_ABOVE:
+        b = points.sparkSession.sparkContext.broadcast(C)
+        return (lambda: b.value), b
+    return (lambda: C), None
+
+
+def _cluster_sums_arrow(points: DataFrame, centers: list[list[float]], dim: int, handle=None) -> DataFrame:
+    C0 = np.asarray(centers, dtype=np.float64)
+    k = C0.shape[0]
+    get = handle or (lambda: C0)
 
     def part(batches):
+        C = get()
         n = np.zeros(k, dtype=np.int64)
         s = np.zeros((k, dim), dtype=np.float64)
         for b in batches:
@@ -148,8 +162,19 @@ def initial_centers(points: DataFrame, k: int, key: str, seed: int = 1) -> list[
 def kmeans_step(points: DataFrame, centers: list[list[float]], path: str = "sql"):
     """One round: new centres (empty cluster keeps its centre), squared move, sizes."""
     dim = len(centers[0])
-    sums = (_cluster_sums_sql if path == "sql" else _cluster_sums_arrow)(points, centers, dim)
-    rows = sums.collect()  # at most k x d rows
+    if path == "auto":
+        path = "arrow" if len(centers) * dim > 10_000 else "sql"
+    bvar = None
+    if path == "sql":
+        sums = _cluster_sums_sql(points, centers, dim)
+    else:
+        get, bvar = _centers_handle(points, np.asarray(centers, dtype=np.float64))
+        sums = _cluster_sums_arrow(points, centers, dim, get)
+    try:
+        rows = sums.collect()  # at most k x d rows
+    finally:
+        if bvar is not None:
+            bvar.destroy()
     acc: dict[int, list[float]] = {}
     sizes = [0] * len(centers)
     for r in rows:

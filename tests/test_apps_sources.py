@@ -113,3 +113,13 @@ def test_foreach_accumulates(spark):
     acc = spark.sparkContext.accumulator(0)
     sinks.for_each(spark.range(100), lambda r: acc.add(1))
     assert acc.value == 100
+
+
+def test_arrow_path_with_broadcast_centres(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "BROADCAST_CENTERS_ABOVE", 1)
+    p = kmeans.as_points(load(spark, SF, "embeddings"), "embedding", "vec_id")
+    a = kmeans.kmeans(p, 4, 0.0, key="vec_id", max_iter=2, path="arrow")
+    b = kmeans.kmeans(p, 4, 0.0, key="vec_id", max_iter=2, path="sql")
+    assert a.sizes == b.sizes
+    c = kmeans.kmeans(p, 4, 0.0, key="vec_id", max_iter=2, path="auto")
+    assert c.sizes == b.sizes

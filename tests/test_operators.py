@@ -411,3 +411,27 @@ def test_combine_by_key_bounded_map_side(spark):
     c = keyed.combine_by_key(df, lambda v: v, lambda a, v: a + v, lambda a, b: a + b, out_type="long",
                              max_keys_in_memory=7)
     assert sorted(tuple(r) for r in c.collect()) == [(i, 20) for i in range(50)]
+
+
+def test_strict_empty(spark):
+    from tessera.operators import agg as A
+    empty = spark.createDataFrame([], "x long")
+    with pytest.raises(ValueError):
+        A.reduce(empty, "x", "sum", strict=True)
+    with pytest.raises(ValueError):
+        A.max_value(empty, "x", strict=True)
+    with pytest.raises(ValueError):
+        order.first(empty, strict=True)
+    assert order.first(ints(spark, [2, 3, 4]), ["x"], strict=True).first()[0] == 2
+
+
+def test_poisson_sampling(spark):
+    d = ints(spark, list(range(2000)), 4)
+    s = sampling.sample_hash(d, 1.5, ["x"], seed=2, with_replacement=True)
+    n = s.count()
+    assert abs(n - 3000) < 6 * (3000 ** 0.5)
+    per = [r[1] for r in s.groupBy("x").count().collect()]
+    assert max(per) >= 3
+    again = sampling.sample_hash(d.repartition(3), 1.5, ["x"], seed=2, with_replacement=True)
+    assert R(s) == R(again)
+    assert sampling.poisson_thresholds(0.0) == [1.0]
