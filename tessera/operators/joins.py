@@ -24,20 +24,25 @@ def _as_list(x) -> list[str]:
 
 
 def join(a: DataFrame, b: DataFrame, on: str | Sequence[str], how: str = "inner",
-         right_on: str | Sequence[str] | None = None) -> DataFrame:
+         right_on: str | Sequence[str] | None = None, null_safe: bool | None = None) -> DataFrame:
     """Null-safe equi-join; the key appears once (from whichever side has it).
 
     how: inner | left | right | full | left_anti | left_semi.
     Non-key columns of ``b`` that clash with ``a`` get a ``_2`` suffix.
+    ``null_safe`` (default: unless every key column is declared non-null)
+    makes NULL match NULL; plain equality lets frames that are already
+    hash-partitioned on the key join without another shuffle.
     """
     lk = _as_list(on)
     rk = _as_list(right_on) if right_on is not None else lk
+    if null_safe is None:
+        null_safe = any(a.schema[x].nullable for x in lk) or any(b.schema[y].nullable for y in rk)
     b_other = [c for c in b.columns if c not in rk]
     rb = b.select(*[F.col(c).alias(_R + c) for c in rk],
                   *[F.col(c).alias(c + "_2" if c in a.columns else c) for c in b_other])
     cond = None
     for x, y in zip(lk, rk):
-        c = a[x].eqNullSafe(rb[_R + y])
+        c = a[x].eqNullSafe(rb[_R + y]) if null_safe else (a[x] == rb[_R + y])
         cond = c if cond is None else cond & c
     j = a.join(rb, cond, how)
     if how in ("left_anti", "left_semi", "anti", "semi"):

@@ -3,8 +3,8 @@ numeric expression map, external-command pipe, key lookup.
 
 A "pair frame" is any frame with a key column ``k`` and a value column ``v``
 (names are parameters). Functions are SQL expressions / Columns first; a
-Python function is accepted only through the Arrow paths in
-``tessera.operators.layout``.
+Python function is accepted only through Arrow-batched paths
+(``map_with``, ``flat_map_with``, and ``tessera.operators.layout``).
 """
 
 from __future__ import annotations
@@ -85,6 +85,38 @@ def vector_map(df: DataFrame, column: str, sql_expr: str, var: str = "x", out: s
     return df.select(F.col(column).alias(var)).select(F.expr(sql_expr).alias(out))
 
 
+def map_with(df: DataFrame, fn, out_type: str, *columns: str, out: str = "value",
+             keep: Sequence[str] = ()) -> DataFrame:
+    """One output per row from a Python function of pandas Series (Arrow
+    batches, ``pandas_udf``) — only for functions SQL cannot express."""
+    from pyspark.sql.functions import pandas_udf
+
+    udf = pandas_udf(fn, out_type)
+    return df.select(*[F.col(c) for c in keep], udf(*[F.col(c) for c in columns]).alias(out))
+
+
+def flat_map_with(df: DataFrame, fn, schema: str) -> DataFrame:
+    """0..n output rows per input row from a Python generator ``fn(row_dict)``
+    over Arrow batches (``mapInArrow``); output batches follow ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
+    names = arrow_schema.names
+
+    def run(batches):
+        for b in batches:
+            out = {n: [] for n in names}
+            for row in b.to_pylist():
+                for o in fn(row):
+                    for n, x in zip(names, o):
+                        out[n].append(x)
+            if out[names[0]]:
+                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+
+    return df.mapInArrow(run, schema)
+
+
 def lookup(df: DataFrame, key, k: str = "k", v: str = "v") -> DataFrame:
     """Values of one key (NULL matches NULL); pruned at the scan when possible."""
     return df.where(F.col(k).eqNullSafe(F.lit(key))).select(v)

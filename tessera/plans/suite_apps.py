@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators.layout import balance
 from tessera.plans import kmeans, sorting, wordcount
 from tessera.plans.oracle_sql import DOC_LINES, unit_hash_sql
 from tessera.plans.registry import register
@@ -44,7 +45,8 @@ SELECT row_number() OVER (ORDER BY l_extendedprice, l_quantity) - 1 AS idx,
 FROM lineitem
 """)
 def sort_pairs_app(spark, sf_dir):
-    return sorting.sort_pairs(sorting.pair_lines(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity"))
+    li = balance(load(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity"))
+    return sorting.sort_pairs(sorting.pair_lines(li, "l_extendedprice", "l_quantity"))
 
 
 # ---------------------------------------------------------------- k-means

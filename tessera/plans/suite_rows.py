@@ -93,3 +93,26 @@ def row_pipe(spark, sf_dir):
 def row_lookup(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     return rows.lookup(rows.project_keys(o, "o_custkey", "o_orderkey"), 10)
+
+
+def _upper(s):
+    return s.str.upper()
+
+
+@register("row_map_udf", oracle="SELECT p_partkey, upper(p_name) AS value FROM part")
+def row_map_udf(spark, sf_dir):
+    # vectorised Python path (pandas_udf over Arrow batches)
+    return rows.map_with(load(spark, sf_dir, "part"), _upper, "string", "p_name", keep=["p_partkey"])
+
+
+def _name_parts(row):
+    for piece in row["c_name"].split("#"):
+        yield row["c_custkey"], piece
+
+
+@register("row_flat_map_udf", oracle="""
+SELECT c_custkey AS k, unnest(string_split(c_name, '#')) AS v FROM customer
+""")
+def row_flat_map_udf(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return rows.flat_map_with(c, _name_parts, "k long, v string")

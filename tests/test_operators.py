@@ -435,3 +435,21 @@ def test_poisson_sampling(spark):
     again = sampling.sample_hash(d.repartition(3), 1.5, ["x"], seed=2, with_replacement=True)
     assert R(s) == R(again)
     assert sampling.poisson_thresholds(0.0) == [1.0]
+
+
+def test_python_map_paths(spark):
+    d = spark.createDataFrame([("ab",), ("c",)], "s string")
+    assert sorted(r[0] for r in rows.map_with(d, lambda s: s.str.len(), "long", "s").collect()) == [1, 2]
+    fm = rows.flat_map_with(d, lambda r: [(c,) for c in r["s"]], "ch string")
+    assert sorted(r[0] for r in fm.collect()) == ["a", "b", "c"]
+
+
+def test_copartitioned_join_needs_no_extra_shuffle(spark):
+    a = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    b = spark.range(0, 1000, 3).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    pa_, pb = layout.partition_by(a, 8, "k"), layout.partition_by(b, 8, "k")
+    j = joins.join(pa_, pb, "k", null_safe=False)
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert j.count() == 334
+    assert joins.join(pa_, pb, "k").count() == 334  # non-nullable keys: plain equality chosen
