@@ -13,7 +13,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,9 +158,10 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
 
     Step 1 (map side, ``mapInArrow``): each partition folds its rows into one
     combiner per key — the map-side combine a built-in aggregate would do.
-    Step 2 (``groupBy(k).applyInPandas``): the per-partition combiners of a
-    key (at most one per partition, so bounded by the partition count, also
-    for a hot key) are merged.
+    Step 2: the partial combiners are hash-partitioned on the key and sorted
+    inside partitions; one ``mapInArrow`` pass per partition merges each run
+    of equal keys (a key has at most a few partials per input partition, so
+    a hot key's run is bounded too) — no per-key Python call.
     Combiners travel pickled in a binary column. The map-side table is
     flushed whenever it holds ``max_keys_in_memory`` keys, so memory per task
     stays bounded for any key cardinality (the merge step accepts several
@@ -194,12 +194,37 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
 
     parts = df.select(F.col(k), F.col(v)).mapInArrow(partial, f"k {ktype}, c binary")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        it = iter(pdf["c"])
-        acc = pickle.loads(next(it))
-        for c in it:
-            acc = merge_combiners(acc, pickle.loads(c))
-        res = finish(acc) if finish else acc
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "v": [res]})
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    return parts.groupBy("k").applyInPandas(merge, f"k {ktype}, v {out_type}").withColumnRenamed("k", k)
+    out_schema = to_arrow_schema(_parse_datatype_string(f"k {ktype}, v {out_type}"))
+
+    def merge_runs(batches):
+        # rows arrive sorted by key: the combiners of one key are one run
+        keys_out, vals_out = [], []
+        cur, acc, have = None, None, False
+
+        def close():
+            keys_out.append(cur)
+            vals_out.append(finish(acc) if finish else acc)
+
+        for b in batches:
+            for kk, blob in zip(b.column("k").to_pylist(), b.column("c").to_pylist()):
+                c = pickle.loads(blob)
+                if have and kk == cur:
+                    acc = merge_combiners(acc, c)
+                    continue
+                if have:
+                    close()
+                cur, acc, have = kk, c, True
+            if len(keys_out) >= 8192:
+                yield pa.RecordBatch.from_pydict({"k": keys_out, "v": vals_out}, schema=out_schema)
+                keys_out, vals_out = [], []
+        if have:
+            close()
+        if keys_out:
+            yield pa.RecordBatch.from_pydict({"k": keys_out, "v": vals_out}, schema=out_schema)
+
+    # one shuffle on the key, then one Python pass per partition over sorted runs
+    merged = parts.repartition("k").sortWithinPartitions("k").mapInArrow(merge_runs, f"k {ktype}, v {out_type}")
+    return merged.withColumnRenamed("k", k)
