@@ -90,3 +90,38 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+MAX_RANGE_PARTITIONS = 200_000
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+          "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    t = text.strip().lower()
+    digits = "".join(ch for ch in t if ch.isdigit())
+    unit = t[len(digits):].strip() or "b"
+    return int(digits) * _UNITS.get(unit, 1)
+
+
+def target_partitions(df: DataFrame) -> int:
+    """Partition count for a shuffle of ``df`` whose count AQE will not
+    change (range partitioning with an explicit number).
+
+    The optimizer's size estimate divided by the advisory partition size
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), never below
+    ``spark.sql.shuffle.partitions``: a 100 TB sort gets enough partitions
+    for each task to sort ~one advisory unit, a small frame keeps the
+    configured count.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        unit = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+        unknown = int(str(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1))).rstrip("bB"))
+    except Exception:  # noqa: BLE001 — no estimate: keep the configured count
+        return base
+    if est >= unknown or est >= (1 << 62):  # the optimizer has no real estimate
+        return base
+    return int(max(base, min(MAX_RANGE_PARTITIONS, -(-est // max(unit, 1)))))

@@ -453,3 +453,18 @@ def test_copartitioned_join_needs_no_extra_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") <= 2
     assert j.count() == 334
     assert joins.join(pa_, pb, "k").count() == 334  # non-nullable keys: plain equality chosen
+
+
+def test_target_partitions_grows_with_the_estimate(spark, monkeypatch):
+    assert layout.target_partitions(ints(spark, [1, 2])) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = spark.range(1000).withColumnRenamed("id", "x")
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert layout.target_partitions(d) == base
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100b")
+    try:
+        assert layout.target_partitions(d) > base
+        s = order.sort_by_key(d, "x")
+        assert layout.num_partitions(s) == layout.target_partitions(d)
+        assert [r[0] for r in s.collect()] == list(range(1000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")

@@ -65,3 +65,26 @@ def test_word_count_totals_have_no_python_and_no_regex_for_tokens(spark, q):
 def test_hash_sample_is_a_filter(spark, q):
     p = executed_plan(q["sample_hash"](spark, SF))
     assert "Exchange" not in p and "md5" in p
+
+
+def test_dense_index_reuses_exchange_with_non_key_columns(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    r = position.row_index(df, ["o_orderkey"], num_partitions=8)
+    p = executed_plan(r)
+    final = p.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    got = {row["o_orderkey"]: row["idx"] for row in r.collect()}
+    keys = sorted(got)
+    assert [got[k] for k in keys] == list(range(len(keys)))
+
+
+def test_dense_index_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey")
+        r = position.row_index(df, ["o_orderkey"], num_partitions=8)
+        got = {row["o_orderkey"]: row["idx"] for row in r.collect()}
+        keys = sorted(got)
+        assert [got[k] for k in keys] == list(range(len(keys)))
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
