@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tessera.operators.layout import balance  # noqa: E402
+from tessera.operators.position import release_cached  # noqa: E402
 from tessera.plans import kmeans  # noqa: E402
 from tessera.plans.registry import queries  # noqa: E402
 from tessera.session import build_session  # noqa: E402
@@ -60,7 +61,9 @@ def run_once(fn, spark, sf_dir) -> float:
     df = fn(spark, sf_dir)
     if df is not None:
         df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - t0
+    dt = time.perf_counter() - t0
+    release_cached()  # persisted range layouts of dense indexes
+    return dt
 
 
 def main():

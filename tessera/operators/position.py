@@ -9,16 +9,11 @@ A dense 0..N-1 index is computed without a one-task window:
 4. the offsets are broadcast (their size is the partition count, a proven
    bound) and added to the in-partition position.
 
-Both branches must see one partition layout. For the range-partitioned
-index they read the same exchange: the counting aggregate touches every
-column so pruning leaves the two exchanges identical and Spark reuses the
-shuffle (a test asserts the ``ReusedExchange``). With exchange reuse turned
-off the range-partitioned frame is persisted instead.
-
-For a sorted index the frame is first range-partitioned and sorted inside
-partitions; the input position is appended to the sort key so that rows with
-equal keys can still be split across partitions (no hot partition for a hot
-key) and the order is total (re-executed tasks give the same ids).
+Both branches must see one partition layout. Spark seeds its range sampler
+per RDD, so two separate range shuffles of the same rows can draw different
+bounds; the range-partitioned frame is therefore persisted once and both
+branches scan it (``release_cached`` frees it). An input-order index needs
+no shuffle: both branches scan the same files, which split the same way.
 """
 
 from __future__ import annotations
@@ -29,7 +24,6 @@ from pyspark import StorageLevel
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 _LOCAL_MASK = (1 << 33) - 1
 _IN = "__tessera_in"
@@ -37,7 +31,9 @@ _POS = "__tessera_pos"
 _PID = "__tessera_pid"
 _N = "__tessera_n"
 _OFF = "__tessera_off"
-_PIN = "__tessera_pin"
+
+# range-partitioned frames persisted by row_index (see release_cached)
+_CACHED: list[DataFrame] = []
 
 
 def _sort_col(c: str | Column, ascending: bool = True) -> Column:
@@ -46,36 +42,18 @@ def _sort_col(c: str | Column, ascending: bool = True) -> Column:
     return F.asc_nulls_first(c) if ascending else F.desc_nulls_last(c)
 
 
-def _pin_columns(df: DataFrame) -> Column:
-    """An aggregate that reads every column of ``df``.
-
-    The counting branch must read the *same* exchange as the row branch
-    (Spark then reuses it). Without this, column pruning would give the
-    counting branch a narrower exchange — a second range shuffle whose
-    sampled bounds can differ (the sampler is seeded per RDD).
-    """
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        cols.append(F.size(c) if isinstance(f.dataType, MapType) else c)
-    return F.max(F.xxhash64(*cols)).alias(_PIN)
-
-
 def _offsets(counted: DataFrame) -> DataFrame:
     """Rows per partition → (partition, rows before it): #partitions rows."""
-    counts = counted.groupBy(F.spark_partition_id().alias(_PID)).agg(
-        F.count(F.lit(1)).alias(_N), _pin_columns(counted))
+    counts = counted.groupBy(F.spark_partition_id().alias(_PID)).agg(F.count(F.lit(1)).alias(_N))
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(_PID, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF), _PIN)
+    return counts.select(_PID, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
 
 
 def _with_offsets(x: DataFrame, offsets: DataFrame, index_col: str) -> DataFrame:
     """``x`` has ``_POS``; add the dense index and drop helpers."""
     pid = F.shiftright(F.col(_POS), 33).cast("int")
     # one row per partition: broadcast is bounded by the partition count
-    # the pin is non-NULL for every partition that has rows; using it in the
-    # condition keeps the optimizer from pruning it (and the columns it reads)
-    joined = x.join(F.broadcast(offsets), (pid == F.col(_PID)) & F.col(_PIN).isNotNull(), "inner")
+    joined = x.join(F.broadcast(offsets), pid == F.col(_PID), "inner")
     idx = (F.col(_OFF) + F.col(_POS).bitwiseAND(F.lit(_LOCAL_MASK))).cast("long")
     keep = [c for c in x.columns if c not in (_POS, _IN)]
     return joined.select(idx.alias(index_col), *[x[c] for c in keep])
@@ -119,15 +97,25 @@ def row_index(df: DataFrame, order_by: Sequence[str | Column], ascending: bool =
     recomputed) without sorting it.
     """
     ex, keys = _range_exchange(df, order_by, ascending, num_partitions)
-    spark = df.sparkSession
-    if str(spark.conf.get("spark.sql.exchange.reuse", "true")).lower() != "true":
-        # no exchange reuse: fix one layout for both branches by persisting it
-        # (a lost block is recomputed from the same shuffle and partitioner)
-        ex = ex.persist(StorageLevel.MEMORY_AND_DISK)
+    # one layout for both branches: the range-partitioned rows are persisted,
+    # so counting and numbering scan the same blocks whatever columns a
+    # caller keeps (a lost block is recomputed from the same shuffle and the
+    # same sampled bounds)
+    ex = ex.persist(StorageLevel.MEMORY_AND_DISK)
+    _CACHED.append(ex)
     x = ex.sortWithinPartitions(*keys).withColumn(_POS, F.monotonically_increasing_id())
     return _with_offsets(x, _offsets(ex), index_col)
 
 
+def release_cached() -> int:
+    """Unpersist the range-partitioned frames kept by ``row_index``; call when
+    the indexed results are no longer needed. Returns how many were freed."""
+    n = len(_CACHED)
+    while _CACHED:
+        _CACHED.pop().unpersist()
+    return n
+
+
 def zip_with_unique_id(df: DataFrame, id_col: str = "uid") -> DataFrame:
     """Unique id ``position * n + partition`` without any job (n = partitions)."""
     n = df.rdd.getNumPartitions()
