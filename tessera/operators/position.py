@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +58,18 @@ def _with_offsets(x: DataFrame, offsets: DataFrame, index_col: str) -> DataFrame
     return joined.select(idx.alias(index_col), *[x[c] for c in keep])
 
 
-def zip_with_index(df: DataFrame, index_col: str = "idx") -> DataFrame:
+def zip_with_index(df: DataFrame, index_col: str = "idx", stable_input: bool = True) -> DataFrame:
     """0-based dense index in partition order (the input's own order).
 
     No shuffle: one extra counting pass over the input, as the RDD version.
+    Both passes must see the same partitions — true for a file scan and for
+    narrow operations on it. For an input that itself ends in a shuffle,
+    pass ``stable_input=False``: the input is persisted once and both passes
+    scan that (``release_cached`` frees it).
     """
+    if not stable_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHED.append(df)
     x = df.withColumn(_POS, F.monotonically_increasing_id())
     return _with_offsets(x, _offsets(df), index_col)
 
@@ -75,8 +81,7 @@ def _range_exchange(df: DataFrame, order_by: Sequence[str | Column], ascending:
     order = [_sort_col(c, ascending) for c in order_by]
     x = df.withColumn(_IN, F.monotonically_increasing_id())
     keys = order + [F.col(_IN).asc()]
-    # an explicit count (sized from the data estimate) — AQE never merges or
-    # re-splits it, so every branch reading this exchange sees one layout
+    # an explicit count sized from the data estimate (AQE keeps it as is)
     n = int(num_partitions) if num_partitions else target_partitions(df)
     return x.repartitionByRange(n, *keys), keys
 

@@ -468,3 +468,11 @@ def test_target_partitions_grows_with_the_estimate(spark, monkeypatch):
         assert [r[0] for r in s.collect()] == list(range(1000))
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+
+
+def test_zip_with_index_after_a_shuffle(spark):
+    d = spark.range(5000).repartitionByRange(7, "id").select(F.col("id").alias("x"))
+    z = position.zip_with_index(d, stable_input=False)
+    got = sorted(r["idx"] for r in z.select("idx").collect())
+    assert got == list(range(5000))
+    position.release_cached()
