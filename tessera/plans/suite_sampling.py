@@ -80,17 +80,17 @@ def _estimate_check(spark, sf_dir, which: str):
                                    & (F.col(which) <= F.col(f"{which}_high"))).alias("exact_within_bounds"))
 
 
-@register("approx_count", oracle="SELECT 0.99 AS confidence, true AS exact_within_bounds")
+@register("approx_count", oracle="SELECT CAST(0.99 AS DOUBLE) AS confidence, true AS exact_within_bounds")
 def approx_count(spark, sf_dir):
     return _estimate_check(spark, sf_dir, "count")
 
 
-@register("approx_sum", oracle="SELECT 0.99 AS confidence, true AS exact_within_bounds")
+@register("approx_sum", oracle="SELECT CAST(0.99 AS DOUBLE) AS confidence, true AS exact_within_bounds")
 def approx_sum(spark, sf_dir):
     return _estimate_check(spark, sf_dir, "sum")
 
 
-@register("approx_mean", oracle="SELECT 0.99 AS confidence, true AS exact_within_bounds")
+@register("approx_mean", oracle="SELECT CAST(0.99 AS DOUBLE) AS confidence, true AS exact_within_bounds")
 def approx_mean(spark, sf_dir):
     return _estimate_check(spark, sf_dir, "mean")
 
