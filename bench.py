@@ -69,7 +69,12 @@ def run_once(fn, spark, sf_dir) -> float:
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     reps = int(os.environ.get("BENCH_REPS", "5"))
-    spark = build_session(app_name="tessera-bench")
+    extra = {}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if log_dir:  # stage/task times without any UI: read with tools/stage_times.py
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                 "spark.eventLog.compress": "false"}
+    spark = build_session(app_name="tessera-bench", extra=extra)
     qs = queries()
     todo = {k: qs[k] for k in HEADLINE}
     todo["kmeans_fit_arrow"] = kmeans_fit_arrow
