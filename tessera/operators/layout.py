@@ -125,3 +125,21 @@ def target_partitions(df: DataFrame) -> int:
     if est >= unknown or est >= (1 << 62):  # the optimizer has no real estimate
         return base
     return int(max(base, min(MAX_RANGE_PARTITIONS, -(-est // max(unit, 1)))))
+
+
+def write_bucketed(df: DataFrame, table: str, n: int, *keys: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed (and sorted) by ``keys`` into ``n``
+    buckets under the shared folder, and return it.
+
+    Two tables bucketed the same way on their join keys join without a
+    shuffle in any later job — the cross-job form of "skip the shuffle when
+    the partitioner is equal". The table lives in the session catalog; its
+    files live in the shared checkpoint folder.
+    """
+    from tessera.session import shared_dir
+
+    spark = df.sparkSession
+    where = path or shared_dir(spark, f"bucketed-{table}")
+    (df.write.mode("overwrite").bucketBy(int(n), *keys).sortBy(*keys)
+     .option("path", where).saveAsTable(table))
+    return spark.table(table)

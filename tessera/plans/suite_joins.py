@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import joins, sets
+import uuid
+
+from tessera.operators import joins, layout, sets
 from tessera.operators.keyed import DEFAULT_CHUNK_ROWS
 from tessera.plans.registry import register
 from tessera.sources.tables import load
@@ -27,6 +29,20 @@ def join_inner(spark, sf_dir):
     return joins.join(o, c, "o_custkey")
 
 
+@register("join_bucketed", oracle="""
+SELECT o_orderkey, o_custkey, c_name, c_nationkey
+FROM orders JOIN customer ON o_custkey = c_custkey
+""")
+def join_bucketed(spark, sf_dir):
+    # both sides written bucketed on the join key: the join itself needs no shuffle
+    tag = uuid.uuid4().hex[:8]
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
+    ob = layout.write_bucketed(o, f"orders_by_cust_{tag}", 8, "o_custkey")
+    cb = layout.write_bucketed(c, f"customer_by_key_{tag}", 8, "o_custkey")
+    return joins.join(ob, cb, "o_custkey", null_safe=False)
+
+
 _NULL_KEYS = """
 WITH a AS (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS k FROM orders),
      b AS (SELECT nullif(o_orderpriority, '5-LOW') AS k, count(*) AS n_orders FROM orders GROUP BY 1)

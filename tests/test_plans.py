@@ -85,3 +85,12 @@ def test_dense_index_without_exchange_reuse(spark):
         assert [got[k] for k in keys] == list(range(len(keys)))
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_bucketed_join_has_no_exchange(spark, q):
+    df = q["join_bucketed"](spark, SF)
+    p = executed_plan(df)
+    final = p.split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final or "BroadcastHashJoin" in final
+    if "SortMergeJoin" in final:
+        assert "Exchange" not in final
