@@ -476,3 +476,17 @@ def test_zip_with_index_after_a_shuffle(spark):
     got = sorted(r["idx"] for r in z.select("idx").collect())
     assert got == list(range(5000))
     position.release_cached()
+
+
+def test_key_by_then_cogroup(spark):
+    x = rows.key_by(ints(spark, [0, 1, 2]), F.col("x") * F.col("x")).select("k", F.col("x").alias("v"))
+    y = spark.createDataFrame([(i, i) for i in range(5)], "k long, v long")
+    got = {r["k"]: (list(r["values_0"]), list(r["values_1"])) for r in joins.cogroup([x, y]).collect()}
+    assert got == {0: ([0], [0]), 1: ([1], [1]), 2: ([], [2]), 3: ([], [3]), 4: ([2], [4])}
+
+
+def test_count_approx_reads_everything_at_fraction_one(spark):
+    d = ints(spark, list(range(1000)), 10)
+    a = sampling.approx_stats(d, "x", ["x"], fraction=1.0, confidence=0.95).first()
+    assert a["count_mean"] == a["count_low"] == a["count_high"] == 1000
+    assert abs(a["sum_mean"] - 499500) < 1e-6
