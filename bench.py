@@ -83,10 +83,15 @@ def main():
     only = os.environ.get("BENCH_ONLY")
     if only:
         todo = {k: v for k, v in todo.items() if re.search(only, k)}
-    out = {}
+    out, failed = {}, {}
     for name, fn in todo.items():
-        run_once(fn, spark, sf_dir)  # warm-up
-        times = [run_once(fn, spark, sf_dir) for _ in range(reps)]
+        try:
+            run_once(fn, spark, sf_dir)  # warm-up
+            times = [run_once(fn, spark, sf_dir) for _ in range(reps)]
+        except Exception as e:  # noqa: BLE001 — report it, keep measuring the rest
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr)
+            continue
         out[name] = round(statistics.median(times), 4)
         print(f"# {name}: median {out[name]:.3f}s of {reps}", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -94,7 +99,7 @@ def main():
     rounds = {k for k in out if k.startswith("kmeans_round")}
     total = sum(v for k, v in out.items() if k not in rounds)
     print(json.dumps({"metric": "headline_total_median", "value": round(total, 4), "unit": "sec",
-                      "queries": out, "sf": sf, "reps": reps,
+                      "queries": out, "failed": failed, "sf": sf, "reps": reps,
                       "cpus": int(os.environ.get("BENCH_CPUS", "8"))}))
     spark.stop()
 
