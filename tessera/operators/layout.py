@@ -80,15 +80,33 @@ def coalesce(df: DataFrame, n: int) -> DataFrame:
     return df.coalesce(int(n))
 
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a frame over the cluster when it has fewer partitions than
-    there are task slots (a small file read by one task); otherwise return it
-    unchanged. On large inputs — thousands of splits — this is a no-op, so no
-    shuffle is added where the scan is already parallel."""
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate, or None when it has none."""
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+    return None if est >= (1 << 62) else est
+
+
+def balance(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Spread a small frame read by fewer tasks than there are slots (e.g. a
+    small file with one row group); otherwise return it unchanged.
+
+    Only frames estimated at ``max_bytes`` or less are spread — there the
+    round-robin shuffle is cheap. Large inputs, with their many splits, are
+    never reshuffled for this.
+    """
     spark = df.sparkSession
     target = int(min_partitions or spark.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= target:
         return df
+    est = _estimated_bytes(df)
+    if est is not None and est > max_bytes:
+        return df
     return df.repartition(target)
 
 

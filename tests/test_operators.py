@@ -490,3 +490,9 @@ def test_count_approx_reads_everything_at_fraction_one(spark):
     a = sampling.approx_stats(d, "x", ["x"], fraction=1.0, confidence=0.95).first()
     assert a["count_mean"] == a["count_low"] == a["count_high"] == 1000
     assert abs(a["sum_mean"] - 499500) < 1e-6
+
+
+def test_balance_spreads_only_small_inputs(spark):
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert layout.num_partitions(layout.balance(small, min_partitions=16)) == 16
+    assert layout.balance(small, min_partitions=16, max_bytes=10) is small
