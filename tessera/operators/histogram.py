@@ -26,11 +26,13 @@ def _valid(x: Column, numeric: bool) -> Column:
     return ok & ~F.isnan(x) if numeric else ok
 
 
-def _fill(spark: SparkSession, counted: DataFrame, edges: list, numeric: bool) -> DataFrame:
-    n = len(edges) - 1
-    typ = "double" if numeric else "string"
-    rows = [(i, edges[i], edges[i + 1]) for i in range(n)]
-    frame = spark.createDataFrame(rows, f"bucket int, low {typ}, high {typ}")
+def _fill(spark: SparkSession, counted: DataFrame, edges: list, numeric: bool,
+          frame: DataFrame | None = None) -> DataFrame:
+    if frame is None:
+        n = len(edges) - 1
+        typ = "double" if numeric else "string"
+        rows = [(i, edges[i], edges[i + 1]) for i in range(n)]
+        frame = spark.createDataFrame(rows, f"bucket int, low {typ}, high {typ}")
     # both sides hold at most n rows (n = the caller's bucket count)
     j = frame.join(counted, "bucket", "left")
     return j.select("bucket", "low", "high", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
@@ -65,7 +67,14 @@ def histogram_even(df: DataFrame, column: str | Column, buckets: int) -> DataFra
     inc = (hi - lo) / buckets
     b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(inc)), F.lit(buckets - 1)).cast("int")
     counted = valid.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
-    return _fill(spark, counted, edges, True)
+    # the bucket table is generated by Spark (same i * inc + min arithmetic
+    # as the edges), so even a large bucket count never passes the driver
+    i = F.col("id")
+    frame = spark.range(buckets).select(
+        i.cast("int").alias("bucket"),
+        (i.cast("double") * F.lit(inc) + F.lit(lo)).alias("low"),
+        F.when(i == buckets - 1, F.lit(hi)).otherwise((i + 1).cast("double") * F.lit(inc) + F.lit(lo)).alias("high"))
+    return _fill(spark, counted, edges, True, frame)
 
 
 def histogram_edges(df: DataFrame, column: str | Column, edges: Sequence) -> DataFrame:
