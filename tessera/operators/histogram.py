@@ -77,6 +77,15 @@ def histogram_even(df: DataFrame, column: str | Column, buckets: int) -> DataFra
     return _fill(spark, counted, edges, True, frame)
 
 
+def _search_tree(x: Column, edges: list, a: int, b: int) -> Column:
+    """Bucket index in [a, b] for x (edges[a] <= x, and x <= the last edge)."""
+    if a == b:
+        return F.lit(a)
+    mid = (a + b + 1) // 2
+    return F.when(x < F.lit(edges[mid]), _search_tree(x, edges, a, mid - 1)).otherwise(
+        _search_tree(x, edges, mid, b))
+
+
 def histogram_edges(df: DataFrame, column: str | Column, edges: Sequence) -> DataFrame:
     """(bucket, low, high, count) for explicit sorted, unique edges.
 
@@ -107,10 +116,9 @@ def histogram_edges(df: DataFrame, column: str | Column, edges: Sequence) -> Dat
         inc = (hi - lo) / n
         b = F.least(F.floor((F.col("x") - F.lit(float(lo))) / F.lit(inc)), F.lit(n - 1))
     else:
-        # bucket = (number of edges <= x) - 1, the last edge closing bucket n-1
-        b = F.lit(n - 1)
-        for i in range(n - 1, 0, -1):
-            b = F.when(F.col("x") < F.lit(edges[i]), F.lit(i - 1)).otherwise(b)
+        # bucket = (number of edges <= x) - 1, the last edge closing bucket n-1;
+        # a balanced tree of comparisons: log2(n) per row, all in codegen
+        b = _search_tree(F.col("x"), edges, 0, n - 1)
     counted = valid.groupBy(b.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
     out_edges = [float(e) for e in edges] if numeric else [str(e) for e in edges]
     return _fill(df.sparkSession, counted, out_edges, numeric)

@@ -496,3 +496,19 @@ def test_balance_spreads_only_small_inputs(spark):
     small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert layout.num_partitions(layout.balance(small, min_partitions=16)) == 16
     assert layout.balance(small, min_partitions=16, max_bytes=10) is small
+
+
+def test_histogram_many_uneven_edges_matches_bisect(spark):
+    import bisect
+    import random
+
+    rnd = random.Random(3)
+    edges = sorted({round(rnd.uniform(0, 1000), 3) for _ in range(300)})
+    vals = [rnd.uniform(-10, 1010) for _ in range(3000)] + edges
+    d = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r["count"] for r in sorted(histogram.histogram_edges(d, "x", edges).collect())]
+    want = [0] * (len(edges) - 1)
+    for v in vals:
+        if edges[0] <= v <= edges[-1]:
+            want[min(bisect.bisect_right(edges, v) - 1, len(edges) - 2)] += 1
+    assert got == want
