@@ -62,3 +62,20 @@ def test_hot_key_sort_and_group_keep_every_row(spark):
     assert max(sizes) < 1000 and sum(sizes) == 3000  # the 1000 rows of key 0 are split
     g = keyed.group_by_key(df, "k", "v", chunk_rows=250).where("k = 0").collect()
     assert len(g) == 4 and sorted(x for r in g for x in r["values"]) == list(range(0, 3000, 3))
+
+
+def test_hot_path_chunks_match_brute_force(spark):
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select(
+        F.col("o_orderstatus").alias("k"), F.col("o_orderkey").alias("v")).repartition(5)
+    got = {(r["k"], r["chunk"]): list(r["values"]) for r in keyed.group_by_key(o, chunk_rows=1000).collect()}
+    want = {}
+    by_key = {}
+    for r in o.collect():
+        by_key.setdefault(r["k"], []).append(r["v"])
+    for k, vs in by_key.items():
+        vs.sort()
+        for c in range(0, len(vs), 1000):
+            want[(k, c // 1000)] = vs[c:c + 1000]
+    assert got == want
+    from tessera.operators import position
+    position.release_cached()
