@@ -79,3 +79,24 @@ def test_hot_path_chunks_match_brute_force(spark):
     assert got == want
     from tessera.operators import position
     position.release_cached()
+
+
+def test_hot_path_cogroup_chunks_match_brute_force(spark):
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    a = o.select(F.col("o_orderstatus").alias("k"), F.col("o_orderkey").alias("v"))
+    b = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderstatus").alias("k"), F.col("o_custkey").alias("v"))
+    got = {(r["k"], r["chunk"]): (list(r["values_0"]), sorted(r["values_1"]))
+           for r in joins.cogroup([a, b], chunk_rows=1000).collect()}
+    want = {}
+    for side, frame in enumerate((a, b)):
+        per = {}
+        for r in frame.collect():
+            per.setdefault(r["k"], []).append(r["v"])
+        for k, vs in per.items():
+            vs.sort()
+            for c in range(0, len(vs), 1000):
+                want.setdefault((k, c // 1000), ([], []))[side].extend(vs[c:c + 1000])
+    got_sorted = {key: (sorted(v0), v1) for key, (v0, v1) in got.items()}
+    assert got_sorted == want
+    from tessera.operators import position
+    position.release_cached()
