@@ -46,41 +46,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of at most ``BLOCK_BYTES`` bytes."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the multiplier and of its inverse."""
+    if n <= BLOCK_BYTES:
+        return _POWER[:n], _INVERSE[:n]
+    inverse = np.uint64(pow(int(_MUL), -1, 2**64))
+    return np.cumprod(np.full(n, _MUL)), np.cumprod(np.full(n, inverse))
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of at most ``BLOCK_BYTES`` bytes."""
     b = np.frombuffer(data, np.uint8)
     space = _SPACE[b]
-    begins = ~space
+    begins, ends = ~space, space.copy()
     begins[1:] &= space[:-1]
-    starts = np.flatnonzero(begins)
+    ends[1:] &= ~space[:-1]
+    ends[:1] = False
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends)
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
+        return starts, starts, np.empty(0, np.uint64)
+    if len(stops) < len(starts):
+        stops = np.r_[stops, len(b)]
     values = _BYTE[b] * _POWER[: len(b)]
-    return starts, mix(np.add.reduceat(values, starts) * _INVERSE[starts])
+    return starts, stops, mix(np.add.reduceat(values, starts) * _INVERSE[starts])
 
 
-def _long_text(data: bytes) -> np.ndarray:
-    """Word hashes of one text of any length, piece by piece, cut at white space."""
+def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of one text of any length.
+
+    A long text is taken piece by piece, cut at white space; of a word longer
+    than a block the blocks' hashes are chained.
+    """
+    if len(data) <= BLOCK_BYTES:
+        return _words(data)
     out, at = [], 0
     while at < len(data):
         end = min(at + BLOCK_BYTES, len(data))
-        while end < len(data) and end > at and not _SPACE[data[end]]:
-            end -= 1
-        if end == at:  # one word longer than a block: its blocks' hashes are chained
-            end = at
-            h = np.zeros(1, np.uint64)
-            while end < len(data) and not _SPACE[data[end]]:
-                stop = min(end + BLOCK_BYTES, len(data))
-                piece = np.frombuffer(data, np.uint8, stop - end, end)
-                gap = np.flatnonzero(_SPACE[piece])
-                stop = end + int(gap[0]) if len(gap) else stop
-                h = mix(h * _MUL + _words(data[end:stop])[1][:1])
-                end = stop
-            out.append(h)
+        if end < len(data) and not _SPACE[data[end]]:
+            gaps = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, end - at, at)])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else at
+        if end > at:
+            starts, stops, hashes = _words(data[at:end])
+            out.append((starts + at, stops + at, hashes))
         else:
-            out.append(_words(data[at:end])[1])
+            h, end, inside = np.zeros(1, np.uint64), at, True
+            while inside and end < len(data):
+                piece = np.frombuffer(data, np.uint8, min(BLOCK_BYTES, len(data) - end), end)
+                gaps = np.flatnonzero(_SPACE[piece])
+                stop = end + (int(gaps[0]) if len(gaps) else len(piece))
+                if stop > end:
+                    h = mix(h * _MUL + _words(data[end:stop])[2])
+                inside, end = not len(gaps), stop
+            out.append((np.array([at]), np.array([end]), h))
         at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -95,12 +114,12 @@ def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np
             size += len(texts[last] or b"") + 1
             last += 1
         if size > BLOCK_BYTES:
-            words = _long_text(texts[first])
-            yield first, last, words, np.array([0, len(words)])
+            hashes = words(texts[first])[2]
+            yield first, last, hashes, np.array([0, len(hashes)])
         else:
             lengths = np.fromiter((len(t or b"") + 1 for t in texts[first:last]), np.int64, last - first)
-            starts, words = _words(b"\n".join(t or b"" for t in texts[first:last]))
-            yield first, last, words, np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
+            starts, _, hashes = _words(b"\n".join(t or b"" for t in texts[first:last]))
+            yield first, last, hashes, np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
         first = last
 
 
