@@ -7,8 +7,10 @@ shingles that a document holds in one piece lies within one window of at most
 4 q, where its similarity is at least 0.17. One equal minhash of 64 makes a
 candidate (missed with 0.83^64 = 5e-6); items spread over a document meet
 several windows and are as likely found. Minima are computed once, over base
-blocks that all windows are made of. A candidate is verified by exact
-containment of the item's shingles in the whole document.
+blocks that all windows are made of. Items of up to ``TINY`` shingles, for
+which minhashes say little, are candidates wherever one of their shingles is.
+A candidate is verified by exact containment of the item's shingles in the
+whole document.
 
 Items are a query set: they go through all documents in blocks of bounded
 size, each broadcast in turn. Documents are neither shuffled nor collected.
@@ -29,6 +31,7 @@ from tessera.llm import shingles as S
 from tessera.llm.common import col, stored, utf8
 
 FUNCTIONS = 64
+TINY = 8
 #: Bytes of item texts that are searched in one pass over the documents, about.
 ITEM_BLOCK_BYTES = 4 << 20
 _SEED = 20240611
@@ -43,6 +46,7 @@ class ItemIndex:
     ids: list = field(default_factory=list)
     sets: list[np.ndarray] = field(default_factory=list)
     by_width: dict[int, dict[int, list[int]]] = field(default_factory=dict)
+    tiny: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
     classes: dict[int, dict[tuple[int, int], list[int]]] = field(default_factory=dict)
 
     @classmethod
@@ -61,6 +65,10 @@ class ItemIndex:
             if width < S.WIDTH:  # a short item is a single shingle of its own width
                 index.by_width.setdefault(width, defaultdict(list))[int(shingles[0])].append(i)
                 continue
+            if len(shingles) <= TINY:
+                for h in shingles:
+                    index.tiny[int(h)].append(i)
+                continue
             keys = index.classes.setdefault(int(len(shingles)).bit_length(), defaultdict(list))
             for f, m in enumerate(S.minima(shingles, np.array([0, len(shingles)]), family)[0]):
                 keys[(f, int(m))].append(i)
@@ -72,7 +80,10 @@ class Searcher:
 
     def __init__(self, index: ItemIndex):
         self.index, self.family = index, S.families(FUNCTIONS, _SEED)
-        self.base = max(8, min((1 << c for c in index.classes), default=8))
+        self.base = min((1 << c for c in index.classes), default=2 * TINY)
+        self.tiny = np.zeros(1 << 16, bool)
+        for h in index.tiny:
+            self.tiny[h & 0xFFFF] = True
         self.marks = {}
         for c, keys in index.classes.items():
             marks = np.zeros((FUNCTIONS, 1 << 16), bool)
@@ -116,7 +127,12 @@ class Searcher:
         for first, _, words, offsets in S.blocks(texts):
             shingles, at = S.shingles(words, offsets)
             wanted = defaultdict(list)
-            for t, i in self._candidates(shingles, at):
+            pairs = self._candidates(shingles, at)
+            if self.index.tiny:
+                place = np.flatnonzero(self.tiny[(shingles & _LOW).astype(np.int64)])
+                of = np.searchsorted(at, place, side="right") - 1
+                pairs.update((int(t), i) for t, h in zip(of, shingles[place], strict=True) for i in self.index.tiny.get(int(h), ()))
+            for t, i in pairs:
                 wanted[t].append(i)
             for t, items in sorted(wanted.items()):
                 have = S.distinct(shingles[at[t] : at[t + 1]])

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
@@ -244,3 +244,17 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(lone, F.col("id")).otherwise(F.col("keep.id")).alias("component_id"),
         (lone | (F.col("row_no") == F.col("keep.row_no"))).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, with the same columns (see ``near_dup_classes``).
+
+    Of rows that repeat in id and text one stays if any does, whichever.
+    """
+    kept = near_dup_classes(docs, id_col, text_col).where("kept")
+    keys = kept.groupBy("id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("th"))
+    k = keys.select(F.col("id").alias("kept_id"), F.col("th").alias("kept_th"), "copies")
+    joined = packed.join(k, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")))
+    nth = F.row_number().over(Window.partitionBy("kept_id", "kept_th").orderBy("kept_th"))
+    return joined.withColumn("nth", nth).where("nth <= copies").select("row.*")
