@@ -178,5 +178,6 @@ def turns_to_events(turns: DataFrame, piece: int = 200) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,text:string>>")
     steps = F.when(learned, F.concat(F.when(odd, false_start).otherwise(none), deltas)).otherwise(F.when(odd, edited).otherwise(F.array(step("delta", text))))
     events = F.concat(F.array(step("open", F.lit(None).cast("string"))), steps)
-    rows = turns.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("position"), "role", F.posexplode(events).alias("seq", "event"))
+    rows = turns.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.col("turn").alias("position"), "role", events.alias("events"))
+    rows = rows.select("conv_id", "message_id", "position", "role", F.posexplode("events").alias("seq", "event"))
     return rows.select("conv_id", "message_id", "seq", "event.kind", "role", "position", "event.text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,3 +37,13 @@ def col(name: str):
 def utf8(array) -> list[bytes | None]:
     """Byte strings of an Arrow text or binary column."""
     return array.cast(pa.binary()).to_pylist()
+
+
+def filter_batches(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df.mapInArrow(keep)`` with the schema of ``df``, whatever its columns are called.
+
+    ``keep`` sees the columns in their order; Spark itself looks columns up by
+    name there, which fails for names with dots.
+    """
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)

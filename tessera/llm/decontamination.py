@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.common import col, stored, utf8
+from tessera.llm.common import col, filter_batches, stored, utf8
 
 FUNCTIONS = 64
 TINY = 8
@@ -212,5 +212,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75
                 clean[[t for t, _, _ in searcher.search(utf8(b.column(at)))]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = filter_batches(docs, keep)
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col
+from tessera.llm.common import col, filter_batches
 from tessera.llm.shingles import mix
 
 UNKNOWN = "und"
@@ -308,4 +308,4 @@ def keep_identified(docs: DataFrame, model: LanguageId, text_col: str = "text")
         for b in batches:
             yield b.filter(pa.array(~judge_texts(scorer, b.column(at).to_pylist())[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_batches(docs, keep)
