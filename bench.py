@@ -17,10 +17,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from tessera.operators.layout import balance  # noqa: E402
-from tessera.operators.position import release_cached  # noqa: E402
 from tessera.plans import kmeans  # noqa: E402
 from tessera.plans.registry import queries  # noqa: E402
 from tessera.session import build_session  # noqa: E402
@@ -28,31 +24,25 @@ from tessera.sources.tables import load  # noqa: E402
 
 HEADLINE = [
     "wc_split_tokens", "wc_space_runs", "wc_frequencies",
-    "sort_pairs_app", "sort_float32_by_key", "sort_range_partitioned",
+    "sort_by_key_plain", "sort_pairs_app", "sort_float32_by_key", "sort_range_partitioned",
     "kmeans_fit",
     "join_inner", "join_cogroup", "key_reduce_sum", "key_group", "agg_histogram_even", "zip_with_index",
 ]
 
 
-def kmeans_fit_arrow(spark, sf_dir):
-    pts = kmeans.as_points(load(spark, sf_dir, "embeddings"), "embedding", "vec_id")
-    res = kmeans.kmeans(pts, 10, converge_dist=0.0, key="vec_id", seed=1, max_iter=3, path="arrow")
-    return kmeans.assign_arrow(pts, res.centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-
-
 class _Round:
     """One k-means round on persisted points (the per-round metric)."""
 
-    def __init__(self, path):
-        self.path, self.pts, self.centers = path, None, None
+    def __init__(self):
+        self.pts, self.centers = None, None
 
     def __call__(self, spark, sf_dir):
         if self.pts is None:
             raw = kmeans.as_points(load(spark, sf_dir, "embeddings"), "embedding", "vec_id")
-            self.pts = balance(raw).persist()
+            self.pts = raw.persist()
             self.pts.count()
             self.centers = kmeans.initial_centers(self.pts, 10, "vec_id", 1)
-        kmeans.kmeans_step(self.pts, self.centers, self.path)
+        kmeans.kmeans_step(self.pts, self.centers)
         return None
 
 
@@ -61,9 +51,7 @@ def run_once(fn, spark, sf_dir) -> float:
     df = fn(spark, sf_dir)
     if df is not None:
         df.write.format("noop").mode("overwrite").save()
-    dt = time.perf_counter() - t0
-    release_cached()  # persisted range layouts of dense indexes
-    return dt
+    return time.perf_counter() - t0
 
 
 def main():
@@ -77,9 +65,7 @@ def main():
     spark = build_session(app_name="tessera-bench", extra=extra)
     qs = queries()
     todo = {k: qs[k] for k in HEADLINE}
-    todo["kmeans_fit_arrow"] = kmeans_fit_arrow
-    todo["kmeans_round_sql"] = _Round("sql")
-    todo["kmeans_round_arrow"] = _Round("arrow")
+    todo["kmeans_round"] = _Round()
     only = os.environ.get("BENCH_ONLY")
     if only:
         todo = {k: v for k, v in todo.items() if re.search(only, k)}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 LINE_BREAK = r"\r\n|\r|\n"
 WORD_SEP = " "
 
-TWO_POW_32 = 4294967296.0
+TWO_POW_52 = 4503599627370496.0
 
 
 def col(c: str | Column) -> Column:
@@ -116,32 +116,17 @@ def unit_hash(*parts: str | Column, seed: int = 0) -> Column:
     """Uniform number in [0, 1) from the md5 of the parts and a seed.
 
     The same value is computable by any SQL engine that has md5 (the oracle
-    does it with ``('0x' || substr(md5(s), 1, 8))::BIGINT / 2^32``), and it
+    does it with ``('0x' || substr(md5(s), 1, 13))::BIGINT / 2^52``), and it
     does not depend on partitioning, so samples are reproducible.
     """
     s = F.concat_ws("|", *[col(p).cast("string") for p in parts], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
+    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52)
 
 
 def uniform(*parts: str | Column, low: float = 0.0, high: float = 1.0, seed: int = 0) -> Column:
     return unit_hash(*parts, seed=seed) * F.lit(float(high - low)) + F.lit(float(low))
 
 
-# --------------------------------------------------------------------------
-# keys
-# --------------------------------------------------------------------------
-
-def null_safe_on(left: DataFrame, right: DataFrame, left_cols: Sequence[str],
-                 right_cols: Sequence[str] | None = None) -> Column:
-    """Equality on several columns where NULL matches NULL."""
-    right_cols = list(right_cols or left_cols)
-    cond = None
-    for a, b in zip(left_cols, right_cols):
-        c = left[a].eqNullSafe(right[b])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def float32(c: str | Column) -> Column:
     """Round a number to single precision (and back to double for output)."""
     return col(c).cast("float").cast("double")

@@ -3,22 +3,29 @@
 Built-in aggregates plan as partial HashAggregate per task + one final
 aggregate over one row per task. User functions (``reduce_with``,
 ``aggregate_with``) fold each partition in Arrow batches and merge the
-per-partition partials — at most one row per partition — in one small task.
+per-partition partials as a tree, so no task merges more than ``fan_in``.
 """
 
 from __future__ import annotations
 
+import copy
 import functools
-import math
 import pickle
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessera.functions.exprs import col
 
+#: Groups that each level of a tree merge leaves to the next.
+FAN_IN = 256
+_PARTIAL = pa.schema([("g", pa.int32()), ("p", pa.binary())])
+
 _OPS = {
     "sum": F.sum, "min": F.min, "max": F.max, "product": F.product,
     "bit_and": F.bit_and, "bit_or": F.bit_or, "bit_xor": F.bit_xor,
@@ -27,8 +34,8 @@ _OPS = {
 
 
 def _require_rows(df: DataFrame) -> None:
-    if df.limit(1).count() == 0:
-        raise ValueError("can not reduce() empty data")
+    if df.isEmpty():
+        raise ValueError("no rows to reduce")
 
 
 def reduce(df: DataFrame, column: str | Column, op: str = "sum", out: str = "value",
@@ -43,25 +50,43 @@ def reduce(df: DataFrame, column: str | Column, op: str = "sum", out: str = "val
     return df.agg(agg.alias(out))
 
 
-def tree_reduce(df: DataFrame, column: str | Column, op: str = "sum", fan_in: int | None = None,
+def _tree_group(fan_in: int) -> Column:
+    return F.pmod(F.spark_partition_id(), F.lit(int(fan_in))).alias("__g")
+
+
+def tree_reduce(df: DataFrame, column: str | Column, op: str = "sum", fan_in: int = FAN_IN,
                 out: str = "value") -> DataFrame:
-    """Two-level reduce: partitions are merged in groups of ``fan_in`` first.
+    """Two-level reduce: partitions are merged in ``fan_in`` groups first, so
+    the last task merges ``fan_in`` rows however many partitions there are.
 
-    Level 1 groups by ``spark_partition_id() % groups`` (the partial step
-    runs inside each task), level 2 combines the few group results.
+    ``reduce_with`` is the same for any Python function and any depth.
     """
-    n = df.rdd.getNumPartitions()
-    groups = max(1, int(math.ceil(n / fan_in)) if fan_in else int(math.ceil(math.sqrt(n))))
-    op2 = "sum" if op in ("sum", "count") else op
-    lvl1 = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("__g")).agg(
-        _OPS[op](col(column)).alias("__p"))
-    return reduce(lvl1, "__p", op2, out)
+    lvl1 = df.groupBy(_tree_group(fan_in)).agg(_OPS[op](col(column)).alias("__p"))
+    return reduce(lvl1, "__p", op, out)
+
+
+#: What a fold may start from: these operators change nothing with it ...
+NEUTRAL = {"sum": 0, "product": 1, "bit_xor": 0}
+#: ... and these may take any value, since applying it once or often is the same.
+IDEMPOTENT = {"min": F.least, "max": F.greatest, "bit_or": lambda a, z: a.bitwiseOR(z),
+              "bit_and": lambda a, z: a.bitwiseAND(z), "bool_and": lambda a, z: a & z, "bool_or": lambda a, z: a | z}
+
+
+def folded(agg: Column, zero, op: str) -> Column:
+    """``agg`` with the zero value: the one rule of ``fold`` and ``fold_by_key``."""
+    if op in IDEMPOTENT:
+        return F.coalesce(IDEMPOTENT[op](agg, F.lit(zero)), F.lit(zero))
+    if op not in NEUTRAL:
+        raise ValueError(f"{op} is not a fold")
+    if zero != NEUTRAL[op]:
+        raise ValueError(f"{zero!r} is not neutral for {op}: how often it counts would depend on partitions")
+    return F.coalesce(agg, F.lit(zero))
 
 
 def fold(df: DataFrame, column: str | Column, zero, op: str = "sum", out: str = "value") -> DataFrame:
-    """Reduce with a neutral ``zero``; empty input gives ``zero``."""
-    agg = _OPS[op](col(column))
-    return df.agg(F.coalesce(agg, F.lit(zero)).alias(out))
+    """Reduce from ``zero``; empty input gives ``zero``. Sum, product and xor
+    take their neutral element, the others any value."""
+    return df.agg(folded(_OPS[op](col(column)), zero, op).alias(out))
 
 
 def aggregate_sum_count(df: DataFrame, column: str | Column) -> DataFrame:
@@ -69,11 +94,10 @@ def aggregate_sum_count(df: DataFrame, column: str | Column) -> DataFrame:
     return df.agg(F.coalesce(F.sum(col(column)), F.lit(0)).alias("sum"), F.count(F.lit(1)).alias("count"))
 
 
-def tree_aggregate_sum_count(df: DataFrame, column: str | Column, fan_in: int | None = None) -> DataFrame:
-    n = df.rdd.getNumPartitions()
-    groups = max(1, int(math.ceil(n / fan_in)) if fan_in else int(math.ceil(math.sqrt(n))))
-    lvl1 = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("__g")).agg(
-        F.sum(col(column)).alias("__s"), F.count(F.lit(1)).alias("__c"))
+def tree_aggregate_sum_count(df: DataFrame, column: str | Column, fan_in: int = FAN_IN) -> DataFrame:
+    """As ``aggregate_sum_count``, partitions merged in ``fan_in`` groups first
+    (``aggregate_with`` is the same for any functions and depth)."""
+    lvl1 = df.groupBy(_tree_group(fan_in)).agg(F.sum(col(column)).alias("__s"), F.count(F.lit(1)).alias("__c"))
     return lvl1.agg(F.coalesce(F.sum("__s"), F.lit(0)).alias("sum"),
                     F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("count"))
 
@@ -161,32 +185,50 @@ def map_reduce_expr(df: DataFrame, expr: str, op: str = "sum", out_type: str | N
 # --------------------------------------------------------------------------
 
 def _merge_partials(partials: DataFrame, merge: Callable, zero, has_zero: bool,
-                    out_schema: str | None) -> DataFrame:
-    names = [f.split()[0] for f in out_schema.split(",")] if out_schema else ["p"]
-
-    def final(batches):
-        acc, seen = zero, has_zero
+                    out_schema: str | None, depth: int, fan_in: int) -> DataFrame:
+    """Merge (g, p) partials in ``depth`` levels; the last is one task with at
+    most ``fan_in`` rows (with depth 1, one row per partition)."""
+    shape = to_arrow_schema(_parse_datatype_string(out_schema or "p binary"))
+    names = shape.names
+
+    def merged(batches, start, seen):
+        acc, g = start, 0
         for b in batches:
-            for blob in b.column("p").to_pylist():
+            for of, blob in zip(b.column("g").to_pylist(), b.column("p").to_pylist(), strict=True):
                 x = pickle.loads(blob)
-                acc = merge(acc, x) if seen else x
+                acc, g = (merge(acc, x) if seen else x), of
                 seen = True
+        return acc, g, seen
+
+    def level(below):
+        def run(batches):
+            acc, g, seen = merged(batches, None, False)
+            if seen:
+                yield pa.RecordBatch.from_pydict({"g": [g % below], "p": [pickle.dumps(acc)]}, schema=_PARTIAL)
+        return run
+
+    def final(batches):
+        acc, _, seen = merged(batches, zero, has_zero)
         if seen:
             if out_schema is None:
                 yield pa.RecordBatch.from_pydict({"p": [pickle.dumps(acc)]})
             else:
                 vals = acc if len(names) > 1 else (acc,)
-                yield pa.RecordBatch.from_pylist([dict(zip(names, vals))])
+                yield pa.RecordBatch.from_pylist([dict(zip(names, vals))], schema=shape)
 
-    # the partials are one row per partition: a single merge task is bounded
+    for d in range(depth - 1, 0, -1):
+        groups = fan_in**d
+        partials = partials.repartitionById(groups, F.pmod("g", F.lit(groups))).mapInArrow(level(fan_in ** (d - 1)), "g int, p binary")
     return partials.repartition(1).mapInArrow(final, out_schema or "p binary")
 
 
-def reduce_with(df: DataFrame, column: str, fn: Callable, out_schema: str | None = None) -> DataFrame:
+def reduce_with(df: DataFrame, column: str, fn: Callable, out_schema: str | None = None,
+                depth: int = 2, fan_in: int = FAN_IN) -> DataFrame:
     """Reduce with any commutative, associative Python function.
 
-    One row: typed per ``out_schema`` (e.g. ``'value long'``) or the pickled
-    result in ``p`` (see ``unpickle``); no row for empty input.
+    Partitions are reduced in their tasks, then merged as a tree of ``depth``
+    levels. One row: typed per ``out_schema`` (e.g. ``'value long'``) or the
+    pickled result in ``p`` (see ``unpickle``); no row for empty input.
     """
     def part(batches):
         acc, seen = None, False
@@ -197,25 +239,30 @@ def reduce_with(df: DataFrame, column: str, fn: Callable, out_schema: str | None
                 acc = fn(acc, r) if seen else r
                 seen = True
         if seen:
-            yield pa.RecordBatch.from_pydict({"p": [pickle.dumps(acc)]})
+            yield _partial(acc)
+
+    return _merge_partials(df.select(column).mapInArrow(part, "g int, p binary"), fn, None, False, out_schema, depth, fan_in)
+
 
-    return _merge_partials(df.select(column).mapInArrow(part, "p binary"), fn, None, False, out_schema)
+def _partial(acc) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"g": [TaskContext.get().partitionId()], "p": [pickle.dumps(acc)]}, schema=_PARTIAL)
 
 
 def aggregate_with(df: DataFrame, column: str, zero, seq_op: Callable, comb_op: Callable,
-                   out_schema: str | None = None) -> DataFrame:
-    """(zero, seqOp, combOp) aggregate with Python functions; one row.
+                   out_schema: str | None = None, depth: int = 2, fan_in: int = FAN_IN) -> DataFrame:
+    """(zero, seqOp, combOp) aggregate with Python functions, merged as a tree
+    of ``depth`` levels; one row.
 
     A tuple accumulator maps onto the fields of ``out_schema`` in order.
     """
     def part(batches):
-        acc = zero
+        acc = copy.deepcopy(zero)
         for b in batches:
             for x in b.column(column).to_pylist():
                 acc = seq_op(acc, x)
-        yield pa.RecordBatch.from_pydict({"p": [pickle.dumps(acc)]})
+        yield _partial(acc)
 
-    return _merge_partials(df.select(column).mapInArrow(part, "p binary"), comb_op, zero, True, out_schema)
+    return _merge_partials(df.select(column).mapInArrow(part, "g int, p binary"), comb_op, zero, True, out_schema, depth, fan_in)
 
 
 def unpickle(df: DataFrame):

@@ -1,124 +1,121 @@
 """Histograms.
 
-Rules kept from the RDD version: buckets are right-open except the last,
-which is closed; NULL, NaN and out-of-range values are dropped; empty
-buckets are reported with 0. Even buckets place a value arithmetically
-(``int((x - min) / inc)``), explicit uneven edges by binary position.
-
-Pass 1 (even buckets only) is one min/max aggregate — two numbers reach the
-driver. Pass 2 is a partial + final count per bucket; zero buckets come from
-a right join with the n bucket numbers (n rows, the user's parameter).
+A histogram is described by one Spark table of buckets (bucket, low, high),
+made from the column's range or from the caller's edges. Every value is
+placed by an expression over the edges, counted with a partial aggregate, and
+the counts are joined to the bucket table, so empty buckets show 0.
+
+Buckets hold low <= x < high, the last one also x = high. NULL, NaN and
+values outside are not counted. Values and edges are compared in the type of
+the column: integers stay integers however large.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from datetime import date, datetime
+from decimal import Decimal
+from itertools import pairwise
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from tessera.functions.exprs import col
 
 
-def _valid(x: Column, numeric: bool) -> Column:
-    ok = x.isNotNull()
-    return ok & ~F.isnan(x) if numeric else ok
+class HistogramError(ValueError):
+    """The buckets asked for can't be made."""
 
 
-def _fill(spark: SparkSession, counted: DataFrame, edges: list, numeric: bool,
-          frame: DataFrame | None = None) -> DataFrame:
-    if frame is None:
-        n = len(edges) - 1
-        typ = "double" if numeric else "string"
-        rows = [(i, edges[i], edges[i + 1]) for i in range(n)]
-        frame = spark.createDataFrame(rows, f"bucket int, low {typ}, high {typ}")
-    # both sides hold at most n rows (n = the caller's bucket count)
-    j = frame.join(counted, "bucket", "left")
-    return j.select("bucket", "low", "high", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+def _values(df: DataFrame, column: str | Column) -> DataFrame:
+    values = df.select(col(column).alias("x")).where(F.col("x").isNotNull())
+    if isinstance(values.schema["x"].dataType, (DoubleType, FloatType)):
+        values = values.where(~F.isnan("x"))
+    return values
 
 
-def even_edges(lo: float, hi: float, buckets: int) -> list[float]:
-    """Bucket edges as the RDD version builds them (last edge forced to max)."""
-    if lo == hi or buckets == 1:
-        return [lo, hi]
-    inc = (hi - lo) / buckets
-    if math.isinf(inc):
-        raise ValueError("Can not generate buckets with infinite value")
-    return [i * inc + lo for i in range(buckets)] + [hi]
+def _counted(buckets: DataFrame, places: DataFrame) -> DataFrame:
+    """Bucket table with the number of rows that ``places`` (bucket) puts into each."""
+    counts = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    joined = buckets.join(counts, "bucket", "left")
+    return joined.select("bucket", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
 def histogram_even(df: DataFrame, column: str | Column, buckets: int) -> DataFrame:
-    """(bucket, low, high, count) for ``buckets`` equal-width buckets between
-    the column's min and max."""
+    """(bucket, low, high, count) of ``buckets`` equal widths over the column's range.
+
+    The range is the operator's first pass: two numbers reach the driver. The
+    bucket table is made by Spark, so a large number of buckets never passes
+    the driver. A column with a single value has one bucket.
+    """
     if buckets < 1:
-        raise ValueError("number of buckets must be >= 1")
-    x = col(column).cast("double")
-    valid = df.select(x.alias("x")).where(_valid(F.col("x"), True))
-    mm = valid.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    if mm is None or mm["lo"] is None:
-        raise ValueError("can not generate buckets from empty data")
-    lo, hi = float(mm["lo"]), float(mm["hi"])
-    edges = even_edges(lo, hi, buckets)
-    spark = df.sparkSession
-    if len(edges) == 2:
-        counted = valid.agg(F.count(F.lit(1)).alias("count")).select(F.lit(0).alias("bucket"), "count")
-        return _fill(spark, counted, edges, True)
-    inc = (hi - lo) / buckets
-    b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(inc)), F.lit(buckets - 1)).cast("int")
-    counted = valid.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
-    # the bucket table is generated by Spark (same i * inc + min arithmetic
-    # as the edges), so even a large bucket count never passes the driver
-    i = F.col("id")
-    frame = spark.range(buckets).select(
-        i.cast("int").alias("bucket"),
-        (i.cast("double") * F.lit(inc) + F.lit(lo)).alias("low"),
-        F.when(i == buckets - 1, F.lit(hi)).otherwise((i + 1).cast("double") * F.lit(inc) + F.lit(lo)).alias("high"))
-    return _fill(spark, counted, edges, True, frame)
-
-
-def _search_tree(x: Column, edges: list, a: int, b: int) -> Column:
-    """Bucket index in [a, b] for x (edges[a] <= x, and x <= the last edge)."""
-    if a == b:
-        return F.lit(a)
-    mid = (a + b + 1) // 2
-    return F.when(x < F.lit(edges[mid]), _search_tree(x, edges, a, mid - 1)).otherwise(
-        _search_tree(x, edges, mid, b))
+        raise HistogramError(f"a histogram has at least one bucket, not {buckets}")
+    values = _values(df, column).select(F.col("x").cast("double").alias("x"))
+    low, high = values.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        raise HistogramError("the column has no values to take a range from")
+    n = buckets if high > low else 1
+    width = (high - low) / n
+    if width in (float("inf"), float("-inf")) or width != width:
+        raise HistogramError(f"the range from {low} to {high} has no finite width")
+    at = lambda i: i.cast("double") * F.lit(width) + F.lit(low)
+    number = F.col("id")
+    table = df.sparkSession.range(n).select(
+        number.cast("int").alias("bucket"), at(number).alias("low"),
+        F.when(number == n - 1, F.lit(high)).otherwise(at(number + 1)).alias("high"),
+    )
+    place = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(n - 1)) if n > 1 else F.lit(0)
+    return _counted(table, values.select(place.cast("int").alias("bucket")))
+
+
+def _kind(edges: list) -> str:
+    """SQL type of the edges."""
+    kinds = {type(e) for e in edges}
+    if kinds <= {int}:
+        return "bigint"
+    if kinds <= {int, float}:
+        return "double"
+    if kinds <= {int, Decimal}:
+        return "decimal(38,18)"
+    for python, sql in ((str, "string"), (datetime, "timestamp"), (date, "date")):
+        if kinds == {python}:
+            return sql
+    raise HistogramError(f"edges of types {sorted(k.__name__ for k in kinds)} can't be compared with each other")
+
+
+def _place(x: Column, edges: list[Column], first: int, last: int) -> Column:
+    """Number of the bucket from ``first`` to ``last`` that holds x: a comparison
+    for each halving, all in generated code."""
+    if first == last:
+        return F.lit(first)
+    middle = (first + last + 1) // 2
+    return F.when(x < edges[middle], _place(x, edges, first, middle - 1)).otherwise(_place(x, edges, middle, last))
 
 
 def histogram_edges(df: DataFrame, column: str | Column, edges: Sequence) -> DataFrame:
-    """(bucket, low, high, count) for explicit sorted, unique edges.
+    """(bucket, low, high, count) for edges given in strictly rising order.
 
-    Numbers or strings. Evenly spaced numeric edges place values
-    arithmetically, others by the number of edges ≤ x (a CASE chain that
-    stays in codegen).
+    Edges are numbers, texts, dates or timestamps. Whole edges over an
+    integer column are compared as integers; edges come back in their type.
     """
     edges = list(edges)
     if len(edges) < 2:
-        raise ValueError("buckets should have more than one value")
-    if any(e is None or (isinstance(e, float) and math.isnan(e)) for e in edges):
-        raise ValueError("can not have None or NaN in buckets")
-    if sorted(edges) != edges:
-        raise ValueError("buckets should be sorted")
-    if len(set(edges)) != len(edges):
-        raise ValueError("buckets should not contain duplicated values")
-    numeric = all(isinstance(e, (int, float)) for e in edges)
-    n = len(edges) - 1
-    x = col(column).cast("double") if numeric else col(column).cast("string")
-    lo, hi = edges[0], edges[-1]
-    valid = df.select(x.alias("x")).where(_valid(F.col("x"), numeric))
-    valid = valid.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-    even = False
-    if numeric:
-        steps = [edges[i + 1] - edges[i] for i in range(n)]
-        even = max(steps) - min(steps) < 1e-10
-    if even:
-        inc = (hi - lo) / n
-        b = F.least(F.floor((F.col("x") - F.lit(float(lo))) / F.lit(inc)), F.lit(n - 1))
-    else:
-        # bucket = (number of edges <= x) - 1, the last edge closing bucket n-1;
-        # a balanced tree of comparisons: log2(n) per row, all in codegen
-        b = _search_tree(F.col("x"), edges, 0, n - 1)
-    counted = valid.groupBy(b.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
-    out_edges = [float(e) for e in edges] if numeric else [str(e) for e in edges]
-    return _fill(df.sparkSession, counted, out_edges, numeric)
+        raise HistogramError("two edges make a bucket, fewer don't")
+    if any(e is None or e != e for e in edges):
+        raise HistogramError("an edge is missing or not a number")
+    kind = _kind(edges)
+    wrong = next((i for i, (a, b) in enumerate(pairwise(edges)) if not a < b), None)
+    if wrong is not None:
+        raise HistogramError(f"edge {edges[wrong + 1]!r} does not rise above {edges[wrong]!r} before it")
+    literals = [F.lit(e).cast(kind) for e in edges]
+    values = _values(df, column)
+    if kind == "string":
+        values = values.select(F.col("x").cast("string").alias("x"))
+    x = F.col("x")
+    inside = values.where((x >= literals[0]) & (x <= literals[-1]))
+    table = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairwise([float(e) for e in edges] if kind == "double" else edges))],
+        f"bucket int, low {kind}, high {kind}",
+    )
+    return _counted(table, inside.select(_place(x, literals, 0, len(edges) - 2).alias("bucket")))

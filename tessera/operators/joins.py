@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.keyed import DEFAULT_CHUNK_ROWS, chunked_groups
+from tessera.operators.keyed import chunked_groups
 
 _R = "__r_"
 
@@ -70,31 +70,25 @@ def subtract_by_key(a: DataFrame, b: DataFrame, on: str | Sequence[str]) -> Data
     return join(a, b.select(*keys).distinct(), keys, "left_anti")
 
 
-def cartesian(a: DataFrame, b: DataFrame, broadcast_max_rows: int = 100_000) -> DataFrame:
+def cartesian(a: DataFrame, b: DataFrame) -> DataFrame:
     """All pairs of rows (the operator itself is the product).
 
-    The smaller side is broadcast only after its row count is checked
-    against ``broadcast_max_rows``; otherwise Spark's partitioned cartesian
-    product is used. Clashing names of ``b`` get a ``_2`` suffix.
+    Without a hint: Spark broadcasts a side that its statistics show to be
+    small in bytes, otherwise it runs its partitioned product. Clashing names
+    of ``b`` get a ``_2`` suffix.
     """
     rb = b.select(*[F.col(c).alias(c + "_2" if c in a.columns else c) for c in b.columns])
-    if rb.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
-        return a.crossJoin(F.broadcast(rb))
-    if a.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
-        return F.broadcast(a).crossJoin(rb)
     return a.crossJoin(rb)
 
 
-def cogroup(frames: Sequence[DataFrame], key: str = "k", value: str = "v",
-            chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def cogroup(frames: Sequence[DataFrame], key: str = "k", value: str = "v", *, chunk_rows: int) -> DataFrame:
     """n-way co-group: (k, chunk, values_0, …, values_{n-1}).
 
-    All inputs are tagged and unioned, then grouped **once** (one shuffle for
-    any n). A side without rows for a key gives an empty array; NULL values
+    All inputs are tagged and unioned, then grouped **once** for any n. A side without rows for a key gives an empty array; NULL values
     are kept. A key with more than ``chunk_rows`` values on one side is split
     into several rows (``chunk`` 0, 1, …) of at most ``chunk_rows`` values per
-    side, in value order, so no output row or task holds an unbounded group.
-    Keys below the limit have exactly one row with ``chunk`` 0.
+    side, so no output row or task holds an unbounded group. Keys below the
+    limit have exactly one row with ``chunk`` 0.
     """
     tagged = None
     for i, f in enumerate(frames):
@@ -108,6 +102,5 @@ def cogroup(frames: Sequence[DataFrame], key: str = "k", value: str = "v",
         ).alias(f"values_{i}")
         for i in range(len(frames))
     ]
-    out = chunked_groups(tagged, ["k"], ["v"], aggs, chunk_rows=chunk_rows,
-                         count_keys=["k", "__tag"])
+    out = chunked_groups(tagged, ["k"], "v", aggs, chunk_rows, side="__tag")
     return out.withColumnRenamed("k", key)

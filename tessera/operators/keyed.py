@@ -10,68 +10,53 @@ batches first and merge the per-partition combiners per key afterwards.
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, IntegerType, StructType, _parse_datatype_string
 
-DEFAULT_CHUNK_ROWS = 100_000
-MAX_HOT_KEYS = 1_000_000
+from tessera.functions.exprs import unit_hash
+from tessera.operators.agg import folded
 
+SLICE_SEED = 29
 
-def _ns_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, bcast: bool = True) -> DataFrame:
-    """Null-safe join on same-named keys; ``small`` is broadcast only when the
-    caller checked its size (``bcast``), otherwise both sides shuffle."""
-    s = small.select(*[F.col(k).alias("__h_" + k) for k in keys], *[c for c in small.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = big[k].eqNullSafe(s["__h_" + k])
-        cond = c if cond is None else cond & c
-    j = big.join(F.broadcast(s) if bcast else s, cond, how)
-    return j.drop(*["__h_" + k for k in keys]) if how not in ("left_anti", "left_semi") else j
-
-
-def chunked_groups(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], aggs: Sequence[Column],
-                   chunk_rows: int = DEFAULT_CHUNK_ROWS, count_keys: Sequence[str] | None = None,
-                   chunk_col: str = "chunk") -> DataFrame:
-    """``groupBy(keys).agg(aggs)`` with a ``chunk`` column; hot groups split.
-
-    1. count rows per ``count_keys`` (partial aggregate, key columns only);
-    2. keys above ``chunk_rows`` are *hot*: at most N / chunk_rows of them, and
-       the count is checked before they are broadcast;
-    3. cold rows: one ordinary grouping, ``chunk`` = 0;
-    4. hot rows: dense rank in (count_keys, order_cols) order on all tasks
-       (range partitioning splits a hot key across tasks), chunk =
-       (rank − first rank of the key) // chunk_rows, grouped by (keys, chunk).
-    The result is exact and does not depend on the partitioning.
+
+def chunked_groups(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column], chunk_rows: int,
+                   side: str | None = None, chunk_col: str = "chunk") -> DataFrame:
+    """``groupBy(keys).agg(aggs)`` with a ``chunk`` column; no group is larger
+    than ``chunk_rows`` values (on each side, if ``side`` names a column).
+
+    Lazy, one path for all keys:
+
+    1. count rows per key (partial aggregate) and join the count back; a hot
+       key is split there as in any skewed join;
+    2. a key with n values has s = ceil(n / chunk_rows) slices; a value's slice
+       is taken from its hash, so the slices of a hot key lie on many tasks;
+    3. inside a slice values are ranked; chunk = slice + s * (rank // chunk_rows).
+
+    A key with up to ``chunk_rows`` values has the one chunk 0. The result does
+    not depend on the partitioning.
     """
-    from tessera.operators.position import row_index
-
-    keys = list(keys)
-    count_keys = list(count_keys or keys)
-    counts = df.groupBy(*count_keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.where(F.col("__n") > F.lit(int(chunk_rows))).select(*keys).distinct()
-    n_hot = hot.count()
-    out_cols = [*keys, chunk_col]
-    if n_hot == 0:
-        g = df.groupBy(*keys).agg(*aggs)
-        return g.select(*keys, F.lit(0).alias(chunk_col), *[c for c in g.columns if c not in keys])
-    # the hot-key table is broadcast only below a checked size; beyond it the
-    # same joins run as ordinary shuffles (exact either way)
-    small = n_hot <= MAX_HOT_KEYS
-    cold = _ns_join(df, hot, keys, "left_anti", small)
-    hot_rows = _ns_join(df, hot, keys, "left_semi", small)
-    ranked = row_index(hot_rows, [*count_keys, *order_cols], index_col="__rank")
-    starts = ranked.groupBy(*count_keys).agg(F.min("__rank").alias("__start"))
-    ranked = _ns_join(ranked, starts, count_keys, "inner", small)
-    chunk = F.floor((F.col("__rank") - F.col("__start")) / F.lit(int(chunk_rows))).cast("int")
-    hot_out = ranked.groupBy(*keys, chunk.alias(chunk_col)).agg(*aggs)
-    cold_out = cold.groupBy(*keys).agg(*aggs)
-    cold_out = cold_out.select(*keys, F.lit(0).alias(chunk_col), *[c for c in cold_out.columns if c not in keys])
-    rest = [c for c in hot_out.columns if c not in out_cols]
-    return cold_out.unionByName(hot_out.select(*out_cols, *rest))
+    keys, by = list(keys), [side] if side else []
+    n = df.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("__n")).groupBy(*keys).agg(F.max("__n").alias("__n"))
+    n = n.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.ceil(F.col("__n") / F.lit(int(chunk_rows))).cast("int").alias("__slices"))
+    same = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+        same = c if same is None else same & c
+    u = unit_hash(F.coalesce(F.col(value).cast("string"), F.lit("")), seed=SLICE_SEED)
+    part = F.when(F.col("__slices") > 1, F.floor(u * F.col("__slices")).cast("int")).otherwise(F.lit(0))
+    rows = df.join(n, same).withColumn("__slice", part).repartition(*keys, "__slice")
+    rank = F.row_number().over(Window.partitionBy(*keys, "__slice", *by).orderBy(value))
+    rows = rows.withColumn("__sub", F.floor((rank - 1) / F.lit(int(chunk_rows))).cast("int"))
+    out = rows.groupBy(*keys, "__slice", "__sub").agg(F.max("__slices").alias("__slices"), *aggs)
+    chunk = (F.col("__slice") + F.col("__slices") * F.col("__sub")).cast("int").alias(chunk_col)
+    return out.select(*keys, chunk, *[c for c in out.columns if c not in (*keys, "__slice", "__sub", "__slices")])
 
 
 def _values_kept(v: str | Column) -> Column:
@@ -99,18 +84,27 @@ def reduce_by_key(df: DataFrame, op: str = "sum", k: str | Sequence[str] = "k",
 
 
 def fold_by_key(df: DataFrame, zero, op: str = "sum", k: str = "k", v: str = "v", out: str = "v") -> DataFrame:
-    """Reduce per key starting from a neutral ``zero`` (applied once)."""
-    agg = _OPS[op](v)
-    z = F.lit(zero)
-    comb = {"sum": agg + z, "product": agg * z, "min": F.least(agg, z), "max": F.greatest(agg, z)}.get(op, agg)
-    return df.groupBy(k).agg(comb.alias(out))
+    """Reduce per key from ``zero``, by the rule of ``agg.fold``: sum, product
+    and xor take their neutral element, the others any value."""
+    return df.groupBy(k).agg(folded(_OPS[op](v), zero, op).alias(out))
 
 
 def aggregate_by_key(df: DataFrame, k: str = "k", v: str = "v") -> DataFrame:
-    """(k, sum, count): the classic (zero, seqOp, combOp) example."""
+    """(k, sum, count) with built-in aggregates; ``aggregate_by_key_with`` takes any functions."""
     return df.groupBy(k).agg(F.sum(v).alias("sum"), F.count(F.lit(1)).alias("count"))
 
 
+def aggregate_by_key_with(df: DataFrame, zero, seq_op: Callable, comb_op: Callable, k: str = "k", v: str = "v",
+                          finish: Callable | None = None, out_type: str = "string") -> DataFrame:
+    """(k, result) for any (zero, seqOp, combOp) of Python functions."""
+    return combine_by_key(df, lambda x: seq_op(copy.deepcopy(zero), x), seq_op, comb_op, k, v, finish, out_type)
+
+
+def fold_by_key_with(df: DataFrame, zero, fn: Callable, k: str = "k", v: str = "v", out_type: str = "string") -> DataFrame:
+    """(k, result) of folding each key's values with a Python function from ``zero``."""
+    return aggregate_by_key_with(df, zero, fn, fn, k, v, None, out_type)
+
+
 def count_by_key(df: DataFrame, k: str | Sequence[str] = "k", out: str = "count") -> DataFrame:
     ks = [k] if isinstance(k, str) else list(k)
     return df.groupBy(*ks).agg(F.count(F.lit(1)).alias(out))
@@ -122,22 +116,21 @@ def last_value_by_key(df: DataFrame, order: str, k: str = "k", v: str = "v", out
     return df.groupBy(k).agg(F.max_by(v, order).alias(out))
 
 
-def group_by_key(df: DataFrame, k: str = "k", v: str = "v", sort_values: bool = True,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def group_by_key(df: DataFrame, k: str = "k", v: str = "v", *, chunk_rows: int, sort_values: bool = True) -> DataFrame:
     """(k, chunk, values): every value of the key, NULLs included.
 
-    Values are sorted within each row when ``sort_values``; keys with more
-    than ``chunk_rows`` values are split over several rows (see
-    ``chunked_groups``).
+    ``chunk_rows`` bounds the values of one row: what a task can hold. Values
+    are sorted within each row when ``sort_values``; keys with more values
+    have several rows (see ``chunked_groups``).
     """
     vals = _values_kept(v)
     if sort_values:
         vals = F.array_sort(vals)
-    return chunked_groups(df, [k], [v], [vals.alias("values")], chunk_rows=chunk_rows)
+    return chunked_groups(df, [k], v, [vals.alias("values")], chunk_rows)
 
 
 def group_by(df: DataFrame, key_expr: Column | str, value: str | Column | None = None,
-             key: str = "k", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+             key: str = "k", *, chunk_rows: int) -> DataFrame:
     """Group by a computed key; the values are the rows (or ``value``)."""
     e = key_expr if isinstance(key_expr, Column) else F.expr(key_expr)
     if value is None:
@@ -151,80 +144,103 @@ def group_by(df: DataFrame, key_expr: Column | str, value: str | Column | None =
 # generic combineByKey with user functions: Arrow partial + per-key merge
 # --------------------------------------------------------------------------
 
+def _canonical(x):
+    """A key as SQL grouping sees it: NaN equals NaN, -0.0 equals 0.0, hashable."""
+    if isinstance(x, float):
+        return "NaN" if x != x else x + 0.0
+    if isinstance(x, dict):
+        return tuple((n, _canonical(y)) for n, y in x.items())
+    if isinstance(x, (list, tuple)):
+        return tuple(map(_canonical, x))
+    return x
+
+
+def _plain_zero(x):
+    """The key with every -0.0 as 0.0, so that equal keys hash to one task."""
+    if isinstance(x, float):
+        return x + 0.0
+    if isinstance(x, dict):
+        return {n: _plain_zero(y) for n, y in x.items()}
+    return [_plain_zero(y) for y in x] if isinstance(x, list) else x
+
+
 def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge_combiners: Callable,
-                   k: str = "k", v: str = "v", finish: Callable | None = None,
-                   out_type: str = "string", max_keys_in_memory: int = 100_000) -> DataFrame:
+                   k: str | Sequence[str] = "k", v: str = "v", finish: Callable | None = None,
+                   out_type: str = "string", max_keys_in_memory: int = 100_000, salts: int = 16) -> DataFrame:
     """(k, result) for arbitrary Python combiner functions.
 
+    ``k`` is a column of any type that can be grouped (structs and arrays
+    included) or several columns. NULL, NaN and -0.0 keys group as in SQL.
+
     Step 1 (map side, ``mapInArrow``): each partition folds its rows into one
-    combiner per key — the map-side combine a built-in aggregate would do.
-    Step 2: the partial combiners are hash-partitioned on the key and sorted
-    inside partitions; one ``mapInArrow`` pass per partition merges each run
-    of equal keys (a key has at most a few partials per input partition, so
-    a hot key's run is bounded too) — no per-key Python call.
-    Combiners travel pickled in a binary column. The map-side table is
-    flushed whenever it holds ``max_keys_in_memory`` keys, so memory per task
-    stays bounded for any key cardinality (the merge step accepts several
-    partial combiners per key and partition).
+    combiner per key — the map-side combine a built-in aggregate would do. The
+    table is flushed whenever it holds ``max_keys_in_memory`` keys.
+    Step 2: partial combiners are partitioned on (key, salt), sorted, and each
+    run of equal keys is merged, so a key's partials from very many partitions
+    are first merged by ``salts`` tasks. Step 3: the same on the key alone.
     """
-    ktype = df.schema[k].dataType.simpleString()
+    names = [k] if isinstance(k, str) else list(k)
+    key = F.col(names[0]) if isinstance(k, str) else F.struct(*names)
+    rows = df.select(key.alias("k"), F.col(v).alias("v"))
+    partial_type = StructType().add("k", rows.schema["k"].dataType).add("s", IntegerType()).add("c", BinaryType())
+    result_type = StructType().add("k", rows.schema["k"].dataType).add("v", _parse_datatype_string(out_type))
+    partial_shape, result_shape = to_arrow_schema(partial_type), to_arrow_schema(result_type)
 
-    def emit(acc):
-        items = list(acc.items())
-        return pa.RecordBatch.from_pydict({
-            "k": [i[0] for i in items],
-            "c": [pickle.dumps(i[1]) for i in items],
-        })
+    def emit(items, salt):
+        return pa.RecordBatch.from_pydict({"k": [i[0] for i in items], "s": [salt] * len(items), "c": [pickle.dumps(i[1]) for i in items]}, schema=partial_shape)
 
     def partial(batches):
-        acc: dict = {}
+        from pyspark import TaskContext
+
+        salt, acc = TaskContext.get().partitionId() % salts, {}
         for b in batches:
-            ks = b.column(k).to_pylist()
-            vs = b.column(v).to_pylist()
-            for kk, vv in zip(ks, vs):
-                if kk in acc:
-                    acc[kk] = merge_value(acc[kk], vv)
+            for kk, vv in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True):
+                c = _canonical(kk)
+                if c in acc:
+                    acc[c] = (acc[c][0], merge_value(acc[c][1], vv))
                 else:
                     if len(acc) >= max_keys_in_memory:
-                        yield emit(acc)
+                        yield emit(list(acc.values()), salt)
                         acc = {}
-                    acc[kk] = create(vv)
+                    acc[c] = (_plain_zero(kk), create(vv))
         if acc:
-            yield emit(acc)
-
-    parts = df.select(F.col(k), F.col(v)).mapInArrow(partial, f"k {ktype}, c binary")
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out_schema = to_arrow_schema(_parse_datatype_string(f"k {ktype}, v {out_type}"))
-
-    def merge_runs(batches):
-        # rows arrive sorted by key: the combiners of one key are one run
-        keys_out, vals_out = [], []
-        cur, acc, have = None, None, False
-
-        def close():
-            keys_out.append(cur)
-            vals_out.append(finish(acc) if finish else acc)
+            yield emit(list(acc.values()), salt)
 
+    def runs(batches):
+        """(key, salt, combiner) of each run of equal keys; rows arrive sorted by key."""
+        current, held = None, None
         for b in batches:
-            for kk, blob in zip(b.column("k").to_pylist(), b.column("c").to_pylist()):
-                c = pickle.loads(blob)
-                if have and kk == cur:
-                    acc = merge_combiners(acc, c)
+            for kk, s, blob in zip(*(b.column(n).to_pylist() for n in ("k", "s", "c")), strict=True):
+                c, x = _canonical(kk), pickle.loads(blob)
+                if held is not None and c == current:
+                    held = (held[0], held[1], merge_combiners(held[2], x))
                     continue
-                if have:
-                    close()
-                cur, acc, have = kk, c, True
-            if len(keys_out) >= 8192:
-                yield pa.RecordBatch.from_pydict({"k": keys_out, "v": vals_out}, schema=out_schema)
-                keys_out, vals_out = [], []
-        if have:
-            close()
-        if keys_out:
-            yield pa.RecordBatch.from_pydict({"k": keys_out, "v": vals_out}, schema=out_schema)
-
-    # one shuffle on the key, then one Python pass per partition over sorted runs
-    merged = parts.repartition("k").sortWithinPartitions("k").mapInArrow(merge_runs, f"k {ktype}, v {out_type}")
-    return merged.withColumnRenamed("k", k)
+                if held is not None:
+                    yield held
+                current, held = c, (kk, s, x)
+        if held is not None:
+            yield held
+
+    def in_batches(rows, make):
+        out = []
+        for r in rows:
+            out.append(r)
+            if len(out) >= 8192:
+                yield make(out)
+                out = []
+        if out:
+            yield make(out)
+
+    def merge_salted(batches):
+        yield from in_batches(runs(batches), lambda rs: pa.RecordBatch.from_pydict({"k": [r[0] for r in rs], "s": [r[1] for r in rs], "c": [pickle.dumps(r[2]) for r in rs]}, schema=partial_shape))
+
+    def merge_last(batches):
+        value = finish or (lambda x: x)
+        yield from in_batches(runs(batches), lambda rs: pa.RecordBatch.from_pydict({"k": [r[0] for r in rs], "v": [value(r[2]) for r in rs]}, schema=result_shape))
+
+    parts = rows.mapInArrow(partial, partial_type)
+    parts = parts.repartition("k", "s").sortWithinPartitions("k", "s").mapInArrow(merge_salted, partial_type)
+    merged = parts.repartition("k").sortWithinPartitions("k").mapInArrow(merge_last, result_type)
+    if isinstance(k, str):
+        return merged.withColumnRenamed("k", k)
+    return merged.select("k.*", "v")

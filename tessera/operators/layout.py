@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 ArrowFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -34,11 +36,21 @@ def map_partitions_with_index(df: DataFrame, fn: Callable[[int, Iterator[pa.Reco
 def glom(df: DataFrame, out: str = "rows") -> DataFrame:
     """One row per partition: (partition, array of its rows in order).
 
-    The partial aggregate runs inside each task (a partition is already one
-    task's data), so the exchange carries one row per partition.
+    Built by the task that reads the partition, without a shuffle; an empty
+    partition gives an empty array.
     """
-    pid = F.spark_partition_id()
-    return df.groupBy(pid.alias("partition")).agg(F.collect_list(F.struct(*df.columns)).alias(out))
+    shape = StructType([StructField("partition", IntegerType()), StructField(out, ArrayType(df.schema))])
+    names = list(df.columns)
+
+    def gather(batches):
+        batches = list(batches)
+        rows = [pa.StructArray.from_arrays(b.columns, names=names) for b in batches]
+        values = pa.concat_arrays(rows) if rows else pa.array([], pa.struct([]))
+        one = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values) if len(values) else pa.array([[]], arrow_shape.field(out).type)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), one.cast(arrow_shape.field(out).type)], names=["partition", out])
+
+    arrow_shape = to_arrow_schema(shape)
+    return df.mapInArrow(gather, shape)
 
 
 def partition_profile(df: DataFrame) -> DataFrame:
@@ -47,6 +59,7 @@ def partition_profile(df: DataFrame) -> DataFrame:
 
 
 def num_partitions(df: DataFrame) -> int:
+    """Number of partitions, an action: adaptive plans run their shuffles to know it."""
     return df.rdd.getNumPartitions()
 
 
@@ -80,79 +93,14 @@ def coalesce(df: DataFrame, n: int) -> DataFrame:
     return df.coalesce(int(n))
 
 
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate, or None when it has none."""
-    try:
-        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
-    return None if est >= (1 << 62) else est
-
-
-def balance(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Spread a small frame read by fewer tasks than there are slots (e.g. a
-    small file with one row group); otherwise return it unchanged.
-
-    Only frames estimated at ``max_bytes`` or less are spread — there the
-    round-robin shuffle is cheap. Large inputs, with their many splits, are
-    never reshuffled for this.
-    """
-    spark = df.sparkSession
-    target = int(min_partitions or spark.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    est = _estimated_bytes(df)
-    if est is not None and est > max_bytes:
-        return df
-    return df.repartition(target)
-
-
-MAX_RANGE_PARTITIONS = 200_000
-_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
-          "t": 1 << 40, "tb": 1 << 40}
-
-
-def _bytes(text: str) -> int:
-    t = text.strip().lower()
-    digits = "".join(ch for ch in t if ch.isdigit())
-    unit = t[len(digits):].strip() or "b"
-    return int(digits) * _UNITS.get(unit, 1)
-
-
-def target_partitions(df: DataFrame) -> int:
-    """Partition count for a shuffle of ``df`` whose count AQE will not
-    change (range partitioning with an explicit number).
-
-    The optimizer's size estimate divided by the advisory partition size
-    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), never below
-    ``spark.sql.shuffle.partitions``: a 100 TB sort gets enough partitions
-    for each task to sort ~one advisory unit, a small frame keeps the
-    configured count.
-    """
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        unit = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-        unknown = int(str(spark.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1))).rstrip("bB"))
-    except Exception:  # noqa: BLE001 — no estimate: keep the configured count
-        return base
-    if est >= unknown or est >= (1 << 62):  # the optimizer has no real estimate
-        return base
-    return int(max(base, min(MAX_RANGE_PARTITIONS, -(-est // max(unit, 1)))))
-
-
 def write_bucketed(df: DataFrame, table: str, n: int, *keys: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed (and sorted) by ``keys`` into ``n``
     buckets under the shared folder, and return it.
 
     Two tables bucketed the same way on their join keys join without a
     shuffle in any later job — the cross-job form of "skip the shuffle when
-    the partitioner is equal". The table lives in the session catalog; its
-    files live in the shared checkpoint folder.
+    the partitioner is equal". The files live in the shared checkpoint folder and stay, while the name is
+    dropped again: the returned frame knows files and buckets.
     """
     from tessera.session import shared_dir
 
@@ -160,4 +108,6 @@ def write_bucketed(df: DataFrame, table: str, n: int, *keys: str, path: str | No
     where = path or shared_dir(spark, f"bucketed-{table}")
     (df.write.mode("overwrite").bucketBy(int(n), *keys).sortBy(*keys)
      .option("path", where).saveAsTable(table))
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: only the name goes
+    return out

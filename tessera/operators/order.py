@@ -1,7 +1,7 @@
 """Sorting, limits and top-k.
 
 Global sorts are range-partitioned by Spark (sampled bounds) and sorted
-inside partitions. The input position is appended to the sort key, so a key
+inside partitions; adaptive execution merges small ranges. The input position is appended to the sort key, so a key
 shared by a third of the rows is still spread over many range partitions,
 and equal keys keep their input order (a stable sort).
 
@@ -62,21 +62,28 @@ def take_ordered(df: DataFrame, n: int, keys: Sequence[str | Column]) -> DataFra
 
 
 def take(df: DataFrame, n: int) -> DataFrame:
-    """First n rows in partition order (incremental scan as for the RDD)."""
+    """First n rows in partition order.
+
+    Collected, this scans partition after partition until it has n rows; as
+    part of a larger plan every partition offers its first n rows.
+    """
     return df.limit(int(n))
 
 
 def first(df: DataFrame, order: Sequence[str | Column] | None = None, strict: bool = False) -> DataFrame:
     """First row (in ``order`` if given); ``strict`` raises on empty input."""
     out = (df.orderBy(*_order(order, True)) if order else df).limit(1)
-    if strict and out.count() == 0:
-        raise ValueError("RDD is empty")
+    if strict and out.isEmpty():
+        raise ValueError("there is no first row in an empty frame")
     return out
 
 
 def is_empty(df: DataFrame, out: str = "is_empty") -> DataFrame:
-    """One row: whether the frame has no row (reads at most one row)."""
-    return df.limit(1).agg((F.count(F.lit(1)) == 0).alias(out))
+    """One row: whether the frame has no row.
+
+    An action: it looks for one row, in more partitions each time it finds none.
+    """
+    return df.sparkSession.range(1).select(F.lit(df.isEmpty()).alias(out))
 
 
 def _sorted(x: DataFrame, keys: list[str], ascending: bool, index_col: str | None,

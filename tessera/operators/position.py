@@ -2,28 +2,27 @@
 
 A dense 0..N-1 index is computed without a one-task window:
 
-1. every row gets ``monotonically_increasing_id()`` = (partition << 33) + its
-   position inside the partition (no shuffle, evaluated in codegen);
+1. the (sorted) rows are written once to the shared folder, each with
+   ``monotonically_increasing_id()`` = (partition << 33) + its position inside
+   the partition; both passes then read the same layout, whatever a caller
+   keeps of it and whichever executors are lost;
 2. rows are counted per partition — a table of at most #partitions rows;
 3. a running sum over that small table gives each partition's offset;
 4. the offsets are broadcast (their size is the partition count, a proven
    bound) and added to the in-partition position.
 
-Both branches must see one partition layout. Spark seeds its range sampler
-per RDD, so two separate range shuffles of the same rows can draw different
-bounds; the range-partitioned frame is therefore persisted once and both
-branches scan it (``release_cached`` frees it). An input-order index needs
-no shuffle: both branches scan the same files, which split the same way.
+The write is the operator's own first pass; nothing stays persisted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 _LOCAL_MASK = (1 << 33) - 1
 _IN = "__tessera_in"
 _POS = "__tessera_pos"
@@ -31,9 +30,6 @@ _PID = "__tessera_pid"
 _N = "__tessera_n"
 _OFF = "__tessera_off"
 
-# range-partitioned frames persisted by row_index (see release_cached)
-_CACHED: list[DataFrame] = []
-
 
 def _sort_col(c: str | Column, ascending: bool = True) -> Column:
     if isinstance(c, Column):
@@ -41,11 +37,20 @@ def _sort_col(c: str | Column, ascending: bool = True) -> Column:
     return F.asc_nulls_first(c) if ascending else F.desc_nulls_last(c)
 
 
-def _offsets(counted: DataFrame) -> DataFrame:
-    """Rows per partition → (partition, rows before it): #partitions rows."""
-    counts = counted.groupBy(F.spark_partition_id().alias(_PID)).agg(F.count(F.lit(1)).alias(_N))
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with each row's place (``_POS``), written once and read back."""
+    path = shared_dir(df.sparkSession, "layout")
+    x = df.withColumn(_POS, F.monotonically_increasing_id())
+    x.write.parquet(path)
+    return df.sparkSession.read.schema(x.schema).parquet(path)
+
+
+def _offsets(numbered: DataFrame) -> DataFrame:
+    """Rows per partition → (partition, rows before it, rows): #partitions rows."""
+    pid = F.shiftright(F.col(_POS), 33).cast("int")
+    counts = numbered.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias(_N))
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(_PID, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
+    return counts.select(_PID, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF), _N)
 
 
 def _with_offsets(x: DataFrame, offsets: DataFrame, index_col: str) -> DataFrame:
@@ -58,90 +63,79 @@ def _with_offsets(x: DataFrame, offsets: DataFrame, index_col: str) -> DataFrame
     return joined.select(idx.alias(index_col), *[x[c] for c in keep])
 
 
-def zip_with_index(df: DataFrame, index_col: str = "idx", stable_input: bool = True) -> DataFrame:
+def zip_with_index(df: DataFrame, index_col: str = "idx", stable_input: bool = False) -> DataFrame:
     """0-based dense index in partition order (the input's own order).
 
-    No shuffle: one extra counting pass over the input, as the RDD version.
-    Both passes must see the same partitions — true for a file scan and for
-    narrow operations on it. For an input that itself ends in a shuffle,
-    pass ``stable_input=False``: the input is persisted once and both passes
-    scan that (``release_cached`` frees it).
+    The input is written once, so that both passes see the same rows in the
+    same places. ``stable_input=True`` leaves that out: only for a file scan
+    and narrow operations on it, whose partitions are the same in any plan.
     """
     if not stable_input:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHED.append(df)
+        x = _numbered(df)
+        return _with_offsets(x, _offsets(x), index_col)
     x = df.withColumn(_POS, F.monotonically_increasing_id())
-    return _with_offsets(x, _offsets(df), index_col)
+    return _with_offsets(x, _offsets(x), index_col)
 
 
-def _range_exchange(df: DataFrame, order_by: Sequence[str | Column], ascending: bool,
-                    num_partitions: int | None) -> tuple[DataFrame, list[Column]]:
-    from tessera.operators.layout import target_partitions
+def sorted_partitions(df: DataFrame, order_by: Sequence[str | Column], ascending: bool = True,
+                      num_partitions: int | None = None) -> DataFrame:
+    """Globally sorted frame; ties keep their input order.
 
-    order = [_sort_col(c, ascending) for c in order_by]
+    A range exchange of ``spark.sql.shuffle.partitions`` ranges, which
+    adaptive execution merges where they are small. The input position is the
+    last sort key, so a key that a third of the rows share is cut into many
+    ranges. With ``num_partitions`` that many ranges are kept.
+    """
+    keys = [_sort_col(c, ascending) for c in order_by]
     x = df.withColumn(_IN, F.monotonically_increasing_id())
-    keys = order + [F.col(_IN).asc()]
-    # an explicit count sized from the data estimate (AQE keeps it as is)
-    n = int(num_partitions) if num_partitions else target_partitions(df)
-    return x.repartitionByRange(n, *keys), keys
+    keys.append(F.col(_IN).asc())
+    if num_partitions:
+        return x.repartitionByRange(int(num_partitions), *keys).sortWithinPartitions(*keys)
+    return x.orderBy(*keys)
 
 
-def sorted_partitions(df: DataFrame, order_by: Sequence[str | Column], ascending: bool = True,
-                      num_partitions: int | None = None) -> DataFrame:
-    """Range-partition by the order (plus input position) and sort inside."""
-    x, keys = _range_exchange(df, order_by, ascending, num_partitions)
-    return x.sortWithinPartitions(*keys)
+def _indexed(df: DataFrame, order_by: Sequence[str | Column], ascending: bool, index_col: str,
+             num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    x = _numbered(sorted_partitions(df, order_by, ascending, num_partitions))
+    offsets = _offsets(x)
+    return _with_offsets(x, offsets, index_col), offsets
 
 
 def row_index(df: DataFrame, order_by: Sequence[str | Column], ascending: bool = True,
               index_col: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """Dense rank 0..N-1 of every row in the given order (ties: input order).
 
-    Equals ``row_number() over (order by ...) - 1`` but runs on all tasks.
-    The counting branch reads the same range exchange (reused, not
-    recomputed) without sorting it.
+    Equals ``row_number() over (order by ...) - 1`` but runs on all tasks: one
+    sort, whose ranges are written once, then a map over them.
     """
-    ex, keys = _range_exchange(df, order_by, ascending, num_partitions)
-    # one layout for both branches: the range-partitioned rows are persisted,
-    # so counting and numbering scan the same blocks whatever columns a
-    # caller keeps (a lost block is recomputed from the same shuffle and the
-    # same sampled bounds)
-    ex = ex.persist(StorageLevel.MEMORY_AND_DISK)
-    _CACHED.append(ex)
-    x = ex.sortWithinPartitions(*keys).withColumn(_POS, F.monotonically_increasing_id())
-    return _with_offsets(x, _offsets(ex), index_col)
-
-
-def release_cached() -> int:
-    """Unpersist the range-partitioned frames kept by ``row_index``; call when
-    the indexed results are no longer needed. Returns how many were freed."""
-    n = len(_CACHED)
-    while _CACHED:
-        _CACHED.pop().unpersist()
-    return n
+    return _indexed(df, order_by, ascending, index_col, num_partitions)[0]
 
 
 def zip_with_unique_id(df: DataFrame, id_col: str = "uid") -> DataFrame:
-    """Unique id ``position * n + partition`` without any job (n = partitions)."""
-    n = df.rdd.getNumPartitions()
-    pos = F.monotonically_increasing_id()
-    pid = F.shiftright(pos, 33)
+    """Unique id ``position * n + partition`` (n = partitions), without a shuffle.
+
+    Places and n come from one layout of the input, written once.
+    """
+    x = _numbered(df)
+    pos = F.col(_POS)
+    n = (x.agg(F.max(F.shiftright(pos, 33))).first()[0] or 0) + 1
     local = pos.bitwiseAND(F.lit(_LOCAL_MASK))
-    return df.select((local * F.lit(n) + pid).cast("long").alias(id_col), *df.columns)
+    return x.select((local * F.lit(n) + F.shiftright(pos, 33)).cast("long").alias(id_col), *[x[c] for c in df.columns])
 
 
 def zip_frames(a: DataFrame, b: DataFrame, a_order: Sequence[str | Column],
                b_order: Sequence[str | Column], check: bool = True) -> DataFrame:
     """Pair rows of two frames by position in the given orders.
 
-    Both sides are indexed in parallel and joined on the index (a shuffle on
-    a unique key: no skew). Sizes must match, as for the RDD zip.
+    Both sides are indexed and joined on the index (a shuffle on a unique key:
+    no skew). Sizes must match, as for the RDD zip; they are sums of the
+    partition counts that the indexes need anyway.
     """
-    ia = row_index(a, a_order, index_col="__zip_i")
-    ib = row_index(b, b_order, index_col="__zip_i")
+    ia, na = _indexed(a, a_order, True, "__zip_i")
+    ib, nb = _indexed(b, b_order, True, "__zip_i")
     rb = ib.select([F.col("__zip_i")] + [F.col(c).alias(f"{c}_2" if c in a.columns else c) for c in b.columns])
     if check:
-        na, nb = a.count(), b.count()
-        if na != nb:
-            raise ValueError(f"can only zip frames of equal size ({na} != {nb})")
+        sizes = [n.agg(F.sum(_N)).first()[0] or 0 for n in (na, nb)]
+        if sizes[0] != sizes[1]:
+            raise ValueError(f"can only zip frames of equal size ({sizes[0]} != {sizes[1]})")
     return ia.join(rb, "__zip_i", "inner").withColumnRenamed("__zip_i", "idx")

@@ -9,6 +9,7 @@ Python function is accepted only through Arrow-batched paths
 
 from __future__ import annotations
 
+import shlex
 import subprocess
 import threading
 from collections.abc import Iterator, Sequence
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import col
 
+#: Output rows after which a table function hands over a batch.
+FLUSH_ROWS = 10_000
+
 
 def _as_cols(exprs) -> list[Column]:
     out = []
@@ -104,15 +108,20 @@ def flat_map_with(df: DataFrame, fn, schema: str) -> DataFrame:
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
     names = arrow_schema.names
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)), schema=arrow_schema)
+
     def run(batches):
         for b in batches:
-            out = {n: [] for n in names}
+            out = []
             for row in b.to_pylist():
                 for o in fn(row):
-                    for n, x in zip(names, o):
-                        out[n].append(x)
-            if out[names[0]]:
-                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+                    out.append(o)
+                    if len(out) >= FLUSH_ROWS:
+                        yield batch_of(out)
+                        out = []
+            if out:
+                yield batch_of(out)
 
     return df.mapInArrow(run, schema)
 
@@ -168,7 +177,7 @@ def pipe(df: DataFrame, command: str | list[str], column: str = "value", env: di
     NULL is written as an empty line. A non-zero exit status fails the task
     (and Spark retries it), instead of being ignored.
     """
-    cmd = command.split() if isinstance(command, str) else list(command)
+    cmd = shlex.split(command) if isinstance(command, str) else list(command)
     src = df.select(F.col(column).cast("string").alias(column))
     return src.mapInArrow(_pipe_partition(cmd, column, env), "value string")
 

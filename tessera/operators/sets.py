@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Bag union: duplicates kept (no shuffle)."""
-    return a.unionByName(b)
+    """Bag union by position, duplicates kept (no shuffle); names are those of ``a``."""
+    return a.union(b)
 
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows present in both (NULL equals NULL).
 
-    Both sides are de-duplicated with partial aggregation before the semi
-    join, so a row repeated a billion times costs one row per task.
+    Spark plans a semi join and one aggregate; the right side is reduced to
+    its distinct rows first, so that a hot row there meets the left side once.
     """
-    return a.distinct().intersect(b.distinct())
+    return a.intersect(b.distinct())
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,18 +1,16 @@
 """k-means clustering.
 
-Per round only k x d numbers come back to the driver; the points stay
-persisted in the executors. Two interchangeable assignment paths:
-
-* ``sql``   — squared distances as column expressions (JVM, checked by the
-  SQL oracle); the centres travel inside the plan as literals (k x d, a
-  parameter-sized bound).
-* ``arrow`` — ``mapInArrow`` + numpy over Arrow batches, emitting per-task
-  partial sums (cluster, count, Σ point) — the map-side combine done by
-  hand — for high-dimensional data.
-
-Both use the rule of the CPU program: squared Euclidean distance over all
-dimensions, strict ``<`` so the lowest centre index wins a tie, and a point
-whose distances are all NaN goes to centre 0.
+Points are assigned and summed in Arrow batches with numpy: a batch is taken
+in blocks of a bounded number of bytes, centre after centre, so memory doesn't
+grow with the number of centres. Each task emits one (cluster, count, sums)
+row per cluster it met; per round one row per cluster comes back to the
+driver. Centres go out as one broadcast variable per round (k x d numbers, a
+bound set by the parameters).
+
+Rule: squared Euclidean distance over all dimensions, strict ``<`` so the
+lowest centre index wins a tie, and a point whose distances are all NaN goes
+to centre 0. A NULL vector belongs to no cluster. ``nearest_center`` is the
+same rule as a column expression.
 """
 
 from __future__ import annotations
@@ -28,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions.exprs import unit_hash
-from tessera.operators.layout import balance
+
+#: Bytes of points that are compared with a centre at once.
+BLOCK_BYTES = 4 << 20
 
 
 def as_points(df: DataFrame, vector_col: str, id_col: str | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def centers_literal(centers: list[list[float]]) -> Column:
 
 
 def nearest_center(p: Column, centers: list[list[float]]) -> Column:
-    """Index of the closest centre (ties → lowest index; NaN point → 0).
+    """Index of the closest centre (ties → lowest index; NaN point → 0; NULL → NULL).
 
     Σ_d (p[d] - c[d])² is folded left to right; the minimum of the
     (distance, index) structs takes the lowest index on a tie and ranks NaN
@@ -59,88 +59,88 @@ def nearest_center(p: Column, centers: list[list[float]]) -> Column:
         sq = F.zip_with(p, c, lambda a, b: (a - b) * (a - b))
         return F.struct(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x).alias("d"), i.alias("i"))
 
-    return F.array_min(F.transform(centers_literal(centers), dist))["i"]
+    return F.when(p.isNotNull(), F.array_min(F.transform(centers_literal(centers), dist))["i"])
 
 
 def assign_sql(points: DataFrame, centers: list[list[float]], out: str = "cluster") -> DataFrame:
     return points.withColumn(out, nearest_center(F.col("p"), centers))
 
 
-def _cluster_sums_sql(points: DataFrame, centers: list[list[float]], dim: int) -> DataFrame:
-    """(cluster, dim, s, n): per-cluster coordinate sums in long form.
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """The non-null vectors of a batch, as a matrix."""
+    column = column.drop_null()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(column) * dim:
+        raise ValueError(f"every point must have {dim} coordinates")
+    return flat.reshape(len(column), dim)
+
+
+def _nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Index of the closest centre of each point, in blocks of bounded size."""
+    out = np.zeros(len(points), np.int64)
+    rows = max(1, BLOCK_BYTES // (8 * centers.shape[1]))
+    for a in range(0, len(points), rows):
+        block = points[a : a + rows]
+        best = np.full(len(block), np.inf)
+        for j, c in enumerate(centers):
+            d = block - c
+            d *= d
+            d = d.sum(axis=1)
+            closer = d < best
+            best[closer] = d[closer]
+            out[a : a + rows][closer] = j
+    return out
 
-    posexplode + partial aggregation: each task sends at most k x d rows,
-    and the plan has the same size for any dimension.
-    """
-    a = assign_sql(points, centers)
-    e = a.select("cluster", F.posexplode("p").alias("dim", "x"))
-    return e.groupBy("cluster", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
 
+def assign_arrow(points: DataFrame, centers: list[list[float]], out: str = "cluster") -> DataFrame:
+    """Arrow/numpy assignment keeping all input columns."""
+    c = np.asarray(centers, dtype=np.float64)
+    schema = StructType(list(points.schema.fields) + [StructField(out, IntegerType())])
 
-BROADCAST_CENTERS_ABOVE = 50_000  # numbers; smaller tables ride in the task closure
+    def part(batches):
+        for b in batches:
+            column = b.column("p")
+            known = np.flatnonzero(np.asarray(column.is_valid()))
+            nearest = np.zeros(len(column), np.int32)
+            nearest[known] = _nearest(_vectors(column, c.shape[1]), c)
+            mask = np.ones(len(column), bool)
+            mask[known] = False
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest, pa.int32(), mask=mask)], names=[*b.schema.names, out])
 
+    return points.mapInArrow(part, schema)
 
-def _centers_handle(points: DataFrame, C: np.ndarray):
-    """Small centre tables travel in the closure; large ones as one broadcast
-    variable per round (k x d numbers, a parameter-sized bound)."""
-    if C.size > BROADCAST_CENTERS_ABOVE:
-        b = points.sparkSession.sparkContext.broadcast(C)
-        return (lambda: b.value), b
-    return (lambda: C), None
 
+def cluster_sums(points: DataFrame, centers: list[list[float]], handle=None) -> DataFrame:
+    """(cluster, n, s): points and coordinate sums of every cluster that has points.
 
-def _cluster_sums_arrow(points: DataFrame, centers: list[list[float]], dim: int, handle=None) -> DataFrame:
-    C0 = np.asarray(centers, dtype=np.float64)
-    k = C0.shape[0]
-    get = handle or (lambda: C0)
+    ``handle``: a broadcast variable of the centres, otherwise they travel
+    with the task. A task emits one row per cluster, with its sums as an array.
+    """
+    own = None if handle else np.asarray(centers, dtype=np.float64)
 
     def part(batches):
-        C = get()
-        n = np.zeros(k, dtype=np.int64)
-        s = np.zeros((k, dim), dtype=np.float64)
+        c = handle.value if handle else own
+        n, s = np.zeros(len(c), np.int64), np.zeros(c.shape)
         for b in batches:
-            col = b.column("p")
-            if len(col) == 0:
+            p = _vectors(b.column("p"), c.shape[1])
+            if not len(p):
                 continue
-            flat = col.flatten().to_numpy(zero_copy_only=False)
-            P = flat.reshape(len(col), dim)
-            D = ((P[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-            D = np.where(np.isnan(D), np.inf, D)
-            idx = np.argmin(D, axis=1)
-            n += np.bincount(idx, minlength=k)
-            np.add.at(s, idx, P)
-        nz = np.nonzero(n)[0]
-        if len(nz):
-            yield pa.RecordBatch.from_pydict({
-                "cluster": pa.array(np.repeat(nz, dim).astype(np.int32)),
-                "dim": pa.array(np.tile(np.arange(dim, dtype=np.int32), len(nz))),
-                "s": pa.array(s[nz].reshape(-1)),
-                "n": pa.array(np.repeat(n[nz], dim)),
-            })
-
-    partial = points.select("p").mapInArrow(part, "cluster int, dim int, s double, n long")
-    return partial.groupBy("cluster", "dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-
-
-def assign_arrow(points: DataFrame, centers: list[list[float]], out: str = "cluster") -> DataFrame:
-    """Arrow/numpy assignment keeping all input columns."""
-    C = np.asarray(centers, dtype=np.float64)
-    schema = StructType(list(points.schema.fields) + [StructField(out, IntegerType())])
-
-    def part(batches):
-        for b in batches:
-            col = b.column("p")
-            dim = C.shape[1]
-            if len(col):
-                P = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), dim)
-                D = ((P[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-                D = np.where(np.isnan(D), np.inf, D)
-                idx = np.argmin(D, axis=1).astype(np.int32)
-            else:
-                idx = np.zeros(0, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(idx)], names=list(b.schema.names) + [out])
-
-    return points.mapInArrow(part, schema)
+            nearest = _nearest(p, c)
+            order = np.argsort(nearest, kind="stable")
+            at, starts, counts = np.unique(nearest[order], return_index=True, return_counts=True)
+            n[at] += counts
+            rows = max(1, BLOCK_BYTES // (8 * c.shape[1]))
+            for j, a, k in zip(at, starts, counts, strict=True):
+                for first in range(a, a + k, rows):
+                    s[j] += p[order[first : min(first + rows, a + k)]].sum(axis=0)
+        met = np.flatnonzero(n)
+        if len(met):
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(n[met]), pa.array(list(s[met]), pa.list_(pa.float64()))], names=["cluster", "n", "s"])
+
+    partial = points.select("p").mapInArrow(part, "cluster int, n long, s array<double>")
+    sums = partial.select("cluster", "n", F.posexplode("s").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    whole = sums.groupBy("cluster").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("s"))
+    return whole.select("cluster", "n", F.col("s.x").alias("s"))
 
 
 @dataclass
@@ -154,54 +154,43 @@ class KMeansResult:
 
 def initial_centers(points: DataFrame, k: int, key: str, seed: int = 1) -> list[list[float]]:
     """k distinct points, uniformly by hash of the key (bounded heap of k)."""
-    rows = (points.withColumn("__h", unit_hash(key, seed=seed))
+    rows = (points.where(F.col("p").isNotNull()).withColumn("__h", unit_hash(key, seed=seed))
             .orderBy("__h", key).limit(int(k)).select("p").collect())
     return [list(r["p"]) for r in rows]
 
 
-def kmeans_step(points: DataFrame, centers: list[list[float]], path: str = "sql"):
+def kmeans_step(points: DataFrame, centers: list[list[float]]):
     """One round: new centres (empty cluster keeps its centre), squared move, sizes."""
-    dim = len(centers[0])
-    if path == "auto":
-        path = "arrow" if len(centers) * dim > 10_000 else "sql"
-    bvar = None
-    if path == "sql":
-        sums = _cluster_sums_sql(points, centers, dim)
-    else:
-        get, bvar = _centers_handle(points, np.asarray(centers, dtype=np.float64))
-        sums = _cluster_sums_arrow(points, centers, dim, get)
+    new, sizes = np.array(centers, dtype=np.float64), [0] * len(centers)
+    handle = points.sparkSession.sparkContext.broadcast(new.copy())
     try:
-        rows = sums.collect()  # at most k x d rows
+        rows = cluster_sums(points, centers, handle).collect()  # one row per cluster
     finally:
-        if bvar is not None:
-            bvar.destroy()
-    acc: dict[int, list[float]] = {}
-    sizes = [0] * len(centers)
+        handle.destroy()
     for r in rows:
-        c = acc.setdefault(r["cluster"], [0.0] * dim)
-        c[r["dim"]] = r["s"] / r["n"]
+        new[r["cluster"]] = np.asarray(r["s"]) / r["n"]
         sizes[r["cluster"]] = r["n"]
-    new = [list(c) for c in centers]
-    move = 0.0
-    for i, c in acc.items():
-        move += float(np.sum((np.asarray(centers[i]) - np.asarray(c)) ** 2))
-        new[i] = c
-    return new, move, sizes
+    move = float(((new - np.asarray(centers)) ** 2).sum())
+    return new.tolist(), move, sizes
 
 
 def kmeans(points: DataFrame, k: int, converge_dist: float, key: str | None = None, seed: int = 1,
-           max_iter: int = 100, path: str = "sql", init: list[list[float]] | None = None) -> KMeansResult:
-    """Lloyd iterations until the total squared centre move ≤ converge_dist
-    (at least one round, at most ``max_iter``)."""
-    pts = balance(points).persist(StorageLevel.MEMORY_AND_DISK)
+           max_iter: int | None = None, init: list[list[float]] | None = None) -> KMeansResult:
+    """Lloyd iterations until the total squared centre move ≤ converge_dist.
+
+    At least one round; ``max_iter`` stops earlier if given. Sums of many
+    tasks round differently from round to round, so ``converge_dist`` should
+    be a little above 0 (1e-12 of squared coordinate units, say).
+    """
+    pts = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centers = init or initial_centers(pts, k, key or "p", seed)
         if len(centers) < k:
             raise ValueError(f"only {len(centers)} points for k={k}")
         moves, rounds, sizes = [], 0, []
         dist = float("inf")
-        while dist > converge_dist and rounds < max_iter:
-            centers, dist, sizes = kmeans_step(pts, centers, path)
+        while dist > converge_dist and (max_iter is None or rounds < max_iter):
+            centers, dist, sizes = kmeans_step(pts, centers)
             moves.append(dist)
             rounds += 1
         return KMeansResult(centers, rounds, dist <= converge_dist, moves, sizes)
@@ -212,11 +201,7 @@ def kmeans(points: DataFrame, k: int, converge_dist: float, key: str | None = No
 def step_frame(points: DataFrame, centers: list[list[float]]) -> DataFrame:
     """One update as a frame: (cluster, dim, value) for all k centres; a
     cluster without points keeps its centre. Lazy — no driver round trip."""
-    dim = len(centers[0])
-    sums = _cluster_sums_sql(points, centers, dim)
-    means = sums.select("cluster", "dim", (F.col("s") / F.col("n")).alias("value"))
-    spark = points.sparkSession
-    old = spark.createDataFrame([(i, d, float(x)) for i, c in enumerate(centers) for d, x in enumerate(c)],
-                                "cluster int, dim int, value double")
-    kept = old.join(sums.select("cluster").distinct(), "cluster", "left_anti")
-    return means.unionByName(kept)
+    sums = cluster_sums(points, centers)
+    old = points.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster int, c array<double>")
+    new = F.coalesce(F.transform("s", lambda x: x / F.col("n")), F.col("c"))
+    return old.join(sums, "cluster", "left").select("cluster", F.posexplode(new).alias("dim", "value"))

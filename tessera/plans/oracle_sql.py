@@ -16,4 +16,15 @@ FROM documents WHERE text <> ''
 def unit_hash_sql(*parts: str, seed: int = 0) -> str:
     """DuckDB twin of ``tessera.functions.exprs.unit_hash``."""
     cat = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(('0x' || substr(md5({cat} || '|{seed}'), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5({cat} || '|{seed}'), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def chunks_sql(table: str, k: str, v: str, chunk_rows: int, side: str | None = None) -> str:
+    """CTEs ending in ``r``: the rows of ``table`` with their ``chunk`` (twin of ``chunked_groups``)."""
+    by = f", {side}" if side else ""
+    u = unit_hash_sql(v, seed=29)
+    return f"""n0 AS (SELECT {k}{by}, count(*) AS n FROM {table} GROUP BY {k}{by}),
+n1 AS (SELECT {k} AS nk, CAST(ceil(max(n) / {chunk_rows}.0) AS BIGINT) AS slices FROM n0 GROUP BY {k}),
+s AS (SELECT {table}.*, slices, CASE WHEN slices > 1 THEN CAST(floor({u} * slices) AS BIGINT) ELSE 0 END AS slice
+      FROM {table} JOIN n1 ON {k} IS NOT DISTINCT FROM nk),
+r AS (SELECT *, slice + slices * ((row_number() OVER (PARTITION BY {k}, slice{by} ORDER BY {v}) - 1) // {chunk_rows}) AS chunk FROM s)"""

@@ -217,3 +217,21 @@ FROM b LEFT JOIN c USING (bucket)
 """)
 def agg_histogram_strings(spark, sf_dir):
     return histogram.histogram_edges(load(spark, sf_dir, "customer"), "c_mktsegment", STRING_EDGES)
+
+
+@register("agg_tree_reduce_udf", oracle="""
+SELECT max(l_orderkey * 10 + l_linenumber) AS value FROM lineitem
+""")
+def agg_tree_reduce_udf(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("x"))
+    return agg.reduce_with(li, "x", max, "value long", depth=3, fan_in=4)
+
+
+@register("agg_tree_aggregate_udf", oracle="""
+SELECT CAST(sum(l_linenumber) AS BIGINT) AS total, count(*) AS n, max(l_linenumber) AS hi FROM lineitem
+""")
+def agg_tree_aggregate_udf(spark, sf_dir):
+    return agg.aggregate_with(load(spark, sf_dir, "lineitem"), "l_linenumber", (0, 0, 0),
+                              lambda a, x: (a[0] + x, a[1] + 1, max(a[2], x)),
+                              lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2])),
+                              "total long, n long, hi int", depth=3, fan_in=4)

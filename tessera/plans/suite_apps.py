@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators.layout import balance
 from tessera.plans import kmeans, sorting, wordcount
 from tessera.plans.oracle_sql import DOC_LINES, unit_hash_sql
 from tessera.plans.registry import register
@@ -45,7 +44,7 @@ SELECT row_number() OVER (ORDER BY l_extendedprice, l_quantity) - 1 AS idx,
 FROM lineitem
 """)
 def sort_pairs_app(spark, sf_dir):
-    li = balance(load(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity"))
+    li = load(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
     return sorting.sort_pairs(sorting.pair_lines(li, "l_extendedprice", "l_quantity"))
 
 
@@ -117,15 +116,30 @@ def kmeans_step(spark, sf_dir):
         "cluster", "dim", F.round("value", 6).alias("value"))
 
 
+def _rounds_sql(rounds: int) -> str:
+    """So many rounds from c0; once converged, further ones change nothing."""
+    steps = []
+    for i in range(rounds):
+        steps += [_assign_sql(f"c{i}", f"a{i}"), _update_sql(f"c{i}", f"a{i}", f"c{i + 1}")]
+    steps.append(_assign_sql(f"c{rounds}", f"a{rounds}"))
+    return ",\n".join(steps).replace(" AS (", " AS MATERIALIZED (")
+
+
+FIT_ROUNDS = 40  # of the oracle; the query runs until the centres stand still
+
+
 @register("kmeans_fit", oracle=f"""
 WITH {_P}, {_C0_HASH},
-{_assign_sql('c0', 'a0')}, {_update_sql('c0', 'a0', 'c1')},
-{_assign_sql('c1', 'a1')}, {_update_sql('c1', 'a1', 'c2')},
-{_assign_sql('c2', 'a2')}, {_update_sql('c2', 'a2', 'c3')},
-{_assign_sql('c3', 'a3')}
-SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS size FROM a3 GROUP BY cluster
+{_rounds_sql(FIT_ROUNDS)},
+sizes AS (SELECT cluster, count(*) AS size FROM a{FIT_ROUNDS} GROUP BY cluster)
+SELECT CAST(i AS INTEGER) AS cluster, coalesce(size, 0) AS size, CAST(unnest(range(0, len(c))) AS INTEGER) AS dim,
+       round(unnest(c), 6) AS value
+FROM c{FIT_ROUNDS} LEFT JOIN sizes ON i = cluster
 """)
 def kmeans_fit(spark, sf_dir):
     pts = _points(spark, sf_dir)
-    res = kmeans.kmeans(pts, K, converge_dist=0.0, key="vec_id", seed=1, max_iter=3)
-    return kmeans.assign_sql(pts, res.centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    res = kmeans.kmeans(pts, K, converge_dist=1e-12, key="vec_id", seed=1)
+    sizes = kmeans.assign_arrow(pts, res.centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    centers = spark.createDataFrame([(i, c) for i, c in enumerate(res.centers)], "cluster int, c array<double>")
+    found = centers.join(sizes, "cluster", "left")
+    return found.select("cluster", F.coalesce("size", F.lit(0)).alias("size"), F.posexplode("c").alias("dim", "value")).withColumn("value", F.round("value", 6))

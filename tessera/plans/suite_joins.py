@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 import uuid
 
 from tessera.operators import joins, layout, sets
-from tessera.operators.keyed import DEFAULT_CHUNK_ROWS
+from tessera.plans.oracle_sql import chunks_sql
 from tessera.plans.registry import register
 from tessera.sources.tables import load
 
-C = DEFAULT_CHUNK_ROWS
+#: Values of one row on each side: small enough that keys are split.
+PER_CUSTOMER, PER_NATION = 4, 40
 
 
 def _text(arr):
@@ -38,8 +39,9 @@ def join_bucketed(spark, sf_dir):
     tag = uuid.uuid4().hex[:8]
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
-    ob = layout.write_bucketed(o, f"orders_by_cust_{tag}", 8, "o_custkey")
-    cb = layout.write_bucketed(c, f"customer_by_key_{tag}", 8, "o_custkey")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ob = layout.write_bucketed(o, f"orders_by_cust_{tag}", n, "o_custkey")
+    cb = layout.write_bucketed(c, f"customer_by_key_{tag}", n, "o_custkey")
     return joins.join(ob, cb, "o_custkey", null_safe=False)
 
 
@@ -81,15 +83,14 @@ def join_right(spark, sf_dir):
 
 
 @register("join_full", oracle="""
-SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, l.toxic, d.lang
-FROM (SELECT doc_id, toxic FROM labels WHERE quality = 1) l
-FULL OUTER JOIN (SELECT doc_id, lang FROM documents WHERE lang = 'en') d
-  ON l.doc_id IS NOT DISTINCT FROM d.doc_id
+SELECT coalesce(e.user_id, c.c_custkey) AS user_id, e.n, c.c_name
+FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e
+FULL OUTER JOIN customer c ON e.user_id IS NOT DISTINCT FROM c.c_custkey
 """)
 def join_full(spark, sf_dir):
-    lab = load(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id", "toxic")
-    d = load(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "lang")
-    return joins.join(lab, d, "doc_id", "full")
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return joins.join(e, c, "user_id", "full")
 
 
 @register("join_cross", oracle="""
@@ -105,7 +106,7 @@ def join_cross(spark, sf_dir):
 WITH t AS (
   SELECT o_custkey AS k, 0 AS tag, o_orderkey AS v FROM orders
   UNION ALL SELECT c_custkey, 1, CAST(c_nationkey AS BIGINT) FROM customer),
-r AS (SELECT *, (row_number() OVER (PARTITION BY k, tag ORDER BY v) - 1) // {C} AS chunk FROM t)
+{chunks_sql('t', 'k', 'v', PER_CUSTOMER, 'tag')}
 SELECT k, CAST(chunk AS BIGINT) AS chunk,
        count(*) FILTER (WHERE tag = 0) AS n_orders,
        count(*) FILTER (WHERE tag = 1) AS n_customers,
@@ -116,7 +117,7 @@ FROM r GROUP BY k, chunk
 def join_cogroup(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("v"))
-    g = joins.cogroup([o, c])
+    g = joins.cogroup([o, c], chunk_rows=PER_CUSTOMER)
     return g.select("k", F.col("chunk").cast("long").alias("chunk"),
                     F.size("values_0").cast("long").alias("n_orders"),
                     F.size("values_1").cast("long").alias("n_customers"),
@@ -129,7 +130,7 @@ WITH t AS (
   UNION ALL SELECT CAST(s_nationkey AS BIGINT), 1, s_suppkey FROM supplier
   UNION ALL SELECT CAST(n_nationkey AS BIGINT), 2, CAST(n_regionkey AS BIGINT) FROM nation
   UNION ALL SELECT CAST(r_regionkey AS BIGINT), 3, CAST(length(r_name) AS BIGINT) FROM region),
-r AS (SELECT *, (row_number() OVER (PARTITION BY k, tag ORDER BY v) - 1) // {C} AS chunk FROM t)
+{chunks_sql('t', 'k', 'v', PER_NATION, 'tag')}
 SELECT k, CAST(chunk AS BIGINT) AS chunk,
        count(*) FILTER (WHERE tag = 0) AS n0, count(*) FILTER (WHERE tag = 1) AS n1,
        count(*) FILTER (WHERE tag = 2) AS n2, count(*) FILTER (WHERE tag = 3) AS n3,
@@ -146,7 +147,7 @@ def join_cogroup_n(spark, sf_dir):
     r = load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"),
                                              F.length("r_name").cast("long").alias("v"))
     g = joins.cogroup([kv("customer", "c_nationkey", "c_custkey"), kv("supplier", "s_nationkey", "s_suppkey"),
-                       kv("nation", "n_nationkey", "n_regionkey"), r])
+                       kv("nation", "n_nationkey", "n_regionkey"), r], chunk_rows=PER_NATION)
 
     def total(c):
         return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -158,15 +159,12 @@ def join_cogroup_n(spark, sf_dir):
 
 
 @register("join_anti", oracle="""
-SELECT c_custkey, c_name FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT'
-                  AND o_custkey IS NOT DISTINCT FROM c_custkey)
+SELECT doc_id, lang FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id)
 """)
 def join_anti(spark, sf_dir):
-    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    o = (load(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-         .select(F.col("o_custkey").alias("c_custkey")))
-    return joins.subtract_by_key(c, o, "c_custkey")
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang")
+    return joins.subtract_by_key(d, load(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
 # ---------------------------------------------------------------- sets
@@ -181,25 +179,21 @@ def set_union_all(spark, sf_dir):
 
 
 @register("set_intersect", oracle="""
-SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'
-INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'
+SELECT user_id AS k FROM events INTERSECT SELECT o_custkey FROM orders
 """)
 def set_intersect(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
-    a = o.where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("k"))
-    b = o.where(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("k"))
+    a = load(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
+    b = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
     return sets.intersection(a, b)
 
 
 @register("set_subtract_bag", oracle="""
-SELECT o_custkey AS k FROM orders o
-WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = 'BUILDING'
-                  AND c.c_custkey IS NOT DISTINCT FROM o.o_custkey)
+SELECT user_id AS k FROM events e
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey IS NOT DISTINCT FROM e.user_id)
 """)
 def set_subtract_bag(spark, sf_dir):
-    a = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    b = (load(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
-         .select(F.col("c_custkey").alias("k")))
+    a = load(spark, sf_dir, "events").select(F.col("user_id").alias("k"))
+    b = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
     return sets.subtract(a, b)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import keyed
-from tessera.operators.keyed import DEFAULT_CHUNK_ROWS
+from tessera.plans.oracle_sql import chunks_sql
 from tessera.operators.rows import project_keys
 from tessera.plans.registry import register
 from tessera.sources.tables import load
 
-C = DEFAULT_CHUNK_ROWS
+#: Values of one row: small enough that most keys are split.
+PER_CUSTOMER, PER_YEAR = 4, 500
 
 
 def _text(arr):
@@ -60,30 +61,26 @@ def key_fold_product(spark, sf_dir):
 
 
 @register("key_group", oracle=f"""
-WITH r AS (SELECT o_custkey AS k, o_orderkey AS v,
-                  (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // {C} AS chunk
-           FROM orders)
+WITH t AS (SELECT o_custkey AS k, o_orderkey AS v FROM orders), {chunks_sql('t', 'k', 'v', PER_CUSTOMER)}
 SELECT k, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, array_to_string(list_sort(list(v)), ',') AS vals
 FROM r GROUP BY k, chunk
 """)
 def key_group(spark, sf_dir):
     p = project_keys(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
-    g = keyed.group_by_key(p)
+    g = keyed.group_by_key(p, chunk_rows=PER_CUSTOMER)
     return g.select("k", F.col("chunk").cast("long").alias("chunk"), F.size("values").cast("long").alias("n"),
                     _text("values").alias("vals"))
 
 
 @register("key_group_by_expr", oracle=f"""
-WITH r AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS k, o_orderkey AS v,
-                  (row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) - 1) // {C} AS chunk
-           FROM orders)
+WITH t AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS k, o_orderkey AS v FROM orders), {chunks_sql('t', 'k', 'v', PER_YEAR)}
 SELECT k, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, CAST(sum(v) AS BIGINT) AS total,
        array_to_string(list_sort(list(v)), ',') AS vals
 FROM r GROUP BY k, chunk
 """)
 def key_group_by_expr(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
-    g = keyed.group_by(o, F.year("o_orderdate").cast("long"), "o_orderkey")
+    g = keyed.group_by(o, F.year("o_orderdate").cast("long"), "o_orderkey", chunk_rows=PER_YEAR)
     return g.select("k", F.col("chunk").cast("long").alias("chunk"), F.size("values").cast("long").alias("n"),
                     F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
                     _text("values").alias("vals"))
@@ -102,3 +99,23 @@ def key_last_value(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"),
                                              "o_orderkey")
     return keyed.last_value_by_key(o, "o_orderkey")
+
+
+@register("key_combine_composite", oracle="""
+SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS v
+FROM orders GROUP BY 1, 2
+""")
+def key_combine_composite(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"), "o_orderpriority")
+    return keyed.combine_by_key(o, lambda v: {v}, lambda acc, v: acc | {v}, lambda a, b: a | b,
+                                k=["status", "year"], v="o_orderpriority", finish=lambda s: ",".join(sorted(s)))
+
+
+@register("key_aggregate_udf", oracle="""
+SELECT l_suppkey AS k, CAST(max(l_linenumber) * 1000000 + count(*) AS BIGINT) AS v FROM lineitem GROUP BY 1
+""")
+def key_aggregate_udf(spark, sf_dir):
+    p = project_keys(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber")
+    return keyed.aggregate_by_key_with(p, (0, 0), lambda a, v: (max(a[0], v), a[1] + 1),
+                                       lambda a, b: (max(a[0], b[0]), a[1] + b[1]),
+                                       finish=lambda a: a[0] * 1_000_000 + a[1], out_type="long")

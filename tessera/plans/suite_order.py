@@ -7,6 +7,7 @@ both sides (the original leaves the order of equal keys unspecified).
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import order
@@ -142,3 +143,30 @@ def sort_float32_by_key_desc(spark, sf_dir):
 @register("sort_range_partitioned", oracle=_pairs_sql(_F32, False))
 def sort_range_partitioned(spark, sf_dir):
     return order.sort_range_partitioned(_pairs(spark, sf_dir), 8, index_col="idx", then_by_value=True)
+
+
+def _in_order(df, key):
+    """Rows, and neighbours across the partitions' ends that are out of order."""
+    places = df.select(F.col(key).alias("k")).withColumn("p", F.monotonically_increasing_id())
+    pid = F.shiftright("p", 33)
+    inside = places.withColumn("before", F.lag("k").over(Window.partitionBy(pid).orderBy("p")))
+    wrong = F.sum(F.when(F.col("before") > F.col("k"), 1).otherwise(0))
+    ends = inside.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n"), wrong.alias("wrong"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    ends = ends.withColumn("before", F.lag("hi").over(Window.orderBy("pid")))  # one row for each partition
+    return ends.agg(F.sum("n").alias("n"), F.sum(F.col("wrong") + F.when(F.col("before") > F.col("lo"), 1).otherwise(0)).alias("out_of_order"),
+                    F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+@register("sort_by_key_plain", oracle="""
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders
+""")
+def sort_by_key_plain(spark, sf_dir):
+    return _in_order(order.sort_by_key(load(spark, sf_dir, "orders").select("o_totalprice"), "o_totalprice"), "o_totalprice")
+
+
+@register("sort_by_plain", oracle="""
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order, min(v) AS lo, max(v) AS hi FROM (SELECT -value AS v FROM events)
+""")
+def sort_by_plain(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select((-F.col("value")).alias("v"))
+    return _in_order(order.sort_by(e, "v"), "v")

@@ -21,7 +21,7 @@ def zip_with_index(spark, sf_dir):
 SELECT count(*) AS n, count(*) AS n_distinct, CAST(0 AS BIGINT) AS min_idx, count(*) - 1 AS max_idx FROM lineitem
 """)
 def zip_with_index_input_order(spark, sf_dir):
-    z = position.zip_with_index(load(spark, sf_dir, "lineitem").select("l_orderkey"))
+    z = position.zip_with_index(load(spark, sf_dir, "lineitem").select("l_orderkey"), stable_input=True)
     return z.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_distinct"),
                  F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx"))
 
@@ -44,3 +44,13 @@ def zip_positional(spark, sf_dir):
     b = c.select("c_custkey", "c_acctbal")
     z = position.zip_frames(a, b, ["c_custkey"], ["c_acctbal", "c_custkey"])
     return z.select("idx", "c_custkey", "c_custkey_2", "c_acctbal")
+
+
+@register("zip_with_index_after_shuffle", oracle="""
+SELECT count(*) AS n, count(*) AS n_distinct, CAST(0 AS BIGINT) AS min_idx, count(*) - 1 AS max_idx
+FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
+""")
+def zip_with_index_after_shuffle(spark, sf_dir):
+    z = position.zip_with_index(load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct())
+    return z.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_distinct"),
+                 F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx"))

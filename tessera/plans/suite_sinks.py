@@ -37,7 +37,7 @@ def sink_sequencefile(spark, sf_dir):
     path = shared_dir(spark, "seq")
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
     sinks.write_sequence(o, path)
-    back = sinks.read_sequence(spark, path)
+    back = sinks.read_sequence(spark, path, "k long, v string")
     return back.select(F.col("k").cast("long").alias("k"), F.col("v").cast("string").alias("v"))
 
 

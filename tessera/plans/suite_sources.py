@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.plans.oracle_sql import DOC_LINES, unit_hash_sql
 from tessera.plans.registry import register
-from tessera.sources import generators, text
+from tessera.session import shared_dir
+from tessera.sources import generators, sinks, text
 from tessera.sources.tables import load
 
 
@@ -34,6 +35,29 @@ def src_pairs(spark, sf_dir):
     return text.pairs_of(lines)
 
 
+def _written(spark, frame, column="value"):
+    path = shared_dir(spark, "lines")
+    sinks.write_text(frame, path, column=column)
+    return path
+
+
+@register("src_read_lines", oracle="SELECT url AS value FROM pages")
+def src_read_lines(spark, sf_dir):
+    return text.read_lines(spark, _written(spark, load(spark, sf_dir, "pages"), "url"))
+
+
+@register("src_read_vectors", oracle="SELECT CAST(embedding AS DOUBLE[]) AS p FROM embeddings")
+def src_read_vectors(spark, sf_dir):
+    e = load(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("p"))
+    return text.read_vectors(spark, _written(spark, text.format_vectors(e)))
+
+
+@register("src_read_pairs", oracle="SELECT l_extendedprice AS k, l_quantity AS v FROM lineitem")
+def src_read_pairs(spark, sf_dir):
+    lines = text.format_pairs(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
+    return text.read_pairs(spark, _written(spark, lines))
+
+
 def _u(parts, seed, low, high):
     return f"({unit_hash_sql(*parts, seed=seed)} * {float(high - low)!r} + {float(low)!r})"
 

@@ -1,8 +1,8 @@
 """Session construction and the shared working folder.
 
 On a cluster the shared folder comes from ``spark.checkpoint.dir`` (set by
-whoever runs the cluster). Only when it is unset — local tests, the bench —
-do we create one ourselves.
+whoever runs the cluster). Only on a local master — tests, the bench — and
+where it is unset do we create one ourselves.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -26,23 +27,28 @@ def build_session(
       splitting of hot partitions.
     * Arrow on: the few Python paths (mapInArrow / applyInArrow) batch rows.
     * UI off: no server is started.
+
+    Master, shuffle partitions and driver memory that spark-submit or the
+    caller has set stay as they are; only a bare local session gets our own.
     """
+    given = SparkConf()
     cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    if shuffle_partitions is None:
-        shuffle_partitions = int(cpus)
+    b = SparkSession.builder
+    if master or not given.contains("spark.master"):
+        b = b.master(master or f"local[{cpus}]")
+        shuffle_partitions = shuffle_partitions or int(cpus)
+        b = b.config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions and not given.contains("spark.sql.shuffle.partitions"):
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        b.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -53,13 +59,19 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
+    """Return the shared checkpoint folder.
+
+    Where none is set, a local master gets a temporary one; any other raises,
+    since executors of a cluster would each write to their own disk.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -32,8 +32,9 @@ def write_sequence(df: DataFrame, path: str, k: str = "k", v: str = "v", codec:
     rdd.saveAsSequenceFile(path, compressionCodecClass=codec)
 
 
-def read_sequence(spark: SparkSession, path: str, k: str = "k", v: str = "v") -> DataFrame:
-    return spark.sparkContext.sequenceFile(path).map(lambda kv: Row(**{k: kv[0], v: kv[1]})).toDF()
+def read_sequence(spark: SparkSession, path: str, schema: str = "k string, v string") -> DataFrame:
+    """(k, v) of a SequenceFile, typed by ``schema``; an empty file gives no rows."""
+    return spark.createDataFrame(spark.sparkContext.sequenceFile(path).map(tuple), schema)
 
 
 def write_objects(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -54,18 +55,26 @@ def write_dataset(df: DataFrame, conf: dict) -> None:
     write_format(df, path, fmt, conf)
 
 
-def write_hadoop_text(df: DataFrame, path: str, k: str = "k", v: str = "v", new_api: bool = True,
-                      codec: str | None = None) -> None:
-    """(k, v) through Hadoop's TextOutputFormat: ``key<TAB>value`` lines.
+def write_hadoop(df: DataFrame, path: str, output_format: str, k: str = "k", v: str = "v", new_api: bool = True,
+                 key_class: str = HADOOP_TEXT, value_class: str = HADOOP_TEXT, key_converter: str | None = None,
+                 value_converter: str | None = None, conf: dict[str, str] | None = None, codec: str | None = None) -> None:
+    """(k, v) through any Hadoop output format class, with converters and configuration.
 
-    ``new_api`` picks the mapreduce (new) or mapred (old) output format class.
+    ``new_api`` says whether the class is of the mapreduce (new) or mapred (old) kind.
     """
-    rdd = df.select(F.col(k).cast("string"), F.col(v).cast("string")).rdd.map(lambda r: (r[0], r[1]))
+    rdd = df.select(k, v).rdd.map(tuple)
     if new_api:
-        rdd.saveAsNewAPIHadoopFile(path, TEXT_OUTPUT_NEW, keyClass=HADOOP_TEXT, valueClass=HADOOP_TEXT)
+        conf = {**(conf or {}), **({"mapreduce.output.fileoutputformat.compress": "true", "mapreduce.output.fileoutputformat.compress.codec": codec} if codec else {})}
+        rdd.saveAsNewAPIHadoopFile(path, output_format, key_class, value_class, key_converter, value_converter, conf or None)
     else:
-        rdd.saveAsHadoopFile(path, TEXT_OUTPUT_OLD, keyClass=HADOOP_TEXT, valueClass=HADOOP_TEXT,
-                             compressionCodecClass=codec)
+        rdd.saveAsHadoopFile(path, output_format, key_class, value_class, key_converter, value_converter, conf, codec)
+
+
+def write_hadoop_text(df: DataFrame, path: str, k: str = "k", v: str = "v", new_api: bool = True,
+                      codec: str | None = None) -> None:
+    """(k, v) through Hadoop's TextOutputFormat: ``key<TAB>value`` lines."""
+    pairs = df.select(F.col(k).cast("string").alias("k"), F.col(v).cast("string").alias("v"))
+    write_hadoop(pairs, path, TEXT_OUTPUT_NEW if new_api else TEXT_OUTPUT_OLD, new_api=new_api, codec=codec)
 
 
 def for_each(df: DataFrame, fn: Callable[[Row], None]) -> None:

@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 from tessera.functions.exprs import col, lines_of
 
 
-def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """One row (``value``) per line of the text files under ``path``."""
-    df = spark.read.text(path)
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(int(min_partitions))
-    return df
+_NUMBER = r"[ \t]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ \t]*"
+PAIR = rf"^[ \t]*\({_NUMBER},{_NUMBER}\)[ \t]*$"
+
+
+def read_lines(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """One row (``value``) per line of the text files under ``path``.
+
+    Files are read in splits of ``spark.sql.files.maxPartitionBytes``; a
+    smaller ``split_bytes`` gives more partitions without a shuffle.
+    """
+    reader = spark.read
+    if split_bytes:
+        reader = reader.option("maxPartitionBytes", str(int(split_bytes)))
+    return reader.text(path)
 
 
 def lines_from(texts: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -44,15 +52,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 def pairs_of(df: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """``"(a, b)"`` → (k double, v double); a malformed line fails the query.
 
-    Parentheses and blanks are dropped by character translation, the two
-    numbers are the text around the single comma, and the (ANSI) cast to
-    double raises on anything that is not a number.
+    The whole line must match one pattern: two numbers around a comma, in
+    parentheses, with blanks only around the numbers.
     """
-    body = F.translate(col(column), "() \t", "")
-    commas = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit("")))
-    checked = F.when(commas == 1, body).otherwise(F.raise_error(F.concat(F.lit("bad pair: "), col(column))))
-    return df.select(*keep, F.substring_index(checked, ",", 1).cast("double").alias("k"),
-                     F.substring_index(checked, ",", -1).cast("double").alias("v"))
+    line = col(column)
+    checked = F.when(line.rlike(PAIR), line).otherwise(F.raise_error(F.concat(F.lit("bad pair: "), F.coalesce(line, F.lit("NULL")))))
+    number = lambda i: F.regexp_extract(checked, PAIR, i).cast("double")
+    return df.select(*keep, number(1).alias("k"), number(2).alias("v"))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:

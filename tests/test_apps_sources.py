@@ -101,7 +101,7 @@ def test_sequence_and_objects(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     p = shared_dir(spark, "seq")
     sinks.write_sequence(df, p)
-    assert sorted(tuple(r) for r in sinks.read_sequence(spark, p).collect()) == [(1, "a"), (2, "b")]
+    assert sorted(tuple(r) for r in sinks.read_sequence(spark, p, "k long, v string").collect()) == [(1, "a"), (2, "b")]
     for fmt in ("parquet", "orc", "json"):
         q = shared_dir(spark, fmt)
         sinks.write_objects(df, q, fmt)
