@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Hadoop class names for the key/value writers.
 TEXT_OUTPUT_NEW = "org.apache.hadoop.mapreduce.lib.output.TextOutputFormat"
 TEXT_OUTPUT_OLD = "org.apache.hadoop.mapred.TextOutputFormat"
+SEQUENCE_OUTPUT = "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat"
 HADOOP_TEXT = "org.apache.hadoop.io.Text"
 GZIP_CODEC = "org.apache.hadoop.io.compress.GzipCodec"
 
@@ -27,8 +28,15 @@ def write_text(df: DataFrame, path: str, codec: str | None = None, column: str |
 
 
 def write_sequence(df: DataFrame, path: str, k: str = "k", v: str = "v", codec: str | None = None) -> None:
-    """(k, v) as a Hadoop SequenceFile (Writable types from the Python values)."""
+    """(k, v) as a Hadoop SequenceFile (Writable types from the Python values).
+
+    Spark takes the types from a first row; without any, an empty text file of
+    the same kind is written.
+    """
     rdd = df.select(k, v).rdd.map(lambda r: (r[0], r[1]))
+    if df.isEmpty():
+        write_hadoop(df.select(F.col(k).cast("string"), F.col(v).cast("string")), path, SEQUENCE_OUTPUT, k, v, codec=codec)
+        return
     rdd.saveAsSequenceFile(path, compressionCodecClass=codec)
 
 

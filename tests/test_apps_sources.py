@@ -34,12 +34,35 @@ def test_empty_cluster_keeps_center(spark):
     assert new[0] == pytest.approx([0.05, 0.05])
 
 
-def test_sql_and_arrow_paths_agree(spark):
+def test_expression_and_arrow_assignments_agree(spark):
     p = kmeans.as_points(load(spark, SF, "embeddings"), "embedding", "vec_id")
-    a = kmeans.kmeans(p, 5, 0.0, key="vec_id", max_iter=3, path="sql")
-    b = kmeans.kmeans(p, 5, 0.0, key="vec_id", max_iter=3, path="arrow")
-    assert a.sizes == b.sizes and a.rounds == b.rounds == 3
-    assert np.allclose(np.asarray(a.centers), np.asarray(b.centers), atol=1e-9)
+    res = kmeans.kmeans(p, 5, 1e-12, key="vec_id")
+    assert res.converged and sum(res.sizes) == p.count()
+    a = {r["vec_id"]: r["cluster"] for r in kmeans.assign_sql(p, res.centers).collect()}
+    b = {r["vec_id"]: r["cluster"] for r in kmeans.assign_arrow(p, res.centers).collect()}
+    assert a == b
+
+
+def test_null_vectors_belong_to_no_cluster(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [9.0, 9.0])], "vec_id long, p array<double>")
+    centers = [[0.0, 0.0], [9.0, 9.0]]
+    for assigned in (kmeans.assign_sql(df, centers), kmeans.assign_arrow(df, centers)):
+        assert {r["vec_id"]: r["cluster"] for r in assigned.collect()} == {1: 0, 2: None, 3: 1}
+    assert kmeans.kmeans_step(df, centers)[2] == [1, 1]
+
+
+def test_kmeans_step_is_bounded_in_memory(monkeypatch):
+    rng = np.random.default_rng(1)
+    points, centers = rng.normal(size=(3000, 768)), rng.normal(size=(1000, 768))
+    import tracemalloc
+
+    tracemalloc.start()
+    nearest = kmeans._nearest(points, centers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all distances of one batch at once would be 18 GB
+    some = rng.integers(0, 3000, 20)
+    assert all(nearest[i] == ((centers - points[i]) ** 2).sum(axis=1).argmin() for i in some)
 
 
 def test_kmeans_converges_and_matches_numpy(spark):
@@ -115,11 +138,43 @@ def test_foreach_accumulates(spark):
     assert acc.value == 100
 
 
-def test_arrow_path_with_broadcast_centres(spark, monkeypatch):
-    monkeypatch.setattr(kmeans, "BROADCAST_CENTERS_ABOVE", 1)
-    p = kmeans.as_points(load(spark, SF, "embeddings"), "embedding", "vec_id")
-    a = kmeans.kmeans(p, 4, 0.0, key="vec_id", max_iter=2, path="arrow")
-    b = kmeans.kmeans(p, 4, 0.0, key="vec_id", max_iter=2, path="sql")
-    assert a.sizes == b.sizes
-    c = kmeans.kmeans(p, 4, 0.0, key="vec_id", max_iter=2, path="auto")
-    assert c.sizes == b.sizes
+def test_malformed_pairs_fail(spark):
+    good = spark.createDataFrame([("(1, -2.5)",), (" ( 3e2 ,4. ) ",)], "value string")
+    assert sorted(tuple(r) for r in text.pairs_of(good).collect()) == [(1.0, -2.5), (300.0, 4.0)]
+    for bad in ("(1 2, 3)", "((1,2", "1, 2", "(1, 2) x", "(1,2,3)", "(a, 1)", "", None):
+        with pytest.raises(Exception, match="bad pair"):
+            text.pairs_of(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_empty_sequence_file_reads_back(spark):
+    path = shared_dir(spark, "seq")
+    sinks.write_sequence(spark.createDataFrame([], "k long, v string"), path)
+    assert sinks.read_sequence(spark, path, "k long, v string").count() == 0
+
+
+def test_any_hadoop_output_format(spark):
+    path = shared_dir(spark, "hadoop")
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    sinks.write_hadoop(df, path, "org.apache.hadoop.mapreduce.lib.output.SequenceFileOutputFormat")
+    assert sorted(tuple(r) for r in sinks.read_sequence(spark, path).collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from tessera import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

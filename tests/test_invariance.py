@@ -29,8 +29,8 @@ def test_operators_do_not_depend_on_partitioning(spark):
         kv = d.select("k", "v")
         r = {
             "hist": _norm(histogram.histogram_even(d, "o_totalprice", 7).collect()),
-            "cogroup": _norm(joins.cogroup([kv, kv.select("k", (F.col("v") * 2).alias("v"))]).collect()),
-            "group": _norm(keyed.group_by_key(kv).collect()),
+            "cogroup": _norm(joins.cogroup([kv, kv.select("k", (F.col("v") * 2).alias("v"))], chunk_rows=3).collect()),
+            "group": _norm(keyed.group_by_key(kv, chunk_rows=3).collect()),
             "combine": _norm(keyed.combine_by_key(kv, lambda v: v, lambda a, v: a + v, lambda a, b: a + b,
                                                   out_type="long").collect()),
             "top": [tuple(x) for x in order.top(kv, 5, ["v"]).collect()],
@@ -41,7 +41,6 @@ def test_operators_do_not_depend_on_partitioning(spark):
             "tree": agg.tree_reduce(kv, "v", "sum").first()[0],
         }
         results.append(r)
-        position.release_cached()
     assert results[0] == results[1] == results[2]
 
 

@@ -1,7 +1,9 @@
-"""Doctest literals of the RDD operators (see FIXTURES.md §2) and the
-semantic rules S1–S23 / X-rows of SURVEY §1.3–1.4, on small inline frames."""
+"""Operators on small inline frames: their results against plain Python, and
+the semantic rules (nulls, duplicates, ties, empty input) one by one."""
 
 import operator
+import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.operators import agg, histogram, joins, keyed, layout, order, position, rows, sampling, sets
 from tests.conftest import rows as R
 
+RND = random.Random(20)
+NUMBERS = [RND.randint(-40, 40) for _ in range(60)]
+
 
 def ints(spark, values, n=1, name="x"):
     return spark.createDataFrame([(v,) for v in values], f"{name} long").repartition(n) if n > 1 else \
@@ -23,39 +28,42 @@ def pairs(spark, data, vtype="long"):
 # ---------------------------------------------------------------- rows
 
 def test_map_flat_map_filter(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("c",)], "x string")
-    assert R(rows.map_rows(df, F.col("x"), F.lit(1).alias("one"))) == [("a", 1), ("b", 1), ("c", 1)]
-    d = ints(spark, [2, 3, 4])
-    fm = rows.flat_map(d, F.sequence(F.lit(1), F.col("x") - 1), "y")
-    assert sorted(r[0] for r in fm.collect()) == [1, 1, 1, 2, 2, 3]
-    assert sorted(r[0] for r in rows.filter_rows(ints(spark, [1, 2, 3, 4, 5]), "x % 2 = 0").collect()) == [2, 4]
+    d = ints(spark, NUMBERS, 3)
+    assert Counter(map(tuple, rows.map_rows(d, F.col("x"), (F.col("x") % 7).alias("r")).collect())) == \
+        Counter((x, int(__import__("math").fmod(x, 7))) for x in NUMBERS)
+    small = [x for x in NUMBERS if 0 < x < 9]
+    fm = rows.flat_map(ints(spark, small), F.sequence(F.lit(1), F.col("x")), "y")
+    assert Counter(r[0] for r in fm.collect()) == Counter(y for x in small for y in range(1, x + 1))
+    assert Counter(r[0] for r in rows.filter_rows(d, "x < -3").collect()) == Counter(x for x in NUMBERS if x < -3)
 
 
 def test_pair_helpers(spark):
-    p = spark.createDataFrame([(1, 2), (3, 4)], "k long, v long")
-    assert R(rows.keys(p)) == [(1,), (3,)]
-    assert R(rows.values(p)) == [(2,), (4,)]
-    fv = spark.createDataFrame([("a", ["x", "y", "z"]), ("b", ["p", "r"])], "k string, v array<string>")
-    assert R(rows.flat_map_values(fv, "v")) == [("a", "x"), ("a", "y"), ("a", "z"), ("b", "p"), ("b", "r")]
-    mv = spark.createDataFrame([("a", ["apple", "banana", "lemon"]), ("b", ["grapes"])], "k string, v array<string>")
-    assert R(rows.map_values(mv, F.size("v"))) == [("a", 3), ("b", 1)]
+    p = spark.createDataFrame([(10, -1), (20, -2), (20, None)], "k long, v long")
+    assert R(rows.keys(p)) == [(10,), (20,), (20,)]
+    assert Counter(r[0] for r in rows.values(p).collect()) == Counter([-1, -2, None])
+    lists = spark.createDataFrame([("north", ["oak", "elm"]), ("south", []), ("west", ["fir"])], "k string, v array<string>")
+    assert R(rows.flat_map_values(lists, "v")) == [("north", "elm"), ("north", "oak"), ("west", "fir")]
+    assert R(rows.map_values(lists, F.size("v"))) == [("north", 2), ("south", 0), ("west", 1)]
 
 
 def test_lookup(spark):
-    p = spark.createDataFrame([(i, i) for i in range(1000)], "k long, v long").repartition(10)
-    assert [r[0] for r in rows.lookup(p, 42).collect()] == [42]
-    assert rows.lookup(p, 1024).collect() == []
+    p = spark.createDataFrame([(i % 100, i) for i in range(300)] + [(None, -1)], "k long, v long").repartition(6)
+    assert sorted(r[0] for r in rows.lookup(p, 17).collect()) == [17, 117, 217]
+    assert rows.lookup(p, 100).collect() == []
+    assert [r[0] for r in rows.lookup(p, None).collect()] == [-1]
 
 
 def test_vector_map_and_map_reduce(spark):
-    d = ints(spark, list(range(1, 10000)))
-    assert agg.map_reduce_expr(d, "x * x", "sum").first()[0] == 333283335000
-    assert sorted(r[0] for r in rows.vector_map(ints(spark, [0, 1, 2]), "x", "x * 4").collect()) == [0, 4, 8]
+    d = ints(spark, NUMBERS, 4)
+    assert agg.map_reduce_expr(d, "x * x + 1", "sum").first()[0] == sum(x * x + 1 for x in NUMBERS)
+    assert Counter(r[0] for r in rows.vector_map(d, "x", "x * 3 - 1").collect()) == Counter(x * 3 - 1 for x in NUMBERS)
 
 
-def test_pipe_cat_keeps_empty_lines(spark):
-    df = spark.createDataFrame([("1",), ("2",), ("",), ("3",)], "value string").coalesce(1)
-    assert [r[0] for r in rows.pipe(df, "cat").collect()] == ["1", "2", "", "3"]
+def test_pipe_keeps_empty_lines_and_takes_quoted_commands(spark):
+    lines = ["a b c", "", "b a b"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    assert [r[0] for r in rows.pipe(df, ["cat"]).collect()] == lines
+    assert [r[0] for r in rows.pipe(df, "sed 's/a b/X/'").collect()] == ["X c", "", "b X"]
 
 
 def test_pipe_failure_raises(spark):
@@ -67,33 +75,32 @@ def test_pipe_failure_raises(spark):
 # ---------------------------------------------------------------- layout
 
 def test_map_partitions_and_glom(spark):
-    df = spark.createDataFrame([(i,) for i in [1, 2, 3, 4]], "x long").repartitionByRange(2, "x")
+    df = ints(spark, NUMBERS).repartitionByRange(3, "x")
 
     def sums(batches):
-        t = 0
-        for b in batches:
-            t += sum(b.column("x").to_pylist())
-        yield pa.RecordBatch.from_pydict({"s": [t]})
+        yield pa.RecordBatch.from_pydict({"s": [sum(x for b in batches for x in b.column("x").to_pylist())]})
 
-    assert sorted(r[0] for r in layout.map_partitions(df, sums, "s long").collect()) == [3, 7]
-    g = sorted([r["x"] for r in row["rows"]] for row in layout.glom(df).collect())
-    assert g == [[1, 2], [3, 4]]
-    assert layout.num_partitions(df) == 2
+    parts = sorted((r["partition"], [x["x"] for x in r["rows"]]) for r in layout.glom(df).collect())
+    assert sorted(x for _, p in parts for x in p) == sorted(NUMBERS)
+    assert all(max(a) <= min(b) for (_, a), (_, b) in zip(parts, parts[1:]) if a and b)
+    assert sorted(r[0] for r in layout.map_partitions(df, sums, "s long").collect()) == sorted(sum(p) for _, p in parts)
+    assert layout.num_partitions(df) == len(parts) == 3
+    assert "Exchange SinglePartition" not in layout.glom(df)._jdf.queryExecution().toString()
+    assert [list(r["rows"]) for r in layout.glom(spark.range(5).where("id > 9").coalesce(1)).collect()] == [[]]
 
 
 def test_partition_by_puts_each_key_in_one_partition(spark):
-    df = spark.createDataFrame([(x, x) for x in [1, 2, 3, 4, 2, 4, 1]], "k long, v long")
+    df = spark.createDataFrame([(x % 6, x) for x in NUMBERS], "k long, v long")
     p = layout.partition_by(df, 2, "k").withColumn("pid", F.spark_partition_id())
     assert all(r[1] == 1 for r in p.groupBy("k").agg(F.count_distinct("pid")).collect())
 
 
 def test_repartition_and_sort_within(spark):
-    data = [(0, 5), (3, 8), (2, 6), (0, 8), (3, 8), (1, 3)]
-    df = spark.createDataFrame(data, "k long, v long")
+    df = spark.createDataFrame([(abs(x) % 5, x) for x in NUMBERS], "k long, v long")
     s = layout.repartition_and_sort_within(df, 2, F.col("k"), ["k"])
-    parts = sorted(layout.glom(s).collect(), key=lambda r: r["partition"])
-    got = [[(x["k"], x["v"]) for x in r["rows"]] for r in parts]
-    assert [[k for k, _ in p] for p in got] == [[0, 0, 2], [1, 3, 3]]
+    parts = {r["partition"]: [x["k"] for x in r["rows"]] for r in layout.glom(s).collect()}
+    want = Counter(abs(x) % 5 for x in NUMBERS)
+    assert parts == {p: sorted(k for k in want.elements() if k % 2 == p) for p in (0, 1)}
 
 
 def test_repartition_coalesce(spark):
@@ -106,16 +113,15 @@ def test_repartition_coalesce(spark):
 
 # ---------------------------------------------------------------- joins
 
-def test_join_doctests(spark):
-    a = pairs(spark, [("a", 1), ("b", 4)])
-    b = spark.createDataFrame([("a", 2), ("a", 3)], "k string, w long")
-    assert R(joins.join(a, b, "k")) == [("a", 1, 2), ("a", 1, 3)]
-    assert R(joins.join(a, spark.createDataFrame([("a", 2)], "k string, w long"), "k", "left")) == \
-        [("a", 1, 2), ("b", 4, None)]
-    r = joins.join(spark.createDataFrame([("a", 2)], "k string, w long"), a, "k", "right")
-    assert R(r) == [("a", 2, 1), ("b", None, 4)]
-    f = joins.join(a, spark.createDataFrame([("a", 2), ("c", 8)], "k string, w long"), "k", "full")
-    assert R(f) == [("a", 1, 2), ("b", 4, None), ("c", None, 8)]
+def test_joins_against_python(spark):
+    left = [(f"k{x % 9}", x) for x in NUMBERS[:20]]
+    right = [(f"k{x % 9 + 3}", x) for x in NUMBERS[20:35]]
+    a, b = pairs(spark, left), spark.createDataFrame(right, "k string, w long")
+    both = [(k, v, w) for k, v in left for j, w in right if k == j]
+    only_left = [(k, v, None) for k, v in left if k not in dict(right)]
+    only_right = [(k, None, w) for k, w in right if k not in dict(left)]
+    for how, want in (("inner", both), ("left", both + only_left), ("right", both + only_right), ("full", both + only_left + only_right)):
+        assert Counter(map(tuple, joins.join(a, b, "k", how).select("k", "v", "w").collect())) == Counter(want)
 
 
 def test_null_keys_match(spark):
@@ -127,129 +133,164 @@ def test_null_keys_match(spark):
 
 
 def test_subtract_keeps_duplicates(spark):
-    a = ints(spark, [1, 1, 2, 3])
-    assert sorted(r[0] for r in sets.subtract(a, ints(spark, [3])).collect()) == [1, 1, 2]
-    a2 = pairs(spark, [("a", 1), ("b", 4), ("b", 5), ("a", 2)])
-    b2 = spark.createDataFrame([("a", 3), ("c", None)], "k string, w long")
-    assert R(joins.subtract_by_key(a2, b2, "k")) == [("b", 4), ("b", 5)]
-    a3 = pairs(spark, [("a", 1), ("b", 4), ("b", 5), ("a", 3)])
-    assert R(sets.subtract(a3, pairs(spark, [("a", 3), ("c", None)]))) == [("a", 1), ("b", 4), ("b", 5)]
+    a, b = NUMBERS, NUMBERS[::3]
+    assert Counter(r[0] for r in sets.subtract(ints(spark, a, 3), ints(spark, b)).collect()) == Counter(x for x in a if x not in b)
+    rows_a = [(f"k{x % 4}", x) for x in NUMBERS[:20]] * 2
+    gone = [("k1", None), ("k2", 7)]
+    got = joins.subtract_by_key(pairs(spark, rows_a), pairs(spark, gone), "k")
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in rows_a if r[0] not in ("k1", "k2"))
 
 
 def test_cartesian(spark):
-    d = ints(spark, [1, 2])
-    assert R(joins.cartesian(d, d)) == [(1, 1), (1, 2), (2, 1), (2, 2)]
-    assert R(joins.cartesian(d, d, broadcast_max_rows=0)) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    a, b = [1, 1, 5], [-1, None]
+    got = joins.cartesian(ints(spark, a), ints(spark, b)).collect()
+    assert Counter(map(tuple, got)) == Counter((x, y) for x in a for y in b)
 
 
-def test_cogroup_doctests(spark):
-    a = pairs(spark, [("a", 1), ("b", 4)])
-    b = pairs(spark, [("a", 2)])
-    got = {r["k"]: (sorted(r["values_0"]), sorted(r["values_1"])) for r in joins.cogroup([a, b]).collect()}
-    assert got == {"a": ([1], [2]), "b": ([4], [])}
-    w, x = pairs(spark, [("a", 5), ("b", 6)]), pairs(spark, [("a", 1), ("b", 4)])
-    y, z = pairs(spark, [("a", 2)]), pairs(spark, [("b", 42)])
-    got = {r["k"]: tuple(list(r[f"values_{i}"]) for i in range(4)) for r in joins.cogroup([w, x, y, z]).collect()}
-    assert got == {"a": ([5], [1], [2], []), "b": ([6], [4], [], [42])}
+def test_cogroup_against_python(spark):
+    data = [[(f"k{x % m}", x) for x in NUMBERS[i * 12 : i * 12 + 12]] for i, m in enumerate((5, 3, 7, 2))]
+    for n in (2, 4):
+        got = joins.cogroup([pairs(spark, d) for d in data[:n]], chunk_rows=100).collect()
+        keys = {k for d in data[:n] for k, _ in d}
+        assert {r["k"]: [sorted(r[f"values_{i}"]) for i in range(n)] for r in got} == \
+            {k: [sorted(v for j, v in d if j == k) for d in data[:n]] for k in keys}
+        assert all(r["chunk"] == 0 for r in got) and len(got) == len(keys)
 
 
 def test_hot_key_is_split_into_bounded_chunks(spark):
-    data = [("hot", i) for i in range(25)] + [("cold", 1), ("cold", None)]
+    data = [("hot", i) for i in range(25)] + [("same", 3)] * 9 + [("cold", 1), ("cold", None)]
     df = pairs(spark, data).repartition(4)
-    g = keyed.group_by_key(df, chunk_rows=4).collect()
-    hot = sorted((r["chunk"], list(r["values"])) for r in g if r["k"] == "hot")
-    assert [c for c, _ in hot] == list(range(7))
-    assert all(len(v) <= 4 for _, v in hot)
-    assert sorted(x for _, v in hot for x in v) == list(range(25))
-    assert hot[0][1] == [0, 1, 2, 3]  # chunks follow value order
-    cold = [r for r in g if r["k"] == "cold"]
-    assert len(cold) == 1 and cold[0]["chunk"] == 0 and sorted(cold[0]["values"], key=str) == [1, None]
+    g = keyed.group_by_key(df, chunk_rows=4)
+    got = g.collect()
+    assert all(len(r["values"]) <= 4 and list(r["values"]) == sorted(r["values"], key=lambda x: (x is None, x)) or r["k"] == "cold" for r in got)
+    assert len({(r["k"], r["chunk"]) for r in got}) == len(got)
+    assert Counter((r["k"], x) for r in got for x in r["values"]) == Counter(data)
+    cold = [r for r in got if r["k"] == "cold"]
+    assert len(cold) == 1 and cold[0]["chunk"] == 0
+    again = keyed.group_by_key(df.repartition(3), chunk_rows=4).collect()
+    assert sorted((r["k"], r["chunk"], str(r["values"])) for r in got) == sorted((r["k"], r["chunk"], str(r["values"])) for r in again)
     c = joins.cogroup([df, pairs(spark, [("hot", 99)])], chunk_rows=4).collect()
-    hot_c = [r for r in c if r["k"] == "hot"]
-    assert len(hot_c) == 7 and sum(len(r["values_1"]) for r in hot_c) == 1
+    assert sum(len(r["values_1"]) for r in c if r["k"] == "hot") == 1
+    assert sum(len(r["values_0"]) for r in c if r["k"] == "hot") == 25
+    assert all(len(r["values_0"]) <= 4 and len(r["values_1"]) <= 4 for r in c)
 
 
 # ---------------------------------------------------------------- sets
 
 def test_sets(spark):
-    d = ints(spark, [1, 1, 2, 3])
-    assert sorted(r[0] for r in sets.union_all(d, d).collect()) == [1, 1, 1, 1, 2, 2, 3, 3]
-    a, b = ints(spark, [1, 10, 2, 3, 4, 5]), ints(spark, [1, 6, 2, 3, 7, 8])
-    assert sorted(r[0] for r in sets.intersection(a, b).collect()) == [1, 2, 3]
-    assert sorted(r[0] for r in sets.distinct(d).collect()) == [1, 2, 3]
-    n = spark.createDataFrame([(None,), (1,)], "x long")
+    a, b = NUMBERS[:30], NUMBERS[20:]
+    da, db = ints(spark, a, 2), ints(spark, b, 3)
+    assert Counter(r[0] for r in sets.union_all(da, db).collect()) == Counter(a + b)
+    assert sorted(r[0] for r in sets.intersection(da, db).collect()) == sorted(set(a) & set(b))
+    assert sorted(r[0] for r in sets.distinct(da).collect()) == sorted(set(a))
+    n = spark.createDataFrame([(None,), (8,)], "x long")
     assert len(sets.intersection(n, n).collect()) == 2
 
 
+def test_union_is_positional(spark):
+    u = sets.union_all(ints(spark, [1], name="x"), ints(spark, [2], name="y"))
+    assert u.columns == ["x"] and sorted(r[0] for r in u.collect()) == [1, 2]
+
+
 # ---------------------------------------------------------------- aggregation
 
 def test_reduce_fold_aggregate(spark):
-    d = ints(spark, [1, 2, 3, 4, 5], 3)
-    assert agg.reduce(d, "x", "sum").first()[0] == 15
-    assert agg.fold(d, "x", 0, "sum").first()[0] == 15
-    assert agg.unpickle(agg.reduce_with(d, "x", operator.add)) == 15
-    empty = spark.createDataFrame([], "x long")
+    d, empty = ints(spark, NUMBERS, 3), spark.createDataFrame([], "x long")
+    total = sum(NUMBERS)
+    assert agg.reduce(d, "x", "sum").first()[0] == agg.fold(d, "x", 0, "sum").first()[0] == total
+    assert agg.unpickle(agg.reduce_with(d, "x", operator.add)) == total
     assert agg.reduce(empty, "x", "sum").first()[0] == 0
     assert agg.reduce(empty, "x", "max").first()[0] is None
     assert agg.reduce_with(empty, "x", operator.add).count() == 0
-    d4 = ints(spark, [1, 2, 3, 4], 2)
-    assert tuple(agg.aggregate_sum_count(d4, "x").first()) == (10, 4)
+    assert tuple(agg.aggregate_sum_count(d, "x").first()) == (total, len(NUMBERS))
     assert tuple(agg.aggregate_sum_count(empty, "x").first()) == (0, 0)
-    zc = agg.aggregate_with(d4, "x", (0, 0), lambda a, x: (a[0] + x, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]),
-                            "s long, c long")
-    assert tuple(zc.first()) == (10, 4)
+    spread = agg.aggregate_with(d, "x", (99, -99), lambda a, x: (min(a[0], x), max(a[1], x)),
+                                lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), "lo long, hi long")
+    assert tuple(spread.first()) == (min(NUMBERS), max(NUMBERS))
+
+
+def test_folds_follow_one_rule(spark):
+    d, p = ints(spark, [1, 2]), pairs(spark, [("a", 1), ("a", 2)])
+    assert agg.fold(d, "x", 8, "bit_or").first()[0] == keyed.fold_by_key(p, 8, "bit_or").first()["v"] == 11
+    assert agg.fold(d, "x", 7, "max").first()[0] == keyed.fold_by_key(p, 7, "max").first()["v"] == 7
+    assert agg.fold(spark.createDataFrame([], "x long"), "x", 8, "bit_or").first()[0] == 8
+    for bad in (("sum", 5), ("product", 0), ("bit_xor", 1), ("count", 0)):
+        with pytest.raises(ValueError):
+            agg.folded(F.sum("x"), bad[1], bad[0])
 
 
 def test_tree_reduce(spark):
-    d = ints(spark, [-5, -4, -3, -2, -1, 1, 2, 3, 4], 10)
-    for fan in (None, 1, 2, 5, 10):
-        assert agg.tree_reduce(d, "x", "sum", fan_in=fan).first()[0] == -5
-        assert tuple(agg.tree_aggregate_sum_count(d, "x", fan_in=fan).first()) == (-5, 9)
+    d = ints(spark, NUMBERS, 10)
+    for fan in (1, 2, 5, 300):
+        assert agg.tree_reduce(d, "x", "sum", fan_in=fan).first()[0] == sum(NUMBERS)
+        assert tuple(agg.tree_aggregate_sum_count(d, "x", fan_in=fan).first()) == (sum(NUMBERS), len(NUMBERS))
+
+
+def test_tree_merges_of_python_functions(spark):
+    d = ints(spark, NUMBERS, 10)
+    for depth in (1, 2, 4):
+        assert agg.unpickle(agg.reduce_with(d, "x", operator.add, depth=depth, fan_in=2)) == sum(NUMBERS)
+        distinct = agg.aggregate_with(d, "x", set(), lambda a, x: a | {x}, operator.or_, depth=depth, fan_in=2)
+        assert agg.unpickle(distinct) == set(NUMBERS)
 
 
 def test_max_min_by_key(spark):
-    d = spark.createDataFrame([(v,) for v in [1.0, 5.0, 43.0, 10.0]], "x double")
-    assert agg.max_value(d, "x").first()[0] == 43.0
-    assert agg.arg_max(d, "x", F.col("x").cast("string")).first()[0] == 5.0
-    d2 = spark.createDataFrame([(v,) for v in [2.0, 5.0, 43.0, 10.0]], "x double")
-    assert agg.min_value(d2, "x").first()[0] == 2.0
-    assert agg.arg_min(d2, "x", F.col("x").cast("string")).first()[0] == 10.0
+    d = ints(spark, NUMBERS, 3)
+    assert agg.max_value(d, "x").first()[0] == max(NUMBERS) and agg.min_value(d, "x").first()[0] == min(NUMBERS)
+    assert agg.arg_max(d, "x", F.col("x").cast("string")).first()[0] == max(NUMBERS, key=str)
+    assert agg.arg_min(d, "x", F.col("x").cast("string")).first()[0] == min(NUMBERS, key=str)
 
 
 def test_stats_population_and_sample(spark):
-    d = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "x double")
-    s = agg.stats(d, "x").first()
-    assert s["count"] == 3 and s["mean"] == 2.0
-    assert abs(s["variance"] - 2 / 3) < 1e-12 and abs(s["stdev"] - (2 / 3) ** 0.5) < 1e-12
-    assert s["sample_variance"] == 1.0 and s["sample_stdev"] == 1.0
-    one = spark.createDataFrame([(1.0,)], "x double")
+    import statistics as st
+
+    s = agg.stats(ints(spark, NUMBERS, 3), "x").first()
+    assert s["count"] == len(NUMBERS) and abs(s["mean"] - st.mean(NUMBERS)) < 1e-9
+    assert abs(s["variance"] - st.pvariance(NUMBERS)) < 1e-6 and abs(s["stdev"] - st.pstdev(NUMBERS)) < 1e-9
+    assert abs(s["sample_variance"] - st.variance(NUMBERS)) < 1e-6 and abs(s["sample_stdev"] - st.stdev(NUMBERS)) < 1e-9
+    one = spark.createDataFrame([(4.5,)], "x double")
     assert agg.sample_stdev(one, "x").first()[0] is None
     assert agg.count_rows(spark.createDataFrame([(None,), (1,)], "x long")).first()[0] == 2
 
 
 def test_count_by_value_keeps_null_group(spark):
-    d = spark.createDataFrame([(v,) for v in [1, 2, 1, 2, 2, None]], "x long")
-    assert {r[0]: r[1] for r in agg.count_by_value(d).collect()} == {1: 2, 2: 3, None: 1}
+    d = spark.createDataFrame([(v,) for v in [*NUMBERS, None, None]], "x long")
+    assert {r[0]: r[1] for r in agg.count_by_value(d).collect()} == Counter([*NUMBERS, None, None])
+
+
+def _counts(h):
+    return [r["count"] for r in sorted(h.collect())]
 
 
 def test_histograms(spark):
-    d = spark.createDataFrame([(float(i),) for i in range(51)], "x double")
-    h = sorted(histogram.histogram_even(d, "x", 2).collect())
-    assert [r["count"] for r in h] == [25, 26] and [h[0]["low"], h[0]["high"], h[1]["high"]] == [0.0, 25.0, 50.0]
-    assert [r["count"] for r in sorted(histogram.histogram_edges(d, "x", [0, 5, 25, 50]).collect())] == [5, 20, 26]
-    assert [r["count"] for r in sorted(histogram.histogram_edges(d, "x", [0, 15, 30, 45, 60]).collect())] == \
-        [15, 15, 15, 6]
-    s = spark.createDataFrame([(v,) for v in ["ab", "ac", "b", "bd", "ef"]], "x string")
-    assert [r["count"] for r in sorted(histogram.histogram_edges(s, "x", ["a", "b", "c"]).collect())] == [2, 2]
-    same = spark.createDataFrame([(3.0,), (3.0,), (None,), (float("nan"),)], "x double")
-    h1 = histogram.histogram_even(same, "x", 4).collect()
-    assert len(h1) == 1 and h1[0]["count"] == 2
-    with pytest.raises(ValueError):
-        histogram.histogram_edges(d, "x", [0, 5, 5])
-    with pytest.raises(ValueError):
+    d = spark.createDataFrame([(x / 4,) for x in range(0, 81)], "x double")
+    h = sorted(histogram.histogram_even(d, "x", 4).collect())
+    assert [(r["low"], r["high"], r["count"]) for r in h] == [(0.0, 5.0, 20), (5.0, 10.0, 20), (10.0, 15.0, 20), (15.0, 20.0, 21)]
+    assert _counts(histogram.histogram_edges(d, "x", [1, 2.5, 20])) == [6, 71]
+    words = spark.createDataFrame([(w,) for w in ("fig", "kiwi", "lime", "pear", "plum", "zest")], "x string")
+    assert _counts(histogram.histogram_edges(words, "x", ["g", "l", "pear", "q"])) == [1, 1, 2]
+    same = spark.createDataFrame([(7.5,), (7.5,), (None,), (float("nan"),)], "x double")
+    only = histogram.histogram_even(same, "x", 4).collect()
+    assert [(r["low"], r["high"], r["count"]) for r in only] == [(7.5, 7.5, 2)]
+    for bad in ([0, 5, 5], [3, 1], [1], [0, None], [0, float("nan"), 2], [1, "b"]):
+        with pytest.raises(histogram.HistogramError):
+            histogram.histogram_edges(d, "x", bad)
+    with pytest.raises(histogram.HistogramError):
         histogram.histogram_even(spark.createDataFrame([], "x double"), "x", 3)
 
 
+def test_histogram_edges_keep_their_type(spark):
+    import datetime as dt
+
+    big = 2**53
+    d = ints(spark, [big, big + 1, big + 2])
+    h = histogram.histogram_edges(d, "x", [big, big + 1, big + 3, big + 10])
+    assert _counts(h) == [1, 2, 0] and h.schema["low"].dataType.simpleString() == "bigint"
+    days = spark.createDataFrame([(dt.date(2020, 1, k),) for k in (1, 2, 9)], "x date")
+    h = histogram.histogram_edges(days, "x", [dt.date(2020, 1, 1), dt.date(2020, 1, 2), dt.date(2020, 1, 9)])
+    assert _counts(h) == [1, 2] and h.schema["high"].dataType.simpleString() == "date"
+
+
 def test_histogram_zero_buckets_reported(spark):
     d = spark.createDataFrame([(0.0,), (10.0,)], "x double")
     assert [r["count"] for r in sorted(histogram.histogram_even(d, "x", 5).collect())] == [1, 0, 0, 0, 1]
@@ -258,40 +299,62 @@ def test_histogram_zero_buckets_reported(spark):
 # ---------------------------------------------------------------- keyed
 
 def test_keyed(spark):
-    p = pairs(spark, [("a", 1), ("b", 1), ("a", 1)])
-    assert R(keyed.reduce_by_key(p, "sum")) == [("a", 2), ("b", 1)]
-    assert R(keyed.count_by_key(p)) == [("a", 2), ("b", 1)]
-    assert R(keyed.fold_by_key(p, 0, "sum")) == [("a", 2), ("b", 1)]
-    c = keyed.combine_by_key(p.repartition(3), str, lambda acc, v: acc + str(v), lambda x, y: x + y)
-    assert R(c) == [("a", "11"), ("b", "1")]
-    g = {r["k"]: list(r["values"]) for r in keyed.group_by_key(p).collect()}
-    assert g == {"a": [1, 1], "b": [1]}
-    nv = pairs(spark, [("a", 1), ("a", None)])
-    assert sorted(keyed.group_by_key(nv).first()["values"], key=str) == [1, None]
+    data = [(f"k{x % 5}", x) for x in NUMBERS]
+    p, per = pairs(spark, data).repartition(3), {}
+    for k, v in data:
+        per.setdefault(k, []).append(v)
+    assert dict(map(tuple, keyed.reduce_by_key(p, "sum").collect())) == {k: sum(v) for k, v in per.items()}
+    assert dict(map(tuple, keyed.count_by_key(p).collect())) == {k: len(v) for k, v in per.items()}
+    assert dict(map(tuple, keyed.fold_by_key(p, 0, "sum").collect())) == {k: sum(v) for k, v in per.items()}
+    c = keyed.combine_by_key(p, lambda v: [v], lambda a, v: [*a, v], lambda a, b: a + b, finish=sorted, out_type="array<long>")
+    assert {r["k"]: list(r["v"]) for r in c.collect()} == {k: sorted(v) for k, v in per.items()}
+    g = keyed.group_by_key(p, chunk_rows=100).collect()
+    assert {r["k"]: list(r["values"]) for r in g} == {k: sorted(v) for k, v in per.items()}
+    folded = keyed.fold_by_key_with(p, 1000, min, out_type="long")
+    assert dict(map(tuple, folded.collect())) == {k: min(v) for k, v in per.items()}
+
+
+def test_combine_by_composite_nan_and_zero_keys(spark):
+    nan = float("nan")
+    d = spark.createDataFrame([((1, nan), 1), ((1, nan), 2), ((1, 0.0), 4), ((1, -0.0), 8), ((None, None), 16), (None, 32)], "k struct<a:long,b:double>, v long")
+    c = keyed.combine_by_key(d.repartition(4), int, operator.add, operator.add, out_type="long").collect()
+    assert sorted(r["v"] for r in c) == [3, 12, 16, 32]
+    f = spark.createDataFrame([(nan, 1), (nan, 2), (0.0, 4), (-0.0, 8)], "k double, v long").repartition(3)
+    assert sorted(r["v"] for r in keyed.combine_by_key(f, int, operator.add, operator.add, out_type="long").collect()) == [3, 12]
+    two = d.select(F.col("v").alias("w"), (F.col("v") % 3).alias("m"), F.lit("x").alias("n"))
+    got = keyed.combine_by_key(two, int, operator.add, operator.add, k=["m", "n"], v="w", out_type="long")
+    assert got.columns == ["m", "n", "v"] and R(got) == [(1, "x", 21), (2, "x", 42)]
 
 
 def test_group_by_expr(spark):
-    d = ints(spark, [1, 1, 2, 3, 5, 8])
-    g = {r["k"]: sorted(x["x"] for x in r["values"]) for r in keyed.group_by(d, "x % 2").collect()}
-    assert g == {0: [2, 8], 1: [1, 1, 3, 5]}
+    d = ints(spark, NUMBERS)
+    g = {r["k"]: sorted(x["x"] for x in r["values"]) for r in keyed.group_by(d, "abs(x) % 3", chunk_rows=100).collect()}
+    assert g == {m: sorted(x for x in NUMBERS if abs(x) % 3 == m) for m in (0, 1, 2)}
 
 
 def test_last_value_by_key(spark):
-    df = spark.createDataFrame([(1, 2, 0), (3, 4, 1), (1, 9, 2)], "k long, v long, o long")
-    assert R(keyed.last_value_by_key(df, "o")) == [(1, 9), (3, 4)]
+    data = [(x % 4, x, i) for i, x in enumerate(NUMBERS)]
+    df = spark.createDataFrame(data, "k long, v long, o long").repartition(3)
+    assert dict(map(tuple, keyed.last_value_by_key(df, "o").collect())) == {k: v for k, v, _ in data}
 
 
 # ---------------------------------------------------------------- order
 
 def test_sort_by_key_text(spark):
-    data = [("a", 1), ("b", 2), ("1", 3), ("d", 4), ("2", 5)]
-    for n in (1, 2):
-        s = order.sort_by_key(pairs(spark, data), ["k"], num_partitions=n)
-        assert [tuple(r) for r in s.collect()] == [("1", 3), ("2", 5), ("a", 1), ("b", 2), ("d", 4)]
-    words = "Mary had a little lamb whose fleece was white".split()
-    df = spark.createDataFrame(list(zip(words, range(1, 10))), "k string, v long")
-    s = order.sort_by(df, F.lower("k"), num_partitions=3)
-    assert [r[0] for r in s.collect()][:3] == ["a", "fleece", "had"]
+    words = [f"{RND.choice('aAbBcC9')}{x}" for x in NUMBERS]
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "k string, v long").repartition(3)
+    for n in (None, 1, 4):
+        assert [r[0] for r in order.sort_by_key(df, ["k"], num_partitions=n).collect()] == sorted(words)
+        lower = [r[0].lower() for r in order.sort_by(df, F.lower("k"), num_partitions=n).collect()]
+        assert lower == sorted(w.lower() for w in words)
+
+
+def test_join_results_sort_in_few_partitions(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_quantity")
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    s = order.sort_by_key(joins.join(li, o, "l_orderkey"), ["o_custkey", "l_quantity"])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert layout.num_partitions(s) <= n
 
 
 def test_sort_nulls_and_descending(spark):
@@ -310,14 +373,12 @@ def test_hot_key_sort_spreads_over_partitions(spark):
 
 
 def test_top_take(spark):
-    d = ints(spark, [10, 4, 2, 12, 3])
-    assert [r[0] for r in order.top(d, 1, ["x"]).collect()] == [12]
-    assert [r[0] for r in order.top(ints(spark, [2, 3, 4, 5, 6], 2), 2, ["x"]).collect()] == [6, 5]
-    assert [r[0] for r in order.top(d, 3, [F.col("x").cast("string")]).collect()] == [4, 3, 2]
-    d2 = ints(spark, [10, 1, 2, 9, 3, 4, 5, 6, 7])
-    assert [r[0] for r in order.take_ordered(d2, 6, ["x"]).collect()] == [1, 2, 3, 4, 5, 6]
-    assert [r[0] for r in order.take_ordered(d2, 6, [-F.col("x")]).collect()] == [10, 9, 7, 6, 5, 4]
-    assert [r[0] for r in order.take(ints(spark, [2, 3, 4, 5, 6]), 2).collect()] == [2, 3]
+    d = ints(spark, NUMBERS, 3)
+    assert [r[0] for r in order.top(d, 5, ["x"]).collect()] == sorted(NUMBERS, reverse=True)[:5]
+    assert [r[0] for r in order.top(d, 5, [F.col("x").cast("string")]).collect()] == sorted(NUMBERS, key=str, reverse=True)[:5]
+    assert [r[0] for r in order.take_ordered(d, 6, ["x"]).collect()] == sorted(NUMBERS)[:6]
+    assert [r[0] for r in order.take_ordered(d, 6, [-F.col("x")]).collect()] == sorted(NUMBERS, reverse=True)[:6]
+    assert [r[0] for r in order.take(ints(spark, NUMBERS), 4).collect()] == NUMBERS[:4]
     assert order.is_empty(spark.createDataFrame([], "x long")).first()[0] is True
     assert order.is_empty(d).first()[0] is False
 
@@ -335,12 +396,12 @@ def test_casts(spark):
 # ---------------------------------------------------------------- position
 
 def test_zip_with_index_and_unique_id(spark):
-    df = spark.createDataFrame([(c,) for c in "abcd"], "x string").repartitionByRange(3, "x")
-    assert [tuple(r) for r in position.zip_with_index(df).orderBy("idx").collect()] == \
-        [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
-    u = position.zip_with_unique_id(spark.createDataFrame([(c,) for c in "abcde"], "x string").repartition(3))
-    ids = [r[0] for r in u.collect()]
-    assert len(set(ids)) == 5
+    df = ints(spark, NUMBERS).repartitionByRange(3, "x")
+    z = [tuple(r) for r in position.zip_with_index(df).orderBy("idx").collect()]
+    assert [i for i, _ in z] == list(range(len(NUMBERS))) and sorted(x for _, x in z) == sorted(NUMBERS)
+    u = position.zip_with_unique_id(ints(spark, NUMBERS).repartition(3))
+    assert len({r[0] for r in u.collect()}) == len(NUMBERS)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
 def test_row_index_equals_row_number_for_any_partitioning(spark):
@@ -352,10 +413,10 @@ def test_row_index_equals_row_number_for_any_partitioning(spark):
 
 
 def test_zip_frames(spark):
-    a = ints(spark, list(range(5)), 2)
-    b = ints(spark, list(range(1000, 1005)), 3, name="y")
+    a = ints(spark, list(range(40)), 2)
+    b = ints(spark, list(range(700, 740)), 3, name="y")
     z = position.zip_frames(a, b, ["x"], ["y"])
-    assert sorted((r["x"], r["y"]) for r in z.collect()) == [(i, 1000 + i) for i in range(5)]
+    assert sorted((r["x"], r["y"]) for r in z.collect()) == [(i, 700 + i) for i in range(40)]
     with pytest.raises(ValueError):
         position.zip_frames(a, ints(spark, [1]), ["x"], ["x"])
 
@@ -363,10 +424,10 @@ def test_zip_frames(spark):
 # ---------------------------------------------------------------- sampling (S22, S23, K)
 
 def test_take_sample_sizes(spark):
-    d = ints(spark, list(range(10)))
-    assert sampling.take_sample_with_replacement(d, 20, seed=1).count() == 20
-    assert sampling.take_sample(d, 5, ["x"], seed=1).count() == 5
-    assert sampling.take_sample(d, 15, ["x"], seed=1).count() == 10
+    d = ints(spark, list(range(30)))
+    assert sampling.take_sample_with_replacement(d, 70, seed=1).count() == 70
+    assert sampling.take_sample(d, 7, ["x"], seed=1).count() == 7
+    assert sampling.take_sample(d, 45, ["x"], seed=1).count() == 30
     with pytest.raises(ValueError):
         sampling.take_sample(d, -1, ["x"])
     with pytest.raises(ValueError):
@@ -401,9 +462,9 @@ def test_approx(spark):
     assert 950 <= e <= 1050
     m = spark.createDataFrame([(i % 20,) for i in range(1000)], "x long")
     assert 18 <= sampling.approx_count_distinct(m, "x", 0.05).first()[0] <= 22
-    assert sampling.approx_count_distinct(m, "x", 0.001).first()[0] == 20
+    assert 19 <= sampling.approx_count_distinct(m, "x", 0.005).first()[0] <= 21
     with pytest.raises(ValueError):
-        sampling.approx_count_distinct(m, "x", 0.5)
+        sampling.approx_count_distinct(m, "x", 0)
 
 
 def test_combine_by_key_bounded_map_side(spark):
@@ -455,34 +516,18 @@ def test_copartitioned_join_needs_no_extra_shuffle(spark):
     assert joins.join(pa_, pb, "k").count() == 334  # non-nullable keys: plain equality chosen
 
 
-def test_target_partitions_grows_with_the_estimate(spark, monkeypatch):
-    assert layout.target_partitions(ints(spark, [1, 2])) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = spark.range(1000).withColumnRenamed("id", "x")
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert layout.target_partitions(d) == base
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100b")
-    try:
-        assert layout.target_partitions(d) > base
-        s = order.sort_by_key(d, "x")
-        assert layout.num_partitions(s) == layout.target_partitions(d)
-        assert [r[0] for r in s.collect()] == list(range(1000))
-    finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-
-
 def test_zip_with_index_after_a_shuffle(spark):
     d = spark.range(5000).repartitionByRange(7, "id").select(F.col("id").alias("x"))
-    z = position.zip_with_index(d, stable_input=False)
+    z = position.zip_with_index(d)
     got = sorted(r["idx"] for r in z.select("idx").collect())
     assert got == list(range(5000))
-    position.release_cached()
 
 
 def test_key_by_then_cogroup(spark):
-    x = rows.key_by(ints(spark, [0, 1, 2]), F.col("x") * F.col("x")).select("k", F.col("x").alias("v"))
-    y = spark.createDataFrame([(i, i) for i in range(5)], "k long, v long")
-    got = {r["k"]: (list(r["values_0"]), list(r["values_1"])) for r in joins.cogroup([x, y]).collect()}
-    assert got == {0: ([0], [0]), 1: ([1], [1]), 2: ([], [2]), 3: ([], [3]), 4: ([2], [4])}
+    x = rows.key_by(ints(spark, [-3, 0, 4]), F.abs("x")).select("k", F.col("x").alias("v"))
+    y = spark.createDataFrame([(i, 10 * i) for i in range(6)], "k long, v long")
+    got = {r["k"]: (list(r["values_0"]), list(r["values_1"])) for r in joins.cogroup([x, y], chunk_rows=10).collect()}
+    assert got == {0: ([0], [0]), 1: ([], [10]), 2: ([], [20]), 3: ([-3], [30]), 4: ([4], [40]), 5: ([], [50])}
 
 
 def test_count_approx_reads_everything_at_fraction_one(spark):
@@ -492,10 +537,19 @@ def test_count_approx_reads_everything_at_fraction_one(spark):
     assert abs(a["sum_mean"] - 499500) < 1e-6
 
 
-def test_balance_spreads_only_small_inputs(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    assert layout.num_partitions(layout.balance(small, min_partitions=16)) == 16
-    assert layout.balance(small, min_partitions=16, max_bytes=10) is small
+def test_poisson_copies_of_large_means(spark):
+    d = ints(spark, list(range(400)), 4)
+    s = sampling.sample_hash(d, 250.0, ["x"], seed=4, with_replacement=True).groupBy("x").count().collect()
+    mean = sum(r[1] for r in s) / 400
+    spread = sum((r[1] - mean) ** 2 for r in s) / 399
+    assert abs(mean - 250) < 4 and 190 < spread < 320  # a Poisson variable's variance is its mean
+
+
+def test_uniform_numbers_have_52_bits(spark):
+    from tessera.functions.exprs import unit_hash
+
+    u = [r[0] for r in spark.range(1000).select(unit_hash("id", seed=1)).collect()]
+    assert all(0 <= x < 1 and (x * 2**52).is_integer() for x in u) and any(not (x * 2**40).is_integer() for x in u)
 
 
 def test_histogram_many_uneven_edges_matches_bisect(spark):
