@@ -70,29 +70,46 @@ def sample_by_key_hash(spark, sf_dir):
     return sampling.sample_by_key_hash(e, "event_type", FRACTIONS, ["event_id"], seed=11)
 
 
-def _estimate_check(spark, sf_dir, which: str):
+_ESTIMATE_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+_P, _Z = 0.2, sampling.Z_FOR_CONFIDENCE[0.99]
+
+
+def _estimate(spark, sf_dir, which: str):
     li = load(spark, sf_dir, "lineitem")
     exact = [F.count(F.lit(1)).cast("double").alias("count"), F.sum("l_quantity").alias("sum"),
              F.avg("l_quantity").alias("mean")]
-    j = sampling.approx_stats(li, "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"],
-                              fraction=0.2, confidence=0.99, seed=5, extra_aggs=exact)
-    return j.select("confidence", ((F.col(f"{which}_low") <= F.col(which))
-                                   & (F.col(which) <= F.col(f"{which}_high"))).alias("exact_within_bounds"))
-
-
-@register("approx_count", oracle="SELECT CAST(0.99 AS DOUBLE) AS confidence, true AS exact_within_bounds")
+    j = sampling.approx_stats(li, "l_quantity", _ESTIMATE_KEY, fraction=_P, confidence=0.99, seed=5, extra_aggs=exact)
+    return j.select("confidence", F.round(f"{which}_mean", 4).alias("estimate"), F.round(f"{which}_low", 4).alias("low"),
+                    F.round(f"{which}_high", 4).alias("high"), F.round(which, 4).alias("exact"))
+
+
+def _estimate_sql(estimate: str, deviation: str, exact: str) -> str:
+    """Horvitz-Thompson estimate and normal bounds from the same hash sample."""
+    return f"""
+WITH s AS (SELECT count(*) AS n, sum(l_quantity) AS sx, sum(l_quantity * l_quantity) AS sxx, avg(l_quantity) AS m,
+                  stddev_samp(l_quantity) AS sd
+           FROM lineitem WHERE {unit_hash_sql(*_ESTIMATE_KEY, seed=5)} < {_P}),
+e AS (SELECT {estimate} AS est, {deviation} AS dev FROM s),
+x AS (SELECT CAST({exact} AS DOUBLE) AS exact FROM lineitem)
+SELECT CAST(0.99 AS DOUBLE) AS confidence, round(est, 4) AS estimate, round(est - {_Z!r} * dev, 4) AS low,
+       round(est + {_Z!r} * dev, 4) AS high, round(exact, 4) AS exact
+FROM e, x
+"""
+
+
+@register("approx_count", oracle=_estimate_sql(f"n / {_P}", f"sqrt(n * {(1 - _P) / (_P * _P)!r})", "count(*)"))
 def approx_count(spark, sf_dir):
-    return _estimate_check(spark, sf_dir, "count")
+    return _estimate(spark, sf_dir, "count")
 
 
-@register("approx_sum", oracle="SELECT CAST(0.99 AS DOUBLE) AS confidence, true AS exact_within_bounds")
+@register("approx_sum", oracle=_estimate_sql(f"sx / {_P}", f"sqrt(sxx * {(1 - _P) / (_P * _P)!r})", "sum(l_quantity)"))
 def approx_sum(spark, sf_dir):
-    return _estimate_check(spark, sf_dir, "sum")
+    return _estimate(spark, sf_dir, "sum")
 
 
-@register("approx_mean", oracle="SELECT CAST(0.99 AS DOUBLE) AS confidence, true AS exact_within_bounds")
+@register("approx_mean", oracle=_estimate_sql("m", "sd / sqrt(n)", "avg(l_quantity)"))
 def approx_mean(spark, sf_dir):
-    return _estimate_check(spark, sf_dir, "mean")
+    return _estimate(spark, sf_dir, "mean")
 
 
 @register("approx_count_distinct", oracle="SELECT true AS within_3_rsd")
