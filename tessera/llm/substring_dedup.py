@@ -6,6 +6,11 @@ sentence a span runs over at least three consecutive sentences and on until it
 has 20 words. Spans are hashed to 128 bits over their lower-cased words and
 joined over the whole table. Of a repeated span the first occurrence (smallest
 id, then place) stays; all sentences that any other occurrence covers go.
+
+Spans are many, so they are cut twice and never stored: once to find the
+repeated hashes with their first occurrence (pre-aggregated in each task),
+once to join them. Rows that share an id and a text, or have no id and share
+a text, are one document: they keep and lose the same.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
@@ -55,73 +60,71 @@ def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS) -> tuple[
     return starts[a], stops[b - 1], b - a, run_hash(hashes), run_hash(S.mix(hashes ^ _OTHER))
 
 
+def _document(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """What tells documents apart: no_id, ord (the id, or a hash of the text), h (of the text)."""
+    text = F.coalesce(col(text_col), F.lit(""))
+    kind = "long" if docs.select(col(id_col)).schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    own = F.coalesce(col(id_col).cast(kind), F.xxhash64(text).cast(kind))
+    return [col(id_col).isNull().alias("no_id"), own.alias("ord"), F.hash(text).alias("h")]
+
+
 def _span_rows(docs: DataFrame, id_col: str, text_col: str, sentences: int, words: int) -> DataFrame:
-    """(id, th, row_no, start, stop, words, hi, lo): one row for each span of each document."""
+    """(no_id, ord, h, start, stop, hi, lo): one row for each span of each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (np.int32, np.int32, np.int64, np.int64)
         for b in batches:
             rows, parts, size = [], [], 0
             texts = utf8(b.column("text"))
             for i, t in enumerate(texts):
-                p = spans(t or b"", sentences, words)
-                rows.append(np.full(len(p[0]), i))
-                parts.append(p)
-                size += len(p[0])
+                start, stop, _, hi, lo = spans(t or b"", sentences, words)
+                rows.append(np.full(len(start), i))
+                parts.append((start, stop, hi, lo))
+                size += len(start)
                 if size > 100_000 or i == len(texts) - 1:  # Arrow batches of bounded size
                     of = pa.array(np.concatenate(rows))
-                    x = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(b.column(c).take(of) for c in ("id", "th", "row_no")), *(pa.array(c.astype(np.int64)) for c in x)],
-                        ["id", "th", "row_no", "start", "stop", "words", "hi", "lo"],
-                    )
+                    x = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), *x], ["no_id", "ord", "h", "start", "stop", "hi", "lo"])
                     rows, parts, size = [], [], 0
 
-    rows = docs.select(
-        col(id_col).alias("id"),
-        F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("th"),
-        F.monotonically_increasing_id().alias("row_no"),
-        F.encode(col(text_col), "utf-8").alias("text"),
-    )
-    id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {id_type}, th long, row_no long, start long, stop long, words long, hi long, lo long")
+    rows = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
+    kind = rows.schema["ord"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, start int, stop int, hi long, lo long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(id, th, row_no, start, stop, words, first_id): every non-first occurrence of a span.
-
-    ``start`` and ``stop`` are bytes of the text in UTF-8. A span may repeat
-    within one document. Rows with null ids come last in the order; repeated
-    rows are told apart by ``row_no``, so one of them keeps its text. Null and
-    empty texts and texts of fewer sentences have no spans. Counts are
-    pre-aggregated and joined back: a span that a third of all documents share
-    is split like any skewed key.
+    """(no_id, ord, h, start, stop, first): every non-first occurrence of a span.
+
+    ``start`` and ``stop`` are bytes of the text in UTF-8, ``first`` the
+    document and place (no_id, ord, start) of the occurrence that stays. A
+    span may repeat within one document. Documents without id come last in
+    the order. Null and empty texts and texts of fewer sentences have no
+    spans. A span that a third of all documents share is pre-aggregated when
+    counted and split like any skewed key when joined.
     """
-    rows = stored(_span_rows(docs, id_col, text_col, sentences, words), "spans")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no", "start")
+    rows = _span_rows(docs, id_col, text_col, sentences, words)
+    place = F.struct("no_id", "ord", "start")
     firsts = rows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(firsts.select("hi", "lo", "first"), ["hi", "lo"])
-    later = (F.col("row_no") != F.col("first.row_no")) | (F.col("start") != F.col("first.start"))
-    return joined.where(later).select("id", "th", "row_no", "start", "stop", "words", F.col("first.id").alias("first_id"))
+    firsts = stored(firsts.select("hi", "lo", "first"), "repeated-spans")
+    joined = rows.join(firsts, ["hi", "lo"])
+    return joined.where(place != F.col("first")).select("no_id", "ord", "h", "start", "stop", "first")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """(id, text, removed_bytes, removed, first_ids) of every document that loses sentences.
 
     ``removed`` lists the merged byte ranges that went, ``first_ids`` the
-    documents that keep them. Documents without repeated spans are not in the
-    result: they stay as they are. Other columns are ignored.
+    documents that keep them (null: one without id). Documents without
+    repeated spans are not in the result: they stay as they are. Repeated
+    rows give a row each. Other columns are ignored; an empty table gives an
+    empty result.
     """
-    gone = stored(repeated_spans(docs, id_col, text_col, sentences, words), "repeats")
-    ranges = F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges")
-    per_row = gone.groupBy("id", "th", "row_no").agg(ranges, F.sort_array(F.collect_set("first_id")).alias("first_ids"))
-    own = Window.partitionBy("id", "th").orderBy("row_no")
-    per_row = per_row.withColumn("nth", F.row_number().over(own))
-    # Rows that repeat in id and text are interchangeable: the first of them may keep text that the others lose.
-    texts = docs.select(col(id_col).alias("doc"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("text_th"), F.encode(col(text_col), "utf-8").alias("text"))
-    per_text = per_row.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("nth", "ranges", "first_ids"))).alias("cuts"))
-    joined = texts.join(per_text, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_th") == F.col("th")))
-    joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("id", "th").orderBy("text_th")))
-    cut = joined.where(F.col("nth") <= F.size("cuts")).withColumn("cut", F.element_at("cuts", F.col("nth"))).select("id", "text", "cut.ranges", "cut.first_ids")
+    gone = repeated_spans(docs, id_col, text_col, sentences, words)
+    first_id = F.when(~F.col("first.no_id"), F.col("first.ord"))
+    firsts = F.sort_array(F.collect_set(F.struct(first_id.alias("id"))))
+    cuts = gone.groupBy("no_id", "ord", "h").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges"), firsts.alias("firsts"))
+    texts = docs.select(col(id_col).alias("id"), *_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
+    cut = texts.join(cuts, ["no_id", "ord", "h"]).select("id", "text", "ranges", "firsts.id").toDF("id", "text", "ranges", "first_ids")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,5 +148,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ["id", "text", "removed_bytes", "removed", "first_ids"],
             )
 
-    id_type = gone.schema["id"].dataType.simpleString()
-    return cut.mapInArrow(apply, f"id {id_type}, text string, removed_bytes long, removed array<array<long>>, first_ids array<{id_type}>")
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
+    return cut.mapInArrow(apply, f"id {kinds['id']}, text string, removed_bytes long, removed array<array<long>>, first_ids {kinds['first_ids']}")
