@@ -85,11 +85,11 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     The replica is written with one letter changed in the pages whose length
     is 7 more than a multiple of 101; the audit doesn't know which these are.
     """
-    packed = stored(warc.pack(load(spark, sf_dir, "pages")), "warc-pages")
-    hit = F.octet_length("record") % 101 == 7
+    packed = warc.pack(load(spark, sf_dir, "pages"))
+    manifest = stored(warc.manifest(packed), "warc-manifest")
+    hit = F.col("length") % 101 == 7
     damaged = packed.withColumn("record", F.when(hit, F.regexp_replace("record", "</body>", "</bady>")).otherwise(F.col("record")))
     replica = stored(warc.read_archive(spark, warc.write_archive(damaged)), "warc-replica")
-    manifest = packed.drop("record")
     found = warc.audit_replica(manifest, replica)
     records = manifest.join(found, ["segment", "offset"], "left")
     return records.select("page_id", "segment", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))

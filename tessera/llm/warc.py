@@ -10,6 +10,7 @@ damaged records, are found.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -51,29 +52,37 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def pack(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """(page_id, segment, offset, length, digest, record): the manifest with the records.
+    """(page_id, segment, place, length, digest, record): pages dealt to segments.
 
-    Segments are dealt by a hash of the whole page, records lie in them in the
-    order of that hash, then of id and digest. Equal pages are records of
-    their own, next to each other. Offsets are running sums over narrow rows.
-    Null ids, urls and texts are empty header fields or bodies. Other columns
-    are ignored; an empty table gives no segments.
+    A hash of the whole page gives the segment and the place in it; records of
+    equal pages lie next to each other. Null ids, urls and texts are empty
+    header fields or bodies. Other columns are ignored; an empty table gives
+    no segments.
     """
     rows = pages.select(col(id_col).alias("page_id"), warc_record(col(id_col), col(url_col), col(html_col)).alias("record"))
-    rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256), "h": F.xxhash64("record")})
-    total = rows.agg(F.sum(F.col("length") + len(RECORD_END))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("record") + len(RECORD_END))).first()[0] or 0
     segments = max(1, -(-total // segment_bytes))
-    rows = rows.withColumn("segment", F.pmod("h", F.lit(segments)).cast("int"))
-    order = Window.partitionBy("segment").orderBy("h", "page_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.col("length") + len(RECORD_END)).over(order)
-    return rows.withColumn("offset", upto - F.col("length") - len(RECORD_END)).select("page_id", "segment", "offset", "length", "digest", "record")
+    rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256), "place": F.xxhash64("record")})
+    return rows.withColumn("segment", F.pmod("place", F.lit(segments)).cast("int")).select("page_id", "segment", "place", "length", "digest", "record")
+
+
+def manifest(packed: DataFrame) -> DataFrame:
+    """(page_id, segment, offset, length, digest) of every record: running sums
+    over narrow rows, in the order in which ``write_archive`` writes them."""
+    order = Window.partitionBy("segment").orderBy("place", "page_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.col("length") + len(RECORD_END)
+    narrow = packed.drop("record").withColumn("offset", F.sum(size).over(order) - size)
+    return narrow.select("page_id", "segment", "offset", "length", "digest")
 
 
 def write_archive(packed: DataFrame, path: str | None = None) -> str:
-    """Write each segment as one WARC file, records at their offsets; returns the folder."""
+    """Write each segment as one gzip-compressed WARC file; returns the folder.
+
+    Offsets count in the uncompressed file. Records are shuffled once.
+    """
     path = path or shared_dir(packed.sparkSession, "warc")
-    rows = packed.select("segment", "offset", "record").repartition("segment").sortWithinPartitions("segment", "offset")
-    rows.select("segment", "record").write.partitionBy("segment").option("lineSep", RECORD_END).text(path)
+    rows = packed.repartition("segment").sortWithinPartitions("segment", "place", "page_id", "digest")
+    rows.select("segment", "record").write.partitionBy("segment").option("lineSep", RECORD_END).option("compression", "gzip").text(path)
     return path
 
 
@@ -87,6 +96,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for segment, data in zip(b.column("segment").to_pylist(), b.column("content").to_pylist(), strict=True):
+                data = gzip.decompress(data)
                 rows = [(segment, at, stop - at, hashlib.sha256(data[at:stop]).hexdigest(), page) for at, stop, page in _records(data)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["segment", "offset", "length", "digest", "page_id"])
 

@@ -152,9 +152,13 @@ def test_substring_dedup(odd_docs, no_docs):
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
 
 
-def test_substring_dedup_keeps_one_of_repeated_rows(odd_docs):
+def test_substring_dedup_takes_repeated_rows_as_one_document(spark, odd_docs):
     rows = odd_docs.where("doc_id = 3")
-    assert rows.count() == 2 and len(substring_dedup.dedup_substrings(rows).collect()) == 1
+    assert rows.count() == 2 and substring_dedup.dedup_substrings(rows).count() == 0
+    text = rows.first()["text"]
+    mixed = spark.createDataFrame([(3, text), (3, text), (3, "Another. " + text), (None, text), (None, text), (None, text + " x")], "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(mixed).collect()
+    assert sorted((r["id"] is None, r["first_ids"]) for r in got) == [(False, [3]), (True, [3]), (True, [3]), (True, [3])]
 
 
 def test_chat_folds_edits_and_regenerations(spark):
@@ -187,8 +191,8 @@ def test_warc(spark):
         [(1, "http://a/", "<p>x\r\n\r\nWARC/1.0\r\n</p>"), (None, None, None), (2, "http://b/\r\nContent-Length: 5", ""), (2, "http://c", "y" * 300_000), (2, "http://c", "y" * 300_000), (3, "http://ü", "é" * 70_000)],
         "page_id long, url string, html string",
     ).withColumn("record", F.lit(1)).withColumn("segment", F.lit("s"))
-    packed = warc.pack(pages, segment_bytes=200_000).cache()
-    manifest = packed.drop("record")
+    packed = warc.pack(pages, segment_bytes=200_000)
+    manifest = warc.manifest(packed)
     files = warc.read_archive(spark, warc.write_archive(packed))
     place = lambda df: sorted(tuple(r) for r in df.select("segment", "offset", "length", "digest").collect())
     assert place(files) == place(manifest)
@@ -199,9 +203,10 @@ def test_warc(spark):
     statuses = [r["status"] for r in warc.audit_replica(manifest, lost, range_bytes=1000).collect()]
     assert statuses == ["missing"] * (pages.count() - lost.count())
     assert {r["status"] for r in warc.audit_replica(lost, manifest).collect()} == {"extra"}
-    empty = warc.pack(pages.limit(0))
-    assert empty.count() == 0 and warc.audit_replica(empty.drop("record"), empty.drop("record")).count() == 0
-    assert warc.audit_replica(manifest, empty.drop("record")).count() == pages.count()
+    empty = warc.manifest(warc.pack(pages.limit(0)))
+    assert empty.count() == 0 and warc.audit_replica(empty, empty).count() == 0
+    assert warc.read_archive(spark, warc.write_archive(warc.pack(pages.limit(0)))).count() == 0
+    assert warc.audit_replica(manifest, empty).count() == pages.count()
 
 
 def test_warc_reader_gets_past_a_broken_header():
