@@ -24,6 +24,8 @@ from tessera.llm.common import col, filter_batches
 from tessera.llm.shingles import mix
 
 UNKNOWN = "und"
+#: Labels that count as languages; their counts (one row each) are broadcast.
+MAX_LABELS = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 Table = tuple[np.ndarray, np.ndarray]
@@ -216,8 +218,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     """
     rows = labelled.select(col(text_col).alias("text"), col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if counts.count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} different labels are no languages")
     u = F.xxhash64(F.lit(seed), "text") / 2.0**64 + 0.5
-    near = rows.join(counts, "lang").withColumn("u", u).where(F.col("u") * F.col("n") < 2.0 * per_label + 20)
+    near = rows.join(F.broadcast(counts), "lang").withColumn("u", u).where(F.col("u") * F.col("n") < 2.0 * per_label + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
     sample = near.withColumn("rank", rank).where(F.col("rank") <= per_label).select("lang", "text", "rank")
 
