@@ -69,7 +69,8 @@ class DigestIndex:
         )
         rows.write.parquet(f"{self.path}/rows/batch={name}")  # row numbers hold from here on
         here = self.spark.read.schema("id " + rows.schema["id"].dataType.simpleString() + ", row_no bigint, digest binary").parquet(f"{self.path}/rows/batch={name}")
-        fresh = here.groupBy("digest").agg(F.max(F.struct("id", "row_no")).alias("keep"))
+        # Written before the join: else the optimizer joins all rows first and aggregates after.
+        fresh = stored(here.groupBy("digest").agg(F.max(F.struct("id", "row_no")).alias("keep")), "digest-batch")
         known = self.spark.table(self.table).select("digest")
         new = fresh.join(known.hint("merge"), "digest", "left_anti")
         (
