@@ -17,11 +17,13 @@ Steps, each a Spark job over all documents:
    confirmed on the full shingle sets; linked classes are joined to components;
 4. buckets that still hold members of several components (near the threshold,
    or texts that merely share a passage) are searched across components in
-   rounds. A round splits every bucket by a few more collections and compares
-   each member with a random leader of its part. Two sets at 0.75 share about
-   45 of 144 buckets, and each round compares them in some with a chance that
-   grows as the parts get smaller, so over all rounds a link is missed only
-   where a part with hundreds of half-similar texts holds a single link;
+   rounds. A round splits a bucket of m members by ln m further collections,
+   one more or up to two fewer, and compares each member with a random leader
+   of its part. Two sets at 0.75 share about 45 of 144 buckets and stay
+   together in 0.56^(ln m) of the splits, in parts that otherwise hold few, so
+   every round compares them with a good chance. What can be missed is a link
+   that is the only one of its component, inside a large group of half-similar
+   sets (README has the measured loss);
 5. components over all confirmed links.
 
 No step emits the pairs of a group: rows grow with the members of buckets.
@@ -44,8 +46,8 @@ from tessera.llm.common import col, stored, utf8
 from tessera.llm.components import components
 
 SIDE = 12
-#: For each round of step 4, the collections that split a bucket further.
-ROUNDS = (0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6)
+#: Rounds of step 4, and the most collections that split a bucket in one.
+ROUNDS, MOST_SPLITS = 16, 12
 PER_COLLECTION = 2
 AGREEING = 25
 _SEED = 20240517
@@ -179,24 +181,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rep, component) of the buckets whose members are in several components."""
+    """(key, rep, component, members) of the buckets whose members are in several components."""
     rows = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    spans = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return rows.join(spans.where("lo <> hi").select("key"), "key")
+    spans = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
+    return rows.join(spans.where("lo <> hi").select("key", "members"), "key")
 
 
 def _leader_pairs(open_rows: DataFrame, reps: DataFrame, side: int) -> DataFrame:
     """(a, b): in each round, every member of a bucket with a random leader of another component.
 
-    Round after round the buckets are split by more collections, drawn anew:
-    rows stay as many, and the more alike two members are, the longer they stay
-    together and the likelier one leads the other.
+    A round splits a bucket of m members by about ln m further collections,
+    drawn anew, now more, now fewer: parts get small, and what stays together
+    in them is alike. Rows stay as many in every round.
     """
     draw = np.random.default_rng(_SEED)
-    splits = [sorted(draw.choice(2 * side, size=min(more, 2 * side), replace=False).tolist()) for more in ROUNDS]
-    keyed = open_rows.join(reps.select("rep", F.concat("first", "second").alias("cs")), "rep")
-    keys = F.array(*[F.xxhash64(F.lit(r), "key", *[F.col("cs")[i] for i in split]) for r, split in enumerate(splits)])
-    rows = keyed.select(F.explode(keys).alias("part"), "rep", "component")
+    orders = [draw.permutation(2 * side)[:MOST_SPLITS] for _ in range(ROUNDS)]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cs = b.column("cs").flatten().to_numpy().astype(np.uint64).reshape(b.num_rows, 2 * side)
+            key = b.column("key").to_numpy().astype(np.uint64)
+            depth = np.rint(np.log(b.column("members").to_numpy())).astype(int)
+            for r, order in enumerate(orders):
+                part = S.mix(key + np.uint64(r))
+                for j, c in enumerate(order):
+                    part = np.where(depth - r % 4 >= j, _combine(part, cs[:, c]), part)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), b.column("rep"), b.column("component")], ["part", "rep", "component"])
+
+    keyed = open_rows.join(reps.select("rep", F.concat("first", "second").alias("cs")), "rep").select("key", "rep", "component", "members", "cs")
+    rows = keyed.mapInArrow(split, "part long, rep long, component long")
     leader = F.min_by(F.struct("rep", "component"), F.xxhash64("part", "rep")).alias("leader")
     lead = rows.groupBy("part").agg(leader, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     pairs = rows.join(lead.select("part", "leader"), "part").where("component <> leader.component")
