@@ -16,20 +16,19 @@ Steps, each a Spark job over all documents:
 3. in every bucket all members are compared with the smallest one; pairs are
    confirmed on the full shingle sets; linked classes are joined to components;
 4. buckets that still hold members of several components (near the threshold,
-   or texts that merely share a passage) are searched across components in
-   rounds. A round splits a bucket of m members by ln m further collections,
-   one more or up to two fewer, and compares each member with a random leader
-   of its part. Two sets at 0.75 share about 45 of 144 buckets and stay
-   together in 0.56^(ln m) of the splits, in parts that otherwise hold few, so
-   every round compares them with a good chance. What can be missed is a link
-   that is the only one of its component, inside a large group of half-similar
-   sets (README has the measured loss);
+   or texts that merely share a passage) are searched to the end: open buckets
+   that share members are one group, a group is dealt to blocks of at most
+   about ``BLOCK_MEMBERS``, and every pair of blocks is one cell, in which each
+   member is compared with all others of other components on the full sets;
 5. components over all confirmed links.
 
-No step emits the pairs of a group: rows grow with the members of buckets.
+No step emits the pairs of a group: a cell emits only links that join two
+components, less than it has members. Its rows are a group's members times the
+group's blocks, its work the square of the group.
 
-A pair is confirmed on full sets only if 25 of its 48 minhashes agree (36 are
-expected at 0.75, standard deviation 3: a loss of 2e-4 right at the threshold).
+Step 3 confirms a pair on full sets only if 25 of its 48 minhashes agree (36
+are expected at 0.75, standard deviation 3). A pair that is passed over by it
+stays open for step 4, which has no such filter.
 """
 
 from __future__ import annotations
@@ -46,8 +45,8 @@ from tessera.llm.common import col, stored, utf8
 from tessera.llm.components import components
 
 SIDE = 12
-#: Rounds of step 4, and the most collections that split a bucket in one.
-ROUNDS, MOST_SPLITS = 16, 12
+#: Members of a block in step 4, and bytes of their sets.
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 16 << 20
 PER_COLLECTION = 2
 AGREEING = 25
 _SEED = 20240517
@@ -181,41 +180,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rep, component, members) of the buckets whose members are in several components."""
+    """(key, rep, component) of the buckets whose members are in several components."""
     rows = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    spans = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return rows.join(spans.where("lo <> hi").select("key", "members"), "key")
+    spans = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return rows.join(spans.where("lo <> hi").select("key"), "key")
 
 
-def _leader_pairs(open_rows: DataFrame, reps: DataFrame, side: int) -> DataFrame:
-    """(a, b): in each round, every member of a bucket with a random leader of another component.
+def _cells(open_rows: DataFrame, sets: DataFrame, block_members: int) -> DataFrame:
+    """(group, i, j, block, rep, component, shingles): members of open groups, once for each pair of blocks."""
+    first = open_rows.groupBy("key").agg(F.min("rep").alias("a"))
+    edges = open_rows.join(first, "key").select("a", F.col("rep").alias("b")).distinct()
+    groups = components(edges).toDF("rep", "group")
+    sized = sets.select("rep", F.octet_length("shingles").cast("long").alias("bytes"))
+    members = stored(open_rows.select("rep", "component").distinct().join(groups, "rep").join(sized, "rep"), "minhash-open-members")
+    needed = F.greatest(F.count(F.lit(1)) / block_members, F.sum("bytes") / BLOCK_BYTES)
+    dealt = members.join(members.groupBy("group").agg(F.ceil(needed).alias("blocks")), "group").join(sets, "rep")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cells.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "shingles")
 
-    A round splits a bucket of m members by about ln m further collections,
-    drawn anew, now more, now fewer: parts get small, and what stays together
-    in them is alike. Rows stay as many in every round.
-    """
-    draw = np.random.default_rng(_SEED)
-    orders = [draw.permutation(2 * side)[:MOST_SPLITS] for _ in range(ROUNDS)]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cs = b.column("cs").flatten().to_numpy().astype(np.uint64).reshape(b.num_rows, 2 * side)
-            key = b.column("key").to_numpy().astype(np.uint64)
-            depth = np.rint(np.log(b.column("members").to_numpy())).astype(int)
-            for r, order in enumerate(orders):
-                part = S.mix(key + np.uint64(r))
-                for j, c in enumerate(order):
-                    part = np.where(depth - r % 4 >= j, _combine(part, cs[:, c]), part)
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), b.column("rep"), b.column("component")], ["part", "rep", "component"])
-
-    keyed = open_rows.join(reps.select("rep", F.concat("first", "second").alias("cs")), "rep").select("key", "rep", "component", "members", "cs")
-    rows = keyed.mapInArrow(split, "part long, rep long, component long")
-    leader = F.min_by(F.struct("rep", "component"), F.xxhash64("part", "rep")).alias("leader")
-    lead = rows.groupBy("part").agg(leader, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    pairs = rows.join(lead.select("part", "leader"), "part").where("component <> leader.component")
-    return pairs.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
+def _joining(rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the members ``left`` and ``right`` that join two components each.
+
+    A member's shingles are marked and counted in all sets of ``right`` at once.
+    """
+    links, label = [], label.copy()
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    known, of = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(of, np.cumsum(size)[:-1])
+    ids, at = np.concatenate([of[y] for y in right]), np.r_[0, np.cumsum(size[right])[:-1]]
+    mark = np.zeros(len(known), np.uint8)
+    for x in left:
+        if (label[right] == label[x]).all():
+            continue
+        mark[of[x]] = 1
+        common = np.add.reduceat(mark[ids], at, dtype=np.int64)
+        mark[of[x]] = 0
+        for y in right[100 * common >= 75 * (size[x] + size[right] - common)]:
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                links.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+    return links
+
+
+def _searched(cells: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of a cell, found on the full sets."""
+
+    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        links = []
+        if len(left) and len(right):
+            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+            links = _joining(table.column("rep").to_numpy(), table.column("component").to_numpy(), sets, left, right)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("group", "i", "j").applyInArrow(search, "a long, b long")
 
 
 def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE, agreeing: int = AGREEING) -> DataFrame:
@@ -243,8 +265,7 @@ def near_dup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = stored(_confirmed(stars, sets), "minhash-links")
 
     open_rows = stored(_open_rows(buckets, components(links)), "minhash-open")
-    extra = stored(_plausible(_leader_pairs(open_rows, reps, side), reps, agreeing), "minhash-pairs")
-    links = links.union(stored(_confirmed(extra, sets), "minhash-links"))
+    links = links.union(stored(_searched(_cells(open_rows, sets, BLOCK_MEMBERS)), "minhash-links"))
 
     of_class = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
