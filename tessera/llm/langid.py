@@ -132,7 +132,7 @@ class LanguageId:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     char_spread: np.ndarray | None = None
-    limit: float = 8.0
+    limit: np.ndarray | None = None
 
 
 class _Scorer(dict):
@@ -202,7 +202,7 @@ def _judge(model: LanguageId, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ahead = np.exp2(-model.sharpness * np.sqrt(n)[:, None] * (entropy - entropy.min(axis=1)[:, None]))
     score = 1.0 / ahead.sum(axis=1)
     z = (entropy.min(axis=1) - model.mean[best]) / np.sqrt(model.spread[best] ** 2 + model.char_spread[best] ** 2 / n)
-    return best, score, z > model.limit
+    return best, score, z > model.limit[best]
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order: int = 4, per_label: int = 800, reject_z: float = 8.0, seed: int = 3) -> LanguageId:
@@ -212,8 +212,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     the same on every run. Three of four learn the models, the fourth
     calibrates them: mean and spread of the cross-entropy of each language, the
     sharpness of the score, and the limit of rejection, at least ``reject_z``
-    and 1.25 times the worst calibration text's. Rows without text or label
-    are passed over. Labels are few and each model's size is bounded by the
+    and ``reject_z`` spreads above the median of that language's calibration
+    texts, so that a few junk or mislabelled ones don't move it. Rows without
+    text or label are passed over. Labels are few and each model's size is bounded by the
     sample, so models go through the driver.
     """
     rows = labelled.select(col(text_col).alias("text"), col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -247,6 +248,7 @@ def _calibrate(model: LanguageId, held: list[tuple[int, str]], reject_z: float)
     usable = sums[:, -1] > 0 if len(held) else np.zeros(0, bool)
     sums, label = sums[usable], label[usable]
     model.mean, model.spread, model.char_spread = np.full(k, 4.0), np.full(k, 1.0), np.full(k, 4.0)
+    model.limit = np.full(k, float(reject_z))
     if not len(sums):
         return
     n = sums[:, -1]
@@ -256,12 +258,17 @@ def _calibrate(model: LanguageId, held: list[tuple[int, str]], reject_z: float)
         mine = label == j
         if np.count_nonzero(mine) >= 5:
             e, m = own[mine], n[mine]
-            model.mean[j] = np.average(e, weights=m)
+            by = np.argsort(e)
+            model.mean[j] = e[by][np.searchsorted(np.cumsum(m[by]), m.sum() / 2)]  # weighted median
             deviation = (e - model.mean[j]) ** 2
             model.char_spread[j] = max(np.sqrt(np.median(deviation * m) / 0.455), 1.0)
             model.spread[j] = max(np.sqrt(np.median(deviation) / 0.455), 0.05)
     z = (own - model.mean[label]) / np.sqrt(model.spread[label] ** 2 + model.char_spread[label] ** 2 / n)
-    model.limit = max(reject_z, 1.25 * float(z.max()))
+    for j in range(k):
+        mine = z[label == j]
+        if len(mine) >= 5:
+            low, middle, high = np.quantile(mine, [0.25, 0.5, 0.75])
+            model.limit[j] = max(reject_z, middle + reject_z * (high - low) / 1.349)
     best_loss = np.inf
     for s in (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2):
         ahead = -s * np.sqrt(n)[:, None] * (entropy - entropy.min(axis=1)[:, None])
