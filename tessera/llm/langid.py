@@ -206,10 +206,10 @@ def _judge(model: LanguageId, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order: int = 4, per_label: int = 800, reject_z: float = 8.0, seed: int = 3) -> LanguageId:
-    """Learn from at most ``per_label`` labelled texts of each language.
+    """Learn from at most ``per_label`` different labelled texts of each language.
 
     The sample takes whole texts, those whose seeded hash is lowest, so it is
-    the same on every run. Three of four learn the models, the fourth
+    the same on every run. Copies of a text count once in a language. Three of four learn the models, the fourth
     calibrates them: mean and spread of the cross-entropy of each language, the
     sharpness of the score, and the limit of rejection, at least ``reject_z``
     and ``reject_z`` spreads above the median of that language's calibration
@@ -218,11 +218,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     sample, so models go through the driver.
     """
     rows = labelled.select(col(text_col).alias("text"), col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("th", F.xxhash64(F.lit(seed), "text"))
+    counts = rows.select("lang", "th").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     if counts.count() > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} different labels are no languages")
-    u = F.xxhash64(F.lit(seed), "text") / 2.0**64 + 0.5
+    u = F.col("th") / 2.0**64 + 0.5
     near = rows.join(F.broadcast(counts), "lang").withColumn("u", u).where(F.col("u") * F.col("n") < 2.0 * per_label + 20)
+    near = near.groupBy("lang", "th").agg(F.min("text").alias("text"), F.min("u").alias("u"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
     sample = near.withColumn("rank", rank).where(F.col("rank") <= per_label).select("lang", "text", "rank")
 

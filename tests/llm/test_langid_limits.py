@@ -7,6 +7,7 @@ import string
 
 import numpy as np
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tessera.llm import langid
 
@@ -39,3 +40,15 @@ def test_foreign_scripts_and_random_letters_are_rejected(spark):
     georgian = " ".join("".join(chr(0x10D0 + rng.randrange(33)) for _ in range(6)) for _ in range(60))
     _, _, rejected = langid.judge_texts(langid._Scorer(model), [*letters, georgian])
     assert rejected.all()
+
+
+def test_copies_of_a_text_count_once(spark):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(10)) for _ in range(120)]
+    docs = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
+    first = docs.orderBy(F.xxhash64(F.lit(3), "text")).first()["text"]
+    copied = docs.union(spark.createDataFrame([(first, "x")] * 500, docs.schema))
+    once, often = langid.fit(docs, per_label=80), langid.fit(copied, per_label=80)
+    assert [len(k) for k, _ in often.models[0].ngrams] == [len(k) for k, _ in once.models[0].ngrams]
+    assert often.mean == once.mean and often.limit == once.limit
+    assert not any(r["rejected"] for r in langid.identify(docs, often, "lang").collect())
