@@ -1,16 +1,26 @@
 """Substring de-duplication by sliding sentence spans.
 
-A text is cut into sentences (after ``. ! ?`` at a word's end and at line
-ends; a sentence of more than ``LONG`` words also after ``, ; :``). From every
-sentence a span runs over at least three consecutive sentences and on until it
-has 20 words. Spans are hashed to 128 bits over their lower-cased words and
-joined over the whole table. Of a repeated span the first occurrence (smallest
-id, then place) stays; all sentences that any other occurrence covers go.
+A text is cut into sentences (after ``. ! ?`` or a full stop of Chinese,
+Japanese or Hindi at a word's end, also before closing quotes and brackets, and
+at line ends; a sentence of more than ``LONG`` words also after ``, ; :``). From
+every sentence a span runs over at least three consecutive sentences and on
+until it has 20 words. Besides, every run of ``RUN`` = 50 words is a span,
+wherever it begins, so no repeated passage of 50 words or more is kept. Spans
+are hashed to 128 bits over their lower-cased words and joined over the whole
+table. Of a repeated span the first occurrence (smallest id, then place)
+stays; all words that any other occurrence covers go.
+
+Runs of 50 words are as many as words, so only those are made that can be
+repeated. Of every 31 consecutive 20-word hashes the smallest is an anchor
+(winnowing). A run of 50 words holds such a window whole, so equal runs hold
+an equal anchor at the same place: runs without an anchor that occurs twice
+in the table occur once.
 
 Spans are many, so they are cut twice and never stored: once to find the
 repeated hashes with their first occurrence (pre-aggregated in each task),
-once to join them. Rows that share an id and a text, or have no id and share
-a text, are one document: they keep and lose the same.
+once to join them. Texts with repeated anchors are stored with these. Rows
+that share an id and a text, or have no id and share a text, are one document:
+they keep and lose the same.
 """
 
 from __future__ import annotations
@@ -26,31 +36,81 @@ from tessera.llm import shingles as S
 from tessera.llm.common import col, stored, utf8
 
 SENTENCES, WORDS, LONG = 3, 20, 20
+#: Words of a run that is a span wherever it begins, and of an anchor in it.
+RUN, ANCHOR = 50, 20
 _END, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _END[list(b".!?")] = True
 _BREAK[list(b",;:")] = True
+#: Last bytes of words that end a sentence besides those of ``_END``: other full
+#: stops, and closing quotes and brackets after any full stop.
+_STOPS = ("\u3002", "\uff01", "\uff1f", "\uff0e", "\u0964", "\u0965", "\u061f", "\u06d4", "\u2026")
+_CLOSING = "\"')]}\u201d\u2019\u00bb\u203a\u300d\u300f\uff09\u3011"
+#: Last two bytes that these characters can have.
+_TAIL = np.zeros((256, 256), bool)
+for _c in (*_STOPS, *_CLOSING):
+    _TAIL[_c.encode()[-2] if ord(_c) > 127 else slice(None), _c.encode()[-1]] = True
 _OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """(first byte, last byte + 1, words, hash, second hash) of every span of a text."""
-    starts, stops, hashes = S.words(text)
-    n = len(starts)
-    if n == 0:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+def _ends(text: bytes, stops: np.ndarray) -> np.ndarray:
+    """Whether each word (given by its end) ends a sentence."""
     data = np.frombuffer(text, np.uint8)
     last = data[stops - 1]
     ends = _END[last].copy()
+    for i in np.flatnonzero(_TAIL[data[np.maximum(stops - 2, 0)], last]):
+        tail = text[max(stops[i] - 16, 0) : stops[i]].decode("utf-8", "ignore").rstrip(_CLOSING)
+        ends[i] = tail.endswith((".", "!", "?", *_STOPS))
+    return ends
+
+
+def _sentence_spans(text: bytes, starts: np.ndarray, stops: np.ndarray, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and last word + 1 of every span of whole sentences."""
+    data = np.frombuffer(text, np.uint8)
+    ends = _ends(text, stops)
     lines = np.searchsorted(starts, np.flatnonzero(data == 10)) - 1
     ends[lines[lines >= 0]] = True
     ends[-1] = True
     sentence = np.cumsum(ends) - ends
-    ends |= _BREAK[last] & (np.bincount(sentence)[sentence] > LONG)
+    ends |= _BREAK[data[stops - 1]] & (np.bincount(sentence)[sentence] > LONG)
     after = np.flatnonzero(ends) + 1  # word after each sentence
     first = np.r_[0, after[:-1]]
     upto = np.maximum(np.arange(len(first)) + sentences, np.searchsorted(after, first + words) + 1)
     whole = upto <= len(first)
-    a, b = first[whole], after[upto[whole] - 1]
+    return first[whole], after[upto[whole] - 1]
+
+
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the anchors among a text's word hashes."""
+    grams = S.runs(hashes, ANCHOR)
+    width = RUN - ANCHOR + 1
+    if len(grams) < width:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    return at, grams[at]
+
+
+def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, near: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(first byte, last byte + 1, words, hash, second hash) of every span of a text, by place.
+
+    ``near`` leaves only runs of ``RUN`` words that hold an anchor at one of
+    these words.
+    """
+    starts, stops, hashes = S.words(text)
+    n = len(starts)
+    if n == 0:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    a, b = _sentence_spans(text, starts, stops, sentences, words)
+    runs = np.ones(max(n - RUN + 1, 0), bool)
+    if near is not None:
+        edge = np.zeros(len(runs) + 1, np.int64)
+        np.add.at(edge, np.clip(near + ANCHOR - RUN, 0, len(runs)), 1)
+        np.add.at(edge, np.clip(near + 1, 0, len(runs)), -1)
+        runs = np.cumsum(edge)[:-1] > 0
+    runs[a[b - a == RUN]] = False
+    a, b = np.r_[a, np.flatnonzero(runs)], np.r_[b, np.flatnonzero(runs) + RUN]
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
     power, inverse = S.powers(n)
 
     def run_hash(w: np.ndarray) -> np.ndarray:
@@ -68,27 +128,52 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [col(id_col).isNull().alias("no_id"), own.alias("ord"), F.hash(text).alias("h")]
 
 
-def _span_rows(docs: DataFrame, id_col: str, text_col: str, sentences: int, words: int) -> DataFrame:
-    """(no_id, ord, h, start, stop, hi, lo): one row for each span of each document."""
+def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(no_id, ord, h, text, anchors): documents with anchors that occur twice in the table."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [anchors(S.words(t or b"")[2]) for t in utf8(b.column("text"))]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
+            at, value = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), pa.array(at.astype(np.int32)), pa.array(value.astype(np.int64))], ["no_id", "ord", "h", "at", "anchor"])
+
+    rows = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
+    kind = rows.schema["ord"].dataType.simpleString()
+    found = rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, at int, anchor long")
+    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    near = found.join(twice, "anchor").groupBy("no_id", "ord", "h").agg(F.collect_set("at").alias("anchors"))
+    return rows.join(near, ["no_id", "ord", "h"])
+
+
+def _span_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+    """(no_id, ord, h, start, stop, hi, lo): one row for each span of each document.
+
+    ``docs`` has (no_id, ord, h, text, anchors): without anchors only spans of
+    whole sentences are made, with anchors only runs of words.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (np.int32, np.int32, np.int64, np.int64)
         for b in batches:
             rows, parts, size = [], [], 0
-            texts = utf8(b.column("text"))
-            for i, t in enumerate(texts):
-                start, stop, _, hi, lo = spans(t or b"", sentences, words)
+            texts = zip(utf8(b.column("text")), b.column("anchors").to_pylist(), strict=True)
+            for i, (t, near) in enumerate(texts):
+                start, stop, n, hi, lo = spans(t or b"", sentences, words, np.asarray(near or [], np.int64))
+                if near is not None:
+                    runs = n == RUN
+                    start, stop, hi, lo = start[runs], stop[runs], hi[runs], lo[runs]
                 rows.append(np.full(len(start), i))
                 parts.append((start, stop, hi, lo))
                 size += len(start)
-                if size > 100_000 or i == len(texts) - 1:  # Arrow batches of bounded size
+                if size > 100_000 or i == b.num_rows - 1:  # Arrow batches of bounded size
                     of = pa.array(np.concatenate(rows))
                     x = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts, strict=True), types, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), *x], ["no_id", "ord", "h", "start", "stop", "hi", "lo"])
                     rows, parts, size = [], [], 0
 
-    rows = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
-    kind = rows.schema["ord"].dataType.simpleString()
+    kind = docs.schema["ord"].dataType.simpleString()
+    rows = docs.select("no_id", "ord", "h", "text", "anchors")
     return rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, start int, stop int, hi long, lo long")
 
 
@@ -98,11 +183,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``start`` and ``stop`` are bytes of the text in UTF-8, ``first`` the
     document and place (no_id, ord, start) of the occurrence that stays. A
     span may repeat within one document. Documents without id come last in
-    the order. Null and empty texts and texts of fewer sentences have no
-    spans. A span that a third of all documents share is pre-aggregated when
+    the order. Null and empty texts and texts of fewer sentences and
+    words have no spans. A span that a third of all documents share is pre-aggregated when
     counted and split like any skewed key when joined.
     """
-    rows = _span_rows(docs, id_col, text_col, sentences, words)
+    anchored = stored(_anchored(docs, id_col, text_col), "repeated-anchors")
+    every = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
+    every = every.withColumn("anchors", F.lit(None).cast("array<int>"))
+    rows = _span_rows(every, sentences, words).union(_span_rows(anchored, sentences, words))
     place = F.struct("no_id", "ord", "start")
     firsts = rows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = stored(firsts.select("hi", "lo", "first"), "repeated-spans")
