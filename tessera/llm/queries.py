@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, exact_dedup, langid, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
+from tessera.llm import bpe, chat, decontamination, exact_dedup, langid, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
 from tessera.llm.common import stored
 from tessera.sources.tables import load
 
@@ -114,9 +114,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the tokenization automaton and decoded again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = bpe.decode_ids(bpe.encode_texts(load(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_language_id, op3_chat_format, op4_decontamination, op5_token_counts, op6_near_dedup, op7_mixing, op8_warc_audit, op9_exact_dedup, op10_substring_dedup)
+    for f in (op1_sharding, op2_language_id, op3_chat_format, op4_decontamination, op5_token_counts, op6_near_dedup, op7_mixing, op8_warc_audit, op9_exact_dedup, op10_substring_dedup, op13_bpe)
 }
 
 #: DuckDB twins. The others have none: hashing with a seed, models, tokenizers,
