@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontamination, exact_dedup, langid, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
+from tessera.llm import bpe, chat, decontamination, exact_dedup, langid, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
 from tessera.llm.common import stored
 from tessera.sources.tables import load
 
@@ -114,6 +114,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest, and whether its copy in a tampered table still has the root.
+
+    The copy has its letters A-Z lower-cased where the CRC-32 of the id is a
+    multiple of 5.
+    """
+    docs = load(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    text = F.col("text")
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, exact_dedup.UPPER, exact_dedup.LOWER))
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = F.when(touched, merkle.record_digest([*map(F.col, fields), lowered]))
+    records = docs.select("doc_id", "source", merkle.record_digest([*map(F.col, fields), text]).alias("leaf"), found.alias("found"))
+    proved = merkle.manifest(records, "source", ["doc_id"], "leaf")
+    steps = F.col("steps")
+    checked = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(steps), 256).alias("proof_sha256"), merkle.folded(F.coalesce("found", "leaf"), steps).alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the tokenization automaton and decoded again."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -128,9 +147,48 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_language_id, op3_chat_format, op4_decontamination, op5_token_counts, op6_near_dedup, op7_mixing, op8_warc_audit, op9_exact_dedup, op10_substring_dedup, op13_bpe)
+    for f in (op1_sharding, op2_language_id, op3_chat_format, op4_decontamination, op5_token_counts, op6_near_dedup, op7_mixing, op8_warc_audit, op9_exact_dedup, op10_substring_dedup, op12_merkle_manifest, op13_bpe)
 }
 
+def _merkle_level(name: str, below: str, tree: str) -> str:
+    """A level of the manifest in SQL: ``r`` place, ``d`` digest, ``c`` nodes of the tree, siblings ``a`` and ``b``."""
+    around = f"PARTITION BY {tree}, r // 16 ORDER BY r ROWS BETWEEN"
+    return f"""{name} AS (
+  SELECT *, coalesce(string_agg(d, '') OVER ({around} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(d, '') OVER ({around} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM ({below})
+)"""
+
+
+def _merkle_sql(levels: int = 6, crowns: int = 4) -> str:
+    """Trees of up to 16 ** levels documents a source and 16 ** crowns sources; done trees go through unchanged."""
+    record = "concat({})".format(", ".join(f"coalesce(strlen(CAST({{t}} AS VARCHAR)) || ':' || CAST({{t}} AS VARCHAR), '-')".format(t=t) for t in ("doc_id", "source", "lang", "n_chars", "{text}")))
+    lower = f"translate(text, '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')"
+    byte = "list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))), lambda crc, x: {byte}), 4294967295)"
+    ctes = [
+        f"""leaves AS (
+  SELECT doc_id, source, sha256({record.format(text="text")}) AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN sha256({record.format(text=lower)}) END AS found,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r
+  FROM documents
+)""",
+        _merkle_level("n0", "SELECT source, r, leaf AS d, count(*) OVER (PARTITION BY source) AS c FROM leaves", "source"),
+    ]
+    step = "SELECT {tree}, r // 16 AS r, CASE WHEN max(c) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY r)) END AS d, (max(c) + 15) // 16 AS c FROM {below} GROUP BY {tree}, r // 16"
+    ctes += [_merkle_level(f"n{k}", step.format(tree="source", below=f"n{k - 1}"), "source") for k in range(1, levels + 1)]
+    ctes.append(_merkle_level("m0", f"SELECT 1 AS one, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, d, count(*) OVER () AS c FROM n{levels}", "one"))
+    ctes += [_merkle_level(f"m{k}", step.format(tree="one", below=f"m{k - 1}"), "one") for k in range(1, crowns + 1)]
+    joins = [f"JOIN n{k} ON n{k}.source IS NOT DISTINCT FROM leaves.source AND n{k}.r = leaves.r // {16**k}" for k in range(levels)]
+    joins.append("JOIN m0 ON m0.source IS NOT DISTINCT FROM leaves.source")
+    joins += [f"JOIN m{k} ON m{k}.r = m0.r // {16**k}" for k in range(1, crowns)]
+    nodes = [f"n{k}" for k in range(levels)] + [f"m{k}" for k in range(crowns)]
+    folds = ["f0 AS (SELECT leaves.*, m0.d AS subroot, (SELECT d FROM m{}) AS root, coalesce(found, leaf) AS f, concat({}) AS proof, {} FROM leaves {})".format(
+        crowns, ", ".join(f"{n}.a, {n}.b" for n in nodes), ", ".join(f"{n}.{x} AS {x}{i}" for i, n in enumerate(nodes) for x in "abc"), " ".join(joins))]
+    folds += [f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN c{i} = 1 THEN f ELSE sha256(a{i} || f || b{i}) END AS f) FROM f{i})" for i in range(len(nodes))]
+    return "WITH " + ",\n".join(ctes + folds) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(nodes)}"
+
+
 #: DuckDB twins. The others have none: hashing with a seed, models, tokenizers,
 #: folds and component search are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
@@ -144,4 +202,5 @@ WITH n AS (
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_sha256
 FROM n JOIN g USING (text_sha256)
 """,
+    "op12_merkle_manifest": _merkle_sql(),
 }
