@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontamination, exact_dedup, langid, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
+from tessera.llm import bpe, chat, decontamination, exact_dedup, langid, lexical_search, merkle, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
 from tessera.llm.common import stored
 from tessera.sources.tables import load
 
@@ -114,6 +114,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    top = lexical_search.top_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=50)
+    return top.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof in the manifest, and whether its copy in a tampered table still has the root.
 
@@ -147,7 +153,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_language_id, op3_chat_format, op4_decontamination, op5_token_counts, op6_near_dedup, op7_mixing, op8_warc_audit, op9_exact_dedup, op10_substring_dedup, op12_merkle_manifest, op13_bpe)
+    for f in (op1_sharding, op2_language_id, op3_chat_format, op4_decontamination, op5_token_counts, op6_near_dedup, op7_mixing, op8_warc_audit, op9_exact_dedup, op10_substring_dedup, op11_lexical_search, op12_merkle_manifest, op13_bpe)
 }
 
 def _merkle_level(name: str, below: str, tree: str) -> str:
@@ -201,6 +207,29 @@ WITH n AS (
 )
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_sha256
 FROM n JOIN g USING (text_sha256)
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), size AS (
+  SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size
+), found AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, total GROUP BY term, docs
+), score AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN found USING (term) JOIN weight USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """,
     "op12_merkle_manifest": _merkle_sql(),
 }
