@@ -14,9 +14,9 @@ first. What a gadget removes is then one interval of numbers, and a state is a
 short sorted list of removed intervals: the whole automaton of 49,000 tokens
 takes some MB instead of a table of 49,000 squared.
 
-A word is encoded by table-driven transitions: from each place, reached in one
-state only, the arcs whose labels match the text are followed where the state
-has them. Decoding emits the labels of the arcs that the ids name. Texts are
+A word is encoded by table-driven transitions: from each place the arcs whose
+labels match the text are followed where the state has them, the longest
+first, until the word's end. Decoding emits the labels of the arcs that the ids name. Texts are
 cut into words as the file says (normalizer and pre-tokenizer); words seen
 before come from a cache of bounded size, and no word is shuffled.
 """
@@ -31,6 +31,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -50,7 +51,7 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
 #: White space beyond ASCII that the pattern's ``\s`` means.
 SPACES = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words up to this length are remembered; tokens in one Arrow batch.
-LONGEST_CACHED, BATCH_TOKENS = 64, 4_000_000
+LONGEST_CACHED, BATCH_TOKENS = 64, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -132,78 +133,119 @@ def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], suffix:
 
 
 class _Words(dict):
-    """Word -> ids: those met by this worker, emptied when ``room`` is used up."""
+    """Word -> ids: those met by this worker, ``room`` at most. When half the room is used up
+    the words are set aside; those met again come back, the others go the next time."""
 
     def __init__(self, encode: Callable[[str], tuple[int, ...]], room: int):
         super().__init__()
-        self.encode, self.room = encode, room
+        self.encode, self.room, self.aside = encode, room, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.encode(word)
+        ids = self.aside.get(word) or self.encode(word)
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= self.room:
+            if 2 * len(self) >= self.room:
+                self.aside = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
 
+@dataclass
+class Compiled:
+    """What a tokenizer file says, with its merges compiled: some MB, bounded by the vocabulary."""
+
+    path: str
+    automaton: Automaton
+    vocab: dict[str, int]
+    suffix: str
+    labels: list[str | None]
+    added: dict[str, int]
+    plain_cut: bool
+    decoder: bool
+
+
+def _cuts_plainly(spec: dict) -> bool:
+    """Whether the file cuts words as ``NORMALIZER`` and ``PATTERN`` do."""
+    steps = [n["type"] if n["type"] != "Replace" else ("Replace", n["pattern"].get("Regex"), n["content"]) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        steps == NORMALIZER
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": PATTERN}
+        and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+    )
+
+
+def _library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def compile_file(path: str) -> Compiled:
+    """Compiles a file of the ``tokenizers`` library that holds a plain BPE model (others raise ValueError)."""
+    library = _library(path)
+    spec = json.loads(library.to_str())
+    model, added = spec["model"], library.get_added_tokens_decoder()
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model["type"] != "BPE" or odd:
+        raise ValueError(f"no plain BPE model: {model['type']} {odd}")
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+        raise ValueError("added tokens must stand for their own characters only")
+    suffix = model.get("end_of_word_suffix") or ""
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    by_id = {i: token for token, i in library.get_vocab().items()}
+    return Compiled(
+        path,
+        compile_merges(model["vocab"], merges, suffix),
+        model["vocab"],
+        suffix,
+        [by_id.get(i) for i in range(max(by_id) + 1)],
+        {t.content: i for i, t in added.items()},
+        _cuts_plainly(spec),
+        spec["decoder"] is not None,
+    )
+
+
 class Encoder:
-    """Encoder of one file of the ``tokenizers`` library with a BPE model."""
-
-    def __init__(self, path: str, automaton: Automaton | None = None, room: int = 500_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        spec = json.loads(self.library.to_str())
-        model = spec["model"]
-        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model["type"] != "BPE" or odd:
-            raise ValueError(f"no plain BPE model: {model['type']} {odd}")
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab = model["vocab"]
-        self.size = max(self.vocab.values()) + 1
-        self.automaton = automaton or compile_merges(self.vocab, [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], self.suffix)
-        self._arcs()
-        added = self.library.get_added_tokens_decoder()
-        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
-            raise ValueError("added tokens must stand for their own characters only")
-        self.added = {t.content: i for i, t in added.items()}
-        names = sorted(map(re.escape, self.added), key=len, reverse=True)
+    """Encoder of one compiled file; ``room`` words are remembered.
+
+    The library itself is loaded only for texts with code points that it must
+    class, and for files that cut words otherwise.
+    """
+
+    def __init__(self, compiled: Compiled, room: int = 300_000):
+        self.compiled, self.suffix = compiled, compiled.suffix
+        self._tables()
+        names = sorted(map(re.escape, compiled.added), key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(names)})" if names else r"((?!))")
         self.bytes = byte_symbols()
-        self.plain_cut = self._is_plain(spec)
         self.ascii, self.wide = re.compile(ASCII_PATTERN), regex.compile(PATTERN.replace(r"[^\s", rf"[^ \t-\r{SPACES}"))
         self.unstable = re.compile(f"[^{STABLE}]")
         self.raw = _Words(lambda w: self.word("".join(map(self.bytes.__getitem__, w.encode()))), room)
         self.cut = _Words(self.word, room)
 
-    def _is_plain(self, spec: dict) -> bool:
-        """Whether the file cuts words as ``NORMALIZER`` and ``PATTERN`` do."""
-        steps = [n["type"] if n["type"] != "Replace" else ("Replace", n["pattern"].get("Regex"), n["content"]) for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        return (
-            steps == NORMALIZER
-            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
-            and cuts[0]["pattern"] == {"Regex": PATTERN}
-            and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
-            and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
-        )
-
-    def _arcs(self) -> None:
-        """The tables: labels of the arcs as a tree of symbols, with (token, rank) at the key "" where
-        a label ends; for each state (a token) the first and the last of each run of arcs it lacks."""
+    @cached_property
+    def library(self):
+        return _library(self.compiled.path)
+
+    def _tables(self) -> None:
+        """Labels of the arcs as a tree of symbols, with (token, rank) at the key "" where a label
+        ends; for each state (a token) the first and the last of each run of arcs it lacks."""
         self.tree: dict = {}
-        rank = self.automaton.rank.tolist()
-        for label, i in self.vocab.items():
+        automaton = self.compiled.automaton
+        rank, begin = automaton.rank.tolist(), automaton.begin.tolist()
+        for label, i in self.compiled.vocab.items():
             if rank[i] < 0:
                 continue
             at = self.tree
             for s in self._symbols(label.removesuffix(self.suffix), label.endswith(self.suffix)) if self.suffix else label:
                 at = at.setdefault(s, {})
             at[""] = i, rank[i]
-        begin, first, last = (x.tolist() for x in (self.automaton.begin, self.automaton.first, self.automaton.last))
-        lacks = [(first[a:b], [-1, *last[a:b]]) for a, b in zip(begin, begin[1:])]
+        none = array("i"), array("i", [-1])
+        lacks = [none if a == b else (array("i", automaton.first[a:b].tobytes()), array("i", [-1]) + array("i", automaton.last[a:b].tobytes())) for a, b in zip(begin, begin[1:])]
         self.lacks = [lacks[max(r, 0)] for r in rank]
 
     def _symbols(self, word: str, whole: bool) -> list[str]:
@@ -212,44 +254,57 @@ class Encoder:
             symbols[-1] += self.suffix
         return symbols
 
+    def _arcs(self, symbols: list[str], begin: int) -> list[tuple[int, int, int]]:
+        """(token, rank, end) of the arcs whose labels match from a place on, the longest last."""
+        at, found = self.tree, []
+        for end in range(begin, len(symbols)):
+            at = at.get(symbols[end])
+            if at is None:
+                break
+            arc = at.get("")
+            if arc is not None:
+                found.append((*arc, end + 1))
+        return found
+
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word, given in byte symbols."""
-        symbols = self._symbols(word, True)
-        n, tree, lacks = len(symbols), self.tree, self.lacks
-        ends, begins = [-1] * (n + 1), [0] * (n + 1)
-        first, last = [], [-1]  # nothing is lacking at the start
-        for i in range(n):
-            at = tree
-            if i:
-                if ends[i] < 0:
-                    raise ValueError(f"no token for {symbols[i - 1]!r}")
-                first, last = lacks[ends[i]]
-            for j in range(i, n):
-                at = at.get(symbols[j])
-                if at is None:
+        """Ids of one word, given in byte symbols.
+
+        The longest arc that the state has is followed first. A place is
+        reached in one state only, so one that leads nowhere is never tried again.
+        """
+        if not word:
+            return ()
+        symbols, lacks = self._symbols(word, True), self.lacks
+        path, ahead, dead = [], [self._arcs(symbols, 0)], set()
+        first, last = (), (-1,)  # nothing is lacking at the start
+        while ahead:
+            arcs = ahead[-1]
+            while arcs:
+                token, rank, end = arcs.pop()
+                if end not in dead and last[bisect_right(first, rank)] < rank:
                     break
-                arc = at.get("")
-                if arc is not None and last[bisect_right(first, arc[1])] < arc[1]:
-                    ends[j + 1], begins[j + 1] = arc[0], i
-            if ends[n] >= 0:
-                break  # there is one way only
-        if n and ends[n] < 0:
-            raise ValueError(f"no token for {symbols[-1]!r}")
-        out, at = [], n
-        while at:
-            out.append(ends[at])
-            at = begins[at]
-        return tuple(reversed(out))
+            else:
+                ahead.pop()
+                if path:
+                    dead.add(path.pop()[1])
+                first, last = lacks[path[-1][0]] if path else ((), (-1,))
+                continue
+            path.append((token, end))
+            if end == len(symbols):
+                return tuple([t for t, _ in path])
+            ahead.append(self._arcs(symbols, end))
+            first, last = lacks[token]
+        raise ValueError(f"no tokens for {word!r}")
 
     def encode(self, text: str | None) -> list[int]:
         """Ids as the library's ``encode(text, add_special_tokens=False)`` gives them; null counts as empty."""
         out: list[int] = []
         for k, part in enumerate(self.special.split(text or "")):
             if k % 2:
-                out.append(self.added[part])
-            elif part and self.plain_cut and part.isascii():
+                out.append(self.compiled.added[part])
+            elif part and self.compiled.plain_cut and part.isascii():
                 out.extend(chain.from_iterable(map(self.raw.__getitem__, self.ascii.findall(part.lower()))))
-            elif part and self.plain_cut and not self.unstable.search(part):
+            elif part and self.compiled.plain_cut and not self.unstable.search(part):
                 # Letters are lower-cased one by one: a final sigma is like any other.
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out.extend(chain.from_iterable(map(self.raw.__getitem__, self.wide.findall(plain))))
@@ -260,16 +315,12 @@ class Encoder:
         return out
 
 
-class Labels:
-    """Labels of the arcs of one file, by id."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class Decoder:
+    """Decoder of one compiled file: its arcs' labels by id."""
 
-        library = Tokenizer.from_file(path)
-        self.decoder = library.decoder
-        by_id = {i: token for token, i in library.get_vocab().items()}
-        self.labels = pa.array([by_id.get(i) for i in range(max(by_id) + 1)])
+    def __init__(self, path: str, labels: list[str | None], decoder: bool):
+        self.labels = pa.array(labels, pa.string())
+        self.decoder = _library(path).decoder if decoder else None
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts as the library's ``decode(ids, skip_special_tokens=False)`` gives them."""
@@ -282,14 +333,15 @@ class Labels:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str, automaton: Automaton, room: int) -> Encoder:
+def _encoder(compiled: Compiled, room: int) -> Encoder:
     """The worker's encoder of a file; its words live as long as the worker."""
-    if (path, room) not in _ENCODERS:
-        _ENCODERS[path, room] = Encoder(path, automaton, room)
-    return _ENCODERS[path, room]
+    key = compiled.path, room
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(compiled, room)
+    return _ENCODERS[key]
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 500_000) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 300_000) -> DataFrame:
     """(id, ids) of every whole text, one row for each row of ``docs``.
 
     ``path``: file of the ``tokenizers`` library with a BPE model, readable on
@@ -301,10 +353,10 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     are kept as they are; other columns are ignored, whatever their names; an
     empty table gives an empty result. ``room`` words are remembered per worker.
     """
-    compiled = docs.sparkSession.sparkContext.broadcast(Encoder(path).automaton)
+    compiled = docs.sparkSession.sparkContext.broadcast(compile_file(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, compiled.value, room)
+        encoder = _encoder(compiled.value, room)
         for b in batches:
             flat, offsets, begin = array("i"), [0], 0
             for i, text in enumerate(b.column(1)):
@@ -327,6 +379,8 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str
     """
     from pyspark.sql.types import StringType, StructType
 
+    compiled = compile_file(path)
+    said = encoded.sparkSession.sparkContext.broadcast((compiled.labels, compiled.decoder))
     schema = StructType([*encoded.schema.fields]).add(out_col, StringType())
     plain = StructType()
     for i, f in enumerate(schema.fields):
@@ -334,7 +388,7 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str
     at = encoded.columns.index(ids_col)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = Labels(path)
+        decoder = Decoder(path, *said.value)
         for b in batches:
             begin, sizes = 0, pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
             total = np.cumsum(sizes)
@@ -343,7 +397,7 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str
                 stop = max(begin + 1, int(np.searchsorted(total, done + BATCH_TOKENS, "right")))
                 part = b.slice(begin, stop - begin)
                 ids = part.column(at)
-                texts = labels.decode(ids if not ids.null_count else pc.fill_null(ids, pa.scalar([], ids.type)))
+                texts = decoder.decode(ids if not ids.null_count else pc.fill_null(ids, pa.scalar([], ids.type)))
                 texts = pc.if_else(pc.is_valid(ids), texts, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=plain.names)
                 begin = stop

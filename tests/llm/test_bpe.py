@@ -19,12 +19,16 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(PATH)
+    return bpe.Encoder(bpe.compile_file(PATH))
+
+
+def decoder_of(compiled):
+    return bpe.Decoder(compiled.path, compiled.labels, compiled.decoder)
 
 
 @pytest.fixture(scope="module")
-def labels():
-    return bpe.Labels(PATH)
+def labels(encoder):
+    return decoder_of(encoder.compiled)
 
 
 def merged(word: str, merges: list[tuple[str, str]]) -> list[str]:
@@ -96,17 +100,17 @@ def test_any_text_as_the_library(encoder, labels, text, special):
 
 
 def test_long_words_and_full_caches(encoder):
-    small = bpe.Encoder(PATH, encoder.automaton, room=3)
+    small = bpe.Encoder(encoder.compiled, room=3)
     for text in ("x" * 5000, "the " * 500 + "quick brown fox jumps", "ab" * 3000, "é" * 1000):
         assert small.encode(text) == encoder.library.encode(text, add_special_tokens=False).ids
 
 
 def test_other_files_of_the_library():
-    other = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    other = bpe.Encoder(bpe.compile_file(public_tokenizers.path("byte_bpe_50k.json")))
     for text in ("Hello  world, it's 2024!\n\n x", "aaaaaa", "日本 é<|endoftext|>z", ""):
         ids = other.library.encode(text, add_special_tokens=False).ids
         assert other.encode(text) == ids
-        got = bpe.Labels(public_tokenizers.path("byte_bpe_50k.json")).decode(pa.array([ids], pa.list_(pa.int32())))
+        got = decoder_of(other.compiled).decode(pa.array([ids], pa.list_(pa.int32())))
         assert got.to_pylist() == [other.library.decode(ids, skip_special_tokens=False)]
 
 
