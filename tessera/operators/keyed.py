@@ -4,21 +4,22 @@ Built-in aggregates get Spark's partial (map-side) + final aggregation, so a
 hot key costs one row per task in the shuffle. Grouping that keeps every
 value (group_by_key, group_by, cogroup) goes through ``chunked_groups``,
 which never puts more than ``chunk_rows`` values of one key in one row.
-Generic user functions (combine_by_key) combine per partition in Arrow
-batches first and merge the per-partition combiners per key afterwards.
+Generic user functions (combine_by_key) combine each Arrow batch first; Spark
+then groups the combiners in two steps, and Python merges those of a row.
 """
 
 from __future__ import annotations
 
 import copy
+import functools
 import pickle
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType, _parse_datatype_string
 
 from tessera.functions.exprs import unit_hash
 from tessera.operators.agg import folded
@@ -141,106 +142,65 @@ def group_by(df: DataFrame, key_expr: Column | str, value: str | Column | None =
 
 
 # --------------------------------------------------------------------------
-# generic combineByKey with user functions: Arrow partial + per-key merge
+# generic combineByKey with user functions: Spark groups, Python combines
 # --------------------------------------------------------------------------
 
-def _canonical(x):
-    """A key as SQL grouping sees it: NaN equals NaN, -0.0 equals 0.0, hashable."""
-    if isinstance(x, float):
-        return "NaN" if x != x else x + 0.0
-    if isinstance(x, dict):
-        return tuple((n, _canonical(y)) for n, y in x.items())
-    if isinstance(x, (list, tuple)):
-        return tuple(map(_canonical, x))
-    return x
-
-
-def _plain_zero(x):
-    """The key with every -0.0 as 0.0, so that equal keys hash to one task."""
-    if isinstance(x, float):
-        return x + 0.0
-    if isinstance(x, dict):
-        return {n: _plain_zero(y) for n, y in x.items()}
-    return [_plain_zero(y) for y in x] if isinstance(x, list) else x
+#: Keys that Arrow can't group by; inside a batch they are told apart by their JSON text.
+_NESTED = (ArrayType, MapType, StructType, VariantType)
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge_combiners: Callable,
                    k: str | Sequence[str] = "k", v: str = "v", finish: Callable | None = None,
-                   out_type: str = "string", max_keys_in_memory: int = 100_000, salts: int = 16) -> DataFrame:
+                   out_type: str = "string", fan_in: int = 64) -> DataFrame:
     """(k, result) for arbitrary Python combiner functions.
 
     ``k`` is a column of any type that can be grouped (structs and arrays
     included) or several columns. NULL, NaN and -0.0 keys group as in SQL.
 
-    Step 1 (map side, ``mapInArrow``): each partition folds its rows into one
-    combiner per key — the map-side combine a built-in aggregate would do. The
-    table is flushed whenever it holds ``max_keys_in_memory`` keys.
-    Step 2: partial combiners are partitioned on (key, salt), sorted, and each
-    run of equal keys is merged, so a key's partials from very many partitions
-    are first merged by ``salts`` tasks. Step 3: the same on the key alone.
+    Map side: the values of each Arrow batch are combined key by key before
+    any row moves, so a hot key costs one row per batch
+    (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows). Then Spark groups
+    the combiners, first those of ``fan_in`` map tasks, so that a hot key's
+    lie on many tasks, then all of a key: one row holds the combiners of
+    ``fan_in`` tasks, or one for each ``fan_in`` tasks, whatever the rows are.
+    Python only merges the combiners of a row, for many keys in one batch.
     """
     names = [k] if isinstance(k, str) else list(k)
-    key = F.col(names[0]) if isinstance(k, str) else F.struct(*names)
-    rows = df.select(key.alias("k"), F.col(v).alias("v"))
-    partial_type = StructType().add("k", rows.schema["k"].dataType).add("s", IntegerType()).add("c", BinaryType())
-    result_type = StructType().add("k", rows.schema["k"].dataType).add("v", _parse_datatype_string(out_type))
-    partial_shape, result_shape = to_arrow_schema(partial_type), to_arrow_schema(result_type)
-
-    def emit(items, salt):
-        return pa.RecordBatch.from_pydict({"k": [i[0] for i in items], "s": [salt] * len(items), "c": [pickle.dumps(i[1]) for i in items]}, schema=partial_shape)
-
-    def partial(batches):
-        from pyspark import TaskContext
-
-        salt, acc = TaskContext.get().partitionId() % salts, {}
-        for b in batches:
-            for kk, vv in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True):
-                c = _canonical(kk)
-                if c in acc:
-                    acc[c] = (acc[c][0], merge_value(acc[c][1], vv))
-                else:
-                    if len(acc) >= max_keys_in_memory:
-                        yield emit(list(acc.values()), salt)
-                        acc = {}
-                    acc[c] = (_plain_zero(kk), create(vv))
-        if acc:
-            yield emit(list(acc.values()), salt)
-
-    def runs(batches):
-        """(key, salt, combiner) of each run of equal keys; rows arrive sorted by key."""
-        current, held = None, None
+    keys, marks = [f"k{i}" for i in range(len(names))], [f"g{i}" for i in range(len(names))]
+    rows = df.select(*(F.col(c).alias(x) for c, x in zip(names, keys, strict=True)), F.col(v).alias("v"))
+    nested = [isinstance(rows.schema[x].dataType, _NESTED) for x in keys]
+    rows = rows.select("*", *(F.to_json(F.struct(x), _JSON).alias(g) for x, g, n in zip(keys, marks, nested, strict=True) if n))
+    by = [g if n else x for x, g, n in zip(keys, marks, nested, strict=True)]
+    key_type = StructType([rows.schema[x] for x in keys])
+    partial_type = StructType([*key_type.fields]).add("c", BinaryType())
+    result_type = StructType([*key_type.fields]).add("v", _parse_datatype_string(out_type))
+    value_type = to_arrow_schema(StructType([result_type["v"]])).field(0).type
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kk, s, blob in zip(*(b.column(n).to_pylist() for n in ("k", "s", "c")), strict=True):
-                c, x = _canonical(kk), pickle.loads(blob)
-                if held is not None and c == current:
-                    held = (held[0], held[1], merge_combiners(held[2], x))
-                    continue
-                if held is not None:
-                    yield held
-                current, held = c, (kk, s, x)
-        if held is not None:
-            yield held
-
-    def in_batches(rows, make):
-        out = []
-        for r in rows:
-            out.append(r)
-            if len(out) >= 8192:
-                yield make(out)
-                out = []
-        if out:
-            yield make(out)
-
-    def merge_salted(batches):
-        yield from in_batches(runs(batches), lambda rs: pa.RecordBatch.from_pydict({"k": [r[0] for r in rs], "s": [r[1] for r in rs], "c": [pickle.dumps(r[2]) for r in rs]}, schema=partial_shape))
-
-    def merge_last(batches):
-        value = finish or (lambda x: x)
-        yield from in_batches(runs(batches), lambda rs: pa.RecordBatch.from_pydict({"k": [r[0] for r in rs], "v": [value(r[2]) for r in rs]}, schema=result_shape))
-
-    parts = rows.mapInArrow(partial, partial_type)
-    parts = parts.repartition("k", "s").sortWithinPartitions("k", "s").mapInArrow(merge_salted, partial_type)
-    merged = parts.repartition("k").sortWithinPartitions("k").mapInArrow(merge_last, result_type)
-    if isinstance(k, str):
-        return merged.withColumnRenamed("k", k)
-    return merged.select("k.*", "v")
+            numbered = pa.table({**{c: b.column(c) for c in by}, "row": pa.array(range(b.num_rows), pa.int64())})
+            values, firsts, combiners = b.column("v").to_pylist(), [], []
+            for group in numbered.group_by(by, use_threads=False).aggregate([("row", "list")])["row_list"].to_pylist():
+                acc = create(values[group[0]])
+                for i in group[1:]:
+                    acc = merge_value(acc, values[i])
+                firsts.append(group[0])
+                combiners.append(pickle.dumps(acc))
+            at = pa.array(firsts, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in keys), pa.array(combiners, pa.binary())], partial_type.names)
+
+    def merged(done: Callable, shape: pa.DataType, out: str):
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = (functools.reduce(merge_combiners, map(pickle.loads, c)) for c in b.column("c").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keys), pa.array([done(x) for x in found], shape)], [*keys, out])
+
+        return merge
+
+    task = F.floor(F.spark_partition_id() / F.lit(int(fan_in)))
+    parts = rows.mapInArrow(combined, partial_type).withColumn("task", task)
+    some = parts.groupBy(*keys, "task").agg(F.collect_list("c").alias("c")).drop("task")
+    some = some.mapInArrow(merged(pickle.dumps, pa.binary(), "c"), partial_type)
+    out = some.groupBy(*keys).agg(F.collect_list("c").alias("c")).mapInArrow(merged(finish or (lambda x: x), value_type, "v"), result_type)
+    return out.toDF(*names, "v")

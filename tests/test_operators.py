@@ -470,7 +470,7 @@ def test_approx(spark):
 def test_combine_by_key_bounded_map_side(spark):
     df = spark.createDataFrame([(i % 50, 1) for i in range(1000)], "k long, v long").repartition(3)
     c = keyed.combine_by_key(df, lambda v: v, lambda a, v: a + v, lambda a, b: a + b, out_type="long",
-                             max_keys_in_memory=7)
+                             fan_in=1)
     assert sorted(tuple(r) for r in c.collect()) == [(i, 20) for i in range(50)]
 
 

@@ -93,3 +93,27 @@ def test_hot_key_lies_on_many_tasks_when_grouped(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(tasks) > 1 and max(r[1] for r in tasks) < 10000
+
+
+def test_hot_key_is_combined_before_rows_move(spark):
+    df = _hot(spark, 30000).repartition(8)
+    c = keyed.combine_by_key(df, lambda v: (v, 1), lambda a, v: (a[0] + v, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]),
+                             finish=lambda a: a[0] * 100_000 + a[1], out_type="long", fan_in=2)
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    first_exchange = max(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(k0" in line)
+    assert any("MapInArrow" in line for line in plan.splitlines()[first_exchange + 1:])  # below the first shuffle
+    assert "partial_collect_list" in plan
+    got = {r["k"]: r["v"] for r in c.collect()}
+    assert got[0] == sum(range(0, 30000, 3)) * 100_000 + 10000
+    assert len(got) == 20001 and got[1] == 1 * 100_000 + 1
+
+
+def test_combine_by_key_of_any_key_type(spark):
+    t = "timestamp_ntz '2024-01-01 00:00:00.000001'"
+    rows = spark.sql(f"""SELECT * FROM VALUES (array(1, null), {t}, 1), (array(1, null), {t}, 2), (array(1), {t}, 4),
+        (null, {t}, 8), (array(), {t}, 16), (array(), timestamp_ntz '2024-01-01 00:00:00.000002', 32), (array(), null, 64) AS x(k, t, v)""")
+    rows = rows.withColumn("s", F.struct("t", F.lit(1.5).alias("x")))
+    one = lambda **a: sorted(r["v"] for r in keyed.combine_by_key(rows, int, int.__add__, int.__add__, out_type="long", **a).collect())
+    assert one(k="k") == [3, 4, 8, 112]
+    assert one(k=["k", "t"]) == one(k=["k", "s"]) == [3, 4, 8, 16, 32, 64]
+    assert one(k="t") == one(k="s") == [31, 32, 64]
