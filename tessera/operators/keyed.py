@@ -27,43 +27,63 @@ from tessera.operators.agg import folded
 SLICE_SEED = 29
 
 
-def chunked_groups(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column], chunk_rows: int,
-                   side: str | None = None, chunk_col: str = "chunk") -> DataFrame:
-    """``groupBy(keys).agg(aggs)`` with a ``chunk`` column; no group is larger
-    than ``chunk_rows`` values (on each side, if ``side`` names a column).
-
-    Lazy, one path for all keys:
-
-    1. count rows per key (partial aggregate) and join the count back; a hot
-       key is split there as in any skewed join;
-    2. a key with n values has s = ceil(n / chunk_rows) slices; a value's slice
-       is taken from its hash, so the slices of a hot key lie on many tasks;
-    3. inside a slice values are ranked; chunk = slice + s * (rank // chunk_rows).
-
-    A key with up to ``chunk_rows`` values has the one chunk 0. The result does
-    not depend on the partitioning.
+def chunked_groups(df: DataFrame, keys: Sequence[str], value: str, chunk_rows: int, side: str | None = None,
+                   sides: int = 1, sort_values: bool = True, chunk_col: str = "chunk") -> DataFrame:
+    """(keys, chunk, values_0, …): every value of a key, at most ``chunk_rows`` in one array.
+
+    ``side`` names a column of numbers 0 to ``sides`` - 1; each has its own
+    array. Lazy, one path for all keys, over a counted multiset:
+
+    1. rows become (key, side, value, count), pre-aggregated in their tasks, so
+       equal and null values cost one row however often they occur;
+    2. of a value that occurs more than ``chunk_rows`` times, whole chunks go
+       into rows of their own (numbers -1, -2, … inside the key); 1 to
+       ``chunk_rows`` of it are left;
+    3. a key with n values left on its largest side has ceil(n / chunk_rows)
+       slices; a value's slice is taken from its hash, so that the slices of a
+       hot key lie on many tasks;
+    4. inside a slice, running counts over the sorted values give the borders:
+       chunk = slice + slices * (running count // chunk_rows).
+
+    Values are repeated only when a chunk is written, by the task that the
+    chunk is dealt to. A key with up to ``chunk_rows`` values has the one chunk
+    0. The result doesn't depend on the partitioning. Values are told apart as
+    SQL groups them (NaN is one value, -0.0 is 0.0).
     """
-    keys, by = list(keys), [side] if side else []
-    n = df.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("__n")).groupBy(*keys).agg(F.max("__n").alias("__n"))
-    n = n.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.ceil(F.col("__n") / F.lit(int(chunk_rows))).cast("int").alias("__slices"))
-    same = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-        same = c if same is None else same & c
-    u = unit_hash(F.coalesce(F.col(value).cast("string"), F.lit("")), seed=SLICE_SEED)
-    part = F.when(F.col("__slices") > 1, F.floor(u * F.col("__slices")).cast("int")).otherwise(F.lit(0))
-    rows = df.join(n, same).withColumn("__slice", part).repartition(*keys, "__slice")
-    rank = F.row_number().over(Window.partitionBy(*keys, "__slice", *by).orderBy(value))
-    rows = rows.withColumn("__sub", F.floor((rank - 1) / F.lit(int(chunk_rows))).cast("int"))
-    out = rows.groupBy(*keys, "__slice", "__sub").agg(F.max("__slices").alias("__slices"), *aggs)
-    chunk = (F.col("__slice") + F.col("__slices") * F.col("__sub")).cast("int").alias(chunk_col)
-    return out.select(*keys, chunk, *[c for c in out.columns if c not in (*keys, "__slice", "__sub", "__slices")])
-
-
-def _values_kept(v: str | Column) -> Column:
-    """collect_list that keeps NULL values (wrapped in a struct)."""
-    c = F.col(v) if isinstance(v, str) else v
-    return F.transform(F.collect_list(F.struct(c.alias("v"))), lambda e: e["v"])
+    keys, by, r = list(keys), [side] if side else [], F.lit(int(chunk_rows))
+    counted = df.groupBy(*keys, *by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__m"))
+    counted = counted.withColumn("__full", F.floor((F.col("__m") - 1) / r)).withColumn("__rest", F.col("__m") - F.col("__full") * r)
+
+    def arrays(count: Column) -> list[Column]:
+        """The runs (value, count) of each side; null from when() is dropped."""
+        run = F.struct(F.col("__v").alias("v"), count.cast("int").alias("n"))
+        return [F.collect_list(F.when(F.col(side) == i, run) if side else run).alias(f"values_{i}") for i in range(sides)]
+
+    def written(runs: DataFrame) -> DataFrame:
+        full = [F.flatten(F.transform(f"values_{i}", lambda x: F.array_repeat(x["v"], x["n"]))) for i in range(sides)]
+        full = [F.array_sort(c) if sort_values else c for c in full]
+        return runs.select(*keys, F.col("__chunk").cast("int").alias(chunk_col), *(c.alias(f"values_{i}") for i, c in enumerate(full)))
+
+    left = counted.groupBy(*keys, *by).agg(F.sum("__rest").alias("__n")).groupBy(*keys).agg(F.max("__n").alias("__n"))
+    left = left.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.ceil(F.col("__n") / r).cast("int").alias("__slices"))
+    same = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys))
+    u = unit_hash(F.coalesce(F.col("__v").cast("string"), F.lit("")), seed=SLICE_SEED)
+    slice_ = F.when(F.col("__slices") > 1, F.floor(u * F.col("__slices")).cast("int")).otherwise(F.lit(0))
+    rows = counted.join(left, same).withColumn("__slice", slice_).repartition(*keys, "__slice")
+    before = Window.partitionBy(*keys, "__slice", *by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    begin, rest = F.col("__begin"), F.col("__rest")
+    rows = rows.withColumn("__begin", F.coalesce(F.sum("__rest").over(before), F.lit(0)))
+    rows = rows.withColumn("__sub", F.explode(F.sequence(F.floor(begin / r), F.floor((begin + rest - 1) / r))))
+    here = F.least(begin + rest, (F.col("__sub") + 1) * r) - F.greatest(begin, F.col("__sub") * r)
+    small = rows.groupBy(*keys, "__slice", "__sub").agg(F.max("__slices").alias("__slices"), *arrays(here))
+    small = small.withColumn("__chunk", F.col("__slice") + F.col("__slices") * F.col("__sub"))
+
+    earlier = Window.partitionBy(*keys).orderBy(*by, "__v").rowsBetween(Window.unboundedPreceding, -1)
+    large = counted.where(F.col("__full") > 0).withColumn("__done", F.coalesce(F.sum("__full").over(earlier), F.lit(0)))
+    large = large.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__full") - 1)))
+    large = large.withColumn("__chunk", -(F.col("__done") + F.col("__i") + 1))
+    large = large.repartition(*keys, "__chunk").groupBy(*keys, "__chunk").agg(*arrays(r))
+    return written(small).unionByName(written(large))
 
 
 # --------------------------------------------------------------------------
@@ -124,10 +144,7 @@ def group_by_key(df: DataFrame, k: str = "k", v: str = "v", *, chunk_rows: int,
     are sorted within each row when ``sort_values``; keys with more values
     have several rows (see ``chunked_groups``).
     """
-    vals = _values_kept(v)
-    if sort_values:
-        vals = F.array_sort(vals)
-    return chunked_groups(df, [k], v, [vals.alias("values")], chunk_rows)
+    return chunked_groups(df, [k], v, chunk_rows, sort_values=sort_values).withColumnRenamed("values_0", "values")
 
 
 def group_by(df: DataFrame, key_expr: Column | str, value: str | Column | None = None,

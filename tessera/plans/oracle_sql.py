@@ -21,10 +21,13 @@ def unit_hash_sql(*parts: str, seed: int = 0) -> str:
 
 def chunks_sql(table: str, k: str, v: str, chunk_rows: int, side: str | None = None) -> str:
     """CTEs ending in ``r``: the rows of ``table`` with their ``chunk`` (twin of ``chunked_groups``)."""
-    by = f", {side}" if side else ""
-    u = unit_hash_sql(v, seed=29)
-    return f"""n0 AS (SELECT {k}{by}, count(*) AS n FROM {table} GROUP BY {k}{by}),
-n1 AS (SELECT {k} AS nk, CAST(ceil(max(n) / {chunk_rows}.0) AS BIGINT) AS slices FROM n0 GROUP BY {k}),
-s AS (SELECT {table}.*, slices, CASE WHEN slices > 1 THEN CAST(floor({u} * slices) AS BIGINT) ELSE 0 END AS slice
-      FROM {table} JOIN n1 ON {k} IS NOT DISTINCT FROM nk),
-r AS (SELECT *, slice + slices * ((row_number() OVER (PARTITION BY {k}, slice{by} ORDER BY {v}) - 1) // {chunk_rows}) AS chunk FROM s)"""
+    by, r = f", {side}" if side else "", chunk_rows
+    u = unit_hash_sql(f"coalesce(CAST({v} AS VARCHAR), '')", seed=29)
+    return f"""j0 AS (SELECT *, row_number() OVER (PARTITION BY {k}{by}, {v}) - 1 AS j, count(*) OVER (PARTITION BY {k}{by}, {v}) AS m FROM {table}),
+j1 AS (SELECT *, m - ((m - 1) // {r}) * {r} AS rest FROM j0),
+n0 AS (SELECT {k}{by}, count(*) AS n FROM j1 WHERE j < rest GROUP BY {k}{by}),
+n1 AS (SELECT {k} AS nk, CAST(ceil(max(n) / {r}.0) AS BIGINT) AS slices FROM n0 GROUP BY {k}),
+s AS (SELECT j1.*, slices, CASE WHEN slices > 1 THEN CAST(floor({u} * slices) AS BIGINT) ELSE 0 END AS slice
+      FROM j1 JOIN n1 ON {k} IS NOT DISTINCT FROM nk WHERE j < rest),
+r AS (SELECT * EXCLUDE (slices, slice), slice + slices * ((row_number() OVER (PARTITION BY {k}, slice{by} ORDER BY {v} NULLS FIRST) - 1) // {r}) AS chunk FROM s
+      UNION ALL SELECT *, -1 - (row_number() OVER (PARTITION BY {k} ORDER BY {(side + ", ") if side else ""}{v} NULLS FIRST, j) - 1) // {r} FROM j1 WHERE j >= rest)"""

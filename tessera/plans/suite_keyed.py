@@ -11,7 +11,7 @@ from tessera.plans.registry import register
 from tessera.sources.tables import load
 
 #: Values of one row: small enough that most keys are split.
-PER_CUSTOMER, PER_YEAR = 4, 500
+PER_CUSTOMER, PER_YEAR, PER_FLAG = 4, 500, 900
 
 
 def _text(arr):
@@ -86,6 +86,21 @@ def key_group_by_expr(spark, sf_dir):
                     _text("values").alias("vals"))
 
 
+@register("key_group_repeated", oracle=f"""
+WITH t AS (SELECT l_returnflag AS k, CASE WHEN l_linenumber >= 3 THEN l_linestatus || l_linenumber END AS v FROM lineitem),
+{chunks_sql('t', 'k', 'v', PER_FLAG)}
+SELECT k, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, coalesce(string_agg(DISTINCT v, ',' ORDER BY v), '') AS vals, count(v) AS known
+FROM r GROUP BY k, chunk
+""")
+def key_group_repeated(spark, sf_dir):
+    """Few keys with few distinct values, a third of them null: whole chunks of one value and mixed ones."""
+    v = F.when(F.col("l_linenumber") >= 3, F.concat("l_linestatus", F.col("l_linenumber").cast("string")))
+    g = keyed.group_by_key(project_keys(load(spark, sf_dir, "lineitem"), "l_returnflag", v), chunk_rows=PER_FLAG)
+    known = F.filter("values", lambda x: x.isNotNull())
+    return g.select("k", F.col("chunk").cast("long").alias("chunk"), F.size("values").cast("long").alias("n"),
+                    F.array_join(F.array_sort(F.array_distinct(known)), ",").alias("vals"), F.size(known).cast("long").alias("known"))
+
+
 @register("key_count", oracle="SELECT l_suppkey AS k, count(*) AS count FROM lineitem GROUP BY 1")
 def key_count(spark, sf_dir):
     p = project_keys(load(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity")

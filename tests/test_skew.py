@@ -1,6 +1,7 @@
 """A key holding a third of all rows: results stay whole and exact, and the
 plans split or pre-aggregate the hot group."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import joins, keyed, order
@@ -117,3 +118,77 @@ def test_combine_by_key_of_any_key_type(spark):
     assert one(k="k") == [3, 4, 8, 112]
     assert one(k=["k", "t"]) == one(k=["k", "s"]) == [3, 4, 8, 16, 32, 64]
     assert one(k="t") == one(k="s") == [31, 32, 64]
+
+
+@pytest.mark.parametrize("value", ["CAST(NULL AS LONG)", "7L", "IF(id % 2 = 0, NULL, id % 5)"])
+def test_hot_key_of_equal_values_lies_on_many_tasks(spark, value):
+    df = spark.range(30000).selectExpr("IF(id % 3 = 0, 0, id) AS k", f"{value} AS v")
+    want = sorted((r["v"] for r in df.where("k = 0").collect()), key=str)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        g = keyed.group_by_key(df, "k", "v", chunk_rows=200)
+        got = g.where("k = 0").withColumn("task", F.spark_partition_id()).collect()
+        assert g.where("k != 0 and (chunk != 0 or size(values) != 1)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted((x for r in got for x in r["values"]), key=str) == want
+    assert all(0 < len(r["values"]) <= 200 for r in got) and len({r["chunk"] for r in got}) == len(got)
+    per_task = {}
+    for r in got:
+        per_task[r["task"]] = per_task.get(r["task"], 0) + len(r["values"])
+    assert len(got) <= 10000 / 200 + 12 and len(per_task) >= 6 and max(per_task.values()) < 4000
+
+
+def test_cogroup_of_repeated_values_on_both_sides(spark):
+    a = spark.range(900).selectExpr("id % 2 AS k", "IF(id % 3 = 0, NULL, 'x') AS v")
+    b = spark.range(50).selectExpr("CAST(NULL AS LONG) AS k", "'y' AS v").union(spark.range(40).selectExpr("1L AS k", "string(id) AS v"))
+    got = joins.cogroup([a, b], chunk_rows=20).collect()
+    for side, frame in (("values_0", a), ("values_1", b)):
+        assert all(len(r[side]) <= 20 for r in got)
+        assert sorted(((r["k"], v) for r in got for v in r[side]), key=str) == sorted(map(tuple, frame.collect()), key=str)
+    assert len({(r["k"], r["chunk"]) for r in got}) == len(got)
+
+
+_SPREAD = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "2k",  # the hot keys only
+           "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+           "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+@pytest.mark.parametrize("hot_side", ["left", "right", "both", "alone", "null"])
+def test_outer_join_splits_a_hot_key_on_either_side(spark, how, hot_side):
+    key = "CAST(NULL AS LONG)" if hot_side == "null" else "0L"
+    hot = spark.range(9000).selectExpr(f"IF(id % 3 = 0, {key}, id) AS k", "id AS v").repartition(6)
+    other = spark.range(0, 9000, 7).selectExpr("IF(id = 0, NULL, id) AS k" if hot_side in ("alone", "null") else "id AS k", "id * 2 AS v")
+    if hot_side == "both":
+        hot = spark.range(1200).selectExpr("IF(id % 3 = 0, 0L, id) AS k", "id AS v").repartition(6)
+        other = other.union(spark.range(50).selectExpr("0L AS k", "-id AS v"))
+    a, b = (other, hot) if hot_side == "right" else (hot, other)
+    old = {k: spark.conf.get(k, None) for k in _SPREAD}
+    for k, v in _SPREAD.items():
+        spark.conf.set(k, v)
+    try:
+        plain = joins.join(a, b, "k", how, hot_rows=None)
+        j = joins.join(a, b, "k", how, hot_rows=20 if hot_side == "both" else 60)
+        assert j.columns == plain.columns and j.dtypes == plain.dtypes
+        want = sorted(map(tuple, plain.collect()), key=str)
+        assert sorted(map(tuple, j.collect()), key=str) == want
+        tasks = [r[1] for r in j.groupBy(F.spark_partition_id()).count().collect()]
+        kept = [r[1] for r in plain.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # a third of the rows or more share the key; a full join leaves it whole without the split
+    assert max(tasks) < 0.2 * len(want), tasks
+    assert how != "full" or max(kept) > 0.3 * len(want)
+
+
+def test_outer_join_of_plain_keys_leaves_null_keys_alone(spark):
+    a = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (2, 4)], "k long, v long")
+    b = spark.createDataFrame([(None, 5), (1, 6), (1, 7), (3, 8)], "k long, w long")
+    for how in ("left", "right", "full"):
+        for null_safe in (True, False):
+            got = joins.join(a, b, "k", how, null_safe=null_safe, hot_rows=1).collect()
+            want = joins.join(a, b, "k", how, null_safe=null_safe, hot_rows=None).collect()
+            assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
