@@ -127,7 +127,12 @@ def flat_map_with(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, key, k: str = "k", v: str = "v") -> DataFrame:
-    """Values of one key (NULL matches NULL); pruned at the scan when possible."""
+    """Values of one key (NULL matches NULL).
+
+    On a table bucketed by the key (``layout.write_bucketed``) only the key's
+    bucket is read, inside it only the row groups whose range holds the key;
+    on any other, the filter is pushed to the scan.
+    """
     return df.where(F.col(k).eqNullSafe(F.lit(key))).select(v)
 
 

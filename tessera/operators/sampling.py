@@ -10,8 +10,12 @@ survive task retries unchanged.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import random
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,3 +255,98 @@ def approx_count_distinct_col(column: str | Column, relative_sd: float = 0.05) -
     if relative_sd <= 0:
         raise ValueError("relative_sd must be positive")
     return F.approx_count_distinct(col(column), rsd=relative_sd)
+
+
+# --------------------------------------------------------------------------
+# progressive estimates: read blocks until the answer is good enough
+# --------------------------------------------------------------------------
+
+def block_estimates(blocks: Sequence[tuple[int, float]], of: int, confidence: float = 0.95) -> dict[str, tuple[float, float, float]]:
+    """(estimate, low, high) of count, sum and mean from (rows, sum) of some of ``of`` blocks.
+
+    The blocks are a random set drawn without replacement; what blocks differ
+    by gives the variance (none is left when all are read), with Student's
+    quantile for the number of blocks. The mean is the ratio of the totals.
+    """
+    n = len(blocks)
+    z = _z(confidence)
+    nu = max(n - 1, 1)
+    t = z + (z**3 + z) / (4 * nu) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * nu**2)
+    left = 1 - n / of
+
+    def total(values: list[float]) -> tuple[float, float]:
+        mean = sum(values) / n
+        spread = sum((v - mean) ** 2 for v in values) / nu
+        return of * mean, t * of * math.sqrt(left * spread / n) if n > 1 else math.inf * (left > 0) if left else 0.0
+
+    rows, sums = [float(r) for r, _ in blocks], [s for _, s in blocks]
+    (count, count_off), (whole, whole_off) = total(rows), total(sums)
+    mean = whole / count if count else math.nan
+    mean_off = total([s - mean * r for r, s in blocks])[1] / count if count else math.nan
+    return {name: (x, x - off, x + off) for name, x, off in (("count", count, count_off), ("sum", whole, whole_off), ("mean", mean, mean_off))}
+
+
+def progressive_estimate(df: DataFrame, column: str, target: str = "sum", rel_error: float = 0.05, confidence: float = 0.95,
+                         seed: int = 0, first: int = 16, growth: float = 2.0, seconds: float | None = None,
+                         clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """Estimates of count, sum and mean that read no more blocks than they need; one row.
+
+    A block is a partition of ``df``, for a scan one split of its files. A
+    seeded random order of the blocks is read in growing steps (``first``, then
+    ``growth`` times as many in all): each step is a job over just these
+    partitions, whose tasks return (rows, sum). It ends when the ``target``
+    (count, sum or mean) has its bounds within ``rel_error`` of the estimate,
+    when ``seconds`` are over, or when all blocks are read; then the answer is
+    exact. Columns: confidence, blocks, blocks_read, and ``*_mean``, ``*_low``,
+    ``*_high`` of each. Null values count as rows of value 0.
+
+    The bounds rest on what the blocks read differ by: where a few blocks of
+    very many hold most of the total, take a larger ``first``. For scans and
+    what runs in their tasks; a shuffle below would be computed whole. The driver holds two numbers for each block read.
+    """
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for b in batches:
+            n += b.num_rows
+            total += pc.sum(b.column(0)).as_py() or 0.0
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "s": pa.array([total], pa.float64())})
+
+    spark = df.sparkSession
+    rows = df.select(col(column).cast("double").alias("x")).mapInArrow(part, "n long, s double").rdd
+    order = list(range(rows.getNumPartitions()))
+    random.Random(seed).shuffle(order)
+    read, begin, step = [], clock(), first
+    while True:
+        ahead = order[len(read) : step]
+        read += [tuple(r) for r in spark.sparkContext.runJob(rows, list, ahead)] if ahead else []
+        if not read:
+            break
+        found = block_estimates(read, len(order), confidence)
+        x, low, high = found[target]
+        if len(read) == len(order) or len(read) > 1 and (high - low) / 2 <= rel_error * abs(x) or seconds is not None and clock() - begin >= seconds:
+            break
+        step = max(len(read) + 1, int(len(read) * growth))
+    if not read:
+        found = {name: (0.0, 0.0, 0.0) for name in ("count", "sum", "mean")}
+    values = {f"{name}_{k}": v for name, three in found.items() for k, v in zip(("mean", "low", "high"), three, strict=True)}
+    names = "confidence double, blocks long, blocks_read long, " + ", ".join(f"{k} double" for k in values)
+    return spark.createDataFrame([(confidence, len(order), len(read), *values.values())], names)
+
+
+# --------------------------------------------------------------------------
+# distinct counts that can be kept: sketches stored now, merged later
+# --------------------------------------------------------------------------
+
+def distinct_sketches(df: DataFrame, column: str | Column, by: Sequence[str] = (), log2_size: int = 12, out: str = "sketch") -> DataFrame:
+    """(by, sketch): a HyperLogLog sketch of the distinct values, one row a group.
+
+    A sketch is binary, of about 2 ** ``log2_size`` bytes at most, and can be
+    stored with its batch; nulls don't count. The standard error is about
+    1.04 / sqrt(2 ** log2_size): 1.6 % at 12.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(col(column), F.lit(int(log2_size))).alias(out))
+
+
+def merged_distinct(sketches: DataFrame, by: Sequence[str] = (), sketch: str = "sketch", out: str = "count_distinct") -> DataFrame:
+    """(by, estimate) of the union of stored sketches: values in several of them count once."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg(sketch)).alias(out))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import tokens_of
-from tessera.operators import rows
+from tessera.operators import layout, rows
 from tessera.plans.oracle_sql import DOC_LINES
 from tessera.plans.registry import register
 from tessera.sources.tables import load
@@ -95,6 +97,13 @@ def row_lookup(spark, sf_dir):
     return rows.lookup(rows.project_keys(o, "o_custkey", "o_orderkey"), 10)
 
 
+@register("row_lookup_bucketed", oracle="SELECT o_orderkey AS v FROM orders WHERE o_custkey = 10")
+def row_lookup_bucketed(spark, sf_dir):
+    """Lookup in a table bucketed by its key: one bucket of 32 is read."""
+    pairs = rows.project_keys(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    return rows.lookup(layout.write_bucketed(pairs, f"orders_pairs_{uuid.uuid4().hex[:8]}", 32, "k"), 10)
+
+
 def _upper(s):
     return s.str.upper()
 

@@ -8,6 +8,7 @@ from tessera.operators import sampling
 from tessera.operators.sampling import poisson_thresholds
 from tessera.plans.oracle_sql import unit_hash_sql
 from tessera.plans.registry import register
+from tessera.session import shared_dir
 from tessera.sources.tables import load
 
 
@@ -149,3 +150,48 @@ def sample_by_key_hash_repl(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id", "event_type")
     return sampling.sample_by_key_hash(e, "event_type", {"click": 1.5, "view": 0.5}, ["event_id"], seed=19,
                                        with_replacement=True)
+
+
+@register("approx_progressive", oracle="""
+SELECT true AS sum_inside, true AS count_inside, true AS mean_inside, true AS near, true AS blocks_saved,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem
+""")
+def approx_progressive(spark, sf_dir):
+    """Sum within 5 % from some of the 256 blocks of the table; the bounds hold the exact totals."""
+    path = shared_dir(spark, "blocks")
+    items = load(spark, sf_dir, "lineitem").select("l_extendedprice")
+    items.repartition(256).write.parquet(path)
+    blocks = spark.read.schema(items.schema).parquet(path)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # one file a block, however small the table is
+    try:
+        e = sampling.progressive_estimate(blocks, "l_extendedprice", rel_error=0.05, confidence=0.9999, seed=3)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    exact = items.agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
+    inside = lambda name, x: F.col(x).between(F.col(f"{name}_low"), F.col(f"{name}_high"))
+    both = e.withColumn("total", exact.select("total").scalar()).withColumn("n", exact.select("n").scalar())
+    both = both.withColumn("avg", F.col("total") / F.col("n"))
+    return both.select(inside("sum", "total").alias("sum_inside"), inside("count", "n").alias("count_inside"),
+                       inside("mean", "avg").alias("mean_inside"),
+                       (F.abs(F.col("sum_mean") - F.col("total")) <= 0.05 * F.col("total")).alias("near"),
+                       (F.col("blocks_read") <= F.col("blocks") / 2).alias("blocks_saved"), "total")
+
+
+@register("sketch_distinct_merged", oracle="""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT o_custkey) AS exact, true AS within_3_sd FROM orders GROUP BY 1
+UNION ALL SELECT NULL, count(DISTINCT o_custkey), true FROM orders
+""")
+def sketch_distinct_merged(spark, sf_dir):
+    """Sketches stored for each month, merged by year and over all, against exact counts."""
+    o = load(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_custkey")
+    path = shared_dir(spark, "sketches")
+    sampling.distinct_sketches(o, "o_custkey", ["year", "month"]).write.parquet(path)
+    kept = spark.read.schema("year int, month int, sketch binary").parquet(path)
+    est = sampling.merged_distinct(kept, ["year"]).unionByName(sampling.merged_distinct(kept).withColumn("year", F.lit(None).cast("int")))
+    exact = o.groupBy("year").agg(F.count_distinct("o_custkey").alias("exact"))
+    exact = exact.unionByName(o.agg(F.lit(None).cast("int").alias("year"), F.count_distinct("o_custkey").alias("exact")))
+    j = est.join(exact.withColumnRenamed("year", "y"), F.col("year").eqNullSafe(F.col("y")))
+    within = F.abs(F.col("count_distinct") - F.col("exact")) <= 3 * 1.04 / 64 * F.col("exact")
+    return j.select("year", "exact", within.alias("within_3_sd"))

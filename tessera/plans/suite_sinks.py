@@ -73,6 +73,25 @@ def sink_hadoop_file(spark, sf_dir):
     return _hadoop_text(spark, sf_dir, False, codec=sinks.GZIP_CODEC)
 
 
+def _hadoop_by_conf(spark, sf_dir, new_api, codec=None):
+    path = shared_dir(spark, "hadoop-conf")
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_name").alias("v"))
+    form = sinks.TEXT_OUTPUT_NEW if new_api else sinks.TEXT_OUTPUT_OLD
+    sinks.write_hadoop_dataset(c, sinks.hadoop_conf(path, form, codec=codec, new_api=new_api), new_api=new_api)
+    parts = F.split(F.col("value"), "\t", 2)
+    return spark.read.text(path).select(parts[0].cast("long").alias("k"), parts[1].alias("v"))
+
+
+@register("sink_newapi_hadoop_dataset", oracle="SELECT c_custkey AS k, c_name AS v FROM customer")
+def sink_newapi_hadoop_dataset(spark, sf_dir):
+    return _hadoop_by_conf(spark, sf_dir, True, sinks.GZIP_CODEC)
+
+
+@register("sink_hadoop_dataset", oracle="SELECT c_custkey AS k, c_name AS v FROM customer")
+def sink_hadoop_dataset(spark, sf_dir):
+    return _hadoop_by_conf(spark, sf_dir, False)
+
+
 @register("sink_json_roundtrip", oracle=_ORDERS_SQL)
 def sink_json_roundtrip(spark, sf_dir):
     path = shared_dir(spark, "json")

@@ -78,6 +78,29 @@ def write_hadoop(df: DataFrame, path: str, output_format: str, k: str = "k", v:
         rdd.saveAsHadoopFile(path, output_format, key_class, value_class, key_converter, value_converter, conf, codec)
 
 
+def write_hadoop_dataset(df: DataFrame, conf: dict[str, str], k: str = "k", v: str = "v", new_api: bool = True,
+                         key_converter: str | None = None, value_converter: str | None = None) -> None:
+    """(k, v) to where and as what a Hadoop configuration alone says: format, folder, codec, key and value classes.
+
+    ``hadoop_conf`` makes such a configuration for the usual settings.
+    """
+    rdd = df.select(k, v).rdd.map(tuple)
+    save = rdd.saveAsNewAPIHadoopDataset if new_api else rdd.saveAsHadoopDataset
+    save(conf, key_converter, value_converter)
+
+
+def hadoop_conf(path: str, output_format: str, key_class: str = HADOOP_TEXT, value_class: str = HADOOP_TEXT,
+                codec: str | None = None, new_api: bool = True) -> dict[str, str]:
+    """The configuration of an output by the names that the new (mapreduce) or old (mapred) kind reads."""
+    if new_api:
+        conf = {"mapreduce.job.outputformat.class": output_format, "mapreduce.job.output.key.class": key_class,
+                "mapreduce.job.output.value.class": value_class, "mapreduce.output.fileoutputformat.outputdir": path}
+        return {**conf, "mapreduce.output.fileoutputformat.compress": "true", "mapreduce.output.fileoutputformat.compress.codec": codec} if codec else conf
+    conf = {"mapred.output.format.class": output_format, "mapred.output.key.class": key_class,
+            "mapred.output.value.class": value_class, "mapred.output.dir": path}
+    return {**conf, "mapred.output.compress": "true", "mapred.output.compression.codec": codec} if codec else conf
+
+
 def write_hadoop_text(df: DataFrame, path: str, k: str = "k", v: str = "v", new_api: bool = True,
                       codec: str | None = None) -> None:
     """(k, v) through Hadoop's TextOutputFormat: ``key<TAB>value`` lines."""
