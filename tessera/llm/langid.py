@@ -11,12 +11,12 @@ that model worse than calibration allows is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +24,9 @@ from tessera.llm.common import col, filter_batches
 from tessera.llm.shingles import mix
 
 UNKNOWN = "und"
-#: Labels that count as languages; their counts (one row each) are broadcast.
+#: Labels that are learned at most, those of the most different texts; their counts (one row each) are broadcast.
 MAX_LABELS = 10_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 Table = tuple[np.ndarray, np.ndarray]
 
@@ -214,14 +214,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     sharpness of the score, and the limit of rejection, at least ``reject_z``
     and ``reject_z`` spreads above the median of that language's calibration
     texts, so that a few junk or mislabelled ones don't move it. Rows without
-    text or label are passed over. Labels are few and each model's size is bounded by the
+    text or label are passed over. Of more than ``MAX_LABELS`` labels those with
+    the most different texts are learned (ties: the smaller label). Labels are few and each model's size is bounded by the
     sample, so models go through the driver.
     """
     rows = labelled.select(col(text_col).alias("text"), col(label_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("th", F.xxhash64(F.lit(seed), "text"))
     counts = rows.select("lang", "th").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    if counts.count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} different labels are no languages")
+    counts = counts.orderBy(F.desc("n"), "lang").limit(MAX_LABELS)
     u = F.col("th") / 2.0**64 + 0.5
     near = rows.join(F.broadcast(counts), "lang").withColumn("u", u).where(F.col("u") * F.col("n") < 2.0 * per_label + 20)
     near = near.groupBy("lang", "th").agg(F.min("text").alias("text"), F.min("u").alias("u"))

@@ -8,6 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
 from tessera.llm import chat, decontamination, exact_dedup, langid, mixing, near_dedup, sharding, substring_dedup, token_counts, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -213,3 +214,53 @@ def test_warc_reader_gets_past_a_broken_header():
     data = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Lexgth: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     assert [(a, p) for a, _, p in warc._records(data)] == [(0, None), (38, None), (76, "9")]
     assert list(warc._records(b"")) == []
+
+
+def test_numerals_and_signs_are_no_letters(spark, sf_docs):
+    model = langid.fit(spark.createDataFrame([(d[1], d[2]) for d in sf_docs], "text string, lang string"))
+    texts = ["½ ² Ⅷ", "①", "٣ ३", "_ -", "🙂", "́", "ﬁn", "ª", "日本"]
+    found = {r["id"]: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        assert (found[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t)), t
+        assert found[i]["lang_pred"] != "und" or (found[i]["score"] == 0 and found[i]["rejected"])
+
+
+def test_many_labels_are_cut_to_those_of_most_texts(spark, sf_docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LABELS", 4)
+    langs = sorted({d[2] for d in sf_docs if d[2]})
+    rows = [(d[1], d[2]) for d in sf_docs] + [(f"some junk text number {i}", f"junk{i}") for i in range(40)]
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string")).labels == langs[:4]
+
+
+def test_digest_index_after_a_broken_ingest(spark, monkeypatch):
+    path = shared_dir(spark, "broken-digests")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, path, buckets=3)
+    index.ingest(frame([(1, "a"), (2, "A"), (3, "b")]))
+    second = frame([(4, "b"), (5, "c"), (6, "c")])
+
+    def broken(*_):
+        raise RuntimeError("executor lost")
+
+    for step in ("_append", "after"):
+        with monkeypatch.context() as m:
+            if step == "_append":  # rows are written, digests are not
+                m.setattr(index, "_append", broken)
+            else:  # both are written, the batch isn't named as complete
+                append = index._append
+                m.setattr(index, "_append", lambda new: (append(new), broken()))
+            with pytest.raises(RuntimeError):
+                index.ingest(second)
+    report = lambda i: sorted((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in i.report().collect())
+    first = [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    assert report(index) == first
+    again = exact_dedup.DigestIndex(spark, path)
+    again.ingest(second)
+    both = [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, True), (4, 3, 2, False), (5, 6, 2, False), (6, 6, 2, True)]
+    assert report(again) == both
+    index.close()
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, buckets=8)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, id_type="string")
+    assert again.buckets == 3
