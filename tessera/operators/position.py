@@ -111,16 +111,19 @@ def row_index(df: DataFrame, order_by: Sequence[str | Column], ascending: bool =
     return _indexed(df, order_by, ascending, index_col, num_partitions)[0]
 
 
-def zip_with_unique_id(df: DataFrame, id_col: str = "uid") -> DataFrame:
-    """Unique id ``position * n + partition`` (n = partitions), without a shuffle.
+def zip_with_unique_id(df: DataFrame, id_col: str = "uid", stride: int = 1 << 20) -> DataFrame:
+    """Unique id ``position * stride + partition``, without a job, a shuffle or a copy.
 
-    Places and n come from one layout of the input, written once.
+    ``stride`` is the most partitions there may be (more raise an error): it
+    stands for the partition count, which adaptive plans know only when they
+    run. Ids have gaps and stay the same while the partitions do; write the
+    result where they must outlive a recomputation behind a shuffle.
     """
-    x = _numbered(df)
-    pos = F.col(_POS)
-    n = (x.agg(F.max(F.shiftright(pos, 33))).first()[0] or 0) + 1
-    local = pos.bitwiseAND(F.lit(_LOCAL_MASK))
-    return x.select((local * F.lit(n) + F.shiftright(pos, 33)).cast("long").alias(id_col), *[x[c] for c in df.columns])
+    at = F.monotonically_increasing_id()
+    x = df.withColumn(_POS, at)
+    part, pos = F.shiftright(F.col(_POS), 33), F.col(_POS).bitwiseAND(F.lit(_LOCAL_MASK))
+    uid = F.when(part < stride, pos * F.lit(int(stride)) + part).otherwise(F.raise_error(F.lit(f"more than {stride} partitions")).cast("long"))
+    return x.select(uid.cast("long").alias(id_col), *[x[c] for c in df.columns])
 
 
 def zip_frames(a: DataFrame, b: DataFrame, a_order: Sequence[str | Column],

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -77,7 +78,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+#: Folders handed out by this driver and not removed yet.
+_MADE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession, purpose: str = "out") -> str:
-    """A fresh, unique folder under the shared checkpoint folder."""
+    """A fresh, unique folder under the shared checkpoint folder.
+
+    It holds tables that later stages of a lazy result read, so it stays until
+    ``cleanup`` is called.
+    """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tessera-{purpose}-{uuid.uuid4().hex}"
+    path = f"{base}/tessera-{purpose}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+def cleanup(spark: SparkSession, keep: Iterable[str] = ()) -> int:
+    """Remove the folders that ``shared_dir`` has handed out since the last call, but for ``keep``.
+
+    Call it when the results made so far are written or read: frames that
+    still read these tables fail afterwards. Returns how many were removed.
+    """
+    gone, jvm = 0, spark._jvm
+    for path in sorted(_MADE - set(keep)):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+        _MADE.discard(path)
+    return gone

@@ -404,6 +404,31 @@ def test_zip_with_index_and_unique_id(spark):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_unique_ids_need_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("unique-ids", "")
+    u = position.zip_with_unique_id(spark.range(100, numPartitions=4).select(F.col("id").alias("x")), stride=10)
+    assert not tracker.getJobIdsForGroup("unique-ids")
+    spark.sparkContext.setJobGroup("", "")
+    assert "Exchange" not in u._jdf.queryExecution().executedPlan().toString()
+    assert sorted(R(u))[:3] == [(0, 0), (1, 25), (2, 50)] and len({r["uid"] for r in u.collect()}) == 100
+    with pytest.raises(Exception, match="more than 3 partitions"):
+        position.zip_with_unique_id(spark.range(100, numPartitions=4), stride=3).collect()
+
+
+def test_cleanup_removes_the_folders_of_results(spark):
+    import os
+
+    from tessera import session
+    z = position.row_index(spark.range(50), ["id"])
+    assert z.count() == 50
+    made = [p.removeprefix("file:") for p in session._MADE]
+    held = session.shared_dir(spark, "held")
+    spark.range(3).write.parquet(held)
+    assert session.cleanup(spark, keep=[held]) >= 1 and not any(os.path.isdir(p) for p in made)
+    assert spark.read.parquet(held).count() == 3 and session.cleanup(spark) == 1
+
+
 def test_row_index_equals_row_number_for_any_partitioning(spark):
     df = spark.createDataFrame([(i % 17, i) for i in range(500)], "k long, v long")
     want = [(i, k, v) for i, (k, v) in enumerate(sorted((i % 17, i) for i in range(500)))]
