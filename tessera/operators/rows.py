@@ -126,6 +126,30 @@ def flat_map_with(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def lateral(df: DataFrame, fn, *columns: str) -> DataFrame:
+    """Every row of ``df`` with the rows that a table function makes of its ``columns``.
+
+    ``fn`` is a ``udtf`` (``useArrow=True`` sends rows in batches); Spark
+    joins it laterally, so rows without any result are left out. Of
+    Arrow-native functions Spark takes no lateral joins; these are for
+    ``over_partitions``.
+    """
+    return df.lateralJoin(fn(*(F.col(c).outer() for c in columns)))
+
+
+def over_partitions(df: DataFrame, fn, by: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """The rows that a table function makes of each key's rows, in order.
+
+    ``fn`` is a ``udtf`` or ``arrow_udtf`` with a table argument. Spark deals
+    the rows by key, sorts and spills them; the function sees them as they
+    stream by and keeps what it wants between batches. A key's rows are one
+    task by definition of the operator: use it where order inside the key is
+    the point, else ``keyed.combine_by_key``.
+    """
+    table = df.asTable().partitionBy(*by)
+    return fn(table.orderBy(*order_by) if order_by else table)
+
+
 def lookup(df: DataFrame, key, k: str = "k", v: str = "v") -> DataFrame:
     """Values of one key (NULL matches NULL).
 

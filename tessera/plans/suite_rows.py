@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import tokens_of
@@ -125,3 +127,49 @@ SELECT c_custkey AS k, unnest(string_split(c_name, '#')) AS v FROM customer
 def row_flat_map_udf(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return rows.flat_map_with(c, _name_parts, "k long, v string")
+
+
+@F.udtf(returnType="word string, place long", useArrow=True)
+class WordsOf:
+    """The words of a text with their places."""
+
+    def eval(self, text):
+        for i, word in enumerate((text or "").split(" ")):
+            yield word, i
+
+
+@register("row_lateral_udtf", oracle="""
+SELECT p_partkey, word, CAST(place - 1 AS BIGINT) AS place
+FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS place FROM part)
+""")
+def row_lateral_udtf(spark, sf_dir):
+    return rows.lateral(load(spark, sf_dir, "part").select("p_partkey", "p_name"), WordsOf, "p_name").drop("p_name")
+
+
+@F.arrow_udtf(returnType="k long, n long, widest long")
+class WidestGap:
+    """Rows of a key and the widest gap between neighbours, from sorted batches; the last value is kept between them."""
+
+    def __init__(self):
+        self.k, self.n, self.last, self.widest = None, 0, None, None
+
+    def eval(self, batch: pa.RecordBatch):
+        values = batch.column(1)
+        before = pa.concat_arrays([pa.array([self.last], values.type), values.slice(0, len(values) - 1)])
+        gap = pc.max(pc.subtract(values, before)).as_py()
+        self.widest = gap if self.widest is None or gap is not None and gap > self.widest else self.widest
+        self.k, self.n, self.last = batch.column(0)[0].as_py(), self.n + len(values), values[-1].as_py()
+        return iter(())
+
+    def terminate(self):
+        yield pa.table({"k": pa.array([self.k], pa.int64()), "n": pa.array([self.n], pa.int64()), "widest": pa.array([self.widest], pa.int64())})
+
+
+@register("row_partition_udtf", oracle="""
+SELECT k, count(*) AS n, max(gap) AS widest
+FROM (SELECT o_custkey AS k, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS gap FROM orders)
+GROUP BY k
+""")
+def row_partition_udtf(spark, sf_dir):
+    pairs = rows.project_keys(load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    return rows.over_partitions(pairs, WidestGap, ["k"], ["v"])
