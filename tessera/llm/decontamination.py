@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import shingles as S
 from tessera.llm.common import col, filter_batches, stored, utf8
@@ -166,13 +167,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75, id
 
     An item is contained when at least ``percent`` of its distinct five-word
     shingles are among the document's. An item of fewer words is one shingle as
-    a whole and must occur in one piece. Null and empty texts contain nothing,
+    a whole and must occur in one piece. Ids are of any type. Null and empty texts contain nothing,
     null and empty items are in nothing. Repeated rows of either table give a
     row each; ids may be null. Other columns are ignored; an empty table gives
     an empty result.
     """
     rows = docs.select(col(id_col).alias("id"), F.encode(col(text_col), "utf-8").alias("text"))
-    types = rows.schema["id"].dataType.simpleString(), benchmark.select(col(item_col)).schema[0].dataType.simpleString()
+    items = benchmark.select(col(item_col)).schema
+    types, item_type = (rows.schema["id"].dataType.simpleString(), items[0].dataType.simpleString()), to_arrow_schema(items)[0].type
     schema = f"id {types[0]}, item_id {types[1]}, item_shingles long, shared long, containment double"
     out = None
     for index in _item_blocks(benchmark, item_col, item_text_col, percent, block_bytes):
@@ -186,7 +188,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 75, id
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array([t for t, _, _ in hits], pa.int64())),
-                        pa.array([searcher.index.ids[i] for _, i, _ in hits], pa.string() if types[1] == "string" else pa.int64()),
+                        pa.array([searcher.index.ids[i] for _, i, _ in hits], item_type),
                         pa.array(sizes, pa.int64()),
                         pa.array([s for _, _, s in hits], pa.int64()),
                         pa.array([s / n for (_, _, s), n in zip(hits, sizes, strict=True)], pa.float64()),

@@ -264,3 +264,17 @@ def test_digest_index_after_a_broken_ingest(spark, monkeypatch):
     with pytest.raises(ValueError):
         exact_dedup.DigestIndex(spark, path, id_type="string")
     assert again.buckets == 3
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "date", "string", "double", "decimal(6,2)", "struct<a:int>"])
+@pytest.mark.parametrize("words", [12, 13])
+def test_contained_items_of_any_id_type(spark, kind, words):
+    """Also on both sides of the item size from which MinHash is used: 8 and 9 shingles."""
+    text = " ".join(f"w{i}" for i in range(words))
+    value = {"date": "date '2024-01-02'", "string": "'x'", "struct<a:int>": "named_struct('a', 7)"}.get(kind, f"CAST(7 AS {kind})")
+    items = spark.sql(f"SELECT {value} AS item_id, '{text}' AS text UNION ALL SELECT NULL, 'no such words in any of the texts here at all'")
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "w1 w2 w3 w4 w5 w6"), (3, None)], "doc_id int, text string")
+    got = decontamination.contained_items(docs, items).collect()
+    assert [(r["id"], r["item_shingles"], r["shared"]) for r in got] == [(1, words - 4, words - 4)]
+    assert got[0]["item_id"] == items.first()["item_id"]
+    assert [r["doc_id"] for r in decontamination.remove_contaminated(docs, items).orderBy("doc_id").collect()] == [2, 3]
