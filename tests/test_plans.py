@@ -106,7 +106,9 @@ EAGER = {
     "is_empty",  # an action
     "sort_", "zip_",  # dense index: the sorted ranges are written once
     "take_sample_repl",  # the size, and the dense index
-    "join_bucketed",  # both sides are written bucketed
+    "join_bucketed", "row_lookup_bucketed",  # the tables are written bucketed
+    "approx_progressive",  # reads blocks until the estimate is good enough
+    "sketch_distinct_merged",  # the sketches are stored, then merged
     "op", "pipeline",  # multi-pass operators write their intermediate tables
 }
 
