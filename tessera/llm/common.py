@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
@@ -23,6 +23,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... among the rows of a key (not null).
+
+    ``rows`` has ``part``, the partition that a row was read in. Rows are
+    counted inside a part, parts follow each other, so no task sorts more of a
+    hot key than one part of it. Which row of a key gets which number is open.
+    """
+    inside = Window.partitionBy(key, "part").orderBy(key)
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("in_part"))
+    before = counts.select(key, "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"))
+    placed = rows.withColumn("place_in_part", F.row_number().over(inside) - 1).join(before, [key, "part"])
+    return placed.withColumn(name, F.col("before") + F.col("place_in_part")).drop("before", "place_in_part")
+
+
 def others(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of ``df`` whose names don't clash with ``taken`` (in any case)."""
     names = {n.lower() for n in taken}
