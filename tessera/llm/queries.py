@@ -89,7 +89,7 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = stored(warc.manifest(packed), "warc-manifest")
     hit = F.col("length") % 101 == 7
     damaged = packed.withColumn("record", F.when(hit, F.regexp_replace("record", "</body>", "</bady>")).otherwise(F.col("record")))
-    replica = stored(warc.read_archive(spark, warc.write_archive(damaged)), "warc-replica")
+    replica = stored(warc.read_archive(spark, warc.write_archive(damaged, partitions=warc.write_tasks(manifest))), "warc-replica")
     found = warc.audit_replica(manifest, replica)
     records = manifest.join(found, ["segment", "offset"], "left")
     return records.select("page_id", "segment", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))

@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters records uniformly into buckets that fit in a task's memory,
-by a seeded hash of the whole record. Pass two shuffles each bucket by
+by a seeded hash of the whole record; equal records that together are larger
+than a bucket are numbered, and the number takes part in the hash. Pass two shuffles each bucket by
 Fisher-Yates with a seed of its own. Bucket after bucket that is one random
 order of all records, which is cut into shards of equal row counts.
 """
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, others
+from tessera.llm.common import col, numbered, others, stored
 from tessera.session import shared_dir
 
 BUCKET_BYTES = 8 << 20
+#: Buckets whose starts one task adds up, and copies of a record that one task counts.
+GROUP_BUCKETS, CHUNK_COPIES = 4096, 1_000_000
 
 
 def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
@@ -32,9 +35,11 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 11, text_col: str
 
     Row counts of shards are at most one apart. The order depends on the seed
     and the records' values alone, not on partitions, so a lost task repeats
-    it. Nulls take part in the hash as nothing; records equal in all columns
-    share a bucket and are interchangeable. An empty table gives no rows. An
-    input column named shard or slot is replaced.
+    it. Nulls take part in the hash as nothing. Records equal in all columns are
+    interchangeable: few share a bucket, many are spread over all of them. A
+    record longer than ``bucket_bytes`` is a bucket's content alone or with few
+    others. An empty table gives no rows. An input column named shard or slot is
+    replaced.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
@@ -42,15 +47,30 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 11, text_col: str
     records = docs.select(*[col(c) for c in names])
     simple = [col(f.name) for f in records.schema if not isinstance(f.dataType, T.MapType)]
     size = F.coalesce(F.octet_length(col(text_col)), F.lit(0)) + 64
-    total = records.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
-    n, buckets = total["n"], max(1, -(-(total["b"] or 0) // bucket_bytes))
+    packed = records.select(F.struct(*[col(c) for c in names]).alias("row"), F.xxhash64(F.lit(seed), *simple).alias("h"), size.alias("bytes"))
+    counts = stored(packed.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")), "record-counts")
+    total = counts.agg(F.sum("rows").alias("n"), F.sum("bytes").alias("b")).first()
+    n, buckets = total["n"] or 0, max(1, -(-(total["b"] or 0) // bucket_bytes))
 
-    scatter = F.xxhash64(F.lit(seed), *simple)
-    packed = records.select(F.struct(*[col(c) for c in names]).alias("row"), scatter.alias("h"))
-    packed = packed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sizes = packed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    starts = sizes.select("bucket", (F.sum("rows").over(running) - F.col("rows")).alias("start"))
+    plain, spread = F.pmod("h", F.lit(buckets)), F.pmod(F.xxhash64(F.lit(seed), "h", F.col("no").cast("long")), F.lit(buckets))
+    many = (F.col("rows") > 1) & (F.col("bytes") > bucket_bytes)
+    rows = counts.where(~many).select(plain.alias("bucket"), "rows")
+    heavy = counts.where(many).select("h", "rows")
+    if heavy.isEmpty():
+        packed = packed.select("row", "h", plain.alias("bucket"))
+    else:
+        chunks = heavy.select("h", "rows", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(CHUNK_COPIES))).alias("first")).repartition("h", "first")
+        copies = chunks.select("h", F.explode(F.sequence("first", F.least(F.col("first") + CHUNK_COPIES, F.col("rows")) - 1)).alias("no"))
+        rows = rows.unionByName(copies.select(spread.alias("bucket"), F.lit(1).cast("long").alias("rows")))
+        marked = packed.drop("bytes").withColumn("part", F.spark_partition_id()).join(heavy.select("h", F.lit(True).alias("heavy")), "h", "left")
+        dealt = numbered(stored(marked.where("heavy"), "heavy-records"), "h", "no")
+        packed = marked.where("heavy IS NULL").select("row", "h", plain.alias("bucket")).unionByName(dealt.select("row", "h", spread.alias("bucket")))
+    sizes = stored(rows.groupBy("bucket").agg(F.sum("rows").alias("rows")).withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS)), "bucket-sizes")
+    upto, before = Window.unboundedPreceding, -1
+    groups = sizes.groupBy("group").agg(F.sum("rows").alias("in_group"))
+    groups = groups.select("group", F.coalesce(F.sum("in_group").over(Window.orderBy("group").rowsBetween(upto, before)), F.lit(0)).alias("group_start"))
+    inside = F.coalesce(F.sum("rows").over(Window.partitionBy("group").orderBy("bucket").rowsBetween(upto, before)), F.lit(0))
+    starts = sizes.withColumn("inside", inside).join(groups, "group").select("bucket", (F.col("group_start") + F.col("inside")).alias("start"))
 
     def second_pass(key: tuple[pa.Scalar, ...], rows: pa.Table, start: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("h").to_numpy(), kind="stable")

@@ -25,6 +25,8 @@ from tessera.session import shared_dir
 
 SEGMENT_BYTES = 16 << 20
 RANGE_BYTES = 64 << 10
+#: Tasks that one archive is written by, at most; each sorts its segments externally.
+MOST_TASKS = 100_000
 FANOUT = 16
 #: Fixed values of the format: record version, line end, end of a record.
 VERSION, LINE, RECORD_END = "WARC/1.0", "\r\n", "\r\n\r\n"
@@ -75,13 +77,20 @@ def manifest(packed: DataFrame) -> DataFrame:
     return narrow.select("page_id", "segment", "offset", "length", "digest")
 
 
-def write_archive(packed: DataFrame, path: str | None = None) -> str:
+def write_tasks(manifest: DataFrame) -> int:
+    """Tasks for ``write_archive``: as many as segments, up to ``MOST_TASKS``, which then take several each."""
+    segments = (manifest.agg(F.max("segment")).first()[0] or 0) + 1
+    return max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(segments, MOST_TASKS))
+
+
+def write_archive(packed: DataFrame, path: str | None = None, partitions: int | None = None) -> str:
     """Write each segment as one gzip-compressed WARC file; returns the folder.
 
-    Offsets count in the uncompressed file. Records are shuffled once.
+    Offsets count in the uncompressed file. Records are shuffled once, into
+    ``partitions`` tasks (see ``write_tasks``; default: the session's).
     """
     path = path or shared_dir(packed.sparkSession, "warc")
-    rows = packed.repartition("segment").sortWithinPartitions("segment", "place", "page_id", "digest")
+    rows = packed.repartition(*([] if partitions is None else [partitions]), "segment").sortWithinPartitions("segment", "place", "page_id", "digest")
     rows.select("segment", "record").write.partitionBy("segment").option("lineSep", RECORD_END).option("compression", "gzip").text(path)
     return path
 
