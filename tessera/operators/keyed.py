@@ -4,8 +4,8 @@ Built-in aggregates get Spark's partial (map-side) + final aggregation, so a
 hot key costs one row per task in the shuffle. Grouping that keeps every
 value (group_by_key, group_by, cogroup) goes through ``chunked_groups``,
 which never puts more than ``chunk_rows`` values of one key in one row.
-Generic user functions (combine_by_key) combine each Arrow batch first; Spark
-then groups the combiners in two steps, and Python merges those of a row.
+Generic user functions (combine_by_key) combine some Arrow batches at once first;
+Spark then groups the combiners in two steps, and Python merges those of a row.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType, VariantType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StructType, VariantType, _parse_datatype_string
 
 from tessera.functions.exprs import unit_hash
 from tessera.operators.agg import folded
@@ -165,6 +165,21 @@ def group_by(df: DataFrame, key_expr: Column | str, value: str | Column | None =
 #: Keys that Arrow can't group by; inside a batch they are told apart by their JSON text.
 _NESTED = (ArrayType, MapType, StructType, VariantType)
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Rows and bytes of Arrow batches that combine_by_key combines at once (at least a batch).
+TOGETHER_ROWS, TOGETHER_BYTES = 1 << 18, 1 << 24
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches joined into larger ones of bounded size."""
+    some, n_rows, n_bytes = [], 0, 0
+    for b in batches:
+        some.append(b)
+        n_rows, n_bytes = n_rows + b.num_rows, n_bytes + b.nbytes
+        if n_rows >= TOGETHER_ROWS or n_bytes >= TOGETHER_BYTES:
+            yield pa.concat_batches(some)
+            some, n_rows, n_bytes = [], 0, 0
+    if n_rows:
+        yield pa.concat_batches(some)
 
 
 def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge_combiners: Callable,
@@ -175,13 +190,13 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
     ``k`` is a column of any type that can be grouped (structs and arrays
     included) or several columns. NULL, NaN and -0.0 keys group as in SQL.
 
-    Map side: the values of each Arrow batch are combined key by key before
-    any row moves, so a hot key costs one row per batch
-    (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows). Then Spark groups
-    the combiners, first those of ``fan_in`` map tasks, so that a hot key's
-    lie on many tasks, then all of a key: one row holds the combiners of
-    ``fan_in`` tasks, or one for each ``fan_in`` tasks, whatever the rows are.
-    Python only merges the combiners of a row, for many keys in one batch.
+    Map side: the values of some Arrow batches (``TOGETHER_ROWS`` rows or
+    ``TOGETHER_BYTES``) are combined key by key before any row moves, so a hot
+    key costs one row for these. Then Spark groups the combiners, first those
+    of the first, second, ... such round of ``fan_in`` map tasks, so that a hot
+    key's lie on many tasks and a row holds ``fan_in`` of them at most, however
+    long the tasks are; then one for each of these rows, all of a key. Python
+    only merges the combiners of a row, one row's at a time.
     """
     names = [k] if isinstance(k, str) else list(k)
     keys, marks = [f"k{i}" for i in range(len(names))], [f"g{i}" for i in range(len(names))]
@@ -191,11 +206,12 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
     by = [g if n else x for x, g, n in zip(keys, marks, nested, strict=True)]
     key_type = StructType([rows.schema[x] for x in keys])
     partial_type = StructType([*key_type.fields]).add("c", BinaryType())
+    round_type = StructType([*partial_type.fields]).add("round", IntegerType())
     result_type = StructType([*key_type.fields]).add("v", _parse_datatype_string(out_type))
     value_type = to_arrow_schema(StructType([result_type["v"]])).field(0).type
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for n, b in enumerate(_together(batches)):
             numbered = pa.table({**{c: b.column(c) for c in by}, "row": pa.array(range(b.num_rows), pa.int64())})
             values, firsts, combiners = b.column("v").to_pylist(), [], []
             for group in numbered.group_by(by, use_threads=False).aggregate([("row", "list")])["row_list"].to_pylist():
@@ -205,19 +221,19 @@ def combine_by_key(df: DataFrame, create: Callable, merge_value: Callable, merge
                 firsts.append(group[0])
                 combiners.append(pickle.dumps(acc))
             at = pa.array(firsts, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in keys), pa.array(combiners, pa.binary())], partial_type.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in keys), pa.array(combiners, pa.binary()), pa.array([n] * len(at), pa.int32())], round_type.names)
 
     def merged(done: Callable, shape: pa.DataType, out: str):
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = (functools.reduce(merge_combiners, map(pickle.loads, c)) for c in b.column("c").to_pylist())
+                found = (functools.reduce(merge_combiners, map(pickle.loads, c.as_py())) for c in b.column("c"))
                 yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keys), pa.array([done(x) for x in found], shape)], [*keys, out])
 
         return merge
 
     task = F.floor(F.spark_partition_id() / F.lit(int(fan_in)))
-    parts = rows.mapInArrow(combined, partial_type).withColumn("task", task)
-    some = parts.groupBy(*keys, "task").agg(F.collect_list("c").alias("c")).drop("task")
+    parts = rows.mapInArrow(combined, round_type).withColumn("task", task)
+    some = parts.groupBy(*keys, "task", "round").agg(F.collect_list("c").alias("c")).drop("task", "round")
     some = some.mapInArrow(merged(pickle.dumps, pa.binary(), "c"), partial_type)
     out = some.groupBy(*keys).agg(F.collect_list("c").alias("c")).mapInArrow(merged(finish or (lambda x: x), value_type, "v"), result_type)
     return out.toDF(*names, "v")

@@ -1,6 +1,7 @@
 """A key holding a third of all rows: results stay whole and exact, and the
 plans split or pre-aggregate the hot group."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,30 @@ def test_hot_key_is_combined_before_rows_move(spark):
     assert len(got) == 20001 and got[1] == 1 * 100_000 + 1
 
 
+def test_batches_of_a_task_are_combined_at_once(spark):
+    """(sum, combiners) of a hot key: one combiner for each task, not for each Arrow batch."""
+    df = _hot(spark, 30000).repartition(4)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        c = keyed.combine_by_key(df, lambda v: (v, 1), lambda a, v: (a[0] + v, a[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]),
+                                 finish=lambda a: a[0] * 1000 + a[1], out_type="long", fan_in=2)
+        got = {r["k"]: r["v"] for r in c.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got[0] // 1000 == sum(range(0, 30000, 3)) and got[0] % 1000 == 4
+    assert len(got) == 20001 and got[1] == 1001
+
+
+def test_batches_are_joined_up_to_a_bound():
+    rows = keyed.TOGETHER_ROWS // 2
+    batch = pa.RecordBatch.from_arrays([pa.nulls(rows, pa.null())], ["v"])
+    assert [b.num_rows for b in keyed._together(iter([batch] * 5))] == [2 * rows, 2 * rows, rows]
+    wide = pa.RecordBatch.from_arrays([pa.array(["x" * keyed.TOGETHER_BYTES])], ["v"])
+    assert [b.num_rows for b in keyed._together(iter([wide] * 3))] == [1, 1, 1]
+    assert [*keyed._together(iter([]))] == []
+
+
 def test_combine_by_key_of_any_key_type(spark):
     t = "timestamp_ntz '2024-01-01 00:00:00.000001'"
     rows = spark.sql(f"""SELECT * FROM VALUES (array(1, null), {t}, 1), (array(1, null), {t}, 2), (array(1), {t}, 4),
