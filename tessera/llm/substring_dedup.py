@@ -16,16 +16,22 @@ repeated. Of every 31 consecutive 20-word hashes the smallest is an anchor
 an equal anchor at the same place: runs without an anchor that occurs twice
 in the table occur once.
 
-Spans are many, so they are cut twice and never stored: once to find the
-repeated hashes with their first occurrence (pre-aggregated in each task),
-once to join them. Texts with repeated anchors are stored with these. Rows
-that share an id and a text, or have no id and share a text, are one document:
-they keep and lose the same.
+Nor is a run a row of its own. Consecutive runs with the same smallest 20-word
+hash are a block (16 runs on average), with its anchor. Equal runs lie at the
+same place of blocks with an equal anchor. So equal blocks are compared as a
+whole, and the runs are made only of one block of each kind (its first
+occurrence), where blocks of other kinds have the same anchor.
+
+Spans of sentences are many, so they are cut twice and never stored: once to
+find the repeated hashes with their first occurrence (pre-aggregated in each
+task), once to join them. Texts with repeated anchors are stored with these.
+Rows that share an id and a text, or have no id and share a text, are one
+document: they keep and lose the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,45 +85,69 @@ def _sentence_spans(text: bytes, starts: np.ndarray, stops: np.ndarray, sentence
     return first[whole], after[upto[whole] - 1]
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the anchors among a text's word hashes."""
+def _run_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 20-word hashes of a text, and the place of the smallest one in each run of ``RUN`` words."""
     grams = S.runs(hashes, ANCHOR)
     width = RUN - ANCHOR + 1
     if len(grams) < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return grams, np.empty(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    return grams, windows.argmin(axis=1) + np.arange(len(windows))
+
+
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the anchors among a text's word hashes."""
+    grams, of = _run_anchors(hashes)
+    at = np.unique(of)
     return at, grams[at]
 
 
-def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, near: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def _hash(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for the words ``a[i]:b[i]`` of each i."""
+    power, inverse = S.powers(len(w))
+    total = np.r_[np.uint64(0), np.cumsum(w * power)]
+    return S.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, runs: bool = True) -> tuple[np.ndarray, ...]:
     """(first byte, last byte + 1, words, hash, second hash) of every span of a text, by place.
 
-    ``near`` leaves only runs of ``RUN`` words that hold an anchor at one of
-    these words.
+    Without ``runs`` only spans of whole sentences that are no run of ``RUN`` words.
     """
     starts, stops, hashes = S.words(text)
     n = len(starts)
     if n == 0:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     a, b = _sentence_spans(text, starts, stops, sentences, words)
-    runs = np.ones(max(n - RUN + 1, 0), bool)
-    if near is not None:
-        edge = np.zeros(len(runs) + 1, np.int64)
-        np.add.at(edge, np.clip(near + ANCHOR - RUN, 0, len(runs)), 1)
-        np.add.at(edge, np.clip(near + 1, 0, len(runs)), -1)
-        runs = np.cumsum(edge)[:-1] > 0
-    runs[a[b - a == RUN]] = False
-    a, b = np.r_[a, np.flatnonzero(runs)], np.r_[b, np.flatnonzero(runs) + RUN]
+    other = b - a != RUN
+    run = np.arange(max(n - RUN + 1, 0) if runs else 0)
+    a, b = np.r_[a[other], run], np.r_[b[other], run + RUN]
     by = np.lexsort((b, a))
     a, b = a[by], b[by]
-    power, inverse = S.powers(n)
+    return starts[a], stops[b - 1], b - a, _hash(hashes, a, b), _hash(S.mix(hashes ^ _OTHER), a, b)
+
 
-    def run_hash(w: np.ndarray) -> np.ndarray:
-        total = np.r_[np.uint64(0), np.cumsum(w * power)]
-        return S.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+def blocks(text: bytes, near: np.ndarray | None = None, begins: np.ndarray | None = None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The blocks of a text with their anchor at one of the words ``near``, or that begin at one of the bytes ``begins``.
 
-    return starts[a], stops[b - 1], b - a, run_hash(hashes), run_hash(S.mix(hashes ^ _OTHER))
+    First (first byte, last byte + 1, runs, anchor, hash, second hash) of each
+    block, where the second hash is also of the white space between the words,
+    then (block, first byte, last byte + 1, hash, second hash) of each run in
+    these blocks, if ``begins`` are given.
+    """
+    starts, stops, hashes = S.words(text)
+    grams, of = _run_anchors(hashes)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+    upto = np.r_[first[1:], len(of)].astype(np.int64)[: len(first)]
+    mine = np.isin(of[first], near) if begins is None else np.isin(starts[first], begins)
+    a, n = first[mine], (upto - first)[mine]
+    b = a + n + RUN - 1
+    other = S.mix(hashes ^ _OTHER)
+    gaps = np.r_[starts[1:] - stops[:-1], np.zeros(min(len(starts), 1), np.int64)].astype(np.uint64)
+    found = starts[a], stops[b - 1], n, grams[of[a]], _hash(hashes, a, b), _hash(S.mix(other + gaps), a, b)
+    block = np.repeat(np.arange(len(a)), n if begins is not None else 0)
+    x = a[block] + np.arange(len(block)) - (np.cumsum(n) - n)[block] if len(block) else block
+    return found, (block, starts[x], stops[x + RUN - 1], _hash(hashes, x, x + RUN), _hash(other, x, x + RUN))
 
 
 def _document(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -146,56 +176,104 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(near, ["no_id", "ord", "h"])
 
 
-def _span_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    """(no_id, ord, h, start, stop, hi, lo): one row for each span of each document.
+#: Columns of the rows that are cut out of texts, besides the document's.
+_SPANS = {"start": "int", "stop": "int", "hi": "long", "lo": "long"}
+_BLOCKS = {"start": "int", "stop": "int", "runs": "int", "anchor": "long", "hi": "long", "lo": "long"}
+_RUNS = {"begin": "int", "block_hi": "long", "block_lo": "long", **_SPANS}
 
-    ``docs`` has (no_id, ord, h, text, anchors): without anchors only spans of
-    whole sentences are made, with anchors only runs of words.
-    """
+
+def _cut_rows(docs: DataFrame, given: str | None, cut_text: Callable[..., tuple[np.ndarray, ...]], columns: dict[str, str]) -> DataFrame:
+    """(no_id, ord, h, columns): the rows that ``cut_text`` makes of each document's text and column ``given`` (places)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (np.int32, np.int32, np.int64, np.int64)
+        types = [np.int32 if t == "int" else np.int64 for t in columns.values()]
         for b in batches:
             rows, parts, size = [], [], 0
-            texts = zip(utf8(b.column("text")), b.column("anchors").to_pylist(), strict=True)
-            for i, (t, near) in enumerate(texts):
-                start, stop, n, hi, lo = spans(t or b"", sentences, words, np.asarray(near or [], np.int64))
-                if near is not None:
-                    runs = n == RUN
-                    start, stop, hi, lo = start[runs], stop[runs], hi[runs], lo[runs]
-                rows.append(np.full(len(start), i))
-                parts.append((start, stop, hi, lo))
-                size += len(start)
+            places = b.column(given).to_pylist() if given else [()] * b.num_rows
+            for i, (t, at) in enumerate(zip(utf8(b.column("text")), places, strict=True)):
+                parts.append(cut_text(t or b"", np.asarray(at, np.int64)))
+                rows.append(np.full(len(parts[-1][0]), i))
+                size += len(parts[-1][0])
                 if size > 100_000 or i == b.num_rows - 1:  # Arrow batches of bounded size
                     of = pa.array(np.concatenate(rows))
                     x = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), *x], ["no_id", "ord", "h", "start", "stop", "hi", "lo"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), *x], ["no_id", "ord", "h", *columns])
                     rows, parts, size = [], [], 0
 
+    rows = docs.select("no_id", "ord", "h", "text", *([given] if given else []))
     kind = docs.schema["ord"].dataType.simpleString()
-    rows = docs.select("no_id", "ord", "h", "text", "anchors")
-    return rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, start int, stop int, hi long, lo long")
+    return rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
+def _sentence_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+    """(no_id, ord, h, start, stop, hi, lo): one row for each span of whole sentences."""
+
+    def cut(text: bytes, _: np.ndarray) -> tuple[np.ndarray, ...]:
+        start, stop, _, hi, lo = spans(text, sentences, words, runs=False)
+        return start, stop, hi, lo
+
+    return _cut_rows(docs, None, cut, _SPANS)
+
+
+def _run_rows(docs: DataFrame) -> DataFrame:
+    """(no_id, ord, h, begin, block_hi, block_lo, start, stop, hi, lo): the runs of the blocks that begin at ``begins``."""
+
+    def cut(text: bytes, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        (begin, _, _, _, hi, lo), (block, *runs) = blocks(text, begins=begins)
+        return begin[block], hi[block], lo[block], *runs
+
+    return _cut_rows(docs, "begins", cut, _RUNS)
+
+
+def _repeated_runs(anchored: DataFrame) -> DataFrame:
+    """(no_id, ord, h, start, stop, first): what non-first occurrences of runs of ``RUN`` words cover.
+
+    A block that isn't the first of its kind goes whole, and each document that
+    has the first occurrence of one of its runs keeps them. Of the first block
+    of a kind those runs go that occur before in blocks of other kinds.
+    """
+    every = stored(_cut_rows(anchored, "anchors", lambda text, near: blocks(text, near)[0], _BLOCKS), "repeated-blocks")
+    kinds = every.groupBy("hi", "lo").agg(F.min(F.struct("no_id", "ord", "start", "h")).alias("rep"), F.min("anchor").alias("anchor"), F.min("runs").alias("runs"), F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds, "kinds-of-blocks")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    begins = kinds.join(several, "anchor").groupBy("rep.no_id", "rep.ord", "rep.h").agg(F.collect_set("rep.start").alias("begins"))
+    runs = stored(_run_rows(anchored.join(begins, ["no_id", "ord", "h"])), "runs-of-blocks")
+    place = F.struct("no_id", "ord", "start")
+    firsts = runs.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
+    run = F.struct((F.col("start") - F.col("begin")).alias("a"), (F.col("stop") - F.col("begin")).alias("b"), F.col("first.no_id").alias("no_id"), F.col("first.ord").alias("ord"))
+    lost = runs.join(firsts, ["hi", "lo"]).where(place != F.col("first")).groupBy(F.col("block_hi").alias("hi"), F.col("block_lo").alias("lo")).agg(F.collect_set(run).alias("lost"))
+    known = kinds.join(lost, ["hi", "lo"], "left").where("n > 1 OR lost IS NOT NULL").select("hi", "lo", "rep", "lost", F.col("runs").alias("all"))
+    doc = lambda x: F.struct(x["no_id"].alias("no_id"), x["ord"].alias("ord"))
+    lost, rep = F.coalesce("lost", F.array().cast(known.schema["lost"].dataType)), F.col("rep")
+    keepers = F.array_distinct(F.concat(F.transform(lost, doc), F.when(F.size(lost) < F.col("all"), F.array(doc(rep))).otherwise(F.array().cast(f"array<struct<no_id:boolean,ord:{every.schema['ord'].dataType.simpleString()}>>"))))
+    gap = lambda start, stop, first: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), first.alias("first"))
+    whole = F.transform(keepers, lambda x: gap(F.col("start"), F.col("stop"), x))
+    some = F.transform(lost, lambda x: gap(F.col("start") + x["a"], F.col("start") + x["b"], doc(x)))
+    is_rep = place == F.struct(rep["no_id"], rep["ord"], rep["start"])
+    gone = every.join(known, ["hi", "lo"]).select("no_id", "ord", "h", F.explode(F.when(is_rep, some).otherwise(whole)).alias("gap"))
+    return gone.select("no_id", "ord", "h", "gap.start", "gap.stop", "gap.first")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """(no_id, ord, h, start, stop, first): every non-first occurrence of a span.
-
-    ``start`` and ``stop`` are bytes of the text in UTF-8, ``first`` the
-    document and place (no_id, ord, start) of the occurrence that stays. A
-    span may repeat within one document. Documents without id come last in
-    the order. Null and empty texts and texts of fewer sentences and
-    words have no spans. A span that a third of all documents share is pre-aggregated when
-    counted and split like any skewed key when joined.
+    """(no_id, ord, h, start, stop, first): what the non-first occurrences of spans cover.
+
+    ``start`` and ``stop`` are bytes of the text in UTF-8, of one span or of
+    consecutive runs of words; ``first`` is a document (no_id, ord) with an
+    occurrence that stays. A span may repeat within one document. Documents
+    without id come last in the order. Null and empty texts and texts of fewer
+    sentences and words have no spans. A span that a third of all documents
+    share is pre-aggregated when counted and split like any skewed key when
+    joined.
     """
     anchored = stored(_anchored(docs, id_col, text_col), "repeated-anchors")
+    runs = stored(_repeated_runs(anchored), "repeated-runs")
     every = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
-    every = every.withColumn("anchors", F.lit(None).cast("array<int>"))
-    rows = _span_rows(every, sentences, words).union(_span_rows(anchored, sentences, words))
+    rows = _sentence_rows(every, sentences, words)
     place = F.struct("no_id", "ord", "start")
     firsts = rows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = stored(firsts.select("hi", "lo", "first"), "repeated-spans")
-    joined = rows.join(firsts, ["hi", "lo"])
-    return joined.where(place != F.col("first")).select("no_id", "ord", "h", "start", "stop", "first")
+    joined = rows.join(firsts, ["hi", "lo"]).where(place != F.col("first"))
+    return joined.select("no_id", "ord", "h", "start", "stop", F.struct("first.no_id", "first.ord").alias("first")).unionByName(runs)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -55,3 +56,45 @@ def test_sentences_end_at_other_full_stops_and_before_quotes():
     text = "一 二。 he said “no.” then (yes!) and (no) ह।".encode()
     starts, stops, _ = sd.S.words(text)
     assert sd._ends(text, stops).tolist() == [False, True, False, False, True, False, True, False, False, True]
+
+
+def test_blocks_give_what_runs_of_words_give(spark):
+    """Overlapping passages, other white space, repeats inside a text, repeated rows and ids, and no id."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(700)]
+    docs = []
+    for i in range(60):
+        parts = [pool[x : x + rng.randrange(30, 150)] for x in rng.choices(range(600), k=2)]
+        if i % 5 == 0:
+            parts[0] = parts[0][:20] + [f"own{i}"] + parts[0][20:]
+        gap = "  " if i % 7 == 0 else " "
+        docs.append((i // 2 if i > 50 else i if i % 11 else None, gap.join([f"x{i}", *parts[0], f"y{i}", *parts[1]])))
+    docs += docs[:6]
+    firsts, runs = {}, {}
+    for doc, text in set(docs):
+        at, w = [m.span() for m in re.finditer(r"\S+", text)], text.split()
+        for k in range(len(w) - 49):
+            place = (doc is None, 0 if doc is None else doc, at[k][0])
+            runs.setdefault((doc, text), []).append((tuple(w[k : k + 50]), place, set(range(at[k][0], at[k + 49][1]))))
+            if doc is not None:
+                firsts[tuple(w[k : k + 50])] = min(place, firsts.get(tuple(w[k : k + 50]), place))
+    gone = {}
+    for (doc, text), found in runs.items():
+        if doc is not None:
+            for run, place, cover in found:
+                if firsts[run] != place:
+                    bytes_, ids = gone.setdefault((doc, text), (set(), set()))
+                    bytes_ |= cover
+                    ids.add(firsts[run][1])
+    got = sd.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts = {doc: [t for d, t in set(docs) if d == doc] for doc, _ in docs}
+    want = sorted((doc, "".join(c for i, c in enumerate(text) if i not in cut), len(cut), sorted(ids)) for (doc, text), (cut, ids) in gone.items() for _ in range(docs.count((doc, text))))
+    assert len(want) > 40 and any(len(t) > 1 for t in texts.values())
+    assert sorted((r["id"], r["text"], r["removed_bytes"], [x["id"] if hasattr(x, "asDict") else x for x in r["first_ids"]]) for r in got if r["id"] is not None) == want
+
+
+def test_repeated_runs_are_not_a_row_each(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    gone = sd.repeated_spans(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert 0 < len(gone) < 400 and {r["ord"] for r in gone} == {2} == {r["ord"] + 1 for r in (g["first"] for g in gone)}
+    assert set().union(*(range(r["start"], r["stop"]) for r in gone)) == set(range(len(text)))
