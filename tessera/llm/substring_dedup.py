@@ -24,7 +24,8 @@ occurrence), where blocks of other kinds have the same anchor.
 
 Spans of sentences are many, so they are cut twice and never stored: once to
 find the repeated hashes with their first occurrence (pre-aggregated in each
-task), once to join them. Texts with repeated anchors are stored with these.
+task), once to join them. Anchors are stored, and so are the texts that have
+repeated ones.
 Rows that share an id and a text, or have no id and share a text, are one
 document: they keep and lose the same.
 """
@@ -79,20 +80,35 @@ def _sentence_spans(text: bytes, starts: np.ndarray, stops: np.ndarray, sentence
     sentence = np.cumsum(ends) - ends
     ends |= _BREAK[data[stops - 1]] & (np.bincount(sentence)[sentence] > LONG)
     after = np.flatnonzero(ends) + 1  # word after each sentence
-    first = np.r_[0, after[:-1]]
+    first = np.zeros_like(after)
+    first[1:] = after[:-1]
     upto = np.maximum(np.arange(len(first)) + sentences, np.searchsorted(after, first + words) + 1)
     whole = upto <= len(first)
     return first[whole], after[upto[whole] - 1]
 
 
+def _sums(w: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... words' hashes, each times its power."""
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * S.powers(len(w))[0], out=total[1:])
+    return total
+
+
 def _run_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 20-word hashes of a text, and the place of the smallest one in each run of ``RUN`` words."""
-    grams = S.runs(hashes, ANCHOR)
     width = RUN - ANCHOR + 1
-    if len(grams) < width:
-        return grams, np.empty(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
-    return grams, windows.argmin(axis=1) + np.arange(len(windows))
+    if len(hashes) < RUN:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    _, inverse = S.powers(len(hashes))
+    total = _sums(hashes)
+    grams = S.mix((total[ANCHOR:] - total[:-ANCHOR]) * inverse[: 1 - ANCHOR])
+    of, least, size = np.arange(len(grams)), grams, 1
+    while size < width:  # the smallest of the first ``size`` from each place on; of equal ones the first
+        step = min(size, width - size)
+        later = least[step:] < least[:-step]
+        of, least = np.where(later, of[step:], of[:-step]), np.where(later, least[step:], least[:-step])
+        size += step
+    return grams, of
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +120,8 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _hash(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash for the words ``a[i]:b[i]`` of each i."""
-    power, inverse = S.powers(len(w))
-    total = np.r_[np.uint64(0), np.cumsum(w * power)]
-    return S.mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+    total = _sums(w)
+    return S.mix((total[b] - total[a]) * S.powers(len(w))[1][a] + (b - a).astype(np.uint64))
 
 
 def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, runs: bool = True) -> tuple[np.ndarray, ...]:
@@ -120,10 +135,12 @@ def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, runs: boo
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     a, b = _sentence_spans(text, starts, stops, sentences, words)
     other = b - a != RUN
-    run = np.arange(max(n - RUN + 1, 0) if runs else 0)
-    a, b = np.r_[a[other], run], np.r_[b[other], run + RUN]
-    by = np.lexsort((b, a))
-    a, b = a[by], b[by]
+    a, b = a[other], b[other]
+    if runs:
+        run = np.arange(max(n - RUN + 1, 0))
+        a, b = np.concatenate([a, run]), np.concatenate([b, run + RUN])
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
     return starts[a], stops[b - 1], b - a, _hash(hashes, a, b), _hash(S.mix(hashes ^ _OTHER), a, b)
 
 
@@ -170,7 +187,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
     kind = rows.schema["ord"].dataType.simpleString()
-    found = rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, at int, anchor long")
+    found = stored(rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, at int, anchor long"), "anchors")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     near = found.join(twice, "anchor").groupBy("no_id", "ord", "h").agg(F.collect_set("at").alias("anchors"))
     return rows.join(near, ["no_id", "ord", "h"])
