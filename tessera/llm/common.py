@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from tessera.session import shared_dir
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, made: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     Later stages then read one fixed set of rows, whichever executors are lost
-    in between, and no lineage reaches past the files.
+    in between, and no lineage reaches past the files. The folder is added to
+    ``made``, for ``session.remove``.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,8 +24,8 @@ occurrence), where blocks of other kinds have the same anchor.
 
 Spans of sentences are many, so they are cut twice and never stored: once to
 find the repeated hashes with their first occurrence (pre-aggregated in each
-task), once to join them. Anchors are stored, and so are the texts that have
-repeated ones.
+task), once to join them. Anchors, the texts that have repeated ones and their
+blocks are stored until the runs are known.
 Rows that share an id and a text, or have no id and share a text, are one
 document: they keep and lose the same.
 """
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
 from tessera.llm.common import col, stored, utf8
+from tessera.session import remove
 
 SENTENCES, WORDS, LONG = 3, 20, 20
 #: Words of a run that is a span wherever it begins, and of an anchor in it.
@@ -175,7 +176,7 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [col(id_col).isNull().alias("no_id"), own.alias("ord"), F.hash(text).alias("h")]
 
 
-def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _anchored(docs: DataFrame, id_col: str, text_col: str, made: list[str]) -> DataFrame:
     """(no_id, ord, h, text, anchors): documents with anchors that occur twice in the table."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
     kind = rows.schema["ord"].dataType.simpleString()
-    found = stored(rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, at int, anchor long"), "anchors")
+    found = stored(rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, at int, anchor long"), "anchors", made)
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     near = found.join(twice, "anchor").groupBy("no_id", "ord", "h").agg(F.collect_set("at").alias("anchors"))
     return rows.join(near, ["no_id", "ord", "h"])
@@ -242,19 +243,19 @@ def _run_rows(docs: DataFrame) -> DataFrame:
     return _cut_rows(docs, "begins", cut, _RUNS)
 
 
-def _repeated_runs(anchored: DataFrame) -> DataFrame:
+def _repeated_runs(anchored: DataFrame, made: list[str]) -> DataFrame:
     """(no_id, ord, h, start, stop, first): what non-first occurrences of runs of ``RUN`` words cover.
 
     A block that isn't the first of its kind goes whole, and each document that
     has the first occurrence of one of its runs keeps them. Of the first block
     of a kind those runs go that occur before in blocks of other kinds.
     """
-    every = stored(_cut_rows(anchored, "anchors", lambda text, near: blocks(text, near)[0], _BLOCKS), "repeated-blocks")
+    every = stored(_cut_rows(anchored, "anchors", lambda text, near: blocks(text, near)[0], _BLOCKS), "repeated-blocks", made)
     kinds = every.groupBy("hi", "lo").agg(F.min(F.struct("no_id", "ord", "start", "h")).alias("rep"), F.min("anchor").alias("anchor"), F.min("runs").alias("runs"), F.count(F.lit(1)).alias("n"))
-    kinds = stored(kinds, "kinds-of-blocks")
+    kinds = stored(kinds, "kinds-of-blocks", made)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     begins = kinds.join(several, "anchor").groupBy("rep.no_id", "rep.ord", "rep.h").agg(F.collect_set("rep.start").alias("begins"))
-    runs = stored(_run_rows(anchored.join(begins, ["no_id", "ord", "h"])), "runs-of-blocks")
+    runs = stored(_run_rows(anchored.join(begins, ["no_id", "ord", "h"])), "runs-of-blocks", made)
     place = F.struct("no_id", "ord", "start")
     firsts = runs.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
     run = F.struct((F.col("start") - F.col("begin")).alias("a"), (F.col("stop") - F.col("begin")).alias("b"), F.col("first.no_id").alias("no_id"), F.col("first.ord").alias("ord"))
@@ -282,8 +283,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share is pre-aggregated when counted and split like any skewed key when
     joined.
     """
-    anchored = stored(_anchored(docs, id_col, text_col), "repeated-anchors")
-    runs = stored(_repeated_runs(anchored), "repeated-runs")
+    made: list[str] = []
+    anchored = stored(_anchored(docs, id_col, text_col, made), "repeated-anchors", made)
+    runs = stored(_repeated_runs(anchored, made), "repeated-runs")
+    remove(docs.sparkSession, made)  # only the runs are read from here on
     every = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
     rows = _sentence_rows(every, sentences, words)
     place = F.struct("no_id", "ord", "start")

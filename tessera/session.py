@@ -100,8 +100,13 @@ def cleanup(spark: SparkSession, keep: Iterable[str] = ()) -> int:
     Call it when the results made so far are written or read: frames that
     still read these tables fail afterwards. Returns how many were removed.
     """
+    return remove(spark, _MADE - set(keep))
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Remove folders of ``shared_dir`` that nothing reads any more; returns how many were removed."""
     gone, jvm = 0, spark._jvm
-    for path in sorted(_MADE - set(keep)):
+    for path in sorted(paths):
         where = jvm.org.apache.hadoop.fs.Path(path)
         gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
         _MADE.discard(path)

@@ -98,3 +98,13 @@ def test_repeated_runs_are_not_a_row_each(spark):
     gone = sd.repeated_spans(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
     assert 0 < len(gone) < 400 and {r["ord"] for r in gone} == {2} == {r["ord"] + 1 for r in (g["first"] for g in gone)}
     assert set().union(*(range(r["start"], r["stop"]) for r in gone)) == set(range(len(text)))
+
+
+def test_only_results_stay_in_the_shared_folder(spark):
+    from tessera import session
+
+    before = set(session._MADE)
+    gone = sd.repeated_spans(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    left = [p.rpartition("/")[2] for p in session._MADE - before]
+    assert sorted(p.rpartition("-")[0] for p in left) == ["tessera-repeated-runs", "tessera-repeated-spans"]
+    assert gone.count() > 0
