@@ -102,10 +102,11 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, word hashes, offsets) for runs of texts of at most a block each.
+def located(texts: list[bytes | None]) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, begins, starts, stops, word hashes, offsets) for runs of texts of at most a block each.
 
-    Text ``first + i`` has the words ``offsets[i]:offsets[i + 1]``.
+    The texts are joined by line ends; text ``first + i`` begins at the byte
+    ``begins[i]`` and has the words ``offsets[i]:offsets[i + 1]``.
     """
     first = 0
     while first < len(texts):
@@ -114,15 +115,22 @@ def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np
             size += len(texts[last] or b"") + 1
             last += 1
         if size > BLOCK_BYTES:
-            hashes = words(texts[first])[2]
-            yield first, last, hashes, np.array([0, len(hashes)])
+            found = words(texts[first])
+            yield first, last, texts[first], np.zeros(1, np.int64), *found, np.array([0, len(found[0])])
         else:
             lengths = np.fromiter((len(t or b"") + 1 for t in texts[first:last]), np.int64, last - first)
-            starts, _, hashes = _words(b"\n".join(t or b"" for t in texts[first:last]))
-            yield first, last, hashes, np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
+            data, begins = b"\n".join(t or b"" for t in texts[first:last]), np.r_[0, np.cumsum(lengths)]
+            found = _words(data)
+            yield first, last, data, begins[:-1], *found, np.searchsorted(found[0], begins)
         first = last
 
 
+def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, word hashes, offsets) of ``located``."""
+    for first, last, *_, hashes, offsets in located(texts):
+        yield first, last, hashes, offsets
+
+
 def runs(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """One hash for each run of ``width`` consecutive words, repeats kept."""
     n = len(words) - width + 1

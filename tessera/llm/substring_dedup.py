@@ -25,7 +25,9 @@ occurrence), where blocks of other kinds have the same anchor.
 Spans of sentences are many, so they are cut twice and never stored: once to
 find the repeated hashes with their first occurrence (pre-aggregated in each
 task), once to join them. Anchors, the texts that have repeated ones and their
-blocks are stored until the runs are known.
+blocks are stored until the runs are known. Texts are cut many at once, joined
+to blocks of bounded size (``shingles.located``); no span reaches into another
+text.
 Rows that share an id and a text, or have no id and share a text, are one
 document: they keep and lose the same.
 """
@@ -36,6 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,20 +74,20 @@ def _ends(text: bytes, stops: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _sentence_spans(text: bytes, starts: np.ndarray, stops: np.ndarray, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and last word + 1 of every span of whole sentences."""
+def _sentence_spans(text: bytes, starts: np.ndarray, stops: np.ndarray, offsets: np.ndarray, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and last word + 1 of every span of whole sentences of one text."""
     data = np.frombuffer(text, np.uint8)
     ends = _ends(text, stops)
     lines = np.searchsorted(starts, np.flatnonzero(data == 10)) - 1
     ends[lines[lines >= 0]] = True
-    ends[-1] = True
+    ends[offsets[1:][np.diff(offsets) > 0] - 1] = True
     sentence = np.cumsum(ends) - ends
     ends |= _BREAK[data[stops - 1]] & (np.bincount(sentence)[sentence] > LONG)
     after = np.flatnonzero(ends) + 1  # word after each sentence
     first = np.zeros_like(after)
     first[1:] = after[:-1]
     upto = np.maximum(np.arange(len(first)) + sentences, np.searchsorted(after, first + words) + 1)
-    whole = upto <= len(first)
+    whole = upto <= np.searchsorted(after, offsets, "right")[np.searchsorted(offsets, first, "right")]
     return first[whole], after[upto[whole] - 1]
 
 
@@ -95,11 +98,16 @@ def _sums(w: np.ndarray) -> np.ndarray:
     return total
 
 
-def _run_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 20-word hashes of a text, and the place of the smallest one in each run of ``RUN`` words."""
+def _changes(of: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+
+
+def _run_anchors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 20-word hashes, the first word of each run of ``RUN`` words of one text, and the place of the smallest hash in it."""
     width = RUN - ANCHOR + 1
     if len(hashes) < RUN:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     _, inverse = S.powers(len(hashes))
     total = _sums(hashes)
     grams = S.mix((total[ANCHOR:] - total[:-ANCHOR]) * inverse[: 1 - ANCHOR])
@@ -109,14 +117,22 @@ def _run_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         later = least[step:] < least[:-step]
         of, least = np.where(later, of[step:], of[:-step]), np.where(later, least[step:], least[:-step])
         size += step
-    return grams, of
+    n = np.maximum(np.diff(offsets) - RUN + 1, 0)
+    run = np.repeat(offsets[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return grams, run, of[run]
+
+
+def _anchors(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, hash) of the anchors of a block of texts."""
+    grams, _, of = _run_anchors(hashes, offsets)
+    at = of[_changes(of)]  # the places only rise
+    text = np.searchsorted(offsets, at, "right") - 1
+    return text, at - offsets[text], grams[at]
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of the anchors among a text's word hashes."""
-    grams, of = _run_anchors(hashes)
-    at = np.unique(of)
-    return at, grams[at]
+    return _anchors(hashes, np.array([0, len(hashes)]))[1:]
 
 
 def _hash(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,6 +141,16 @@ def _hash(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return S.mix((total[b] - total[a]) * S.powers(len(w))[1][a] + (b - a).astype(np.uint64))
 
 
+def _spans(text: bytes, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, sentences: int, words: int) -> tuple[np.ndarray, ...]:
+    """(first word, last word + 1, hash, second hash) of the sentence spans of a block of texts that are no run of ``RUN`` words."""
+    if not len(starts):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    a, b = _sentence_spans(text, starts, stops, offsets, sentences, words)
+    other = b - a != RUN
+    a, b = a[other], b[other]
+    return a, b, _hash(hashes, a, b), _hash(S.mix(hashes ^ _OTHER), a, b)
+
+
 def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, runs: bool = True) -> tuple[np.ndarray, ...]:
     """(first byte, last byte + 1, words, hash, second hash) of every span of a text, by place.
 
@@ -132,37 +158,34 @@ def spans(text: bytes, sentences: int = SENTENCES, words: int = WORDS, runs: boo
     """
     starts, stops, hashes = S.words(text)
     n = len(starts)
-    if n == 0:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    a, b = _sentence_spans(text, starts, stops, sentences, words)
-    other = b - a != RUN
-    a, b = a[other], b[other]
+    a, b, hi, lo = _spans(text, starts, stops, hashes, np.array([0, n]), sentences, words)
     if runs:
         run = np.arange(max(n - RUN + 1, 0))
         a, b = np.concatenate([a, run]), np.concatenate([b, run + RUN])
+        hi, lo = (np.concatenate([h, _hash(w, run, run + RUN)]) for h, w in ((hi, hashes), (lo, S.mix(hashes ^ _OTHER))))
         by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-    return starts[a], stops[b - 1], b - a, _hash(hashes, a, b), _hash(S.mix(hashes ^ _OTHER), a, b)
+        a, b, hi, lo = a[by], b[by], hi[by], lo[by]
+    return starts[a], stops[b - 1], b - a, hi, lo
 
 
-def blocks(text: bytes, near: np.ndarray | None = None, begins: np.ndarray | None = None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """The blocks of a text with their anchor at one of the words ``near``, or that begin at one of the bytes ``begins``.
+def _blocks(starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, near: np.ndarray | None = None, begins: np.ndarray | None = None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The blocks of texts with their anchor at one of the words ``near``, or that begin at one of the bytes ``begins``.
 
-    First (first byte, last byte + 1, runs, anchor, hash, second hash) of each
-    block, where the second hash is also of the white space between the words,
-    then (block, first byte, last byte + 1, hash, second hash) of each run in
-    these blocks, if ``begins`` are given.
+    First (first word, first byte, last byte + 1, runs, anchor, hash, second
+    hash) of each block, where the second hash is also of the white space
+    between the words, then (block, first byte, last byte + 1, hash, second
+    hash) of each run in these blocks, if ``begins`` are given.
     """
-    starts, stops, hashes = S.words(text)
-    grams, of = _run_anchors(hashes)
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
-    upto = np.r_[first[1:], len(of)].astype(np.int64)[: len(first)]
-    mine = np.isin(of[first], near) if begins is None else np.isin(starts[first], begins)
-    a, n = first[mine], (upto - first)[mine]
+    grams, run, of = _run_anchors(hashes, offsets)
+    change = _changes(of)
+    first, size = run[change], np.diff(np.r_[change, len(of)])
+    mine = np.isin(of[change], near) if begins is None else np.isin(starts[first], begins)
+    a, n, anchor = first[mine], size[mine], grams[of[change[mine]]]
     b = a + n + RUN - 1
     other = S.mix(hashes ^ _OTHER)
     gaps = np.r_[starts[1:] - stops[:-1], np.zeros(min(len(starts), 1), np.int64)].astype(np.uint64)
-    found = starts[a], stops[b - 1], n, grams[of[a]], _hash(hashes, a, b), _hash(S.mix(other + gaps), a, b)
+    gaps[offsets[1:][np.diff(offsets) > 0] - 1] = 0  # white space between texts
+    found = a, starts[a], stops[b - 1], n, anchor, _hash(hashes, a, b), _hash(S.mix(other + gaps), a, b)
     block = np.repeat(np.arange(len(a)), n if begins is not None else 0)
     x = a[block] + np.arange(len(block)) - (np.cumsum(n) - n)[block] if len(block) else block
     return found, (block, starts[x], stops[x + RUN - 1], _hash(hashes, x, x + RUN), _hash(other, x, x + RUN))
@@ -179,44 +202,49 @@ def _document(docs: DataFrame, id_col: str, text_col: str) -> list:
 def _anchored(docs: DataFrame, id_col: str, text_col: str, made: list[str]) -> DataFrame:
     """(no_id, ord, h, text, anchors): documents with anchors that occur twice in the table."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [anchors(S.words(t or b"")[2]) for t in utf8(b.column("text"))]
-            of = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
-            at, value = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), pa.array(at.astype(np.int32)), pa.array(value.astype(np.int64))], ["no_id", "ord", "h", "at", "anchor"])
+    def cut(block: tuple, _: np.ndarray, __: np.ndarray) -> tuple[np.ndarray, ...]:
+        *_, hashes, offsets = block
+        return _anchors(hashes, offsets)
 
     rows = docs.select(*_document(docs, id_col, text_col), F.encode(col(text_col), "utf-8").alias("text"))
-    kind = rows.schema["ord"].dataType.simpleString()
-    found = stored(rows.mapInArrow(cut, f"no_id boolean, ord {kind}, h int, at int, anchor long"), "anchors", made)
+    found = stored(_cut_rows(rows, None, cut, _ANCHORS), "anchors", made)
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     near = found.join(twice, "anchor").groupBy("no_id", "ord", "h").agg(F.collect_set("at").alias("anchors"))
     return rows.join(near, ["no_id", "ord", "h"])
 
 
 #: Columns of the rows that are cut out of texts, besides the document's.
+_ANCHORS = {"at": "int", "anchor": "long"}
 _SPANS = {"start": "int", "stop": "int", "hi": "long", "lo": "long"}
 _BLOCKS = {"start": "int", "stop": "int", "runs": "int", "anchor": "long", "hi": "long", "lo": "long"}
 _RUNS = {"begin": "int", "block_hi": "long", "block_lo": "long", **_SPANS}
 
 
-def _cut_rows(docs: DataFrame, given: str | None, cut_text: Callable[..., tuple[np.ndarray, ...]], columns: dict[str, str]) -> DataFrame:
-    """(no_id, ord, h, columns): the rows that ``cut_text`` makes of each document's text and column ``given`` (places)."""
+def _cut_rows(docs: DataFrame, given: str | None, cut_block: Callable[..., tuple[np.ndarray, ...]], columns: dict[str, str]) -> DataFrame:
+    """(no_id, ord, h, columns): the rows that ``cut_block`` makes of the documents' texts and column ``given`` (places).
+
+    It is called with many texts at once (bytes, begins, starts, stops, hashes
+    and offsets of ``shingles.located``) and with the text and the value of each
+    place, and returns the text (from 0) of each row before the columns.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [np.int32 if t == "int" else np.int64 for t in columns.values()]
         for b in batches:
-            rows, parts, size = [], [], 0
-            places = b.column(given).to_pylist() if given else [()] * b.num_rows
-            for i, (t, at) in enumerate(zip(utf8(b.column("text")), places, strict=True)):
-                parts.append(cut_text(t or b"", np.asarray(at, np.int64)))
-                rows.append(np.full(len(parts[-1][0]), i))
-                size += len(parts[-1][0])
-                if size > 100_000 or i == b.num_rows - 1:  # Arrow batches of bounded size
-                    of = pa.array(np.concatenate(rows))
-                    x = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("no_id", "ord", "h")), *x], ["no_id", "ord", "h", *columns])
-                    rows, parts, size = [], [], 0
+            parts, size = [], 0
+            texts, places = np.empty(0, np.int64), np.empty(0, np.int64)
+            if given:
+                texts, places = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (pc.list_parent_indices(b.column(given)), b.column(given).flatten()))
+            for first, last, *block in S.located(utf8(b.column("text"))):
+                mine = slice(*np.searchsorted(texts, [first, last]))
+                of, *values = cut_block(block, texts[mine] - first, places[mine])
+                parts.append((of + first, *values))
+                size += len(of)
+                if size > 100_000 or last == b.num_rows:  # Arrow batches of bounded size
+                    of, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    row = pa.array(of)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("no_id", "ord", "h")), *(pa.array(x.astype(t)) for x, t in zip(values, types, strict=True))], ["no_id", "ord", "h", *columns])
+                    parts, size = [], 0
 
     rows = docs.select("no_id", "ord", "h", "text", *([given] if given else []))
     kind = docs.schema["ord"].dataType.simpleString()
@@ -226,19 +254,35 @@ def _cut_rows(docs: DataFrame, given: str | None, cut_text: Callable[..., tuple[
 def _sentence_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     """(no_id, ord, h, start, stop, hi, lo): one row for each span of whole sentences."""
 
-    def cut(text: bytes, _: np.ndarray) -> tuple[np.ndarray, ...]:
-        start, stop, _, hi, lo = spans(text, sentences, words, runs=False)
-        return start, stop, hi, lo
+    def cut(block: tuple, _: np.ndarray, __: np.ndarray) -> tuple[np.ndarray, ...]:
+        data, begins, starts, stops, hashes, offsets = block
+        a, b, hi, lo = _spans(data, starts, stops, hashes, offsets, sentences, words)
+        text = np.searchsorted(offsets, a, "right") - 1
+        return text, starts[a] - begins[text], stops[b - 1] - begins[text], hi, lo
 
     return _cut_rows(docs, None, cut, _SPANS)
 
 
+def _block_rows(docs: DataFrame) -> DataFrame:
+    """(no_id, ord, h, start, stop, runs, anchor, hi, lo): the blocks that have one of ``anchors``."""
+
+    def cut(block: tuple, of: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, begins, starts, stops, hashes, offsets = block
+        first, start, stop, *rest = _blocks(starts, stops, hashes, offsets, near=near + offsets[of])[0]
+        text = np.searchsorted(offsets, first, "right") - 1
+        return text, start - begins[text], stop - begins[text], *rest
+
+    return _cut_rows(docs, "anchors", cut, _BLOCKS)
+
+
 def _run_rows(docs: DataFrame) -> DataFrame:
     """(no_id, ord, h, begin, block_hi, block_lo, start, stop, hi, lo): the runs of the blocks that begin at ``begins``."""
 
-    def cut(text: bytes, begins: np.ndarray) -> tuple[np.ndarray, ...]:
-        (begin, _, _, _, hi, lo), (block, *runs) = blocks(text, begins=begins)
-        return begin[block], hi[block], lo[block], *runs
+    def cut(block: tuple, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        _, begins, starts, stops, hashes, offsets = block
+        (first, begin, _, _, _, hi, lo), (own, start, stop, *rest) = _blocks(starts, stops, hashes, offsets, begins=at + begins[of])
+        text = (np.searchsorted(offsets, first, "right") - 1)[own]
+        return text, begin[own] - begins[text], hi[own], lo[own], start - begins[text], stop - begins[text], *rest
 
     return _cut_rows(docs, "begins", cut, _RUNS)
 
@@ -250,7 +294,7 @@ def _repeated_runs(anchored: DataFrame, made: list[str]) -> DataFrame:
     has the first occurrence of one of its runs keeps them. Of the first block
     of a kind those runs go that occur before in blocks of other kinds.
     """
-    every = stored(_cut_rows(anchored, "anchors", lambda text, near: blocks(text, near)[0], _BLOCKS), "repeated-blocks", made)
+    every = stored(_block_rows(anchored), "repeated-blocks", made)
     kinds = every.groupBy("hi", "lo").agg(F.min(F.struct("no_id", "ord", "start", "h")).alias("rep"), F.min("anchor").alias("anchor"), F.min("runs").alias("runs"), F.count(F.lit(1)).alias("n"))
     kinds = stored(kinds, "kinds-of-blocks", made)
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")

@@ -108,3 +108,61 @@ def test_only_results_stay_in_the_shared_folder(spark):
     left = [p.rpartition("/")[2] for p in session._MADE - before]
     assert sorted(p.rpartition("-")[0] for p in left) == ["tessera-repeated-runs", "tessera-repeated-spans"]
     assert gone.count() > 0
+
+
+def odd_texts() -> list[bytes | None]:
+    """Short and long texts with other full stops, white space and line ends, empty ones, and one beyond a block."""
+    rng = random.Random(9)
+    pool = ["a", "B", "c.", 'd."', "“e.”", "f,", "g;", "ह।", "二。", "h!", "(i?)", '"', "’", "\n"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", " ", "  ", "\n", "\t"]) for _ in range(rng.choice([0, 1, 30, 49, 50, 51, 200, 400]))).strip(rng.choice(["", " "])) for _ in range(300)]
+    return [*(t.encode() for t in texts), None, b"", b" \n", b"one word. " * 120_000, *(t.encode() for t in texts[:40])]
+
+
+def test_many_short_texts_are_cut_at_once(monkeypatch):
+    calls, cut = [], sd.S._words
+    monkeypatch.setattr(sd.S, "_words", lambda data: calls.append(len(data)) or cut(data))
+    texts = [b"some words of a short text"] * 5000
+    assert [x[:2] for x in sd.S.located(texts)] == [(0, 5000)] and len(calls) == 1
+
+
+def test_a_block_of_texts_gives_what_each_text_gives():
+    texts = odd_texts()
+    got = {"anchors": {}, "spans": {}, "blocks": {}, "runs": {}}
+
+    def add(kind, of, *values):
+        for i, *row in zip(*(x.tolist() for x in (of, *values)), strict=True):
+            got[kind].setdefault(i, []).append(tuple(row))
+
+    def cut(first, begins, starts, stops, hashes, offsets, data):
+        text = lambda word: np.searchsorted(offsets, word, "right") - 1
+        of, at, value = sd._anchors(hashes, offsets)
+        add("anchors", of + first, at, value)
+        a, b, *h = sd._spans(data, starts, stops, hashes, offsets, sd.SENTENCES, sd.WORDS)
+        add("spans", text(a) + first, starts[a] - begins[text(a)], stops[b - 1] - begins[text(a)], *h)
+        (a, start, stop, *rest), _ = sd._blocks(starts, stops, hashes, offsets, near=(at + offsets[of])[::2])
+        add("blocks", text(a) + first, start - begins[text(a)], stop - begins[text(a)], *rest)
+        (a, *_), (own, start, stop, *rest) = sd._blocks(starts, stops, hashes, offsets, begins=start[::2])
+        of = text(a)[own]
+        add("runs", of + first, start - begins[of], stop - begins[of], *rest)
+
+    blocks = list(sd.S.located(texts))
+    assert len(blocks) == 3
+    for first, _, data, begins, *words, offsets in blocks:
+        cut(first, begins, *words, offsets, data)
+    together, got = got, {kind: {} for kind in got}
+    for i, t in enumerate(texts):
+        starts, stops, hashes = sd.S.words(t or b"")
+        start, stop, _, *h = sd.spans(t or b"", runs=False)
+        add("spans", np.full(len(start), i), start, stop, *h)
+        at, value = sd.anchors(hashes)
+        add("anchors", np.full(len(at), i), at, value)
+    assert together["spans"] == got["spans"] and together["anchors"] == got["anchors"]
+    assert len(together["blocks"]) > 50 and len(together["runs"]) > 50
+    for i, rows in together["blocks"].items():
+        starts, stops, hashes = sd.S.words(texts[i])
+        alone = {row[1:] for row in zip(*(x.tolist() for x in sd._blocks(starts, stops, hashes, np.array([0, len(starts)]), near=np.arange(len(starts)))[0]), strict=True)}
+        assert set(rows) <= alone
+    for i, rows in together["runs"].items():
+        start, stop, n, *h = sd.spans(texts[i])
+        runs = {(int(x), int(y), int(u), int(v)) for x, y, k, u, v in zip(start, stop, n, *h, strict=True) if k == sd.RUN}
+        assert set(rows) <= runs
