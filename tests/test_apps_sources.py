@@ -79,6 +79,90 @@ def test_kmeans_converges_and_matches_numpy(spark):
     assert np.allclose(np.asarray(res.centers), c)
 
 
+def _all_rounds(df, centers, converge_dist=1e-12):
+    """Every round over all points: what kmeans must give."""
+    dist, moves, sizes = float("inf"), [], []
+    while dist > converge_dist:
+        centers, dist, sizes = kmeans.kmeans_step(df, centers)
+        moves.append(dist)
+    return centers, moves, sizes
+
+
+def test_rounds_of_kmeans_are_not_a_job_each(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(4000, 6))
+    df = pts(spark, data.tolist()).repartition(3).persist()
+    sc, c = spark.sparkContext, data[:8]
+    for _ in range(1000):
+        own = ((data[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+        old, c = c, np.array([data[own == j].mean(0) for j in range(8)])
+        if ((c - old) ** 2).sum() <= 1e-12:
+            break
+    levels, inner = [], kmeans._Level.inner
+    monkeypatch.setattr(kmeans._Level, "inner", lambda self, *a: levels.append(inner(self, *a)) or levels[-1])
+    for near, share in ((100, 2), (1600, 16), (10**6, 16)):  # points that the driver may hold
+        monkeypatch.setattr(kmeans, "NEAR_BYTES", near * 6 * 8)
+        monkeypatch.setattr(kmeans, "LEVEL_SHARE", share)
+        sc.setJobGroup(f"kmeans-{near}", "")
+        res = kmeans.kmeans(df, 8, 1e-12, key="vec_id", init=data[:8].tolist())
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert res.converged and res.sizes == np.bincount(own, minlength=8).tolist()
+        assert np.allclose(res.centers, c, atol=1e-9) and res.rounds == len(res.moves) > 40
+        if near > 100:
+            assert len(sc.statusTracker().getJobIdsForGroup(f"kmeans-{near}")) < res.rounds and res.passes < res.rounds / 2
+    assert levels  # frames of the points near a border were used, too
+    df.unpersist()
+
+
+@pytest.mark.parametrize("near", [0, 5, 10**6])
+@pytest.mark.parametrize("odd", ["ties", "null", "nan", "inf", "far", "tiny"])
+def test_kmeans_gives_what_all_rounds_give(spark, monkeypatch, odd, near):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 4, (80, 2)).astype(float)  # many equal points, many as near to two centres
+    if odd != "ties":
+        data += rng.normal(size=data.shape) / 8
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(data * {"far": 1e160, "tiny": 1e-30}.get(odd, 1))]
+    start = [rows[i][1] for i in (0, 1, 2, 3, 3)]  # two centres are the same
+    extra = {"null": None, "nan": [float("nan"), 1.0], "inf": [float("inf"), 1.0]}
+    rows += [(len(rows), extra[odd])] if odd in extra else []
+    df = spark.createDataFrame(rows, "vec_id long, p array<double>").repartition(2).persist()
+    monkeypatch.setattr(kmeans, "NEAR_BYTES", near * 2 * 8)
+    limit = 1e-70 if odd == "tiny" else 1e-12
+    res = kmeans.kmeans(df, 5, limit, key="vec_id", init=start)
+    centers, moves, sizes = _all_rounds(df, start, limit)
+    assert (res.rounds, res.sizes) == (len(moves), sizes)
+    assert np.allclose(res.centers, centers, rtol=1e-9, atol=0, equal_nan=True)
+    assert np.allclose(res.moves, moves, rtol=1e-6, atol=limit, equal_nan=True)
+    assert res.converged == (moves[-1] <= limit)
+    df.unpersist()
+
+
+def test_kmeans_stops_after_max_iter(spark):
+    rng = np.random.default_rng(5)
+    df = pts(spark, rng.normal(size=(300, 3)).tolist())
+    for most in (0, 1, 3):
+        res = kmeans.kmeans(df, 4, 1e-12, key="vec_id", max_iter=most)
+        assert (res.rounds, len(res.moves), res.converged) == (most, most, False)
+    one = kmeans.kmeans(df, 1, 1e-12, key="vec_id")
+    assert one.converged and one.sizes == [300]
+
+
+def test_margins_hold(monkeypatch):
+    rng = np.random.default_rng(6)
+    points, c = rng.normal(size=(3000, 7)), rng.normal(size=(9, 7))
+    ahead, speed = c + rng.normal(size=c.shape) / 20, rng.uniform(0.05, 1, 9)
+    near, margin = kmeans._margins(points, c, ahead, speed)
+    assert (near == kmeans._nearest(points, c)).all() and (margin > 0).sum() > 1500
+    for t in (0, 0.3, 0.7, 1):
+        for reach in (0.0, 0.01, 0.1):
+            for _ in range(5):
+                push = rng.normal(size=c.shape)
+                push *= (reach * speed / np.sqrt((push**2).sum(axis=1)))[:, None]
+                there = c + t * (ahead - c) + push
+                sure = margin > reach * 1.000001
+                assert (kmeans._nearest(points[sure], there) == near[sure]).all()
+
+
 def test_sort_pairs_app(spark):
     lines = spark.createDataFrame([("(3.5, 1.0)",), ("(0.1, 4.5e-05)",), ("(2, 2)",)], "value string")
     got = [tuple(r) for r in sorting.sort_pairs(lines).orderBy("idx").collect()]
