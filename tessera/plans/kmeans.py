@@ -23,6 +23,7 @@ same rule as a column expression.
 from __future__ import annotations
 
 import json
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,8 +45,8 @@ NEAR_BYTES = 64 << 20
 #: A frame of the points near a border has this share of the points.
 LEVEL_SHARE = 16
 
-#: A pass foresees so many rounds like the last one at most.
-ROUNDS_AHEAD = 16
+#: The centres of so many rounds are kept, to foresee how they go on.
+PATH = 9
 
 #: Margins are counted in this many buckets, four for each power of two.
 BUCKETS = 1024
@@ -243,25 +244,29 @@ def _margins(points: np.ndarray, centers: np.ndarray, ahead: np.ndarray, speed:
             err = 16 * (dim + 8) * np.finfo(float).eps * (pp + max(cc.max() for _, cc in ends))  # more than d and _nearest round off
             lead = far = i = clear = None
             for c, cc in ends:
-                d = p @ c.T
+                d = c @ p.T  # a row for each centre
                 d *= -2
-                d += cc
-                d += pp[:, None]
+                d += cc[:, None]
+                d += pp
                 if i is None:
-                    i = d.argmin(axis=1)
-                first = d[at, i]
-                h = d - first[:, None]
-                h[at, i] = np.inf
+                    i, first = np.zeros(len(p), np.int64), d[0].copy()
+                    for j in range(1, k):
+                        i[d[j] < first] = j
+                        np.minimum(first, d[j], out=first)
+                else:
+                    first = d[i, at]
+                h = d - first
+                h[i, at] = np.inf
                 if clear is None:
-                    clear = h.min(axis=1) > 2 * err  # not where a distance is NaN or infinite
-                d += err[:, None]
+                    clear = h.min(axis=0) > 2 * err  # not where a distance is NaN or infinite
+                d += err
                 np.sqrt(d, out=d)
-                d += np.sqrt(first + err)[:, None]
-                lead, far = (h, d) if lead is None else (np.minimum(lead, h), np.maximum(far, d))
-            lead -= (2 * err + bend)[:, None]
+                d += np.sqrt(first + err)
+                lead, far = (h, d) if lead is None else (np.minimum(lead, h, out=lead), np.maximum(far, d, out=far))
+            lead -= 2 * err + bend
             lead /= far
-            lead /= pace[i]
-            m = lead.min(axis=1)
+            lead /= pace[:, i]
+            m = lead.min(axis=0)
             if not clear.all():
                 i[~clear], m[~clear] = _nearest(p[~clear], centers), 0
             near[a : a + rows], margin[a : a + rows] = i, np.fmax(m, 0)
@@ -454,7 +459,7 @@ class _Rounds:
     centers: np.ndarray
     converge_dist: float
     max_iter: int | None
-    last: np.ndarray | None = None  # the centres before the last round
+    path: deque = field(default_factory=lambda: deque(maxlen=PATH))  # the centres before the last rounds
     dist: float = float("inf")
     moves: list[float] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
@@ -466,17 +471,23 @@ class _Rounds:
         """New centres from sizes and sums; an empty cluster keeps its centre."""
         new, some = self.centers.copy(), n > 0
         new[some] = s[some] / n[some, None]
-        self.last, self.centers, self.sizes = self.centers, new, n.tolist()
-        self.dist = float(((new - self.last) ** 2).sum())
+        self.path.append(self.centers)
+        self.centers, self.sizes = new, n.tolist()
+        self.dist = float(((new - self.path[-1]) ** 2).sum())
         self.moves.append(self.dist)
 
+    def pace(self, rounds: int) -> np.ndarray:
+        """Mean way of the centres in a round, over the last rounds."""
+        some = min(max(rounds, 1), len(self.path))
+        return (self.centers - self.path[-some]) / some
+
     def near(self, points: np.ndarray, rim: float, levels: list[_Level], at: np.ndarray, ahead: np.ndarray, speed: np.ndarray, n: np.ndarray, s: np.ndarray) -> None:
         """Rounds in which only these points may change clusters; n, s: sizes and sums at these centres."""
         k = len(at)
         own, due = _margins(points, at, at, speed)
         clock = 0.0
         while self.go_on() and (rim == np.inf or _off(at, ahead, self.centers, speed) < rim) and all(x.holds(self.centers) for x in levels):
-            clock += _moved(self.last, self.centers, speed)
+            clock += _moved(self.path[-1], self.centers, speed)
             stale = np.flatnonzero(~(due > clock))
             now, margin = _margins(points[stale], self.centers, self.centers, speed)
             due[stale] = clock + margin
@@ -504,13 +515,13 @@ def kmeans(points: DataFrame, k: int, converge_dist: float, key: str | None = No
     most = max(1, NEAR_BYTES // (8 * dim))
     frame = _packed(points, dim).persist(StorageLevel.MEMORY_AND_DISK)
     levels = [_Level(frame, np.zeros(count, np.int64), np.zeros((count, dim)), done.centers, done.centers, np.ones(count), np.inf)]
-    speed, limit, total, rounds_ahead = np.ones(count), None, 1, 0
+    speed, limit, total, foreseen = np.ones(count), None, 1, 0
     try:
         while done.go_on():
             while not all(x.holds(done.centers) for x in levels):
                 levels.pop().free()
             level, at = levels[-1], done.centers
-            ahead = at + rounds_ahead * (at - done.last) if rounds_ahead else at
+            ahead = at + foreseen * done.pace(foreseen // 2) if foreseen else at
             n, s, counts, near, rim = level.compare(at, ahead, speed, limit, most, total)
             done.update(n, s)
             passes, rounds = passes + 1, len(done.moves)
@@ -521,12 +532,12 @@ def kmeans(points: DataFrame, k: int, converge_dist: float, key: str | None = No
             if not done.go_on():
                 break
             reach = _reach(counts, total // LEVEL_SHARE)
-            if total > LEVEL_SHARE * most // 4 and _off(at, ahead, done.centers, speed) + 8 * _moved(done.last, done.centers, speed) < reach:
+            if total > LEVEL_SHARE * most // 4 and _off(at, ahead, done.centers, speed) + 8 * _moved(done.path[-1], done.centers, speed) < reach:
                 levels.append(level.inner(at, ahead, speed, reach, n, s))
                 passes, total = passes + 1, max(1, total // LEVEL_SHARE)
             limit = _reach(counts, most * 3 // 4)
             limit = limit if limit > off else None
-            rounds_ahead = min(len(done.moves) - rounds + 2, ROUNDS_AHEAD)
+            foreseen = len(done.moves) - rounds + 2
             step = np.sqrt(((done.centers - at) ** 2).sum(axis=1))
             if np.isfinite(step).all() and step.any():
                 speed = np.maximum(step / step.max(), 0.05)
